@@ -95,7 +95,7 @@ def parse_due_date(col) -> Column:
     d = F.substring(c, 9, 2).cast("int")
     year = F.when(y < 100, y + 1900).otherwise(y)
     day = F.date_add(F.add_months(F.make_date(year, F.lit(1), F.lit(1)), m - 1), d - 1)
-    end = day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(23), F.lit(59), F.lit(59.999))
+    end = day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(23), F.lit(59), F.lit(59.999))
     return F.when(ok, end)
 
 

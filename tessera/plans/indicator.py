@@ -210,11 +210,11 @@ def boxplot_stats(spark, sf_dir):
 
 
 @register("outliers_iqr", ops=("E-4",), sql="""
-WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)
-SELECT o_orderkey, o_custkey, o_totalprice FROM orders, q WHERE o_totalprice > q3 + 1.5 * (q3 - q1)""")
+WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, user_id, value FROM events, q WHERE value > q3 + 1.5 * (q3 - q1)""")
 def outliers_iqr(spark, sf_dir):
-    o = tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_totalprice")
-    return quality.outliers_iqr(o, "o_totalprice", side="upper", tiebreak=["o_orderkey"])
+    e = tables(spark, sf_dir).events.select("event_id", "user_id", "value")
+    return quality.outliers_iqr(e, "value", side="upper", tiebreak=["event_id"])
 
 
 @register("distribution_label", ops=("E-5",), sql="""
