@@ -152,8 +152,9 @@ def reconcile(df: DataFrame, official: DataFrame, keys: Sequence[str], value: st
     got = df.groupBy(*keys).agg(F.sum(value).alias("total"))
     ref = official.select(*keys, F.col(official_value).alias("reference"))
     j = got.join(ref, list(keys), "full")
-    diff = F.coalesce(F.col("total"), F.lit(0.0)) - F.coalesce(F.col("reference"), F.lit(0.0))
-    ok = F.abs(diff) <= F.lit(tol) * F.abs(F.coalesce(F.col("reference"), F.lit(0.0)))
+    # integer zero keeps decimal money decimal (a 0.0 literal would turn it into double)
+    diff = F.coalesce(F.col("total"), F.lit(0)) - F.coalesce(F.col("reference"), F.lit(0))
+    ok = F.abs(diff) <= F.lit(tol) * F.abs(F.coalesce(F.col("reference"), F.lit(0)))
     return j.withColumn("diff", diff).filter(~ok)
 
 
@@ -244,3 +245,49 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean", value=Non
             raise ValueError(strategy)
         out = out.withColumn(c, F.coalesce(x, fill))
     return out
+
+
+def quality_gate(checks) -> DataFrame:
+    """Release checklist (E-14): ``checks`` is a list of
+    ``(name, one_row_metric_frame, max_ok)``; each frame has one column
+    ``metric``. Result rows ``(check_name, metric, passed)``."""
+    out = None
+    for name, frame, max_ok in checks:
+        row = frame.select(F.lit(name).alias("check_name"), F.col("metric").cast("double").alias("metric"),
+                           (F.col("metric") <= F.lit(max_ok)).alias("passed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def readiness_scan(df: DataFrame, ts: str, value: str, min_periods: int = 28, min_volume: int = 20,
+                   max_missing: float = 0.05, max_drift_cv: float = 0.25) -> DataFrame:
+    """Descriptive-or-predictive advice (E-17) from per-day volume, missing
+    share and drift (coefficient of variation of the daily mean)."""
+    d = df.groupBy(F.to_date(ts).alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col(value).isNull().cast("double")).alias("miss"),
+        F.avg(value).alias("mean"))
+    s = d.agg(F.count(F.lit(1)).alias("periods"), F.min("n").alias("min_volume"),
+              F.max("miss").alias("max_missing"),
+              (F.stddev_samp("mean") / F.avg("mean")).alias("drift_cv"))
+    ok = ((F.col("periods") >= min_periods) & (F.col("min_volume") >= min_volume)
+          & (F.col("max_missing") <= max_missing) & (F.col("drift_cv") <= max_drift_cv))
+    return s.withColumn("advice", F.when(ok, "predictive").otherwise("descriptive"))
+
+
+def prompt_audit(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
+                 role: str = "role", text: str = "text") -> DataFrame:
+    """Prompt-log audit (E-16): user prompts, how many got an output (the
+    next turn is the assistant's), how many ran under a template (a system
+    turn earlier in the conversation), decision-facing prompts (questions)
+    and those left without output."""
+    w = Window.partitionBy(conv_id).orderBy(turn)
+    nxt_turn, nxt_role = F.lead(turn).over(w), F.lead(role).over(w)
+    sys_before = F.max((F.col(role) == "system").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    u = (conv.withColumn("has_output", F.coalesce((nxt_turn == F.col(turn) + 1) & (nxt_role == "assistant"), F.lit(False)))
+         .withColumn("has_template", F.coalesce(sys_before == 1, F.lit(False)))
+         .filter(F.col(role) == "user"))
+    q = F.col(text).contains("?")
+    return u.agg(F.count(F.lit(1)).alias("n_prompts"), F.count_if("has_output").alias("n_with_output"),
+                 F.count_if("has_template").alias("n_with_template"),
+                 F.count_if(q).alias("n_decision_facing"),
+                 F.count_if(q & ~F.col("has_output")).alias("n_unreviewed_decisions"))

@@ -1 +1,291 @@
-"""Registered queries (filled in below)."""
+"""Profiling, quality and cleaning queries (E-1 .. E-18, B-24 .. B-26)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.columns import normalize_text
+from tessera.operators import joins, quality as Q
+from tessera.plans import bindings as B
+from tessera.plans.common import rounded, tables
+from tessera.plans.registry import register
+
+W = B.with_ctes
+
+CUSTOMER_COLS = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+def _profile_sql(table, cols_types):
+    parts = []
+    for c, typ in cols_types:
+        miss = f"{c} IS NULL" + (f" OR isnan({c})" if typ == "double" else "") \
+            + (f" OR trim({c}) = ''" if typ == "string" else "")
+        parts.append(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count_if({miss}) AS n_missing, "
+                     f"count(DISTINCT {c}) AS n_distinct FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+CUSTOMER_TYPES = (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
+                  ("c_acctbal", "double"), ("c_mktsegment", "string"))
+PROFILE_CTE = "p AS (" + _profile_sql("customer", CUSTOMER_TYPES) + ")"
+PROFILE_SQL = """SELECT column_name, n_rows, n_missing, round(n_missing / n_rows, 6) AS missing_share, n_distinct,
+       round(n_distinct / (n_rows - n_missing), 6) AS uniqueness,
+       (n_missing / n_rows > 0.2 OR n_distinct <= 1) AS anomaly FROM p"""
+
+
+@register("profile", ops=("E-1",), sql=W(PROFILE_CTE) + PROFILE_SQL)
+def profile(spark, sf_dir):
+    c = tables(spark, sf_dir).customer.select(*CUSTOMER_COLS)
+    return rounded(Q.profile(c, exact_distinct=True))
+
+
+@register("infer_nature", ops=("E-2",), sql="WITH x AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(CAST({c} AS VARCHAR)) AS n_present, "
+    f"count(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) AS n_numeric, count(DISTINCT CAST({c} AS VARCHAR)) AS n_distinct "
+    f"FROM customer" for c in CUSTOMER_COLS) + """)
+SELECT column_name, n_present, round(n_numeric / n_present, 6) AS numeric_share, n_distinct,
+  CASE WHEN n_present = 0 THEN 'empty'
+       WHEN n_numeric / n_present >= 0.95 AND n_distinct / n_present > 0.05 THEN 'quantitative'
+       ELSE 'qualitative' END AS nature
+FROM x""")
+def infer_nature(spark, sf_dir):
+    c = tables(spark, sf_dir).customer.select(*CUSTOMER_COLS)
+    return rounded(Q.infer_nature(c))
+
+
+GRAIN_CANDIDATES = (("l_orderkey",), ("l_partkey", "l_suppkey"), ("l_orderkey", "l_linenumber"))
+
+
+@register("grain", ops=("E-3",), sql="WITH x AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS candidate, '{','.join(c)}' AS key_columns, {len(c)} AS width, "
+    f"(SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(c)} FROM lineitem)) AS n_distinct"
+    for i, c in enumerate(GRAIN_CANDIDATES)) + """)
+SELECT *, n_rows = n_distinct AS is_unique,
+  (row_number() OVER (ORDER BY n_rows = n_distinct DESC, width, candidate) = 1) AND n_rows = n_distinct AS is_grain
+FROM x""")
+def grain(spark, sf_dir):
+    return Q.grain(tables(spark, sf_dir).lineitem, GRAIN_CANDIDATES)
+
+
+@register("quality_score", ops=("E-6",), sql=W(PROFILE_CTE) + """
+SELECT round(completeness, 6) AS completeness, round(clean_columns, 6) AS clean_columns,
+       round(worst_missing_share, 6) AS worst_missing_share,
+       round((completeness * 0.5 + clean_columns * 0.5) / 1.0 * 100, 6) AS score
+FROM (SELECT 1 - avg(n_missing / n_rows) AS completeness,
+             avg(CASE WHEN NOT (n_missing / n_rows > 0.2 OR n_distinct <= 1) THEN 1.0 ELSE 0.0 END)::DOUBLE AS clean_columns,
+             max(n_missing / n_rows) AS worst_missing_share FROM p)""")
+def quality_score(spark, sf_dir):
+    c = tables(spark, sf_dir).customer.select(*CUSTOMER_COLS)
+    return rounded(Q.quality_score(Q.profile(c, exact_distinct=True)))
+
+
+@register("dedupe_latest_event", ops=("E-7",), sql="""
+SELECT user_id, event_type, event_id, ts, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1""")
+def dedupe_latest_event(spark, sf_dir):
+    e = tables(spark, sf_dir).events.select("user_id", "event_type", "event_id", "ts", "value")
+    return Q.dedupe(e, ["user_id", "event_type"], ["ts", "event_id"], keep="last")
+
+
+@register("completeness_by", ops=("E-8",), sql=W(B.INDICATOR_CTE, B.BOUNDARIES_CTE) + """
+SELECT substr(b.ADM0_A3, 1, 1) AS kind, count(*) AS n_rows,
+       round(avg(CASE WHEN i.stunting IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS missing_stunting,
+       round(avg(CASE WHEN i.country IS NULL OR trim(i.country) = '' THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS missing_country
+FROM boundaries b LEFT JOIN indicator i ON b.ADM0_A3 = i.iso_code GROUP BY 1""")
+def completeness_by(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    j = joins.attach_indicator(B.boundaries(t), B.indicator(t), "ADM0_A3", "iso_code")
+    j = j.withColumn("kind", F.substring("ADM0_A3", 1, 1))
+    return rounded(Q.completeness_by(j, ["kind"], ["stunting", "country"]))
+
+
+@register("key_consistency", ops=("E-9",), sql="""
+SELECT 'orders.o_custkey' AS relation,
+  CAST(coalesce(sum(CASE WHEN p._np IS NULL THEN c._nc END), 0) AS BIGINT) AS orphan_child_rows,
+  CAST(count_if(p._np IS NULL) AS BIGINT) AS orphan_keys,
+  CAST(count_if(c._nc IS NULL) AS BIGINT) AS childless_parents,
+  CAST(count_if(p._np > 1) AS BIGINT) AS duplicate_parent_keys
+FROM (SELECT o_custkey AS k, count(*) AS _nc FROM orders GROUP BY 1) c
+FULL JOIN (SELECT c_custkey AS k, count(*) AS _np FROM customer GROUP BY 1) p ON c.k = p.k""")
+def key_consistency(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return joins.key_consistency(t.orders, t.customer, "o_custkey", "c_custkey", "orders.o_custkey")
+
+
+# money as exact decimals (the inputs carry two decimals), so sums do not
+# depend on summation order
+LINE_TOTAL = ("CAST(l_extendedprice AS DECIMAL(18, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))"
+              " * (1 + CAST(l_tax AS DECIMAL(4, 2)))")
+
+
+@register("reconcile_order_totals", ops=("E-10",), sql=f"""
+SELECT o_orderkey, CAST(round(total, 2) AS DOUBLE) AS total, CAST(round(reference, 2) AS DOUBLE) AS reference,
+       CAST(round(diff, 2) AS DOUBLE) AS diff FROM (
+  SELECT coalesce(g.o_orderkey, r.o_orderkey) AS o_orderkey, g.total, r.reference,
+         coalesce(g.total, 0.0) - coalesce(r.reference, 0.0) AS diff
+  FROM (SELECT l_orderkey AS o_orderkey, sum({LINE_TOTAL}) AS total FROM lineitem GROUP BY 1) g
+  FULL JOIN (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS reference FROM orders) r
+  ON g.o_orderkey = r.o_orderkey)
+WHERE NOT (abs(diff) <= 0.01 * abs(coalesce(reference, 0.0)))""")
+def reconcile_order_totals(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    li = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"),
+                           F.expr(LINE_TOTAL).alias("line_total"))
+    ref = t.orders.select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("reference"))
+    r = Q.reconcile(li, ref, ["o_orderkey"], "line_total", "reference", tol=0.01)
+    return r.select("o_orderkey", *[F.round(F.col(c), 2).cast("double").alias(c)
+                                    for c in ("total", "reference", "diff")])
+
+
+@register("week_on_week", ops=("E-10",), sql="""
+SELECT week, round(total, 6) AS total, round(previous, 6) AS previous,
+       round((total - previous) / previous, 6) AS rel_change,
+       coalesce(abs((total - previous) / previous) > 0.5, false) AS breach
+FROM (SELECT week, total, lag(total) OVER (ORDER BY week) AS previous FROM (
+  SELECT CAST(date_trunc('week', ts) AS DATE) AS week, sum(CAST(value AS DECIMAL(18, 2))) AS total
+  FROM events GROUP BY 1))""")
+def week_on_week(spark, sf_dir):
+    e = tables(spark, sf_dir).events.select("ts", F.col("value").cast("decimal(18,2)").alias("value"))
+    r = Q.week_on_week(e, "ts", "value", tol=0.5)
+    return rounded(r.select("week", *[F.col(c).cast("double").alias(c) for c in ("total", "previous", "rel_change")],
+                            "breach"))
+
+
+@register("timeliness", ops=("E-11",), sql="""
+SELECT event_type AS source, max(ts) AS latest, count(*) AS n_rows,
+       round(epoch_us(TIMESTAMP '2024-02-01 00:00:00' - max(ts)) / 86400000000.0, 6) AS lag_days,
+       epoch_us(TIMESTAMP '2024-02-01 00:00:00' - max(ts)) / 86400000000.0 > 1.5 AS stale
+FROM events GROUP BY event_type""")
+def timeliness(spark, sf_dir):
+    e = tables(spark, sf_dir).events
+    return rounded(Q.timeliness(e, "event_type", "ts", "2024-02-01 00:00:00", 1.5)
+                   .withColumnRenamed("event_type", "source"))
+
+
+@register("provenance", ops=("E-13",), sql="""
+SELECT max(o_orderdate) AS last_update, count(*) AS rows_kept,
+       (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS units_excluded, 'o_totalprice' AS imputed_columns
+FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def provenance(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    excluded = t.customer.filter(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("o_custkey"))
+    return Q.provenance(t.orders, "o_orderdate", excluded, "o_custkey", ["o_totalprice"])
+
+
+@register("quality_gate", ops=("E-14",), sql="""
+SELECT 'completeness' AS check_name, round((SELECT avg(CASE WHEN o_totalprice IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE FROM orders), 6) AS metric,
+       (SELECT avg(CASE WHEN o_totalprice IS NULL THEN 1.0 ELSE 0.0 END) FROM orders) <= 0.01 AS passed
+UNION ALL
+SELECT 'consistency', CAST((SELECT count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)) AS DOUBLE),
+       (SELECT count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)) = 0
+UNION ALL
+SELECT 'uniqueness', CAST((SELECT count(*) - count(DISTINCT o_orderkey) FROM orders) AS DOUBLE),
+       (SELECT count(*) - count(DISTINCT o_orderkey) FROM orders) = 0
+UNION ALL
+SELECT 'timeliness', round((SELECT epoch_us(TIMESTAMP '2024-02-01 00:00:00' - max(ts)) / 86400000000.0 FROM events), 6),
+       (SELECT epoch_us(TIMESTAMP '2024-02-01 00:00:00' - max(ts)) / 86400000000.0 FROM events) <= 3
+UNION ALL
+SELECT 'validity', CAST((SELECT count_if(l_discount < 0 OR l_discount > 1 OR l_quantity <= 0) FROM lineitem) AS DOUBLE),
+       (SELECT count_if(l_discount < 0 OR l_discount > 1 OR l_quantity <= 0) FROM lineitem) = 0""")
+def quality_gate(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    o, c, e, li = t.orders, t.customer, t.events, t.lineitem
+    ref = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    lag_days = (F.unix_micros(ref.cast("timestamp")) - F.unix_micros(F.max("ts").cast("timestamp"))) / 86_400_000_000
+    checks = [
+        ("completeness", o.agg(F.avg(F.col("o_totalprice").isNull().cast("double")).alias("metric")), 0.01),
+        ("consistency", o.join(c, o.o_custkey == c.c_custkey, "left_anti").agg(F.count(F.lit(1)).alias("metric")), 0),
+        ("uniqueness", o.agg((F.count(F.lit(1)) - F.count_distinct("o_orderkey")).alias("metric")), 0),
+        ("timeliness", e.agg(lag_days.alias("metric")), 3),
+        ("validity", li.agg(F.count_if((F.col("l_discount") < 0) | (F.col("l_discount") > 1)
+                                       | (F.col("l_quantity") <= 0)).alias("metric")), 0),
+    ]
+    return rounded(Q.quality_gate(checks))
+
+
+@register("validate_sources", ops=("E-15",), sql="""
+SELECT coalesce(a.k, b.k) AS nationkey, round(a.v, 6) AS value_a, round(b.v, 6) AS value_b,
+       round(a.v - b.v, 6) AS diff, round(abs(a.v - b.v) / abs(b.v), 6) AS rel_diff,
+       CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'missing'
+            WHEN coalesce(abs(a.v - b.v) / abs(b.v), 0.0) <= 0.05 THEN 'agree' ELSE 'disagree' END AS status
+FROM (SELECT c_nationkey AS k, avg(c_acctbal) AS v FROM customer GROUP BY 1) a
+FULL JOIN (SELECT s_nationkey AS k, avg(s_acctbal) AS v FROM supplier GROUP BY 1) b ON a.k = b.k""")
+def validate_sources(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    a = t.customer.groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.avg("c_acctbal").alias("v"))
+    b = t.supplier.groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.avg("s_acctbal").alias("v"))
+    # compare on values rounded like the output, so the status cannot flip on the last bit
+    return rounded(joins.validate_sources(a, b, ["nationkey"], "v", tol=0.05))
+
+
+@register("harmonise_parties", ops=("E-18",), sql="""
+SELECT 'customer' AS source, c_custkey AS party_id, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment FROM customer
+UNION ALL
+SELECT 'supplier', s_suppkey, s_name, s_nationkey, s_acctbal, NULL FROM supplier""")
+def harmonise_parties(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    mapping = {
+        "customer": {"party_id": ("c_custkey", "bigint"), "name": ("c_name", "string"),
+                     "nation": ("c_nationkey", "int"), "balance": ("c_acctbal", "double"),
+                     "segment": ("c_mktsegment", "string")},
+        "supplier": {"party_id": ("s_suppkey", "bigint"), "name": ("s_name", "string"),
+                     "nation": ("s_nationkey", "int"), "balance": ("s_acctbal", "double")},
+    }
+    return Q.harmonise({"customer": t.customer, "supplier": t.supplier}, mapping)
+
+
+@register("cap_outliers", ops=("B-24",), sql="""
+WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, round(least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 6) AS value
+FROM events, q""")
+def cap_outliers(spark, sf_dir):
+    e = tables(spark, sf_dir).events.select("event_id", "value")
+    return rounded(Q.cap_outliers(e, ["value"]))
+
+
+@register("normalize_text", ops=("B-25",), sql="""
+SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), '\\s+', ' ', 'g')) AS text
+FROM documents""")
+def normalize_text_q(spark, sf_dir):
+    d = tables(spark, sf_dir).documents
+    return d.select("doc_id", normalize_text(F.col("text")).alias("text"))
+
+
+@register("impute_median", ops=("B-26",), sql=W(B.INDICATOR_CTE, B.BOUNDARIES_CTE) + """,
+j AS (SELECT b.ADM0_A3, TRY_CAST(i.stunting AS DOUBLE) AS stunting FROM boundaries b LEFT JOIN indicator i ON b.ADM0_A3 = i.iso_code)
+SELECT ADM0_A3, round(coalesce(stunting, (SELECT quantile_cont(stunting, 0.5) FROM j)), 6) AS stunting FROM j""")
+def impute_median(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    from tessera.sources.files import cast_measures
+    j = joins.attach_indicator(B.boundaries(t), cast_measures(B.indicator(t), {"stunting": "double"}),
+                               "ADM0_A3", "iso_code").select("ADM0_A3", "stunting")
+    return rounded(Q.impute(j, ["stunting"], "median"))
+
+
+@register("readiness_scan", ops=("E-17",), sql="""
+WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS miss,
+                  avg(value) AS mean FROM events GROUP BY 1),
+s AS (SELECT count(*) AS periods, min(n) AS min_volume, max(miss) AS max_missing,
+             stddev_samp(mean) / avg(mean) AS drift_cv FROM d)
+SELECT periods, min_volume, round(max_missing, 6) AS max_missing, round(drift_cv, 6) AS drift_cv,
+       CASE WHEN periods >= 28 AND min_volume >= 20 AND max_missing <= 0.05 AND drift_cv <= 0.25
+            THEN 'predictive' ELSE 'descriptive' END AS advice
+FROM s""")
+def readiness_scan(spark, sf_dir):
+    from tessera.operators.quality import readiness_scan as scan
+    return rounded(scan(tables(spark, sf_dir).events, "ts", "value"))
+
+
+@register("prompt_audit", ops=("E-16",), sql="""
+WITH u AS (SELECT c.conv_id, c.turn, c.text,
+                  EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.turn = c.turn + 1 AND a.role = 'assistant') AS has_output,
+                  EXISTS (SELECT 1 FROM conversations s WHERE s.conv_id = c.conv_id AND s.role = 'system' AND s.turn < c.turn) AS has_template
+           FROM conversations c WHERE c.role = 'user')
+SELECT count(*) AS n_prompts, count_if(has_output) AS n_with_output, count_if(has_template) AS n_with_template,
+       count_if(contains(text, '?')) AS n_decision_facing,
+       count_if(contains(text, '?') AND NOT has_output) AS n_unreviewed_decisions
+FROM u""")
+def prompt_audit(spark, sf_dir):
+    from tessera.operators.quality import prompt_audit as audit
+    return audit(tables(spark, sf_dir).conversations)
