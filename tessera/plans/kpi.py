@@ -100,10 +100,10 @@ def calc_columns(spark, sf_dir):
 @register("slice_by", ops=("B-22",), sql=W(STAR_CTE) + """
 SELECT interaction_id, region, segment FROM star
 WHERE ts >= TIMESTAMP '1996-01-01 00:00:00' AND ts <= TIMESTAMP '1996-12-31 00:00:00'
-  AND region IN ('REGION_1', 'REGION_3') AND segment = 'BUILDING' AND was_ai_handled = false""")
+  AND region IN ('AMERICA', 'EUROPE') AND segment = 'BUILDING' AND was_ai_handled = false""")
 def slice_by(spark, sf_dir):
     s = K.slice_by(star(spark, sf_dir), ts=("1996-01-01 00:00:00", "1996-12-31 00:00:00"),
-                   region=["REGION_1", "REGION_3"], segment="BUILDING", was_ai_handled=False)
+                   region=["AMERICA", "EUROPE"], segment="BUILDING", was_ai_handled=False)
     return s.select("interaction_id", "region", "segment")
 
 
