@@ -112,8 +112,11 @@ def is_overdue(done_col, due_col, now) -> Column:
 
 # ---------------------------------------------------------------- tags / text
 
-_WS_LEFT = r"^\s+"
-_WS_RIGHT = r"\s+$"
+# ASCII whitespace spelled out (Java's and RE2's ``\s`` differ on \x0B) and
+# anchored with ``\z`` (Java's ``$`` also matches before a final newline).
+WS_CLASS = r"[ \t\n\r\f\x0B]"
+_WS_LEFT = r"^" + WS_CLASS + "+"
+_WS_RIGHT = WS_CLASS + r"+\z"
 
 
 def strip_ws(col) -> Column:
@@ -133,7 +136,7 @@ def normalize_tags(col, max_tags: int = 10) -> Column:
 
 
 def collapse_ws(col) -> Column:
-    return F.regexp_replace(strip_ws(col), r"\s+", " ")
+    return F.regexp_replace(strip_ws(col), WS_CLASS + "+", " ")
 
 
 def normalize_text(col) -> Column:

@@ -1 +1,91 @@
-"""Registered queries (filled in below)."""
+"""Link and path queries over ``pages``.
+
+Binding (chosen here): the "sitemap" is every internal link found in the
+pages, made absolute with its page's host; a listed location is dead when no
+page has that host and canonical path.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import links as LK
+from tessera.plans import bindings as B
+from tessera.plans.common import tables
+from tessera.plans.registry import register
+
+W = B.with_ctes
+
+PATH_SQL = f"regexp_extract({{u}}, '{LK.PATH_RE}', 1)"
+QUERY_SQL = f"regexp_extract({{u}}, '{LK.QUERY_RE}', 1)"
+HASH_SQL = f"regexp_extract({{u}}, '{LK.HASH_RE}', 1)"
+HOST_SQL = f"lower(regexp_extract({{u}}, '{LK.HOST_RE}', 1))"
+
+
+def canon_path_sql(u):
+    p = PATH_SQL.format(u=u)
+    clean = (f"CASE WHEN regexp_matches({p}, '(?i)/index\\.html$') THEN regexp_replace({p}, '(?i)/index\\.html$', '/') "
+             f"WHEN regexp_matches({p}, '(?i)\\.html$') THEN regexp_replace({p}, '(?i)\\.html$', '') END")
+    lead = f"CASE WHEN ({clean}) IS NULL THEN NULL WHEN starts_with({clean}, '/') THEN {clean} ELSE '/' || {clean} END"
+    fix = f"CASE WHEN ({lead}) = '' THEN '/' ELSE {lead} END"
+    return f"coalesce({fix}, {p})"
+
+
+@register("canonical_path", ops=("B-16",), sql=f"""
+SELECT page_id, url, {canon_path_sql('url')} || {QUERY_SQL.format(u='url')} || {HASH_SQL.format(u='url')} AS canonical
+FROM pages""")
+def canonical_path(spark, sf_dir):
+    p = tables(spark, sf_dir).pages
+    return p.select("page_id", "url", LK.canonical_url(F.col("url")).alias("canonical"))
+
+
+@register("resolve_path", ops=("B-17",), sql=f"""
+WITH x AS (SELECT page_id, url, regexp_replace({PATH_SQL.format(u='url')}, '/+$', '') AS t FROM pages)
+SELECT page_id, url, CASE WHEN t = '' OR t = '/' THEN '/' WHEN NOT regexp_matches(t, '(?i)\\.[a-z0-9]+$') THEN t || '.html'
+                          ELSE '/' END || {QUERY_SQL.format(u='url')} || {HASH_SQL.format(u='url')} AS resolved
+FROM x""")
+def resolve_path(spark, sf_dir):
+    p = tables(spark, sf_dir).pages
+    return p.select("page_id", "url", LK.resolve_path(F.col("url")).alias("resolved"))
+
+
+ANCHORS_CTE = """a AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href,
+                        generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS anchor_no FROM pages)"""
+
+
+@register("classify_links", ops=("B-18",), sql=W(ANCHORS_CTE) + f"""
+SELECT page_id, anchor_no, href, CASE
+  WHEN href IS NULL OR href = '' OR starts_with(href, '#') OR starts_with(href, '/') OR starts_with(href, 'mailto:') OR starts_with(href, 'tel:') THEN 'skipped'
+  WHEN lower(regexp_extract(href, '{LK.SCHEME_RE}', 1)) IN ('http', 'https') AND {HOST_SQL.format(u='href')} = '' THEN 'malformed'
+  WHEN lower(regexp_extract(href, '{LK.SCHEME_RE}', 1)) IN ('http', 'https') AND {HOST_SQL.format(u='href')} <> {HOST_SQL.format(u='url')} THEN 'external'
+  ELSE 'internal' END AS link_kind
+FROM a""")
+def classify_links(spark, sf_dir):
+    a = LK.anchors(tables(spark, sf_dir).pages)
+    return LK.classify_links(a).select("page_id", "anchor_no", "href", "link_kind")
+
+
+@register("routable_links", ops=("B-19",), sql=W(ANCHORS_CTE) + """,
+r AS (SELECT page_id, anchor_no, href, trim(href) AS raw FROM a),
+f AS (SELECT *, NOT (raw IS NULL OR raw = '' OR raw = '/' OR contains(raw, '/#') OR starts_with(raw, '#') OR starts_with(raw, '/#')
+                     OR starts_with(raw, 'mailto:') OR starts_with(raw, 'tel:') OR starts_with(raw, 'javascript:'))
+                AND NOT (regexp_matches(raw, '(?i)^https?://') OR contains(raw, '.') OR ends_with(raw, '/')) AS routable FROM r)
+SELECT page_id, anchor_no, href, routable,
+       CASE WHEN routable THEN (CASE WHEN starts_with(raw, '/') THEN raw ELSE '/' || regexp_replace(raw, '^\\.?/', '') END) || '.html' END AS route_target
+FROM f""")
+def routable_links(spark, sf_dir):
+    a = LK.anchors(tables(spark, sf_dir).pages)
+    return LK.routable_links(a).select("page_id", "anchor_no", "href", "routable", "route_target")
+
+
+@register("dead_links", ops=("C-8",), sql=W(ANCHORS_CTE) + f""",
+listed AS (SELECT page_id, anchor_no, 'https://' || {HOST_SQL.format(u='url')} || href AS loc FROM a WHERE starts_with(href, '/')),
+pk AS (SELECT DISTINCT {HOST_SQL.format(u='url')} || {canon_path_sql('url')} AS k FROM pages)
+SELECT page_id, anchor_no, loc FROM listed
+WHERE {HOST_SQL.format(u='loc')} || {canon_path_sql('loc')} NOT IN (SELECT k FROM pk)""")
+def dead_links(spark, sf_dir):
+    p = tables(spark, sf_dir).pages
+    a = LK.anchors(p).filter(F.col("href").startswith("/"))
+    host = F.lower(F.regexp_extract(F.col("url"), LK.HOST_RE, 1))
+    listed = a.select("page_id", "anchor_no", F.concat(F.lit("https://"), host, F.col("href")).alias("loc"))
+    return LK.dead_links(listed, p, "loc", "url")

@@ -245,7 +245,8 @@ def cap_outliers(spark, sf_dir):
 
 
 @register("normalize_text", ops=("B-25",), sql="""
-SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), '\\s+', ' ', 'g')) AS text
+SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(text, '^[ \\t\\n\\r\\f\\x0B]+', ''),
+  '[ \\t\\n\\r\\f\\x0B]+\\z', ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text
 FROM documents""")
 def normalize_text_q(spark, sf_dir):
     d = tables(spark, sf_dir).documents

@@ -18,7 +18,7 @@ def _tasks(spark, sf_dir):
     return T.with_tags(B.tasks(tables(spark, sf_dir))).drop("tags_text")
 
 
-TRIM_SQL = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+TRIM_SQL = "regexp_replace(regexp_replace({x}, '^[ \\t\\n\\r\\f\\x0B]+', ''), '[ \\t\\n\\r\\f\\x0B]+\\z', '')"
 TAGS_SQL = ("list_filter(list_filter(list_transform(string_split(coalesce(tags_text, ''), ','), "
             "lambda t: " + TRIM_SQL.format(x="t") + "), lambda t: t <> ''), "
             "lambda x, i: list_position(list_filter(list_transform(string_split(coalesce(tags_text, ''), ','), "
