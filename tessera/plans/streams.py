@@ -1 +1,105 @@
-"""Registered queries (filled in below)."""
+"""Batch forms of the streaming operators over ``events``.
+
+Binding (FIXTURES): key = user_id, observation = an 'error' event at ts
+("the user's task is overdue"); the item title of a user is 'user <id>'.
+Streaming runs of the same operators are checked against these batch forms
+in the tests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.plans import bindings as B
+from tessera.plans.common import rounded, tables
+from tessera.plans.registry import register
+from tessera.streaming import alerts as A, events as E
+
+W = B.with_ctes
+
+
+def _errors(spark, sf_dir):
+    return tables(spark, sf_dir).events.filter(F.col("event_type") == "error").select("user_id", "event_id", "ts")
+
+
+def _fires(spark, sf_dir):
+    return A.cooldown_replay(_errors(spark, sf_dir), "user_id", "ts", "event_id")
+
+
+FIRES_CTE = """RECURSIVE e AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'),
+fires(user_id, ts) AS (
+  SELECT user_id, min(ts) FROM e GROUP BY user_id
+  UNION ALL
+  SELECT f.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = f.user_id AND e.ts >= f.ts + INTERVAL 30 MINUTE)
+  FROM fires f WHERE f.ts IS NOT NULL),
+alerts AS (SELECT f.user_id, (SELECT min(e.event_id) FROM e WHERE e.user_id = f.user_id AND e.ts = f.ts) AS event_id, f.ts
+           FROM fires f WHERE f.ts IS NOT NULL)"""
+
+
+@register("cooldown_alerts", ops=("K-1",), sql=W(FIRES_CTE) + "SELECT user_id, event_id, ts FROM alerts")
+def cooldown_alerts(spark, sf_dir):
+    return _fires(spark, sf_dir)
+
+
+@register("alert_digest", ops=("K-2",), sql=W(FIRES_CTE) + """
+SELECT to_timestamp(floor(epoch_us(ts) / 60000000) * 60)::TIMESTAMP AS tick, count(*) AS n_due,
+       arg_min('user ' || CAST(user_id AS VARCHAR), user_id) AS first_title,
+       CASE WHEN count(*) = 1 THEN '"' || arg_min('user ' || CAST(user_id AS VARCHAR), user_id) || '" is overdue.'
+            ELSE CAST(count(*) AS VARCHAR) || ' overdue tasks still open.' END AS message
+FROM alerts GROUP BY 1""")
+def alert_digest(spark, sf_dir):
+    f = _fires(spark, sf_dir).withColumn("title", F.concat(F.lit("user "), F.col("user_id").cast("string")))
+    return A.alert_digest(f, "ts", "title", "user_id")
+
+
+@register("dedup_webhooks", ops=("K-3",), sql="""
+SELECT event_id, user_id, event_type, ts FROM events""")
+def dedup_webhooks(spark, sf_dir):
+    e = tables(spark, sf_dir).events.select("event_id", "user_id", "event_type", "ts")
+    # replayed deliveries: every click event arrives a second time
+    replay = e.filter(F.col("event_type") == "click")
+    return E.dedup_events(e.unionByName(replay), "event_id", "ts")
+
+
+@register("live_kpis", ops=("K-4",), sql="""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total
+FROM events GROUP BY 1, 2, 3""")
+def live_kpis(spark, sf_dir):
+    e = tables(spark, sf_dir).events.withColumn("value", F.col("value").cast("decimal(18,2)"))
+    k = E.live_kpis(e, "ts", ["event_type"], "value")
+    return k.withColumn("total", F.col("total").cast("double"))
+
+
+@register("threshold_alerts", ops=("K-5",), sql="""
+WITH RECURSIVE k AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n
+                     FROM events GROUP BY 1, 2),
+hot AS (SELECT * FROM k WHERE n > 4),
+fires(event_type, window_start) AS (
+  SELECT event_type, min(window_start) FROM hot GROUP BY event_type
+  UNION ALL
+  SELECT f.event_type, (SELECT min(h.window_start) FROM hot h WHERE h.event_type = f.event_type
+                        AND h.window_start >= f.window_start + INTERVAL 3 HOUR)
+  FROM fires f WHERE f.window_start IS NOT NULL)
+SELECT hot.event_type, hot.window_start, hot.n FROM hot JOIN fires f
+  ON hot.event_type = f.event_type AND hot.window_start = f.window_start""")
+def threshold_alerts(spark, sf_dir):
+    k = E.live_kpis(tables(spark, sf_dir).events, "ts", ["event_type"], "value").select("event_type", "window_start", "n")
+    return A.threshold_alerts(k, "event_type", "window_start", "n", 4, 3 * 3600)
+
+
+@register("stock_stream", ops=("K-6",), sql=W(B.MOVES_CTE) + """
+SELECT item, sum(qty) AS stock, count(*) AS n_moves FROM moves GROUP BY item""")
+def stock_stream(spark, sf_dir):
+    return E.stock_stream(B.stock_moves(tables(spark, sf_dir)))
+
+
+@register("late_report", ops=("K-7",), sql="""
+WITH d AS (SELECT coalesce(greatest(max(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - epoch_us(ts), 0) / 1000000, 0.0) AS lateness_s FROM events)
+SELECT CASE WHEN lateness_s <= 0 THEN 'on time' WHEN lateness_s < 3600 THEN 'under 1 hour'
+            WHEN lateness_s < 86400 THEN 'under 1 day' ELSE '1 day or more' END AS band,
+       count(*) AS n, round(max(lateness_s), 6) AS max_lateness_s
+FROM d GROUP BY 1""")
+def late_report(spark, sf_dir):
+    return rounded(E.late_report(tables(spark, sf_dir).events, "user_id", "event_id", "ts"))
