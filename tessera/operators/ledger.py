@@ -52,7 +52,10 @@ def stock_history(moves: DataFrame, item: str = "item", ts: str = "ts", tiebreak
     totals = m.groupBy(item, "_bucket").agg(F.sum(qty).alias("_t"))
     wp = Window.partitionBy(item).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("_t").over(wp), F.lit(0.0))).drop("_t")
-    wr = (Window.partitionBy(item, "_bucket").orderBy(ts, tiebreak)
+    # the quantity is the last tie-break: rows equal on all order keys are
+    # then identical, so every order of them gives the same multiset of rows
+    tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    wr = (Window.partitionBy(item, "_bucket").orderBy(ts, *tb, qty)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (m.join(offsets, [item, "_bucket"])
             .withColumn("balance", F.col("_offset") + F.sum(qty).over(wr))

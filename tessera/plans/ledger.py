@@ -48,7 +48,7 @@ def stock_position(spark, sf_dir):
 
 @register("stock_history", ops=("G-7",), sql=W(B.MOVES_CTE) + """
 SELECT item, ts, move_id, kind, qty,
-       sum(qty) OVER (PARTITION BY item ORDER BY ts, move_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance
+       sum(qty) OVER (PARTITION BY item ORDER BY ts, move_id, qty ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance
 FROM moves""")
 def stock_history(spark, sf_dir):
     return L.stock_history(_moves(spark, sf_dir))
@@ -318,3 +318,22 @@ def link_actions(spark, sf_dir):
     per = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_moves"), F.sum("l_quantity").alias("qty_moved"))
     j = joins.dereference(per, t.supplier, "l_suppkey", "s_suppkey", how="inner")
     return j.select("s_suppkey", "s_name", "n_moves", "qty_moved")
+
+
+@register("upsert_orders", ops=("A-10",), sql="""
+WITH ch AS (SELECT l_orderkey AS o_orderkey, arg_max(l_linestatus, l_shipdate) AS o_orderstatus FROM (
+              SELECT l_orderkey, l_linestatus, l_shipdate,
+                     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC,
+                                        l_linestatus DESC) AS rn
+              FROM lineitem) WHERE rn = 1 GROUP BY l_orderkey)
+SELECT o.o_orderkey, o.o_orderstatus FROM orders o WHERE o.o_orderkey NOT IN (SELECT o_orderkey FROM ch)
+UNION ALL SELECT o_orderkey, o_orderstatus FROM ch""")
+def upsert_orders(spark, sf_dir):
+    """Status changes (the status of the latest shipped line of an order)
+    upserted onto the orders table: changed keys replaced, new keys added."""
+    from tessera.sources.files import upsert
+    t = tables(spark, sf_dir)
+    base = t.orders.select("o_orderkey", "o_orderstatus")
+    changes = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("o_orderstatus"),
+                                F.struct("l_shipdate", "l_linenumber", "l_linestatus").alias("_order"))
+    return upsert(base, changes, ["o_orderkey"], "_order").select("o_orderkey", "o_orderstatus")

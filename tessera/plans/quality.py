@@ -290,3 +290,16 @@ FROM u""")
 def prompt_audit(spark, sf_dir):
     from tessera.operators.quality import prompt_audit as audit
     return audit(tables(spark, sf_dir).conversations)
+
+
+@register("csv_ready", ops=("A-8",), sql="""
+SELECT c_custkey, CASE WHEN regexp_matches(b, '^[=+\\-@\\t\\r]') THEN '''' || b ELSE b END AS acctbal_text,
+       c_mktsegment FROM (SELECT c_custkey, CAST(c_acctbal AS VARCHAR) AS b, c_mktsegment FROM customer)""")
+def csv_ready(spark, sf_dir):
+    """Rows prepared for a spreadsheet-safe CSV export: text cells that a
+    spreadsheet would run as a formula (here negative balances) get a
+    leading apostrophe."""
+    from tessera.sources.files import csv_ready as ready
+    c = tables(spark, sf_dir).customer.select("c_custkey", F.col("c_acctbal").cast("string").alias("acctbal_text"),
+                                              "c_mktsegment")
+    return ready(c)
