@@ -85,7 +85,8 @@ def cooldown_stream(events: DataFrame, key: str, ts: str, tiebreak: str,
     ``(key, tiebreak, alert_us)``; within a micro-batch observations are
     taken in event-time order."""
     cooldown_us = cooldown_seconds * 1_000_000
-    ev = events.withWatermark(ts, watermark).select(key, tiebreak, ts, _micros(ts).alias("_t"))
+    from tessera.streaming.events import with_event_time
+    ev = with_event_time(events, ts, watermark).select(key, tiebreak, ts, _micros(ts).alias("_t"))
     key_type = dict(ev.dtypes)[key]
     tb_type = dict(ev.dtypes)[tiebreak]
     out_schema = f"{key} {key_type}, {tiebreak} {tb_type}, alert_us long"

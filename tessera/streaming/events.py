@@ -12,6 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermark on ``ts``. Watermarks need a zoned TIMESTAMP; a
+    TIMESTAMP_NTZ column is read as wall-clock time in the session time zone
+    (UTC in this library's sessions) and cast first."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    return df.withWatermark(ts, delay)
+
+
 def dedup_events(df: DataFrame, key: str, ts: str, watermark: str = "10 minutes") -> DataFrame:
     """Ignore replayed deliveries of the same event id (K-3).
 
@@ -20,7 +29,7 @@ def dedup_events(df: DataFrame, key: str, ts: str, watermark: str = "10 minutes"
     hash aggregate with map-side combine.
     """
     if df.isStreaming:
-        return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+        return with_event_time(df, ts, watermark).dropDuplicatesWithinWatermark([key])
     return df.dropDuplicates([key])
 
 
@@ -29,7 +38,7 @@ def live_kpis(df: DataFrame, ts: str, by: Sequence[str], value: str, window: str
     """Tumbling-window counts and sums (K-4). With ``watermark`` set on a
     stream, windows are finalised and their state dropped once the
     watermark passes them (append mode)."""
-    src = df.withWatermark(ts, watermark) if watermark else df
+    src = with_event_time(df, ts, watermark) if watermark else df
     g = src.groupBy(F.window(ts, window).alias("w"), *by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
