@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 # The export line format and the phrases that mark system
 # messages.
-HEADER_PATTERN = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}) - (([A-Za-z0-9_]+): )?(.*)$"
+HEADER_PATTERN = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}) - (([A-Za-z0-9_]+): )?([\s\S]*)\z"
 TS_FORMAT = "yyyy-MM-dd HH:mm"
 SYSTEM_PHRASES = (
     "messages and calls are end-to-end encrypted",

@@ -92,15 +92,17 @@ def export_posts(df: DataFrame, path: str, pos: str = "pos") -> None:
 
 
 def read_chat_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Chat export text files -> ``(file, line_no, line)`` (A-5).
+    """Chat export text files -> ``(chat, line_no, line)`` (A-5); the chat
+    is the file path.
 
     Each file is read whole (``wholetext``) and split into numbered lines, so
     line order is exact even when a folder holds many files (files are spread
     over tasks; a single export is one row).
     """
-    df = spark.read.option("wholetext", True).text(path)
-    df = df.select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    return df.select("file", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "line"))
+    # the keyword matters: .text() would reset an earlier .option("wholetext")
+    df = spark.read.text(path, wholetext=True)
+    df = df.select(F.col("_metadata.file_path").alias("chat"), F.col("value"))
+    return df.select("chat", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "line"))
 
 
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
