@@ -207,8 +207,8 @@ def market_metrics(df: DataFrame, group: str, qty: str, price: str, margin: Colu
     ratio (D-34)."""
     return df.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(qty).alias("mean_qty"), (F.stddev_samp(qty) / F.avg(qty)).alias("cv_qty"),
-        F.avg(price).alias("mean_price"), (F.stddev_samp(price) / F.avg(price)).alias("cv_price"),
+        F.avg(qty).alias("mean_qty"), F.try_divide(F.stddev_samp(qty), F.avg(qty)).alias("cv_qty"),
+        F.avg(price).alias("mean_price"), F.try_divide(F.stddev_samp(price), F.avg(price)).alias("cv_price"),
         F.avg(margin).alias("margin_ratio"))
 
 

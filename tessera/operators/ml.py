@@ -63,7 +63,7 @@ def evaluate(pred: DataFrame, label: str = "label", prediction: str = "predictio
     y, p = F.col(label).cast("int"), F.col(prediction).cast("int")
     c = pred.agg(F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
                  F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 0) & (p == 0)).alias("tn"))
-    acc = (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
+    acc = F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
     prec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
     rec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
     f1 = F.try_divide(2 * prec * rec, prec + rec)
@@ -197,7 +197,7 @@ def stability(pred: DataFrame, slice_col: str, label: str, prediction: str, repl
     rep = rows.select(slice_col, "_ok", "_rid", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"))
     u = (F.abs(F.xxhash64(F.col("_rid"), F.col("_b"), F.lit(seed))) % F.lit(1_000_000)) / F.lit(1_000_000.0)
     rep = rep.withColumn("_w", poisson1_weight(u))
-    per = rep.groupBy(slice_col, "_b").agg((F.sum(F.col("_w") * F.col("_ok")) / F.sum("_w")).alias("acc"))
+    per = rep.groupBy(slice_col, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col("_ok")), F.sum("_w")).alias("acc"))
     point = rows.groupBy(slice_col).agg(F.avg("_ok").alias("accuracy"), F.count(F.lit(1)).alias("n"))
     ci = per.groupBy(slice_col).agg(F.percentile("acc", 0.025).alias("acc_low"),
                                     F.percentile("acc", 0.975).alias("acc_high"))

@@ -268,7 +268,7 @@ def readiness_scan(df: DataFrame, ts: str, value: str, min_periods: int = 28, mi
         F.avg(value).alias("mean"))
     s = d.agg(F.count(F.lit(1)).alias("periods"), F.min("n").alias("min_volume"),
               F.max("miss").alias("max_missing"),
-              (F.stddev_samp("mean") / F.avg("mean")).alias("drift_cv"))
+              F.try_divide(F.stddev_samp("mean"), F.avg("mean")).alias("drift_cv"))
     ok = ((F.col("periods") >= min_periods) & (F.col("min_volume") >= min_volume)
           & (F.col("max_missing") <= max_missing) & (F.col("drift_cv") <= max_drift_cv))
     return s.withColumn("advice", F.when(ok, "predictive").otherwise("descriptive"))

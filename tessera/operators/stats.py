@@ -202,7 +202,7 @@ def confidence_band(df: DataFrame, by: Sequence[str], col: str, z: float = 1.96,
     x = nan_to_null(F.col(col).cast("double"))
     g = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"),
                             F.stddev_samp(x).alias("sd"))
-    half = F.lit(z) * F.col("sd") / F.sqrt(F.col("n"))
+    half = F.lit(z) * F.try_divide(F.col("sd"), F.sqrt(F.col("n")))
     return g.select(*by, "n", "mean", (F.col("mean") - half).alias("lower"),
                     (F.col("mean") + half).alias("upper"),
                     (F.col("n") < min_n).alias("low_volume"))
@@ -285,7 +285,7 @@ def shrunk_means(df: DataFrame, group: str, col: str) -> DataFrame:
     between = g.select(F.var_samp("mean")).scalar()
     avg_inv_n = g.select(F.avg(1 / F.col("n"))).scalar()
     tau2 = F.greatest(between - within * avg_inv_n, F.lit(0.0))
-    weight = F.try_divide(tau2, tau2 + within / F.col("n"))
+    weight = F.try_divide(tau2, tau2 + F.try_divide(within, F.col("n")))
     return g.select(group, "n", "mean",
                     F.coalesce(weight, F.lit(0.0)).alias("weight"),
                     (F.coalesce(weight, F.lit(0.0)) * F.col("mean")
