@@ -108,25 +108,28 @@ def rfm_scores(orders: DataFrame, customer: str, ts: str, amount: str, ref_time:
                bins: int = 5, method: str = "exact") -> DataFrame:
     """Recency / frequency / monetary per customer and 1..bins scores from
     global cut points (G-11). Cut points are one scalar subquery of quantiles
-    (``percentile`` exact or ``percentile_approx``), so scoring is a
+    (exact selection or ``percentile_approx``), so scoring is a
     projection, not a global sort."""
     ref = F.lit(ref_time).cast("timestamp_ntz")
     g = orders.groupBy(customer).agg(
         F.datediff(ref, F.max(ts)).alias("recency_days"),
         F.count(F.lit(1)).alias("frequency"),
         F.sum(amount).alias("monetary"))
+    from tessera.operators.stats import global_quantiles
     probs = [i / bins for i in range(1, bins)]
-    q = (lambda c: F.percentile(c, probs)) if method == "exact" else (lambda c: F.percentile_approx(c, probs, 10000))
-    cuts = g.select(F.struct(q(F.col("recency_days")).alias("r"), q(F.col("frequency")).alias("f"),
-                             q(F.col("monetary")).alias("m")).alias("s")).scalar()
+    if method == "exact":
+        # the exact selection scans the per-customer table a few times: materialise it
+        # once in the shared checkpoint folder (also cuts the lineage)
+        g = g.checkpoint()
+    cuts = {c: global_quantiles(g, c, probs, method) for c in ("recency_days", "frequency", "monetary")}
 
     def score(col, arr, higher_better=True):
         above = sum((F.col(col) > arr[i]).cast("int") for i in range(bins - 1))
         return (above + 1) if higher_better else (F.lit(bins) - above)
 
-    return (g.withColumn("r_score", score("recency_days", cuts["r"], higher_better=False))
-            .withColumn("f_score", score("frequency", cuts["f"]))
-            .withColumn("m_score", score("monetary", cuts["m"]))
+    return (g.withColumn("r_score", score("recency_days", cuts["recency_days"], higher_better=False))
+            .withColumn("f_score", score("frequency", cuts["frequency"]))
+            .withColumn("m_score", score("monetary", cuts["monetary"]))
             .withColumn("segment", F.when((F.col("r_score") >= 4) & (F.col("f_score") >= 4), "champion")
                         .when(F.col("r_score") <= 2, "at risk").otherwise("regular")))
 

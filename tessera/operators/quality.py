@@ -25,8 +25,12 @@ def outliers_iqr(df: DataFrame, col: str, side: str = "upper", k: float = 1.5,
     subquery, pushed to the scan as a filter bound.
     """
     q1, q3, lo_f, hi_f = quartile_fences(df, col, k, method)
-    x = nan_to_null(F.col(col).cast("double"))
-    cond = {"upper": x > hi_f, "lower": x < lo_f, "both": (x > hi_f) | (x < lo_f)}[side]
+    # compare the bare column so the range predicate is pushed into the parquet scan;
+    # NaN (which Spark orders above every number) is excluded separately
+    x = F.col(col).cast("double")
+    not_nan = ~F.isnan(x)
+    cond = {"upper": (x > hi_f) & not_nan, "lower": x < lo_f,
+            "both": ((x > hi_f) & not_nan) | (x < lo_f)}[side]
     return (df.filter(cond)
             .orderBy(F.col(col).desc_nulls_last(), *[F.col(t) for t in tiebreak]))
 
@@ -236,7 +240,8 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean", value=Non
         if strategy == "mean":
             fill = df.select(F.avg(x)).scalar()
         elif strategy == "median":
-            fill = df.select(F.percentile(x, 0.5)).scalar()
+            from tessera.operators.stats import global_quantiles
+            (fill,) = global_quantiles(df, c, [0.5])
         elif strategy == "mode":
             fill = df.select(F.mode(F.col(c))).scalar()
         elif strategy == "constant":

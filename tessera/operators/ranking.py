@@ -73,18 +73,6 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], col: str, k: int,
     return df.withColumn(rank_name, fn().over(w2)).filter(F.col(rank_name) <= k)
 
 
-def prepend_rows(df: DataFrame, new: DataFrame, pos: str = "pos") -> DataFrame:
-    """New rows go first (F-5): their positions are ``min(pos) - n + i``.
-
-    ``new`` must carry its own order column ``pos``; the shift is a scalar
-    subquery.
-    """
-    first = df.select(F.min(pos)).scalar()
-    w = Window.orderBy(F.col(pos).desc())
-    shifted = new.withColumn(pos, (F.coalesce(first, F.lit(0)) - F.row_number().over(w)).cast("long"))
-    return shifted.unionByName(df)
-
-
 def latest_per_key(df: DataFrame, key: Sequence[str], ts: str, tiebreak: str | None = None) -> DataFrame:
     """Current state per key (F-9): the whole row with the greatest ``ts``
     (tie-break on ``tiebreak``). ``max_by`` is a hash aggregate with map-side

@@ -6,12 +6,14 @@ statistic is a *scalar subquery* (``DataFrame.scalar()``): Spark runs it once,
 ships the single value to the tasks and can push it into the parquet scan. No
 cross join, no driver round trip.
 
-Quantiles: ``method="exact"`` uses Spark's ``percentile`` (linear
-interpolation between closest ranks, the same as R type 7 and DuckDB
-``quantile_cont``). It keeps a value->count map per group, so it is meant for
-bounded cardinality. ``method="approx"`` uses ``percentile_approx`` (a
-mergeable sketch, bounded memory at any size); it returns an actual data
-value and does not interpolate.
+Quantiles (linear interpolation between closest ranks, the same as R type 7
+and DuckDB ``quantile_cont``): for a whole column ``method="exact"`` runs a
+distributed selection (:mod:`tessera.operators.quantiles`), exact at any
+size; per group it uses Spark's ``percentile``, which keeps a value->count
+map per group and is meant for bounded cardinality per group.
+``method="approx"`` uses ``percentile_approx`` (a mergeable sketch, bounded
+memory at any size); it returns an actual data value and does not
+interpolate.
 """
 
 from __future__ import annotations
@@ -27,11 +29,30 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 
 def _quantiles(c: Column, probs: Sequence[float], method: str, accuracy: int) -> Column:
-    if method == "exact":
+    """Quantile aggregate for grouped use: 'exact' is Spark's per-group
+    value map (fine for bounded cardinality per group), 'approx' a sketch."""
+    if method in ("exact", "map"):
         return F.percentile(c, list(probs))
     if method == "approx":
         return F.percentile_approx(c, list(probs), accuracy)
-    raise ValueError("method must be 'exact' or 'approx'")
+    raise ValueError("method must be 'exact', 'map' or 'approx'")
+
+
+def global_quantiles(df: DataFrame, col: str, probs: Sequence[float], method: str = "exact",
+                     accuracy: int = 10000) -> list[Column]:
+    """Whole-column quantiles as columns usable on every row.
+
+    'exact': distributed selection (:mod:`tessera.operators.quantiles`),
+    exact at any size, returned as literals. 'map': Spark's ``percentile``
+    as one scalar subquery. 'approx': ``percentile_approx`` as one scalar
+    subquery.
+    """
+    if method == "exact":
+        from tessera.operators.quantiles import exact_quantiles
+        return [F.lit(v).cast("double") for v in exact_quantiles(df, col, probs)]
+    x = nan_to_null(F.col(col).cast("double"))
+    q = df.select(_quantiles(x, probs, method, accuracy).alias("q")).scalar()
+    return [q[i] for i in range(len(probs))]
 
 
 def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
@@ -44,21 +65,25 @@ def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
     statistics for a group that has any missing value instead.
     """
     x = nan_to_null(F.col(col).cast("double"))
-    agg = (df.select(*by, x.alias("_x"))
-           .groupBy(*by)
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.count_if(F.col("_x").isNull()).alias("n_missing"),
-                F.avg("_x").alias("mean"),
-                F.min("_x").alias("min"),
-                F.max("_x").alias("max"),
-                F.stddev_samp("_x").alias("sd"),
-                F.var_samp("_x").alias("variance"),
-                _quantiles(F.col("_x"), QUARTILES, method, accuracy).alias("_q")))
+    base = [F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("_x").isNull()).alias("n_missing"),
+            F.avg("_x").alias("mean"),
+            F.min("_x").alias("min"),
+            F.max("_x").alias("max"),
+            F.stddev_samp("_x").alias("sd"),
+            F.var_samp("_x").alias("variance")]
+    if by or method != "exact":
+        q = _quantiles(F.col("_x"), QUARTILES, method, accuracy)
+        agg = df.select(*by, x.alias("_x")).groupBy(*by).agg(*base, q.alias("_q"))
+        q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
+    else:
+        # whole column: exact selection instead of one reducer holding every distinct value
+        q1, med, q3 = global_quantiles(df, col, QUARTILES, "exact")
+        agg = df.select(x.alias("_x")).agg(*base)
     out = agg.select(
         *by, "n", "n_missing", "mean",
-        F.col("_q")[1].alias("median"), "min", "max", "sd", "variance",
-        F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"),
-        (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"))
+        med.alias("median"), "min", "max", "sd", "variance",
+        q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"))
     if strict_nulls:
         stat_cols = ["mean", "median", "min", "max", "sd", "variance", "q1", "q3", "iqr"]
         out = out.select(*by, "n", "n_missing",
@@ -114,7 +139,7 @@ def missing_by_column(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     return wide.unpivot([], cols, "column_name", "n_missing")
 
 
-def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 20, method: str = "exact") -> DataFrame:
     """Equal-width histogram with empty bins kept (D-4).
 
     Bin i covers ``[min + i*w, min + (i+1)*w)``, the last bin is closed; an
@@ -125,8 +150,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
     # one scalar subquery (a struct) reused for every field below
     st = vals.select(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"),
-                              F.avg("_x").alias("mean"),
-                              F.percentile("_x", 0.5).alias("median")).alias("s")).scalar()
+                              F.avg("_x").alias("mean")).alias("s")).scalar()
+    (median,) = global_quantiles(df, col, [0.5], method)
     lo, hi = st["lo"], st["hi"]
     width = (hi - lo) / F.lit(bins)
     idx = F.when(width == 0, F.lit(0)).otherwise(
@@ -138,14 +163,13 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
                     (lo + F.col("bin") * width).alias("bin_lo"),
                     (lo + (F.col("bin") + 1) * width).alias("bin_hi"),
                     F.coalesce(F.col("n"), F.lit(0)).alias("n"),
-                    st["mean"].alias("mean"), st["median"].alias("median")))
+                    st["mean"].alias("mean"), median.alias("median")))
 
 
 def quartile_fences(df: DataFrame, col: str, k: float = 1.5, method: str = "exact"):
-    """Scalar-subquery columns ``(q1, q3, lower_fence, upper_fence)``."""
-    x = nan_to_null(F.col(col).cast("double"))
-    q = df.select(_quantiles(x, (0.25, 0.75), method, 10000).alias("q")).scalar()
-    q1, q3 = q[0], q[1]
+    """Columns ``(q1, q3, lower_fence, upper_fence)`` usable on every row
+    (literals from the exact selection, or scalar subqueries)."""
+    q1, q3 = global_quantiles(df, col, (0.25, 0.75), method)
     return q1, q3, q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
 
 
@@ -154,29 +178,28 @@ def boxplot_stats(df: DataFrame, col: str, k: float = 1.5, method: str = "exact"
     fences, outlier counts below/above (D-5). One row."""
     x = nan_to_null(F.col(col).cast("double"))
     q1, q3, lo_f, hi_f = quartile_fences(df, col, k, method)
+    (median,) = global_quantiles(df, col, [0.5], method)
     v = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
     return v.agg(
         F.count(F.lit(1)).alias("n"),
         F.min("_x").alias("min"),
-        F.percentile("_x", 0.5).alias("median") if method == "exact"
-        else F.percentile_approx("_x", 0.5, 10000).alias("median"),
         F.min(F.when(F.col("_x") >= lo_f, F.col("_x"))).alias("whisker_low"),
         F.max(F.when(F.col("_x") <= hi_f, F.col("_x"))).alias("whisker_high"),
         F.max("_x").alias("max"),
         F.count_if(F.col("_x") < lo_f).alias("n_out_low"),
         F.count_if(F.col("_x") > hi_f).alias("n_out_high"),
-    ).select("n", "min", q1.alias("q1"), "median", q3.alias("q3"),
+    ).select("n", "min", q1.alias("q1"), median.alias("median"), q3.alias("q3"),
              lo_f.alias("lower_fence"), hi_f.alias("upper_fence"),
              "whisker_low", "whisker_high", "max", "n_out_low", "n_out_high")
 
 
-def distribution_label(df: DataFrame, col: str, tol: float = 0.0) -> DataFrame:
+def distribution_label(df: DataFrame, col: str, tol: float = 0.0, method: str = "exact") -> DataFrame:
     """Mean, median, skewness and a label (E-5): mean above median reads as
     positive skew, below as negative, else symmetric."""
     x = nan_to_null(F.col(col).cast("double"))
+    (median,) = global_quantiles(df, col, [0.5], method)
     s = df.select(x.alias("_x")).agg(F.avg("_x").alias("mean"),
-                                    F.percentile("_x", 0.5).alias("median"),
-                                    F.skewness("_x").alias("skewness"))
+                                    F.skewness("_x").alias("skewness")).withColumn("median", median)
     diff = F.col("mean") - F.col("median")
     return s.withColumn(
         "label",

@@ -22,9 +22,15 @@ from pyspark.sql import SparkSession
 # measured shuffle size is under the adaptive broadcast threshold becomes a
 # broadcast join, everything else stays sort-merge; skewed partitions of a
 # sort-merge join are split.
+#
+# Shuffle partitions: set ``spark.sql.shuffle.partitions`` high for the
+# cluster (for 100 TB of input, tens of thousands); AQE coalesces small
+# ones toward the advisory size, so the same setting also serves small
+# inputs.
 SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",

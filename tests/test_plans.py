@@ -47,9 +47,13 @@ def test_slice_filters_reach_the_scan(spark):
     assert "lineitem" not in p
 
 
-def test_scalar_stats_are_subqueries_not_joins(spark):
+def test_fences_reach_the_scan_without_joins(spark):
+    # quartiles come from the exact selection; the fence is a literal pushed into the parquet scan
     p = plan_text(q(spark, "outliers_iqr"))
-    assert "Subquery" in p and "NestedLoopJoin" not in p and "CartesianProduct" not in p
+    assert "PushedFilters: [IsNotNull(value), GreaterThan(value," in p
+    assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
+    # the histogram's bounds stay one scalar subquery
+    assert "Subquery" in plan_text(q(spark, "histogram"))
 
 
 def test_column_pruning(spark):
