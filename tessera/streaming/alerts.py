@@ -11,10 +11,13 @@ tie-break column. This is a sequential greedy rule, not a window, so:
   passes ``last_alert + cooldown``; from then on no earlier observation can
   arrive and any later one alerts anyway, so dropping it is exact and the
   state stays bounded.
-* batch replay: rows are hash-partitioned by key and sorted inside each
-  partition; one ``mapInPandas`` scan walks each key from alert to alert
-  with ``searchsorted`` (work per key ~ alerts x log rows, memory = one
-  Arrow batch). Exact; a single very hot key is processed by one task.
+* batch replay (default): every key's timeline is cut into segments that
+  are replayed in parallel; the entry of each segment is found by pointer
+  jumping (:mod:`tessera.streaming.replay`), so a hot key is spread over
+  many tasks and the result is still exactly the sequential fold.
+* batch replay, ``method='scan'``: rows hash-partitioned by key and sorted;
+  one ``mapInPandas`` scan walks each key from alert to alert with
+  ``searchsorted`` (memory = one Arrow batch; one task per key).
 """
 
 from __future__ import annotations
@@ -69,9 +72,24 @@ def _replay_fn(key: str, cooldown_us: int):
 
 
 def cooldown_replay(df: DataFrame, key: str, ts: str, tiebreak: str,
-                    cooldown_seconds: int = COOLDOWN_SECONDS, num_partitions: int | None = None) -> DataFrame:
+                    cooldown_seconds: int = COOLDOWN_SECONDS, num_partitions: int | None = None,
+                    method: str = "auto", segment_seconds: int = 86_400,
+                    hot_key_rows: int = 5_000_000) -> DataFrame:
     """Batch replay of K-1: the observations that raise an alert, columns
-    ``(key, tiebreak, ts)``."""
+    ``(key, tiebreak, ts)``.
+
+    ``method='segments'`` (default) splits every key's timeline into
+    segments of ``segment_seconds`` so one hot key is spread over many tasks
+    (pointer jumping over segments, :mod:`tessera.streaming.replay`);
+    ``method='scan'`` walks each key in one task."""
+    if method == "auto":
+        # measure the skew first (one aggregate): split the timeline only when some key
+        # has more rows than one task should walk
+        biggest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        method = "segments" if biggest > hot_key_rows else "scan"
+    if method == "segments":
+        from tessera.streaming.replay import replay_segments
+        return replay_segments(df, key, ts, tiebreak, cooldown_seconds, segment_seconds, num_partitions)
     rows = df.select(*dict.fromkeys([key, tiebreak, ts]), _micros(ts).alias("_t"))
     part = rows.repartition(num_partitions, key) if num_partitions else rows.repartition(key)
     part = part.sortWithinPartitions(key, "_t", tiebreak)

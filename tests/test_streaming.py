@@ -6,6 +6,7 @@ import random
 import time
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.session import checkpoint_subdir
@@ -37,7 +38,8 @@ def test_cooldown_edges(spark):
     assert got == {0, 2, 3}
 
 
-def test_cooldown_replay_matches_fold(spark):
+@pytest.mark.parametrize("method", ["scan", "segments"])
+def test_cooldown_replay_matches_fold(spark, method):
     rng = random.Random(11)
     rows = []
     for i in range(3000):
@@ -45,7 +47,29 @@ def test_cooldown_replay_matches_fold(spark):
         rows.append((k, i, BASE + dt.timedelta(seconds=rng.randint(0, 5 * 86400))))
     rows += [(5, 10_000 + j, rows[10][2]) for j in range(3)]  # same-instant ties
     got = {(r["user_id"], r["event_id"]) for r in
-           A.cooldown_replay(frame(spark, rows), "user_id", "ts", "event_id", num_partitions=4).collect()}
+           A.cooldown_replay(frame(spark, rows), "user_id", "ts", "event_id", num_partitions=4,
+                             method=method, segment_seconds=3 * 3600).collect()}
+    assert got == fold(rows)
+
+
+def test_segmented_replay_dense_and_periodic(spark):
+    # dense data keeps a chain's phase forever and periodic data never lets two chains merge:
+    # the segment entries must come from the pointer jumping, not from local guesses
+    rng = random.Random(2)
+    dense = [(7, i, BASE + dt.timedelta(seconds=rng.randint(0, 2 * 86400))) for i in range(8000)]
+    periodic = [(1, 10_000 + i, BASE + dt.timedelta(minutes=17 * i)) for i in range(600)]
+    rows = dense + periodic
+    got = {(r["user_id"], r["event_id"]) for r in
+           A.cooldown_replay(frame(spark, rows), "user_id", "ts", "event_id", method="segments",
+                             segment_seconds=3600).collect()}
+    assert got == fold(rows)
+
+
+def test_auto_switches_on_hot_keys(spark):
+    rows = [(1, i, BASE + dt.timedelta(minutes=7 * i)) for i in range(400)]
+    got = {(r["user_id"], r["event_id"]) for r in
+           A.cooldown_replay(frame(spark, rows), "user_id", "ts", "event_id", hot_key_rows=100,
+                             segment_seconds=7200).collect()}
     assert got == fold(rows)
 
 
