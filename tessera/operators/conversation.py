@@ -62,15 +62,19 @@ def parse_chat(lines: DataFrame) -> DataFrame:
         F.when(is_head, F.regexp_extract("line", HEADER_PATTERN, 4)).otherwise(F.col("line")).alias("body"))
 
 
-def rebuild_multiline(parsed: DataFrame) -> DataFrame:
+def rebuild_multiline(parsed: DataFrame, lines_per_bucket: int = 1_000_000_000) -> DataFrame:
     """Continuation lines appended to the previous message (H-2).
 
     Message number = running count of header lines in the chat; a message's
     text is its lines joined by newlines in line order. Lines before the
-    first header belong to message 0.
+    first header belong to message 0. The running count is bucketed by
+    blocks of ``lines_per_bucket`` line numbers, so one huge chat is spread
+    over many tasks.
     """
-    w = Window.partitionBy("chat").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    p = parsed.withColumn("msg_no", F.sum(F.col("is_header").cast("int")).over(w))
+    from tessera.operators import windows as WB
+    p = parsed.withColumn("_h", F.col("is_header").cast("int"))
+    p = WB.running(p, ["chat"], ["line_no"], "_h", F.floor(F.col("line_no") / F.lit(lines_per_bucket)), "msg_no")
+    p = p.withColumn("msg_no", F.col("msg_no").cast("long")).drop("_h")
     return p.groupBy("chat", "msg_no").agg(
         F.min_by("ts", "line_no").alias("ts"),
         F.min_by("user", "line_no").alias("user"),
@@ -101,13 +105,21 @@ def message_features(msgs: DataFrame) -> DataFrame:
             .withColumn("weekday", F.weekday("ts")))
 
 
+def _day_bucket():
+    return F.date_trunc("day", F.col("ts"))
+
+
 def response_times(msgs: DataFrame) -> DataFrame:
-    """Minutes since the previous message when the speaker changes (H-5)."""
-    w = Window.partitionBy("chat").orderBy("ts", "msg_no")
-    prev_user, prev_ts = F.lag("user").over(w), F.lag("ts").over(w)
-    minutes = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev_ts.cast("timestamp"))) / F.lit(60_000_000)
+    """Minutes since the previous message when the speaker changes (H-5).
+    The previous message per chat comes from a day-bucketed shift."""
+    from tessera.operators import windows as WB
+    m = msgs.withColumn("_tus", F.unix_micros(F.col("ts").cast("timestamp")))
+    m = WB.shift(m, ["chat"], ["ts", "msg_no"], "user", _day_bucket(), "_prev_user", "lag")
+    m = WB.shift(m, ["chat"], ["ts", "msg_no"], "_tus", _day_bucket(), "_prev_tus", "lag")
+    minutes = (F.col("_tus") - F.col("_prev_tus")) / F.lit(60_000_000)
+    prev_user = F.col("_prev_user")
     changed = prev_user.isNotNull() & F.col("user").isNotNull() & (prev_user != F.col("user"))
-    return msgs.withColumn("response_minutes", F.when(changed, minutes))
+    return m.withColumn("response_minutes", F.when(changed, minutes)).drop("_tus", "_prev_user", "_prev_tus")
 
 
 def chat_totals(feats: DataFrame, by: Sequence[str] = ("chat",)) -> DataFrame:
@@ -178,9 +190,10 @@ def conversation_health(msgs: DataFrame, weights: tuple[float, float, float] = (
     100 x weighted mean of answered share (user messages followed by
     another speaker), message richness (mean words / target, capped at 1)
     and share of non-system messages."""
-    w = Window.partitionBy("chat").orderBy("ts", "msg_no")
-    nxt = F.lead("user").over(w)
-    m = msgs.withColumn("_answered", F.col("user").isNotNull() & nxt.isNotNull() & (nxt != F.col("user")))
+    from tessera.operators import windows as WB
+    m = WB.shift(msgs, ["chat"], ["ts", "msg_no"], "user", _day_bucket(), "_next_user", "lead")
+    nxt = F.col("_next_user")
+    m = m.withColumn("_answered", F.col("user").isNotNull() & nxt.isNotNull() & (nxt != F.col("user")))
     g = m.groupBy("chat").agg(
         F.count(F.lit(1)).alias("messages"),
         F.try_divide(F.count_if("_answered"), F.count_if(F.col("user").isNotNull())).alias("answered_share"),

@@ -48,15 +48,6 @@ def slice_by(df: DataFrame, **filters) -> DataFrame:
     return out
 
 
-def repeat_flag(df: DataFrame, customer: str, ts: str, tiebreak: str, days: int = 7) -> DataFrame:
-    """``is_repeat``: the same customer had an earlier interaction within
-    ``days`` days (lag over the customer's interactions)."""
-    w = Window.partitionBy(customer).orderBy(ts, tiebreak)
-    prev = F.lag(ts).over(w)
-    gap_days = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))) / F.lit(86_400_000_000)
-    return df.withColumn("is_repeat", F.coalesce(gap_days <= days, F.lit(False)))
-
-
 def kpi_volume(star: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Total, AI, human interactions and AI penetration (D-10)."""
     return star.groupBy(*by).agg(
@@ -87,15 +78,23 @@ def kpi_efficiency(star: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.avg(fcr.cast("double")).alias("fcr"))
 
 
-def repeat_flags(df: DataFrame, customer: str, ts: str, tiebreak: str, days: int = 7) -> DataFrame:
+def repeat_flags(df: DataFrame, customer: str, ts: str, tiebreak: str, days: int = 7,
+                 bucket: Column | None = None) -> DataFrame:
     """``is_repeat`` (an earlier contact within ``days``) and
-    ``next_is_repeat`` (the next contact comes within ``days``)."""
-    w = Window.partitionBy(customer).orderBy(ts, tiebreak)
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    ``next_is_repeat`` (the next contact comes within ``days``).
+
+    Previous/next contact per customer come from bucketed windows (default
+    bucket: the month of the contact), so a customer with a third of all
+    contacts is still split over many tasks."""
+    from tessera.operators import windows as WB
+    b = bucket if bucket is not None else F.date_trunc("month", F.col(ts))
+    d = df.withColumn("_tus", F.unix_micros(F.col(ts).cast("timestamp")))
+    d = WB.shift(d, [customer], [ts, tiebreak], "_tus", b, "_prev", "lag")
+    d = WB.shift(d, [customer], [ts, tiebreak], "_tus", b, "_next", "lead")
     day = F.lit(86_400_000_000)
-    prev, nxt = F.lag(t).over(w), F.lead(t).over(w)
-    return (df.withColumn("is_repeat", F.coalesce((t - prev) / day <= days, F.lit(False)))
-            .withColumn("next_is_repeat", F.coalesce((nxt - t) / day <= days, F.lit(False))))
+    return (d.withColumn("is_repeat", F.coalesce((F.col("_tus") - F.col("_prev")) / day <= days, F.lit(False)))
+            .withColumn("next_is_repeat", F.coalesce((F.col("_next") - F.col("_tus")) / day <= days, F.lit(False)))
+            .drop("_tus", "_prev", "_next"))
 
 
 def kpi_compliance(star: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -81,9 +81,11 @@ def order_lifecycle(events: DataFrame, allowed: DataFrame, key: str, ts: str, st
                     tiebreak: str) -> DataFrame:
     """Each status change with its previous status and whether the
     transition is allowed (G-9). ``allowed`` has columns ``from_status,
-    to_status``; first events have no previous status and are legal."""
-    w = Window.partitionBy(key).orderBy(ts, tiebreak)
-    t = events.withColumn("from_status", F.lag(status).over(w)).withColumnRenamed(status, "to_status")
+    to_status``; first events have no previous status and are legal. The
+    previous status per key comes from a week-bucketed shift (skew-safe)."""
+    from tessera.operators import windows as WB
+    t = WB.shift(events, [key], [ts, tiebreak], status, F.date_trunc("week", F.col(ts)), "from_status", "lag")
+    t = t.withColumnRenamed(status, "to_status")
     a = allowed.select("from_status", "to_status").distinct().withColumn("_ok", F.lit(True))
     j = t.join(a, ["from_status", "to_status"], "left")
     return j.withColumn("legal", F.col("from_status").isNull() | F.coalesce(F.col("_ok"), F.lit(False))).drop("_ok")
@@ -148,13 +150,16 @@ def write_audit(log: DataFrame, path: str, ts: str) -> None:
 def handoff_state(msgs: DataFrame, conv: str, order: str, control: F.Column, paused: F.Column) -> DataFrame:
     """For each message: the last control event before it and whether the
     assistant is paused (G-13). ``control`` marks control rows, ``paused``
-    tells whether a control row pauses (else it resumes)."""
-    w = Window.partitionBy(conv).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tells whether a control row pauses (else it resumes). The look-back is
+    bucketed by blocks of ``order`` (skew-safe for a huge conversation)."""
+    from tessera.operators import windows as WB
+    bucket = F.floor(F.col(order) / F.lit(1000))
     m = msgs.withColumn("_ctl", F.when(control, F.col(order))) \
             .withColumn("_pause", F.when(control, paused))
-    return (m.withColumn("last_control", F.last("_ctl", ignorenulls=True).over(w))
-            .withColumn("ai_paused", F.coalesce(F.last("_pause", ignorenulls=True).over(w), F.lit(False)))
-            .drop("_ctl", "_pause"))
+    m = WB.last_non_null(m, [conv], [order], "_ctl", bucket, "last_control")
+    m = WB.last_non_null(m, [conv], [order], "_pause", bucket, "_last_pause")
+    return (m.withColumn("ai_paused", F.coalesce(F.col("_last_pause"), F.lit(False)))
+            .drop("_ctl", "_pause", "_last_pause"))
 
 
 def feedback_tracking(items: DataFrame, group: str, opened: str, is_closed: F.Column, ref_time: str) -> DataFrame:

@@ -284,11 +284,16 @@ def prompt_audit(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     """Prompt-log audit (E-16): user prompts, how many got an output (the
     next turn is the assistant's), how many ran under a template (a system
     turn earlier in the conversation), decision-facing prompts (questions)
-    and those left without output."""
-    w = Window.partitionBy(conv_id).orderBy(turn)
-    nxt_turn, nxt_role = F.lead(turn).over(w), F.lead(role).over(w)
-    sys_before = F.max((F.col(role) == "system").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    u = (conv.withColumn("has_output", F.coalesce((nxt_turn == F.col(turn) + 1) & (nxt_role == "assistant"), F.lit(False)))
+    and those left without output. Next-turn and earlier-system look-ups
+    are bucketed by blocks of 1000 turns (skew-safe)."""
+    from tessera.operators import windows as WB
+    bucket = F.floor(F.col(turn) / F.lit(1000))
+    c = conv.withColumn("_sys", (F.col(role) == "system").cast("int"))
+    c = WB.shift(c, [conv_id], [turn], turn, bucket, "_nxt_turn", "lead")
+    c = WB.shift(c, [conv_id], [turn], role, bucket, "_nxt_role", "lead")
+    c = WB.running(c, [conv_id], [turn], "_sys", bucket, "_sys_before", "max", exclusive=True)
+    nxt_turn, nxt_role, sys_before = F.col("_nxt_turn"), F.col("_nxt_role"), F.col("_sys_before")
+    u = (c.withColumn("has_output", F.coalesce((nxt_turn == F.col(turn) + 1) & (nxt_role == "assistant"), F.lit(False)))
          .withColumn("has_template", F.coalesce(sys_before == 1, F.lit(False)))
          .filter(F.col(role) == "user"))
     q = F.col(text).contains("?")
