@@ -114,8 +114,8 @@ def response_times(msgs: DataFrame) -> DataFrame:
     The previous message per chat comes from a day-bucketed shift."""
     from tessera.operators import windows as WB
     m = msgs.withColumn("_tus", F.unix_micros(F.col("ts").cast("timestamp")))
-    m = WB.shift(m, ["chat"], ["ts", "msg_no"], "user", _day_bucket(), "_prev_user", "lag")
-    m = WB.shift(m, ["chat"], ["ts", "msg_no"], "_tus", _day_bucket(), "_prev_tus", "lag")
+    m = WB.shift_many(m, ["chat"], ["ts", "msg_no"], _day_bucket(),
+                      [("user", "_prev_user", "lag"), ("_tus", "_prev_tus", "lag")])
     minutes = (F.col("_tus") - F.col("_prev_tus")) / F.lit(60_000_000)
     prev_user = F.col("_prev_user")
     changed = prev_user.isNotNull() & F.col("user").isNotNull() & (prev_user != F.col("user"))

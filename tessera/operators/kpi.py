@@ -89,8 +89,7 @@ def repeat_flags(df: DataFrame, customer: str, ts: str, tiebreak: str, days: int
     from tessera.operators import windows as WB
     b = bucket if bucket is not None else F.date_trunc("month", F.col(ts))
     d = df.withColumn("_tus", F.unix_micros(F.col(ts).cast("timestamp")))
-    d = WB.shift(d, [customer], [ts, tiebreak], "_tus", b, "_prev", "lag")
-    d = WB.shift(d, [customer], [ts, tiebreak], "_tus", b, "_next", "lead")
+    d = WB.shift_many(d, [customer], [ts, tiebreak], b, [("_tus", "_prev", "lag"), ("_tus", "_next", "lead")])
     day = F.lit(86_400_000_000)
     return (d.withColumn("is_repeat", F.coalesce((F.col("_tus") - F.col("_prev")) / day <= days, F.lit(False)))
             .withColumn("next_is_repeat", F.coalesce((F.col("_next") - F.col("_tus")) / day <= days, F.lit(False)))

@@ -289,8 +289,7 @@ def prompt_audit(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     from tessera.operators import windows as WB
     bucket = F.floor(F.col(turn) / F.lit(1000))
     c = conv.withColumn("_sys", (F.col(role) == "system").cast("int"))
-    c = WB.shift(c, [conv_id], [turn], turn, bucket, "_nxt_turn", "lead")
-    c = WB.shift(c, [conv_id], [turn], role, bucket, "_nxt_role", "lead")
+    c = WB.shift_many(c, [conv_id], [turn], bucket, [(turn, "_nxt_turn", "lead"), (role, "_nxt_role", "lead")])
     c = WB.running(c, [conv_id], [turn], "_sys", bucket, "_sys_before", "max", exclusive=True)
     nxt_turn, nxt_role, sys_before = F.col("_nxt_turn"), F.col("_nxt_role"), F.col("_sys_before")
     u = (c.withColumn("has_output", F.coalesce((nxt_turn == F.col(turn) + 1) & (nxt_role == "assistant"), F.lit(False)))

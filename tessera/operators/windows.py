@@ -45,28 +45,42 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence, value: str, buck
     return b.join(tot, key + ["_b"]).withColumn(name, combined).drop("_b", "_off")
 
 
-def shift(df: DataFrame, key: Sequence[str], order: Sequence, value: str, bucket: Column,
-          name: str, direction: str = "lag") -> DataFrame:
-    """``lag`` (previous row's value) or ``lead`` (next row's value) per key
-    in ``order``; rows at a bucket edge take the neighbour bucket's edge
-    value."""
+def shift_many(df: DataFrame, key: Sequence[str], order: Sequence, bucket: Column,
+               specs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Several lag/lead columns in one pass: ``specs`` is a list of
+    ``(value, name, 'lag' | 'lead')``. One edge aggregate per bucket, one
+    join, one window partitioning."""
     key = list(key)
     b = df.withColumn("_b", bucket)
     ordk = F.struct(*_cols(order))
     w = Window.partitionBy(*key, "_b").orderBy(*_cols(order))
-    edges = b.groupBy(*key, "_b").agg(F.max_by(F.col(value), ordk).alias("_last"),
-                                      F.min_by(F.col(value), ordk).alias("_first"))
+    aggs = []
+    for i, (value, _name, direction) in enumerate(specs):
+        pick = F.max_by if direction == "lag" else F.min_by
+        aggs.append(pick(F.col(value), ordk).alias(f"_e{i}"))
     wb = Window.partitionBy(*key).orderBy("_b")
-    if direction == "lag":
-        edges = edges.select(*key, "_b", F.lag("_last").over(wb).alias("_edge"))
-        at_edge = F.row_number().over(w) == 1
-        inner = F.lag(value).over(w)
-    else:
-        edges = edges.select(*key, "_b", F.lead("_first").over(wb).alias("_edge"))
-        at_edge = F.row_number().over(w.orderBy(*[c.desc() for c in _cols(order)])) == 1
-        inner = F.lead(value).over(w)
-    return (b.join(edges, key + ["_b"]).withColumn(name, F.when(at_edge, F.col("_edge")).otherwise(inner))
-            .drop("_b", "_edge"))
+    edges = b.groupBy(*key, "_b").agg(*aggs)
+    edges = edges.select(*key, "_b", *[
+        (F.lag(f"_e{i}") if d == "lag" else F.lead(f"_e{i}")).over(wb).alias(f"_e{i}")
+        for i, (_v, _n, d) in enumerate(specs)])
+    # first / last row of a bucket, from the same window (no second partitioning)
+    out = b.join(edges, key + ["_b"]) \
+        .withColumn("_first_row", F.lag(F.lit(1)).over(w).isNull()) \
+        .withColumn("_last_row", F.lead(F.lit(1)).over(w).isNull())
+    for i, (value, name, direction) in enumerate(specs):
+        if direction == "lag":
+            out = out.withColumn(name, F.when(F.col("_first_row"), F.col(f"_e{i}")).otherwise(F.lag(value).over(w)))
+        else:
+            out = out.withColumn(name, F.when(F.col("_last_row"), F.col(f"_e{i}")).otherwise(F.lead(value).over(w)))
+    return out.drop("_b", "_first_row", "_last_row", *[f"_e{i}" for i in range(len(specs))])
+
+
+def shift(df: DataFrame, key: Sequence[str], order: Sequence, value: str, bucket: Column,
+          name: str, direction: str = "lag") -> DataFrame:
+    """``lag`` (previous row's value) or ``lead`` (next row's value) per key
+    in ``order``; rows at a bucket edge take the neighbour bucket's edge
+    value."""
+    return shift_many(df, key, order, bucket, [(value, name, direction)])
 
 
 def last_non_null(df: DataFrame, key: Sequence[str], order: Sequence, value: str, bucket: Column,
