@@ -3,7 +3,7 @@
 Runs each query on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 ``local[$BENCH_CPUS]`` (default 8). Every query is executed in full through
 the ``noop`` sink (no rows are collected to the driver): one warm-up run, then
-the median of ``$BENCH_REPEATS`` (default 3) timed runs. Prints one JSON line.
+the median of ``$BENCH_REPEATS`` (default 5) timed runs. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     from pyspark.sql import SparkSession
 
     from tessera.session import SCALE_CONF, checkpoint_dir
