@@ -232,16 +232,18 @@ def match_psm(df: DataFrame, treated: str, covariates: Sequence[str], outcome: s
     s = m.transform(df.withColumn(treated, F.col(treated).cast("double"))) \
         .withColumn("pscore", vector_to_array("probability")[1]) \
         .withColumn("band", F.least(F.floor(F.col("pscore") * caliper_bands), F.lit(caliper_bands - 1)))
+    from tessera.operators import windows as WB
     is_c = F.col(treated) == 0
-    c_score, c_id, c_y = (F.when(is_c, F.col("pscore")), F.when(is_c, F.col(id_col)), F.when(is_c, F.col(outcome)))
-    w = Window.partitionBy("band").orderBy("pscore", id_col)
-    below = w.rowsBetween(Window.unboundedPreceding, -1)
-    above = w.rowsBetween(1, Window.unboundedFollowing)
-    s = (s.withColumn("_cs", c_score).withColumn("_ci", c_id).withColumn("_cy", c_y)
-         .withColumn("lo_s", F.last("_cs", True).over(below)).withColumn("lo_id", F.last("_ci", True).over(below))
-         .withColumn("lo_y", F.last("_cy", True).over(below))
-         .withColumn("hi_s", F.first("_cs", True).over(above)).withColumn("hi_id", F.first("_ci", True).over(above))
-         .withColumn("hi_y", F.first("_cy", True).over(above)))
+    # one struct per control row, so the score, id and outcome always come from the same control
+    ctl = F.when(is_c, F.struct(F.col("pscore").alias("s"), F.col(id_col).alias("i"), F.col(outcome).alias("y")))
+    # nearest control below/above within the band; the band is split into fine score
+    # sub-buckets so a crowded band is still spread over many tasks
+    sub = F.floor(F.col("pscore") * F.lit(caliper_bands * 1000))
+    s = s.withColumn("_c", ctl)
+    s = WB.last_non_null(s, ["band"], ["pscore", id_col], "_c", sub, "_lo")
+    s = WB.next_non_null(s, ["band"], ["pscore", id_col], "_c", sub, "_hi")
+    s = s.select("*", F.col("_lo.s").alias("lo_s"), F.col("_lo.i").alias("lo_id"), F.col("_lo.y").alias("lo_y"),
+                 F.col("_hi.s").alias("hi_s"), F.col("_hi.i").alias("hi_id"), F.col("_hi.y").alias("hi_y"))
     t = s.filter(F.col(treated) == 1)
     use_lo = F.col("hi_s").isNull() | (F.col("lo_s").isNotNull()
                                         & (F.col("pscore") - F.col("lo_s") <= F.col("hi_s") - F.col("pscore")))

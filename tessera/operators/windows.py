@@ -83,6 +83,25 @@ def shift(df: DataFrame, key: Sequence[str], order: Sequence, value: str, bucket
     return shift_many(df, key, order, bucket, [(value, name, direction)])
 
 
+def next_non_null(df: DataFrame, key: Sequence[str], order: Sequence, value: str, bucket: Column,
+                  name: str, exclusive: bool = True) -> DataFrame:
+    """The first non-null ``value`` after (``exclusive``) or from the
+    current row on, per key in ``order``."""
+    key = list(key)
+    b = df.withColumn("_b", bucket)
+    ordk = F.struct(*_cols(order))
+    first_in = b.filter(F.col(value).isNotNull()).groupBy(*key, "_b").agg(
+        F.min_by(F.col(value), ordk).alias("_bf"))
+    buckets = b.select(*key, "_b").distinct().join(first_in, key + ["_b"], "left")
+    nxt = Window.partitionBy(*key).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    buckets = buckets.withColumn("_carry", F.first("_bf", ignorenulls=True).over(nxt)).drop("_bf")
+    start = 1 if exclusive else Window.currentRow
+    inner = Window.partitionBy(*key, "_b").orderBy(*_cols(order)).rowsBetween(start, Window.unboundedFollowing)
+    return (b.join(buckets, key + ["_b"])
+            .withColumn(name, F.coalesce(F.first(value, ignorenulls=True).over(inner), F.col("_carry")))
+            .drop("_b", "_carry"))
+
+
 def last_non_null(df: DataFrame, key: Sequence[str], order: Sequence, value: str, bucket: Column,
                   name: str, exclusive: bool = True) -> DataFrame:
     """The last non-null ``value`` before (``exclusive``) or up to the

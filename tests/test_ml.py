@@ -48,6 +48,34 @@ def test_models_and_scores(spark):
     assert len(coef) >= len(["n_orders", "mean_price", "recency_days", "c_acctbal", "n_events"])
 
 
+def test_psm_nearest_control_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randint(0, 1), rng.random() * 10, rng.random() * 5, float(rng.randint(0, 100)))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, treated int, a double, b double, y double")
+    got = {r["id"]: r["control_id"] for r in ml.match_psm(df, "treated", ["a", "b"], "y", "id", 5).collect()}
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    d = df.withColumn("treated", F.col("treated").cast("double"))
+    m = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="_x"),
+                         LogisticRegression(labelCol="treated", featuresCol="_x", maxIter=50)]).fit(d)
+    p = sorted(((r["pscore"], r["id"], r["treated"]) for r in
+                m.transform(d).select(vector_to_array("probability")[1].alias("pscore"), "id", "treated").collect()))
+    bands = {}
+    for s, i, t in p:
+        bands.setdefault(min(int(s * 5), 4), []).append((s, i, t))
+    for rows_b in bands.values():
+        for k, (s, i, t) in enumerate(rows_b):
+            if t != 1:
+                continue
+            lo = next((x for x in reversed(rows_b[:k]) if x[2] == 0), None)
+            hi = next((x for x in rows_b[k + 1:] if x[2] == 0), None)
+            exp = lo[1] if lo and (hi is None or s - lo[0] <= hi[0] - s) else (hi[1] if hi else None)
+            assert got[i] == exp
+
+
 def test_clusters_recommendations_matching(spark):
     qs = load_all()
     cl = qs["cluster_behaviour"].build(spark, SF_SMALL).collect()

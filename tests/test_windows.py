@@ -54,3 +54,14 @@ def test_last_non_null(spark):
         exp = as_map(df.withColumn("e", F.last("v", ignorenulls=True).over(frame)), "e")
         got = as_map(WB.last_non_null(df, ["k"], ["t", "id"], "v", bucket, "g", exclusive=excl), "g")
         assert got == exp
+
+
+def test_next_non_null(spark):
+    df = data(spark)
+    bucket = F.floor(F.col("t") / 300)
+    w = Window.partitionBy("k").orderBy("t", "id")
+    for excl in (True, False):
+        frame = w.rowsBetween(1 if excl else 0, Window.unboundedFollowing)
+        exp = as_map(df.withColumn("e", F.first("v", ignorenulls=True).over(frame)), "e")
+        got = as_map(WB.next_non_null(df, ["k"], ["t", "id"], "v", bucket, "g", exclusive=excl), "g")
+        assert got == exp
