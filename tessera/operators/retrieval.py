@@ -128,8 +128,8 @@ def rank_evidence(local: DataFrame, external: DataFrame, key: Sequence[str], ite
     s = j.withColumn("combined", F.lit(w_local) * F.coalesce(F.col("_l"), F.lit(0.0))
                      + F.lit(w_external) * F.coalesce(F.col("_e"), F.lit(0.0)))
     s = s.withColumn("sources", (F.col("_l").isNotNull().cast("int") + F.col("_e").isNotNull().cast("int")))
-    return top_k_per_group(s.drop("_l", "_e"), list(key), "combined", k, tiebreak=[item],
-                           rank_name="rank", salt_buckets=0)
+    # salted two-stage top-k: one query can have a large share of all evidence rows
+    return top_k_per_group(s.drop("_l", "_e"), list(key), "combined", k, tiebreak=[item], rank_name="rank")
 
 
 def citations(results: DataFrame, key: Sequence[str], source: str, rank: str = "rank",
