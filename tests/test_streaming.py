@@ -161,6 +161,31 @@ def test_live_kpis_stream_matches_batch(spark, tmp_dir):
     assert streamed <= batch and len(streamed) >= len(batch) - 9
 
 
+def test_stock_stream_update_mode(spark, tmp_dir):
+    moves = [("a", 10.0, BASE), ("b", 5.0, BASE), ("a", -3.0, BASE + dt.timedelta(hours=1)),
+             ("a", -4.0, BASE + dt.timedelta(hours=2)), ("b", 1.0, BASE + dt.timedelta(hours=3))]
+    src = os.path.join(tmp_dir, "moves")
+    os.makedirs(src)
+    for p, chunk in enumerate([moves[:2], moves[2:4], moves[4:]]):
+        path = os.path.join(src, f"part-{p}.parquet")
+        pd.DataFrame(chunk, columns=["item", "qty", "ts"]).to_parquet(
+            path, index=False, coerce_timestamps="us", allow_truncated_timestamps=True)
+        t = time.time() - 100 + p
+        os.utime(path, (t, t))
+    s = stream_source(spark, src, "item string, qty double, ts timestamp_ntz", max_files_per_trigger=1)
+    q = (E.stock_stream(s).writeStream.format("memory").queryName("k6_stock").outputMode("update")
+         .option("checkpointLocation", checkpoint_subdir(spark, f"k6-{time.time_ns()}"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    # update mode: every micro-batch re-emits the changed items; the last value per item is the stock
+    rows = spark.sql("SELECT item, stock, n_moves FROM k6_stock").collect()
+    final = {}
+    for r in rows:
+        if r["n_moves"] >= final.get(r["item"], (0, 0))[1]:
+            final[r["item"]] = (r["stock"], r["n_moves"])
+    assert {k: v[0] for k, v in final.items()} == {"a": 3.0, "b": 6.0}
+
+
 def test_alert_digest_messages(spark):
     rows = [(3, "user 3", BASE), (1, "user 1", BASE + dt.timedelta(seconds=10)),
             (2, "user 2", BASE + dt.timedelta(minutes=5))]
