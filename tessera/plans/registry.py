@@ -22,6 +22,19 @@ class Query:
     sql: str | None
     ops: tuple[str, ...]  # survey ids covered
 
+    @property
+    def oracle(self) -> str | None:
+        """The SQL twin with its columns cast to the Spark query's types
+        where DuckDB's own result types differ (values are unchanged)."""
+        if not self.sql:
+            return None
+        from tessera.plans.oracle_casts import ORACLE_CASTS
+        casts = ORACLE_CASTS.get(self.name)
+        if not casts:
+            return self.sql
+        rep = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in casts.items())
+        return f"SELECT * REPLACE ({rep}) FROM ({self.sql}) AS twin"
+
 
 QUERIES: dict[str, Query] = {}
 

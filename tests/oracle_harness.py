@@ -47,6 +47,30 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+                 "smallint": "SMALLINT", "tinyint": "TINYINT", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
+def spark_type_as_duck(t: str) -> str:
+    if t.startswith("array<") and t.endswith(">"):
+        return spark_type_as_duck(t[6:-1]) + "[]"
+    if t.startswith("decimal"):
+        return "DECIMAL"
+    return SPARK_TO_DUCK.get(t, t.upper())
+
+
+def type_mismatches(sdf, res):
+    duck = {d[0]: str(d[1]) for d in res.description}
+    out = []
+    for name, t in sdf.dtypes:
+        dt_ = duck.get(name, "?")
+        st = spark_type_as_duck(t)
+        if not (dt_ == st or (st == "DECIMAL" and dt_.startswith("DECIMAL"))):
+            out.append((name, t, dt_))
+    return out
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(norm(r[i]) for i in order) for r in rows), key=repr)
@@ -60,13 +84,16 @@ def compare(spark, con, name, q, sf_dir):
     t1 = time.time()
     if not q.sql:
         return {"name": name, "status": "no-sql", "rows": len(srows), "spark_s": round(t1 - t0, 2)}
-    res = con.execute(q.sql)
+    res = con.execute(q.oracle)
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     out = {"name": name, "rows": len(srows), "oracle_rows": len(drows), "spark_s": round(t1 - t0, 2)}
     if sorted(scols) != sorted(dcols):
         out.update(status="cols", spark_cols=scols, oracle_cols=dcols)
         return out
+    tm = type_mismatches(sdf, res)
+    if tm:
+        out["types"] = tm
     a, b = rows_of(scols, srows), rows_of(dcols, drows)
     if a == b:
         out["status"] = "ok"
