@@ -218,6 +218,33 @@ def recommend(interactions: DataFrame, user: str, item: str, rating: str, k: int
                 F.col("r.rating").alias("score"))
 
 
+def recommend_popular(purchases: DataFrame, users: DataFrame, user: str, item: str, weight: str,
+                      group: str, k: int) -> DataFrame:
+    """Top-k items per user that the user has not bought yet, taken from the
+    popularity ranking of the user's group (J-10, pair-free variant).
+
+    Exact without enumerating user x item pairs: a user's k best unowned
+    items lie within the first ``k + owned(user)`` ranks of its group, so
+    each group keeps ``k + max owned`` ranks (salted two-stage top-k), each
+    user gets ``k + owned(user)`` candidate ranks (linear in purchases), an
+    anti join removes owned items and a salted top-k keeps k per user.
+    ``purchases(user, item, weight)``, ``users(user, group)``.
+    """
+    from tessera.operators.ranking import top_k_per_group
+    owned = purchases.select(user, item).distinct()
+    n_owned = owned.groupBy(user).agg(F.count(F.lit(1)).alias("_m"))
+    depth = n_owned.select(F.max("_m")).scalar()
+    pop = (purchases.join(users, user).groupBy(group, item).agg(F.sum(weight).alias("score")))
+    ranked = top_k_per_group(pop, [group], "score", F.lit(k) + F.coalesce(depth, F.lit(0)), tiebreak=[item],
+                             rank_name="_r")
+    cand = (users.join(n_owned, user, "left")
+            .select(user, group, F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce(F.col("_m"), F.lit(0))))
+                    .alias("_r")))
+    picks = cand.join(ranked, [group, "_r"]).join(owned, [user, item], "left_anti")
+    best = top_k_per_group(picks, [user], "_r", k, desc=False, tiebreak=[item], rank_name="rank")
+    return best.select(user, "rank", item, "score")
+
+
 def match_psm(df: DataFrame, treated: str, covariates: Sequence[str], outcome: str, id_col: str,
               caliper_bands: int = 20) -> DataFrame:
     """Propensity-score matching with replacement (C-11): a logistic

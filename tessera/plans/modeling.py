@@ -147,6 +147,26 @@ def recommend(spark, sf_dir):
     return ml.recommend(inter, "user", "item", "rating", k=5)
 
 
+@register("recommend_popular", ops=("J-10",), sql="""
+WITH p AS (SELECT o.o_custkey AS c_custkey, l.l_partkey AS p_partkey, l.l_quantity AS w
+           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+owned AS (SELECT DISTINCT c_custkey, p_partkey FROM p),
+pop AS (SELECT c.c_mktsegment, p.p_partkey, sum(p.w) AS score FROM p JOIN customer c ON c.c_custkey = p.c_custkey
+        GROUP BY c.c_mktsegment, p.p_partkey),
+rk AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY score DESC, p_partkey) AS r FROM pop),
+cand AS (SELECT c.c_custkey, rk.p_partkey, rk.score, rk.r FROM customer c JOIN rk ON c.c_mktsegment = rk.c_mktsegment
+         WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.c_custkey = c.c_custkey AND o.p_partkey = rk.p_partkey))
+SELECT c_custkey, rank, p_partkey, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY r, p_partkey) AS rank FROM cand) WHERE rank <= 5""")
+def recommend_popular(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    purchases = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+                 .select(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("p_partkey"),
+                         F.col("l_quantity").alias("w")))
+    users = t.customer.select("c_custkey", "c_mktsegment")
+    return ml.recommend_popular(purchases, users, "c_custkey", "p_partkey", "w", "c_mktsegment", 5)
+
+
 @register("match_psm", ops=("C-11",))
 def match_psm(spark, sf_dir):
     d = churn_frame(spark, sf_dir).withColumn("treated", (F.col("c_mktsegment") == "BUILDING").cast("int"))

@@ -40,4 +40,5 @@ ORACLE_CASTS: dict[str, dict[str, str]] = {
     "argmax_class": {'class_idx': 'BIGINT'},
     "rdd_estimate": {'n_left': 'BIGINT', 'n_right': 'BIGINT'},
     "incidence_rates": {'cases': 'BIGINT'},
+    "recommend_popular": {'rank': 'INTEGER'},
 }
