@@ -225,12 +225,32 @@ def intent_route(msgs: DataFrame, text: str = "text", rules=INTENT_RULES, defaul
     return msgs.withColumn("intent", expr.otherwise(F.lit(default)))
 
 
+def _last_n(arr: Column, n: int) -> Column:
+    return F.when(F.size(arr) > n, F.slice(arr, F.size(arr) - n + 1, n)).otherwise(arr)
+
+
 def retrieve_memory(turns: DataFrame, chat: str, order: str, text: str, n: int,
-                    query: Column | None = None) -> DataFrame:
+                    query: Column | None = None, turns_per_bucket: int = 1000) -> DataFrame:
     """For each (query) turn: the previous n turns of the same chat, oldest
-    first (C-9). A bounded window frame, so at most n items are gathered."""
-    w = Window.partitionBy(chat).orderBy(order).rowsBetween(-n, -1)
-    out = turns.withColumn("context", F.collect_list(text).over(w))
+    first (C-9). At most n items are ever gathered per row.
+
+    Bucketed by blocks of ``turns_per_bucket`` of ``order`` so a huge chat is
+    spread over many tasks: inside a bucket a bounded frame gives the
+    earlier turns; each bucket's last n turns are carried to the next n
+    buckets (at most n items each) and joined in front, then cut to n.
+    """
+    b = turns.withColumn("_b", F.floor(F.col(order) / F.lit(turns_per_bucket)))
+    w_in = Window.partitionBy(chat, "_b").orderBy(order)
+    b = b.withColumn("_in", F.collect_list(text).over(w_in.rowsBetween(-n, -1)))
+    tails = (b.withColumn("_rd", F.row_number().over(Window.partitionBy(chat, "_b").orderBy(F.col(order).desc())))
+             .filter(F.col("_rd") <= n)
+             .groupBy(chat, "_b").agg(
+                 F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]).alias("_tail")))
+    w_b = Window.partitionBy(chat).orderBy("_b").rowsBetween(-n, -1)
+    carry = tails.withColumn("_carry", _last_n(F.flatten(F.collect_list("_tail").over(w_b)), n)).drop("_tail")
+    out = (b.join(carry, [chat, "_b"])
+           .withColumn("context", _last_n(F.concat(F.coalesce("_carry", F.array().cast("array<string>")), "_in"), n))
+           .drop("_b", "_in", "_carry"))
     return out.filter(query) if query is not None else out
 
 

@@ -56,6 +56,18 @@ def test_last_non_null(spark):
         assert got == exp
 
 
+def test_retrieve_memory_buckets(spark):
+    from tessera.operators.conversation import retrieve_memory
+    rng = random.Random(3)
+    rows = [(c, t, f"c{c}t{t}") for c in range(5) for t in range(rng.randint(1, 40))]
+    df = spark.createDataFrame(rows, "chat int, turn long, text string")
+    w = Window.partitionBy("chat").orderBy("turn").rowsBetween(-3, -1)
+    exp = {(r["chat"], r["turn"]): r["c"] for r in df.withColumn("c", F.collect_list("text").over(w)).collect()}
+    got = {(r["chat"], r["turn"]): r["context"] for r in
+           retrieve_memory(df, "chat", "turn", "text", 3, turns_per_bucket=2).collect()}
+    assert got == exp
+
+
 def test_next_non_null(spark):
     df = data(spark)
     bucket = F.floor(F.col("t") / 300)
