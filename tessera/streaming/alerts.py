@@ -114,13 +114,26 @@ def cooldown_stream(events: DataFrame, key: str, ts: str, tiebreak: str,
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", tiebreak], kind="mergesort")
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        # arbitrary state does not drop late rows by itself: observations behind the
+        # watermark are ignored (their key's state may already be gone)
+        pdf = pdf[pdf["_t"] >= state.getCurrentWatermarkMs() * 1000]
+        if not len(pdf):
+            return
+        pdf = pdf.sort_values(["_t", tiebreak], kind="mergesort")
         t = pdf["_t"].to_numpy(dtype=np.int64)
         fired: list[int] = []
         last = _scan_key(t, 0, len(t), last, cooldown_us, fired)
         if last is not None:
-            state.update((int(last),))
-            state.setTimeoutTimestamp(int(last // 1000) + cooldown_us // 1000)
+            expire_ms = int(last // 1000) + cooldown_us // 1000
+            if expire_ms <= state.getCurrentWatermarkMs():
+                # the watermark already passed the cooldown: this alert can suppress nothing
+                # that may still arrive, so the key needs no state
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((int(last),))
+                state.setTimeoutTimestamp(expire_ms)
         if fired:
             sel = pdf.iloc[fired]
             yield pd.DataFrame({key: sel[key].to_numpy(), tiebreak: sel[tiebreak].to_numpy(),
