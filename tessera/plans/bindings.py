@@ -35,12 +35,12 @@ def indicator(t: Tables) -> DataFrame:
     return (share.join(F.broadcast(t.nation), share.c_nationkey == F.col("n_nationkey"))
             .select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("iso_code"),
                     F.col("n_name").alias("country"),
-                    F.round("share", 1).cast("string").alias("stunting")))
+                    F.round("share", 1).cast("string").alias("prevalence")))
 
 
 INDICATOR_CTE = f"""indicator AS (
   SELECT 'N' || CAST(s.c_nationkey AS VARCHAR) AS iso_code, n.n_name AS country,
-         CAST(round(s.share, 1) AS VARCHAR) AS stunting
+         CAST(round(s.share, 1) AS VARCHAR) AS prevalence
   FROM (SELECT c_nationkey,
                avg(CASE WHEN c_acctbal < {INDICATOR_BALANCE_CUT} THEN 1.0 ELSE 0.0 END)::DOUBLE * 100 AS share
         FROM customer GROUP BY c_nationkey) s

@@ -17,12 +17,12 @@ W = B.with_ctes
 
 def _indicator(spark, sf_dir):
     """A-1: the indicator with its measure cast from text."""
-    return files.cast_measures(B.indicator(tables(spark, sf_dir)), {"stunting": "double"})
+    return files.cast_measures(B.indicator(tables(spark, sf_dir)), {"prevalence": "double"})
 
 
 IND_NUM_CTE = """ind AS (
   SELECT iso_code, country,
-         CASE WHEN isnan(TRY_CAST(stunting AS DOUBLE)) THEN NULL ELSE TRY_CAST(stunting AS DOUBLE) END AS stunting
+         CASE WHEN isnan(TRY_CAST(prevalence AS DOUBLE)) THEN NULL ELSE TRY_CAST(prevalence AS DOUBLE) END AS prevalence
   FROM indicator)"""
 
 BANDS_SQL = """CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 10 THEN 'Very Low' WHEN {x} < 20 THEN 'Low'
@@ -56,23 +56,23 @@ def _joined(spark, sf_dir):
 
 
 JOINED_CTE = """joined AS (
-  SELECT b.ADM0_A3, b.NAME, i.country, i.stunting FROM boundaries b LEFT JOIN ind i ON b.ADM0_A3 = i.iso_code)"""
+  SELECT b.ADM0_A3, b.NAME, i.country, i.prevalence FROM boundaries b LEFT JOIN ind i ON b.ADM0_A3 = i.iso_code)"""
 
 CTES = (B.INDICATOR_CTE, B.BOUNDARIES_CTE, IND_NUM_CTE, JOINED_CTE)
 
 
 @register("map_layer", ops=("L-4", "C-1", "B-1", "A-1"), sql=W(*CTES) + f"""
-SELECT ADM0_A3 AS key, NAME AS name, stunting AS value,
-       {BANDS_SQL.format(x='stunting')} AS band,
-       {COLOUR_SQL.format(b='(' + BANDS_SQL.format(x='stunting') + ')')} AS colour,
-       stunting IS NULL AS is_missing
+SELECT ADM0_A3 AS key, NAME AS name, prevalence AS value,
+       {BANDS_SQL.format(x='prevalence')} AS band,
+       {COLOUR_SQL.format(b='(' + BANDS_SQL.format(x='prevalence') + ')')} AS colour,
+       prevalence IS NULL AS is_missing
 FROM joined""")
 def map_layer(spark, sf_dir):
     j = _joined(spark, sf_dir)
-    band = classify_bands(F.col("stunting"))
+    band = classify_bands(F.col("prevalence"))
     return j.select(F.col("ADM0_A3").alias("key"), F.col("NAME").alias("name"),
-                    F.col("stunting").alias("value"), band.alias("band"),
-                    colour_of(band).alias("colour"), F.col("stunting").isNull().alias("is_missing"))
+                    F.col("prevalence").alias("value"), band.alias("band"),
+                    colour_of(band).alias("colour"), F.col("prevalence").isNull().alias("is_missing"))
 
 
 @register("read_table", ops=("A-1",), sql=W(B.INDICATOR_CTE, IND_NUM_CTE) + "SELECT * FROM ind")
@@ -98,7 +98,7 @@ SELECT column_name, n_missing FROM (
   SELECT 'ADM0_A3' AS column_name, count_if(ADM0_A3 IS NULL) AS n_missing FROM joined
   UNION ALL SELECT 'NAME', count_if(NAME IS NULL) FROM joined
   UNION ALL SELECT 'country', count_if(country IS NULL) FROM joined
-  UNION ALL SELECT 'stunting', count_if(stunting IS NULL OR isnan(stunting)) FROM joined)""")
+  UNION ALL SELECT 'prevalence', count_if(prevalence IS NULL OR isnan(prevalence)) FROM joined)""")
 def missing_by_column(spark, sf_dir):
     return stats.missing_by_column(_joined(spark, sf_dir))
 
@@ -141,9 +141,9 @@ FROM {src} {group}"""
 
 
 @register("describe_numeric", ops=("D-1",), sql=W(B.INDICATOR_CTE, IND_NUM_CTE)
-          + DESCRIBE_SQL.format(by="", x="stunting", src="ind", group=""))
+          + DESCRIBE_SQL.format(by="", x="prevalence", src="ind", group=""))
 def describe_numeric(spark, sf_dir):
-    return rounded(stats.describe_numeric(_indicator(spark, sf_dir), "stunting"))
+    return rounded(stats.describe_numeric(_indicator(spark, sf_dir), "prevalence"))
 
 
 @register("describe_quantity_by_flag", ops=("D-1",),
@@ -183,9 +183,9 @@ FROM (SELECT CAST(range AS INTEGER) AS bin FROM range({bins})) d CROSS JOIN s LE
 
 
 @register("histogram", ops=("D-4",), sql=W(B.INDICATOR_CTE, IND_NUM_CTE).rstrip()
-          + HIST_SQL.format(x="stunting", src="ind", bins=20))
+          + HIST_SQL.format(x="prevalence", src="ind", bins=20))
 def histogram(spark, sf_dir):
-    return rounded(stats.histogram(_indicator(spark, sf_dir), "stunting", bins=20))
+    return rounded(stats.histogram(_indicator(spark, sf_dir), "prevalence", bins=20))
 
 
 @register("histogram_extendedprice", ops=("D-4",),
@@ -195,18 +195,18 @@ def histogram_extendedprice(spark, sf_dir):
 
 
 @register("boxplot_stats", ops=("D-5",), sql=W(B.INDICATOR_CTE, IND_NUM_CTE).rstrip() + """,
-q AS (SELECT quantile_cont(stunting, 0.25) AS q1, quantile_cont(stunting, 0.75) AS q3 FROM ind),
+q AS (SELECT quantile_cont(prevalence, 0.25) AS q1, quantile_cont(prevalence, 0.75) AS q3 FROM ind),
 f AS (SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS hf FROM q)
-SELECT count(*) AS n, round(min(stunting), 6) AS min, round(any_value(f.q1), 6) AS q1,
-       round(quantile_cont(stunting, 0.5), 6) AS median, round(any_value(f.q3), 6) AS q3,
+SELECT count(*) AS n, round(min(prevalence), 6) AS min, round(any_value(f.q1), 6) AS q1,
+       round(quantile_cont(prevalence, 0.5), 6) AS median, round(any_value(f.q3), 6) AS q3,
        round(any_value(f.lf), 6) AS lower_fence, round(any_value(f.hf), 6) AS upper_fence,
-       round(min(CASE WHEN stunting >= f.lf THEN stunting END), 6) AS whisker_low,
-       round(max(CASE WHEN stunting <= f.hf THEN stunting END), 6) AS whisker_high,
-       round(max(stunting), 6) AS max,
-       count_if(stunting < f.lf) AS n_out_low, count_if(stunting > f.hf) AS n_out_high
-FROM ind, f WHERE stunting IS NOT NULL""")
+       round(min(CASE WHEN prevalence >= f.lf THEN prevalence END), 6) AS whisker_low,
+       round(max(CASE WHEN prevalence <= f.hf THEN prevalence END), 6) AS whisker_high,
+       round(max(prevalence), 6) AS max,
+       count_if(prevalence < f.lf) AS n_out_low, count_if(prevalence > f.hf) AS n_out_high
+FROM ind, f WHERE prevalence IS NOT NULL""")
 def boxplot_stats(spark, sf_dir):
-    return rounded(stats.boxplot_stats(_indicator(spark, sf_dir), "stunting"))
+    return rounded(stats.boxplot_stats(_indicator(spark, sf_dir), "prevalence"))
 
 
 @register("outliers_iqr", ops=("E-4",), sql="""
@@ -231,27 +231,27 @@ def distribution_label(spark, sf_dir):
 
 @register("sort_by", ops=("F-1",), sql=W(B.INDICATOR_CTE, IND_NUM_CTE) + "SELECT * FROM ind")
 def sort_by(spark, sf_dir):
-    return ranking.sort_by(_indicator(spark, sf_dir), "stunting", desc=True, tiebreak=["iso_code"])
+    return ranking.sort_by(_indicator(spark, sf_dir), "prevalence", desc=True, tiebreak=["iso_code"])
 
 
 @register("top_k", ops=("F-2",), sql=W(B.INDICATOR_CTE, IND_NUM_CTE)
-          + "SELECT * FROM ind ORDER BY stunting DESC NULLS LAST, iso_code LIMIT 10")
+          + "SELECT * FROM ind ORDER BY prevalence DESC NULLS LAST, iso_code LIMIT 10")
 def top_k(spark, sf_dir):
-    return ranking.top_k(_indicator(spark, sf_dir), "stunting", 10, tiebreak=["iso_code"])
+    return ranking.top_k(_indicator(spark, sf_dir), "prevalence", 10, tiebreak=["iso_code"])
 
 
 @register("bottom_k", ops=("F-2",), sql=W(B.INDICATOR_CTE, IND_NUM_CTE)
-          + "SELECT * FROM ind ORDER BY stunting ASC NULLS LAST, iso_code LIMIT 10")
+          + "SELECT * FROM ind ORDER BY prevalence ASC NULLS LAST, iso_code LIMIT 10")
 def bottom_k(spark, sf_dir):
-    return ranking.bottom_k(_indicator(spark, sf_dir), "stunting", 10, tiebreak=["iso_code"])
+    return ranking.bottom_k(_indicator(spark, sf_dir), "prevalence", 10, tiebreak=["iso_code"])
 
 
 @register("bar_order", ops=("F-3",), sql=W(B.INDICATOR_CTE, IND_NUM_CTE) + """
-SELECT *, row_number() OVER (ORDER BY stunting DESC NULLS LAST, iso_code) AS bar_pos
-FROM (SELECT * FROM ind ORDER BY stunting DESC NULLS LAST, iso_code LIMIT 15)""")
+SELECT *, row_number() OVER (ORDER BY prevalence DESC NULLS LAST, iso_code) AS bar_pos
+FROM (SELECT * FROM ind ORDER BY prevalence DESC NULLS LAST, iso_code LIMIT 15)""")
 def bar_order(spark, sf_dir):
-    top = ranking.top_k(_indicator(spark, sf_dir), "stunting", 15, tiebreak=["iso_code"])
-    return ranking.bar_order(top, "stunting", tiebreak=["iso_code"])
+    top = ranking.top_k(_indicator(spark, sf_dir), "prevalence", 15, tiebreak=["iso_code"])
+    return ranking.bar_order(top, "prevalence", tiebreak=["iso_code"])
 
 
 @register("top_customers_per_nation", ops=("F-4",), sql="""
@@ -265,19 +265,19 @@ def top_customers_per_nation(spark, sf_dir):
 
 
 @register("classify_bands", ops=("B-1",), sql=W(B.INDICATOR_CTE, IND_NUM_CTE)
-          + f"SELECT iso_code, stunting, {BANDS_SQL.format(x='stunting')} AS band FROM ind")
+          + f"SELECT iso_code, prevalence, {BANDS_SQL.format(x='prevalence')} AS band FROM ind")
 def classify_bands_q(spark, sf_dir):
     i = _indicator(spark, sf_dir)
-    return i.select("iso_code", "stunting", classify_bands(F.col("stunting")).alias("band"))
+    return i.select("iso_code", "prevalence", classify_bands(F.col("prevalence")).alias("band"))
 
 
 @register("band_counts", ops=("B-1", "D-7"), sql=W(B.INDICATOR_CTE, IND_NUM_CTE) + f"""
 SELECT d.band, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM
  (SELECT * FROM (VALUES ('Very Low'), ('Low'), ('Moderate'), ('High'), ('Very High')) t(band)) d
- LEFT JOIN (SELECT {BANDS_SQL.format(x='stunting')} AS band, count(*) AS n FROM ind GROUP BY 1) c ON c.band = d.band""")
+ LEFT JOIN (SELECT {BANDS_SQL.format(x='prevalence')} AS band, count(*) AS n FROM ind GROUP BY 1) c ON c.band = d.band""")
 def band_counts(spark, sf_dir):
     from tessera.operators.tasks import count_by_domain
     from tessera.functions.columns import DEFAULT_LABELS
-    i = _indicator(spark, sf_dir).withColumn("band", classify_bands(F.col("stunting")))
+    i = _indicator(spark, sf_dir).withColumn("band", classify_bands(F.col("prevalence")))
     return count_by_domain(i, "band", DEFAULT_LABELS)
 

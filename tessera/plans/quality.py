@@ -90,14 +90,14 @@ def dedupe_latest_event(spark, sf_dir):
 
 @register("completeness_by", ops=("E-8",), sql=W(B.INDICATOR_CTE, B.BOUNDARIES_CTE) + """
 SELECT substr(b.ADM0_A3, 1, 1) AS kind, count(*) AS n_rows,
-       round(avg(CASE WHEN i.stunting IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS missing_stunting,
+       round(avg(CASE WHEN i.prevalence IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS missing_prevalence,
        round(avg(CASE WHEN i.country IS NULL OR trim(i.country) = '' THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS missing_country
 FROM boundaries b LEFT JOIN indicator i ON b.ADM0_A3 = i.iso_code GROUP BY 1""")
 def completeness_by(spark, sf_dir):
     t = tables(spark, sf_dir)
     j = joins.attach_indicator(B.boundaries(t), B.indicator(t), "ADM0_A3", "iso_code")
     j = j.withColumn("kind", F.substring("ADM0_A3", 1, 1))
-    return rounded(Q.completeness_by(j, ["kind"], ["stunting", "country"]))
+    return rounded(Q.completeness_by(j, ["kind"], ["prevalence", "country"]))
 
 
 @register("key_consistency", ops=("E-9",), sql="""
@@ -254,14 +254,14 @@ def normalize_text_q(spark, sf_dir):
 
 
 @register("impute_median", ops=("B-26",), sql=W(B.INDICATOR_CTE, B.BOUNDARIES_CTE) + """,
-j AS (SELECT b.ADM0_A3, TRY_CAST(i.stunting AS DOUBLE) AS stunting FROM boundaries b LEFT JOIN indicator i ON b.ADM0_A3 = i.iso_code)
-SELECT ADM0_A3, round(coalesce(stunting, (SELECT quantile_cont(stunting, 0.5) FROM j)), 6) AS stunting FROM j""")
+j AS (SELECT b.ADM0_A3, TRY_CAST(i.prevalence AS DOUBLE) AS prevalence FROM boundaries b LEFT JOIN indicator i ON b.ADM0_A3 = i.iso_code)
+SELECT ADM0_A3, round(coalesce(prevalence, (SELECT quantile_cont(prevalence, 0.5) FROM j)), 6) AS prevalence FROM j""")
 def impute_median(spark, sf_dir):
     t = tables(spark, sf_dir)
     from tessera.sources.files import cast_measures
-    j = joins.attach_indicator(B.boundaries(t), cast_measures(B.indicator(t), {"stunting": "double"}),
-                               "ADM0_A3", "iso_code").select("ADM0_A3", "stunting")
-    return rounded(Q.impute(j, ["stunting"], "median"))
+    j = joins.attach_indicator(B.boundaries(t), cast_measures(B.indicator(t), {"prevalence": "double"}),
+                               "ADM0_A3", "iso_code").select("ADM0_A3", "prevalence")
+    return rounded(Q.impute(j, ["prevalence"], "median"))
 
 
 @register("readiness_scan", ops=("E-17",), sql="""

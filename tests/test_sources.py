@@ -111,7 +111,7 @@ def test_schema_drift(spark):
 def test_read_table_casts(spark, tmp_dir):
     path = os.path.join(tmp_dir, "t.csv")
     with open(path, "w") as f:
-        f.write("iso_code,stunting\nAAA,12.5\nBBB,n/a\nCCC,NaN\n")
-    df = files.read_table(spark, path, "iso_code string, stunting string", fmt="csv", casts={"stunting": "double"},
+        f.write("iso_code,prevalence\nAAA,12.5\nBBB,n/a\nCCC,NaN\n")
+    df = files.read_table(spark, path, "iso_code string, prevalence string", fmt="csv", casts={"prevalence": "double"},
                           header=True)
-    assert [r["stunting"] for r in df.orderBy("iso_code").collect()] == [12.5, None, None]
+    assert [r["prevalence"] for r in df.orderBy("iso_code").collect()] == [12.5, None, None]
