@@ -120,8 +120,9 @@ _WS_RIGHT = WS_CLASS + r"+\z"
 
 
 def strip_ws(col) -> Column:
-    """Trim all leading and trailing whitespace (``trim`` strips spaces only)."""
-    return F.regexp_replace(F.regexp_replace(_c(col), _WS_LEFT, ""), _WS_RIGHT, "")
+    """Trim all leading and trailing whitespace (``trim`` strips spaces only);
+    one regex pass over the text."""
+    return F.regexp_replace(_c(col), _WS_LEFT + "|" + _WS_RIGHT, "")
 
 
 def normalize_tags(col, max_tags: int = 10) -> Column:
@@ -140,8 +141,12 @@ def collapse_ws(col) -> Column:
 
 
 def normalize_text(col) -> Column:
-    """Trim, collapse inner whitespace, lower-case (B-25, definition chosen here)."""
-    return F.lower(collapse_ws(col))
+    """Trim, collapse inner whitespace, lower-case (B-25, definition chosen here).
+
+    One regex pass: every whitespace run becomes one space (leading and
+    trailing runs included), then the single edge spaces are trimmed, which
+    equals stripping first and collapsing after."""
+    return F.lower(F.trim(F.regexp_replace(_c(col), WS_CLASS + "+", " ")))
 
 
 def parse_read_minutes(col) -> Column:
