@@ -84,10 +84,10 @@ def repeat_flags(df: DataFrame, customer: str, ts: str, tiebreak: str, days: int
     ``next_is_repeat`` (the next contact comes within ``days``).
 
     Previous/next contact per customer come from bucketed windows (default
-    bucket: the month of the contact), so a customer with a third of all
+    bucket: the day of the contact), so a customer with a third of all
     contacts is still split over many tasks."""
     from tessera.operators import windows as WB
-    b = bucket if bucket is not None else F.date_trunc("month", F.col(ts))
+    b = bucket if bucket is not None else F.date_trunc("day", F.col(ts))
     d = df.withColumn("_tus", F.unix_micros(F.col(ts).cast("timestamp")))
     d = WB.shift_many(d, [customer], [ts, tiebreak], b, [("_tus", "_prev", "lag"), ("_tus", "_next", "lead")])
     day = F.lit(86_400_000_000)

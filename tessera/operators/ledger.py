@@ -38,7 +38,7 @@ def stock_position(moves: DataFrame, item: str = "item", qty: str = "qty") -> Da
 
 
 def stock_history(moves: DataFrame, item: str = "item", ts: str = "ts", tiebreak: str = "move_id",
-                  qty: str = "qty", period: str = "month") -> DataFrame:
+                  qty: str = "qty", period: str = "day") -> DataFrame:
     """Every move with the running balance of its item (G-7).
 
     Two steps, both exact:
@@ -82,9 +82,9 @@ def order_lifecycle(events: DataFrame, allowed: DataFrame, key: str, ts: str, st
     """Each status change with its previous status and whether the
     transition is allowed (G-9). ``allowed`` has columns ``from_status,
     to_status``; first events have no previous status and are legal. The
-    previous status per key comes from a week-bucketed shift (skew-safe)."""
+    previous status per key comes from an hour-bucketed shift (skew-safe)."""
     from tessera.operators import windows as WB
-    t = WB.shift(events, [key], [ts, tiebreak], status, F.date_trunc("week", F.col(ts)), "from_status", "lag")
+    t = WB.shift(events, [key], [ts, tiebreak], status, F.date_trunc("hour", F.col(ts)), "from_status", "lag")
     t = t.withColumnRenamed(status, "to_status")
     a = allowed.select("from_status", "to_status").distinct().withColumn("_ok", F.lit(True))
     j = t.join(a, ["from_status", "to_status"], "left")
