@@ -171,6 +171,25 @@ def stream_source(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return r.load(path)
 
 
+def stream_to_files(df: DataFrame, path: str, name: str, output_mode: str = "append",
+                    partition_by: Sequence[str] = (), available_now: bool = True,
+                    processing_time: str | None = None):
+    """Stream sink (A-9): parquet files written exactly once per micro-batch
+    (the file sink commits through its metadata log), with the query's
+    checkpoint under the session's shared checkpoint folder, so a restarted
+    query resumes where it stopped. Returns the running ``StreamingQuery``."""
+    from tessera.session import checkpoint_subdir
+    w = (df.writeStream.format("parquet").outputMode(output_mode).option("path", path)
+         .option("checkpointLocation", checkpoint_subdir(df.sparkSession, name)))
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    if processing_time:
+        w = w.trigger(processingTime=processing_time)
+    elif available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """Edit-or-insert (A-10): the latest change per key (``max_by`` on
     ``order``) replaces the base row, new keys are appended. A hash aggregate

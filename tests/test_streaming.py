@@ -186,6 +186,21 @@ def test_stock_stream_update_mode(spark, tmp_dir):
     assert {k: v[0] for k, v in final.items()} == {"a": 3.0, "b": 6.0}
 
 
+def test_stream_to_files_roundtrip(spark, tmp_dir):
+    from tessera.sources.files import stream_to_files
+    rng = random.Random(4)
+    rows = [(rng.randint(1, 3), i, BASE + dt.timedelta(minutes=rng.randint(0, 300))) for i in range(200)]
+    src = os.path.join(tmp_dir, "in")
+    os.makedirs(src)
+    _write_parts(rows, src)
+    s = stream_source(spark, src, "user_id long, event_id long, ts timestamp_ntz", max_files_per_trigger=1)
+    out = os.path.join(tmp_dir, "out")
+    q = stream_to_files(E.dedup_events(s, "event_id", "ts", "1 day"), out, f"sink-{time.time_ns()}")
+    q.awaitTermination(300)
+    back = spark.read.parquet(out)
+    assert back.count() == 200 and back.select("event_id").distinct().count() == 200
+
+
 def test_alert_digest_messages(spark):
     rows = [(3, "user 3", BASE), (1, "user 1", BASE + dt.timedelta(seconds=10)),
             (2, "user 2", BASE + dt.timedelta(minutes=5))]
