@@ -77,6 +77,23 @@ def rag_status(col, amber: float, green: float, higher_is_better: bool = True) -
 
 # ---------------------------------------------------------------- dates
 
+def _epoch():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def epoch_micros(col) -> Column:
+    """Microseconds since 1970-01-01 of a timestamp's wall-clock time.
+
+    Computed on TIMESTAMP_NTZ with ``timestamp_diff``, so durations do not
+    depend on the session time zone (no daylight-saving hour appears)."""
+    return F.timestamp_diff("MICROSECOND", _epoch(), _c(col).cast("timestamp_ntz"))
+
+
+def from_epoch_micros(col) -> Column:
+    """Inverse of :func:`epoch_micros`: a TIMESTAMP_NTZ."""
+    return F.timestamp_add("MICROSECOND", _c(col), _epoch())
+
+
 DUE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 
 

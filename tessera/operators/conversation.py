@@ -113,7 +113,8 @@ def response_times(msgs: DataFrame) -> DataFrame:
     """Minutes since the previous message when the speaker changes (H-5).
     The previous message per chat comes from a day-bucketed shift."""
     from tessera.operators import windows as WB
-    m = msgs.withColumn("_tus", F.unix_micros(F.col("ts").cast("timestamp")))
+    from tessera.functions.columns import epoch_micros
+    m = msgs.withColumn("_tus", epoch_micros("ts"))
     m = WB.shift_many(m, ["chat"], ["ts", "msg_no"], _day_bucket(),
                       [("user", "_prev_user", "lag"), ("_tus", "_prev_tus", "lag")])
     minutes = (F.col("_tus") - F.col("_prev_tus")) / F.lit(60_000_000)

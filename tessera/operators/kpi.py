@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import rag_status
+from tessera.functions.columns import epoch_micros, rag_status
 
 
 def calc_columns(df: DataFrame, start_ts: str, end_ts: str, s_start: str, s_end: str,
@@ -22,8 +22,7 @@ def calc_columns(df: DataFrame, start_ts: str, end_ts: str, s_start: str, s_end:
     """Calculated interaction columns (B-20): ``was_ai_handled``,
     ``sentiment_delta`` (null when either side is missing) and
     ``resolution_minutes``."""
-    minutes = (F.unix_micros(F.col(end_ts).cast("timestamp"))
-               - F.unix_micros(F.col(start_ts).cast("timestamp"))) / F.lit(60_000_000)
+    minutes = (epoch_micros(end_ts) - epoch_micros(start_ts)) / F.lit(60_000_000)
     return (df.withColumn("was_ai_handled", ai_flag)
             .withColumn("sentiment_delta", F.col(s_end) - F.col(s_start))
             .withColumn("resolution_minutes", minutes))
@@ -88,7 +87,7 @@ def repeat_flags(df: DataFrame, customer: str, ts: str, tiebreak: str, days: int
     contacts is still split over many tasks."""
     from tessera.operators import windows as WB
     b = bucket if bucket is not None else F.date_trunc("day", F.col(ts))
-    d = df.withColumn("_tus", F.unix_micros(F.col(ts).cast("timestamp")))
+    d = df.withColumn("_tus", epoch_micros(ts))
     d = WB.shift_many(d, [customer], [ts, tiebreak], b, [("_tus", "_prev", "lag"), ("_tus", "_next", "lead")])
     day = F.lit(86_400_000_000)
     return (d.withColumn("is_repeat", F.coalesce((F.col("_tus") - F.col("_prev")) / day <= days, F.lit(False)))

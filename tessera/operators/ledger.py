@@ -122,6 +122,8 @@ def rfm_scores(orders: DataFrame, customer: str, ts: str, amount: str, ref_time:
     if method == "exact":
         # the exact selection scans the per-customer table a few times: materialise it
         # once in the shared checkpoint folder (also cuts the lineage)
+        from tessera.session import checkpoint_dir
+        checkpoint_dir(g.sparkSession)
         g = g.checkpoint()
     cuts = {c: global_quantiles(g, c, probs, method) for c in ("recency_days", "frequency", "monetary")}
 

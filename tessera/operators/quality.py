@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import nan_to_null
+from tessera.functions.columns import epoch_micros, nan_to_null
 from tessera.operators.stats import quartile_fences
 
 
@@ -180,7 +180,7 @@ def timeliness(df: DataFrame, source: str, ts: str, reference_time, max_lag_days
     """Latest record per source and its lag to a reference time (E-11)."""
     ref = F.lit(reference_time).cast("timestamp_ntz")
     g = df.groupBy(source).agg(F.max(ts).alias("latest"), F.count(F.lit(1)).alias("n_rows"))
-    lag_days = (F.unix_micros(ref.cast("timestamp")) - F.unix_micros(F.col("latest").cast("timestamp"))) / 86_400_000_000
+    lag_days = (epoch_micros(ref) - epoch_micros(F.col("latest"))) / 86_400_000_000
     return g.withColumn("lag_days", lag_days).withColumn("stale", F.col("lag_days") > max_lag_days)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import normalize_text
+from tessera.functions.columns import epoch_micros, normalize_text
 from tessera.operators import joins, quality as Q
 from tessera.plans import bindings as B
 from tessera.plans.common import rounded, tables
@@ -192,7 +192,7 @@ def quality_gate(spark, sf_dir):
     t = tables(spark, sf_dir)
     o, c, e, li = t.orders, t.customer, t.events, t.lineitem
     ref = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    lag_days = (F.unix_micros(ref.cast("timestamp")) - F.unix_micros(F.max("ts").cast("timestamp"))) / 86_400_000_000
+    lag_days = (epoch_micros(ref) - epoch_micros(F.max("ts"))) / 86_400_000_000
     checks = [
         ("completeness", o.agg(F.avg(F.col("o_totalprice").isNull().cast("double")).alias("metric")), 0.01),
         ("consistency", o.join(c, o.o_custkey == c.c_custkey, "left_anti").agg(F.count(F.lit(1)).alias("metric")), 0),

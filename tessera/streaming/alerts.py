@@ -36,6 +36,14 @@ MSG_MANY = "{n} overdue tasks still open."
 
 
 def _micros(col: str):
+    """Batch: wall-clock microseconds, independent of the session time zone."""
+    from tessera.functions.columns import epoch_micros
+    return epoch_micros(col)
+
+
+def _instant_micros(col: str):
+    """Stream: microseconds of the zoned event time, the same clock as the
+    watermark and the state timeouts."""
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
@@ -104,7 +112,7 @@ def cooldown_stream(events: DataFrame, key: str, ts: str, tiebreak: str,
     taken in event-time order."""
     cooldown_us = cooldown_seconds * 1_000_000
     from tessera.streaming.events import with_event_time
-    ev = with_event_time(events, ts, watermark).select(key, tiebreak, ts, _micros(ts).alias("_t"))
+    ev = with_event_time(events, ts, watermark).select(key, tiebreak, ts, _instant_micros(ts).alias("_t"))
     key_type = dict(ev.dtypes)[key]
     tb_type = dict(ev.dtypes)[tiebreak]
     out_schema = f"{key} {key_type}, {tiebreak} {tb_type}, alert_us long"
@@ -148,8 +156,9 @@ def alert_digest(alerts: DataFrame, ts: str, title: str, pos: str,
     """One notification per tick (K-2): the number of alerts in the tick
     and the message; a single alert names its item, several are counted.
     The named item is the first by ``pos``."""
-    tick = F.timestamp_seconds(F.floor(_micros(ts) / (tick_seconds * 1_000_000)) * tick_seconds) \
-        .cast("timestamp_ntz").alias("tick")
+    from tessera.functions.columns import from_epoch_micros
+    tick_us = tick_seconds * 1_000_000
+    tick = from_epoch_micros(F.floor(_micros(ts) / tick_us) * tick_us).alias("tick")
     g = alerts.groupBy(tick).agg(F.count(F.lit(1)).alias("n_due"), F.min_by(title, pos).alias("first_title"))
     one = F.concat(F.lit('"'), F.col("first_title"), F.lit('" is overdue.'))
     many = F.concat(F.col("n_due").cast("string"), F.lit(" overdue tasks still open."))

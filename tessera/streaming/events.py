@@ -66,7 +66,8 @@ def late_report(df: DataFrame, key: str, arrival: str, ts: str, bucket=None) ->
     spread over many tasks."""
     from tessera.operators import windows as WB
     b = bucket if bucket is not None else F.floor(F.col(arrival) / F.lit(1_000_000))
-    d = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    from tessera.functions.columns import epoch_micros
+    d = df.withColumn("_t", epoch_micros(ts))
     d = WB.running(d, [key], [arrival], "_t", b, "_seen", "max", exclusive=True)
     lateness = F.greatest(F.col("_seen") - F.col("_t"), F.lit(0)) / F.lit(1_000_000)
     d = d.withColumn("lateness_s", F.coalesce(lateness, F.lit(0.0)))

@@ -38,6 +38,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import epoch_micros, from_epoch_micros
+
 
 def _runs(batches, key: str):
     """Complete (key, segment) runs of a sorted partition, across batches."""
@@ -102,8 +104,10 @@ def replay_segments(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_se
     if segment_seconds < cooldown_seconds:
         raise ValueError("segment_seconds must be at least the cooldown")
     cd_us, seg_us = cooldown_seconds * 1_000_000, segment_seconds * 1_000_000
+    from tessera.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)  # the shared folder of spark.checkpoint.dir
     in_types = dict(df.dtypes)
-    rows = (df.select(key, F.col(tiebreak).alias("_tb"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    rows = (df.select(key, F.col(tiebreak).alias("_tb"), epoch_micros(ts).alias("_t"))
             .withColumn("_seg", F.floor(F.col("_t") / F.lit(seg_us)).cast("long")))
     types = dict(rows.dtypes)
 
@@ -161,7 +165,7 @@ def replay_segments(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_se
     entries = path.filter(F.col("_pos") >= 0).withColumnRenamed("_pos", "_start")
     fires = sorted_runs(rows.join(entries, [key, "_seg"])).mapInPandas(
         _fires_fn(key, cd_us), f"{key} {types[key]}, _tb {types['_tb']}, _t long")
-    ts_col = F.timestamp_micros("_t").cast(in_types[ts]).alias(ts)
+    ts_col = from_epoch_micros("_t").cast(in_types[ts]).alias(ts)
     if tiebreak == ts:
         return fires.select(key, ts_col)
     return fires.select(key, F.col("_tb").alias(tiebreak), ts_col)
