@@ -114,6 +114,104 @@ def order_statistics(df: DataFrame, col, ranks: Sequence[int], buckets: int = 40
     return done
 
 
+def grouped_quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequence[float],
+                      buckets: int = 4096, small: int = 100_000, max_groups: int = 10_000,
+                      max_passes: int = 64) -> DataFrame:
+    """Exact R type 7 quantiles per group: ``(by..., q0, q1, ...)``.
+
+    The same selection as :func:`order_statistics`, run for every group at
+    once. The open ranges of all groups form a small table (at most
+    ``max_groups`` x ranks rows, checked) that is broadcast and joined to
+    the values on the group keys with a range condition; one histogram per
+    pass narrows every group's ranks. Bucket count shrinks with the number
+    of open ranges so a pass returns at most about a million cells.
+    """
+    by = list(by)
+    spark = df.sparkSession
+    x = nan_to_null(F.col(col).cast("double"))
+    v = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
+    stats = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
+                               F.max("_x").alias("hi")).limit(max_groups + 1).collect()
+    if len(stats) > max_groups:
+        raise ValueError(f"more than {max_groups} groups; use method='approx'")
+    want: dict[tuple, dict] = {}
+    open_: dict[tuple, tuple] = {}  # (group, rank) -> (lo, hi, below, count)
+    for row in stats:
+        g = tuple(row[c] for c in by)
+        n = row["n"]
+        want[g] = {}
+        for p in probs:
+            h = (n - 1) * p
+            a, b = math.floor(h), math.ceil(h)
+            want[g][p] = (a, b, h - a)
+            for r in (a, b):
+                open_[(g, r)] = (row["lo"], row["hi"], 0, n)
+    done: dict[tuple, float] = {}
+    key_types = {c: t for c, t in df.dtypes if c in by}
+    range_schema = ", ".join([f"{c} {key_types[c]}" for c in by] + ["_rid int", "_lo double", "_hi double"])
+
+    def ranges_frame(items):
+        rows = [(*g, i, lo, hi) for i, (g, lo, hi) in enumerate(items)]
+        return F.broadcast(spark.createDataFrame(rows, range_schema))
+
+    def attach(items):
+        rf = ranges_frame(items)
+        cond = [v[c].eqNullSafe(rf[c]) for c in by] + [v["_x"] >= rf["_lo"], v["_x"] <= rf["_hi"]]
+        return v.join(rf, cond).select("_rid", "_lo", "_hi", "_x")
+
+    for _ in range(max_passes):
+        for t, (lo, hi, _b, _c) in list(open_.items()):
+            if lo == hi:
+                done[t] = lo
+                del open_[t]
+        if not open_:
+            break
+        fetch = sorted({(t[0], lo, hi) for t, (lo, hi, _b, c) in open_.items() if c <= small}, key=repr)
+        if fetch:
+            per: dict[int, list] = {}
+            for rid, x_ in attach(fetch).select("_rid", "_x").collect():
+                per.setdefault(rid, []).append(x_)
+            for t, (lo, hi, below, _c) in list(open_.items()):
+                k = (t[0], lo, hi)
+                if k in fetch:
+                    vals = sorted(per.get(fetch.index(k), []))
+                    done[t] = vals[t[1] - below]
+                    del open_[t]
+        if not open_:
+            break
+        items = sorted({(t[0], lo, hi) for t, (lo, hi, _b, _c) in open_.items()}, key=repr)
+        nb = max(16, min(buckets, 1_000_000 // max(1, len(items))))
+        width = (F.col("_hi") - F.col("_lo")) / F.lit(nb)
+        cell = F.coalesce(F.least(F.floor(F.try_divide(F.col("_x") - F.col("_lo"), width)), F.lit(nb - 1)),
+                          F.lit(0)).cast("int")
+        hist = (attach(items).withColumn("_c", cell).groupBy("_rid", "_c")
+                .agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("mn"), F.max("_x").alias("mx")).collect())
+        cells: dict[int, list] = {}
+        for rid, c, cnt, mn, mx in hist:
+            cells.setdefault(rid, []).append((c, cnt, mn, mx))
+        for rid in cells:
+            cells[rid].sort()
+        for t, (lo, hi, below, _c) in list(open_.items()):
+            acc = below
+            for _cell, cnt, mn, mx in cells[items.index((t[0], lo, hi))]:
+                if t[1] < acc + cnt:
+                    open_[t] = (mn, mx, acc, cnt)
+                    break
+                acc += cnt
+    if open_:
+        raise RuntimeError("exact quantile search did not converge")
+    out = []
+    for g, ps in want.items():
+        qs = []
+        for p in probs:
+            a, b, frac = ps[p]
+            va, vb = done[(g, a)], done[(g, b)]
+            qs.append(va + (vb - va) * frac if frac else va)
+        out.append((*g, *qs))
+    schema = ", ".join([f"{c} {key_types[c]}" for c in by] + [f"_q{i} double" for i in range(len(probs))])
+    return spark.createDataFrame(out, schema)
+
+
 def exact_quantiles(df: DataFrame, col, probs: Sequence[float], **kw) -> list[float | None]:
     """R type 7 quantiles of the non-missing values (exact, scalable)."""
     st = _column_stats(_values(df, col))

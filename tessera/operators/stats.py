@@ -72,7 +72,15 @@ def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
             F.max("_x").alias("max"),
             F.stddev_samp("_x").alias("sd"),
             F.var_samp("_x").alias("variance")]
-    if by or method != "exact":
+    if by and method == "exact":
+        # per-group exact selection; the quantile table has one row per group (count checked)
+        from tessera.operators.quantiles import grouped_quantiles
+        qdf = grouped_quantiles(df, col, by, QUARTILES)
+        agg0 = df.select(*by, x.alias("_x")).groupBy(*by).agg(*base)
+        cond = [agg0[c].eqNullSafe(qdf[c]) for c in by]
+        agg = agg0.join(F.broadcast(qdf), cond, "left").select(agg0["*"], "_q0", "_q1", "_q2")
+        q1, med, q3 = F.col("_q0"), F.col("_q1"), F.col("_q2")
+    elif by or method != "exact":
         q = _quantiles(F.col("_x"), QUARTILES, method, accuracy)
         agg = df.select(*by, x.alias("_x")).groupBy(*by).agg(*base, q.alias("_q"))
         q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]

@@ -39,6 +39,22 @@ def test_missing_and_edge_sizes(spark):
     assert exact_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
 
 
+def test_grouped_quantiles_match_numpy(spark):
+    from tessera.operators.quantiles import grouped_quantiles
+    rng = random.Random(12)
+    rows = []
+    for i in range(12000):
+        g = "hot" if i % 3 == 0 else rng.choice(["a", "b", None])
+        x = 7.0 if (g == "hot" and i % 2 == 0) else rng.gauss(50, 20)
+        rows.append((g, None if i % 97 == 0 else x))
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    got = {r["g"]: [r["_q0"], r["_q1"], r["_q2"]] for r in
+           grouped_quantiles(df, "x", ["g"], [0.25, 0.5, 0.75], buckets=32, small=300).collect()}
+    for g in ["hot", "a", "b", None]:
+        xs = np.array([x for k, x in rows if k == g and x is not None])
+        assert got[g] == pytest.approx(list(np.quantile(xs, [0.25, 0.5, 0.75], method="linear")), rel=1e-12)
+
+
 def test_order_statistics_direct(spark):
     xs = list(range(1000))
     rng = random.Random(1)
