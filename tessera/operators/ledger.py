@@ -117,15 +117,21 @@ def rfm_scores(orders: DataFrame, customer: str, ts: str, amount: str, ref_time:
         F.datediff(ref, F.max(ts)).alias("recency_days"),
         F.count(F.lit(1)).alias("frequency"),
         F.sum(amount).alias("monetary"))
-    from tessera.operators.stats import global_quantiles
+    from tessera.operators.stats import MAP_DISTINCT_LIMIT, global_quantiles
     probs = [i / bins for i in range(1, bins)]
+    cols = ("recency_days", "frequency", "monetary")
     if method == "exact":
-        # the exact selection scans the per-customer table a few times: materialise it
-        # once in the shared checkpoint folder (also cuts the lineage)
-        from tessera.session import checkpoint_dir
-        checkpoint_dir(g.sparkSession)
-        g = g.checkpoint()
-    cuts = {c: global_quantiles(g, c, probs, method) for c in ("recency_days", "frequency", "monetary")}
+        # one HyperLogLog pass decides: bounded distinct counts -> Spark's exact percentile
+        # map in one pass; otherwise the selection, which scans the per-customer table a few
+        # times, so it is materialised once in the shared checkpoint folder (cuts lineage)
+        d = g.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+        if max(d[c] for c in cols) <= MAP_DISTINCT_LIMIT:
+            method = "map"
+        else:
+            from tessera.session import checkpoint_dir
+            checkpoint_dir(g.sparkSession)
+            g = g.checkpoint()
+    cuts = {c: global_quantiles(g, c, probs, method) for c in cols}
 
     def score(col, arr, higher_better=True):
         above = sum((F.col(col) > arr[i]).cast("int") for i in range(bins - 1))

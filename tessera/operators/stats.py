@@ -38,15 +38,33 @@ def _quantiles(c: Column, probs: Sequence[float], method: str, accuracy: int) ->
     raise ValueError("method must be 'exact', 'map' or 'approx'")
 
 
+# Spark's exact ``percentile`` keeps one map entry per distinct value of a
+# group in one task: used when the largest group has at most this many
+# distinct values (measured with HyperLogLog), otherwise the selection runs.
+MAP_DISTINCT_LIMIT = 100_000
+
+
+def few_distinct(df: DataFrame, col: str, by: Sequence[str] = (), limit: int = MAP_DISTINCT_LIMIT) -> bool:
+    """True when every group has at most ``limit`` distinct values of
+    ``col`` (one HyperLogLog aggregate)."""
+    x = nan_to_null(F.col(col).cast("double"))
+    d = df.select(*by, x.alias("_x")).groupBy(*by).agg(F.approx_count_distinct("_x").alias("d"))
+    biggest = d.agg(F.max("d")).first()[0]
+    return (biggest or 0) <= limit
+
+
 def global_quantiles(df: DataFrame, col: str, probs: Sequence[float], method: str = "exact",
                      accuracy: int = 10000) -> list[Column]:
     """Whole-column quantiles as columns usable on every row.
 
-    'exact': distributed selection (:mod:`tessera.operators.quantiles`),
-    exact at any size, returned as literals. 'map': Spark's ``percentile``
-    as one scalar subquery. 'approx': ``percentile_approx`` as one scalar
-    subquery.
+    'exact': Spark's ``percentile`` when the column has few distinct values
+    (bounded map), else the distributed selection
+    (:mod:`tessera.operators.quantiles`) - exact at any size, returned as
+    literals. 'map': Spark's ``percentile`` as one scalar subquery.
+    'approx': ``percentile_approx`` as one scalar subquery.
     """
+    if method == "exact" and few_distinct(df, col):
+        method = "map"
     if method == "exact":
         from tessera.operators.quantiles import exact_quantiles
         return [F.lit(v).cast("double") for v in exact_quantiles(df, col, probs)]
@@ -72,6 +90,8 @@ def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
             F.max("_x").alias("max"),
             F.stddev_samp("_x").alias("sd"),
             F.var_samp("_x").alias("variance")]
+    if method == "exact" and few_distinct(df, col, by):
+        method = "map"  # bounded value maps: one exact pass
     if by and method == "exact":
         # per-group exact selection; the quantile table has one row per group (count checked)
         from tessera.operators.quantiles import grouped_quantiles
