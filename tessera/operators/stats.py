@@ -68,9 +68,11 @@ def global_quantiles(df: DataFrame, col: str, probs: Sequence[float], method: st
     if method == "exact":
         from tessera.operators.quantiles import exact_quantiles
         return [F.lit(v).cast("double") for v in exact_quantiles(df, col, probs)]
+    # the one-row result is fetched once and used as literals, so a filter on
+    # it (e.g. a Tukey fence) is pushed into the parquet reader
     x = nan_to_null(F.col(col).cast("double"))
-    q = df.select(_quantiles(x, probs, method, accuracy).alias("q")).scalar()
-    return [q[i] for i in range(len(probs))]
+    q = df.select(_quantiles(x, probs, method, accuracy).alias("q")).first()["q"]
+    return [F.lit(None if q is None else q[i]).cast("double") for i in range(len(probs))]
 
 
 def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
