@@ -68,6 +68,35 @@ def test_citations_numbered_by_rank(spark):
     assert got == {1: ("[1] 30; [2] 10", 2), 2: ("[1] 5", 1)}
 
 
+def test_normalize_posts_rules(spark):
+    from tessera.operators import posts as P
+    df = spark.createDataFrame([(
+        "  Title ", "sum", "", [], "para one\n\n  para two \n \n\npara three", "a.png\n\n b.png \n"
+    )], "title string, summary string, linkText string, groups array<string>, content_raw string, gallery_raw string")
+    r = P.normalize_posts(df).first()
+    assert r["title"] == "Title" and r["linkText"] == "Read note" and r["groups"] == ["recent"]
+    assert r["content"] == ["para one", "para two", "para three"]
+    assert r["gallery"] == ["a.png", "b.png"]
+    assert P.validate_posts(spark.createDataFrame([("", "x"), ("t", ""), ("t", "s")], "title string, summary string")
+                            ).count() == 1
+
+
+def test_prepend_keeps_new_first_in_order(spark):
+    from tessera.operators import posts as P
+    base = spark.createDataFrame([("b1", 10), ("b2", 11)], "id string, pos long")
+    new = spark.createDataFrame([("n1", 5), ("n2", 7)], "id string, pos long")
+    got = [r["id"] for r in P.prepend(base, new).orderBy("pos").collect()]
+    assert got == ["n1", "n2", "b1", "b2"]
+
+
+def test_band_counts_fixed_domain(spark):
+    from tessera.functions.columns import DEFAULT_LABELS, classify_bands
+    df = spark.createDataFrame([(5.0,), (15.0,), (15.5,), (None,), (55.0,)], "x double") \
+        .withColumn("band", classify_bands(F.col("x")))
+    got = {r["band"]: r["n"] for r in T.count_by_domain(df, "band", DEFAULT_LABELS).collect()}
+    assert got == {"Very Low": 1, "Low": 2, "Moderate": 0, "High": 0, "Very High": 1}
+
+
 def test_stock_cover(spark):
     pos = spark.createDataFrame([("a", 30.0), ("b", 5.0)], "item string, stock double")
     moves = spark.createDataFrame([("a", "2024-01-20 00:00:00", -15.0), ("a", "2023-01-01 00:00:00", -99.0)],
