@@ -38,6 +38,15 @@ def test_fixed_dimensions_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan_text(q(spark, "star_view"))
 
 
+def test_indicator_join_broadcast_by_measured_size(spark):
+    # no hint on the indicator side (its size depends on the data): AQE broadcasts it after
+    # measuring it at run time, and would keep the sort-merge join for a large side
+    df = q(spark, "attach_indicator")
+    df.collect()
+    p = plan_text(df)
+    assert "isFinalPlan=true" in p and "BroadcastHashJoin" in p
+
+
 def test_slice_filters_reach_the_scan(spark):
     p = plan_text(q(spark, "slice_by"))
     assert "GreaterThanOrEqual(o_orderdate,1996-01-01T00:00)" in p
