@@ -164,6 +164,21 @@ def forecast_baseline(series: DataFrame, key: Sequence[str], order: str, col: st
             .withColumn("err_ma", F.abs(F.col(col) - F.col("moving_avg"))))
 
 
+# Default forecast scenarios and their multipliers.
+DEFAULT_SCENARIOS = (("low", 0.9), ("base", 1.0), ("high", 1.2))
+
+
+def forecast_scenarios(forecasts: DataFrame, col: str, scenarios=DEFAULT_SCENARIOS,
+                       name: str = "scenario_forecast") -> DataFrame:
+    """Scenario factors on a forecast (F-12): every row is repeated once per
+    scenario with the forecast scaled by the scenario's factor. The
+    scenarios are a literal array expanded by ``inline`` (a bounded
+    generator, no join)."""
+    arr = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(float(f)).alias("factor")) for s, f in scenarios])
+    return (forecasts.select("*", F.inline(arr))
+            .withColumn(name, F.col(col) * F.col("factor")))
+
+
 def backtest_summary(forecasts: DataFrame, key: Sequence[str]) -> DataFrame:
     """Mean absolute error of each baseline per key."""
     return forecasts.groupBy(*key).agg(F.avg("err_naive").alias("mae_naive"),

@@ -351,6 +351,16 @@ def forecast_backtest(spark, sf_dir):
     return rounded(ranking.backtest_summary(f, ["event_type"]))
 
 
+@register("forecast_scenarios", ops=("F-12",), sql=W(DAILY_CTE, FORECAST_SQL) + """
+SELECT f.event_type, f.day, round(f.moving_avg, 6) AS moving_avg, sc.scenario, sc.factor,
+       round(f.moving_avg * sc.factor, 6) AS scenario_forecast
+FROM f CROSS JOIN (VALUES ('low', 0.9), ('base', 1.0), ('high', 1.2)) sc(scenario, factor)""")
+def forecast_scenarios(spark, sf_dir):
+    f = ranking.forecast_baseline(_daily(spark, sf_dir), ["event_type"], "day", "value", 7, 4)
+    s = ranking.forecast_scenarios(f.select("event_type", "day", "moving_avg"), "moving_avg")
+    return rounded(s)
+
+
 INSIGHT_CTE = TREND_CTE + """,
 last AS (SELECT * FROM tr2 WHERE day = (SELECT max(day) FROM tr2 t WHERE t.event_type = tr2.event_type)),
 ins AS (SELECT event_type, change_pct,

@@ -41,4 +41,5 @@ ORACLE_CASTS: dict[str, dict[str, str]] = {
     "rdd_estimate": {'n_left': 'BIGINT', 'n_right': 'BIGINT'},
     "incidence_rates": {'cases': 'BIGINT'},
     "recommend_popular": {'rank': 'INTEGER'},
+    "forecast_scenarios": {'factor': 'DOUBLE'},
 }
