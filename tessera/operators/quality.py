@@ -128,6 +128,15 @@ def quality_score(profile_df: DataFrame, weights: dict[str, float] | None = None
     return agg.withColumn("score", score * 100)
 
 
+def root_causes(profile_df: DataFrame) -> DataFrame:
+    """Columns ranked by their share of missing values, with the rows they
+    affect (E-6 root-cause ranking / blast radius). The profile has one row
+    per column, so the ranking window is small."""
+    w = Window.orderBy(F.desc("missing_share"), "column_name")
+    return (profile_df.select("column_name", "missing_share", F.col("n_missing").alias("affected_rows"))
+            .withColumn("cause_rank", F.row_number().over(w)))
+
+
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence, keep: str = "first") -> DataFrame:
     """Keep one row per key, chosen by an explicit order (E-7).
 

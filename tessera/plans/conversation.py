@@ -142,6 +142,12 @@ def activity_timeline(spark, sf_dir):
     return C.activity_timeline(_msgs(spark, sf_dir), "day")
 
 
+@register("activity_timeline_month", ops=("D-25",), sql=W(LINES_CTE) + """
+SELECT CAST(date_trunc('month', ts) AS DATE) AS period, count(*) AS messages FROM msgs GROUP BY 1""")
+def activity_timeline_month(spark, sf_dir):
+    return C.activity_timeline(_msgs(spark, sf_dir), "month")
+
+
 @register("activity_map", ops=("D-25",), sql=W(LINES_CTE) + "SELECT isodow(ts) - 1 AS weekday, " + ", ".join(
     f"count_if(hour(ts) = {h}) AS h{h:02d}" for h in range(24)) + " FROM msgs GROUP BY 1")
 def activity_map(spark, sf_dir):

@@ -42,4 +42,5 @@ ORACLE_CASTS: dict[str, dict[str, str]] = {
     "incidence_rates": {'cases': 'BIGINT'},
     "recommend_popular": {'rank': 'INTEGER'},
     "forecast_scenarios": {'factor': 'DOUBLE'},
+    "root_causes": {'affected_rows': 'BIGINT', 'cause_rank': 'INTEGER'},
 }

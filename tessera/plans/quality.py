@@ -79,6 +79,14 @@ def quality_score(spark, sf_dir):
     return rounded(Q.quality_score(Q.profile(c, exact_distinct=True)))
 
 
+@register("root_causes", ops=("E-6",), sql=W(PROFILE_CTE) + """
+SELECT column_name, round(n_missing / n_rows, 6) AS missing_share, n_missing AS affected_rows,
+       row_number() OVER (ORDER BY n_missing / n_rows DESC, column_name) AS cause_rank FROM p""")
+def root_causes(spark, sf_dir):
+    c = tables(spark, sf_dir).customer.select(*CUSTOMER_COLS)
+    return rounded(Q.root_causes(Q.profile(c, exact_distinct=True)))
+
+
 @register("dedupe_latest_event", ops=("E-7",), sql="""
 SELECT user_id, event_type, event_id, ts, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)

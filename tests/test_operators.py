@@ -97,6 +97,18 @@ def test_band_counts_fixed_domain(spark):
     assert got == {"Very Low": 1, "Low": 2, "Moderate": 0, "High": 0, "Very High": 1}
 
 
+def test_impute_strategies(spark):
+    df = spark.createDataFrame([(1.0, "a"), (None, "b"), (5.0, None), (3.0, "b"), (float("nan"), "b")],
+                               "x double, s string")
+    mean = [r["x"] for r in Q.impute(df, ["x"], "mean").collect()]
+    median = [r["x"] for r in Q.impute(df, ["x"], "median").collect()]
+    mode = [r["s"] for r in Q.impute(df, ["s"], "mode").collect()]
+    const = [r["s"] for r in Q.impute(df, ["s"], "constant", "zz").collect()]
+    assert mean == [1.0, 3.0, 5.0, 3.0, 3.0] and median == [1.0, 3.0, 5.0, 3.0, 3.0]
+    assert mode == ["a", "b", "b", "b", "b"] and const == ["a", "b", "zz", "b", "b"]
+    assert Q.impute(df, ["s"], "drop").count() == 4
+
+
 def test_stock_cover(spark):
     pos = spark.createDataFrame([("a", 30.0), ("b", 5.0)], "item string, stock double")
     moves = spark.createDataFrame([("a", "2024-01-20 00:00:00", -15.0), ("a", "2023-01-01 00:00:00", -99.0)],
