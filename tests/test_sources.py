@@ -108,6 +108,25 @@ def test_schema_drift(spark):
     assert got == {"id": "retyped", "name": "removed", "score": "added"}
 
 
+def test_audit_log_partition_pruning(spark, tmp_dir):
+    import contextlib
+    import io
+
+    from tessera.operators.ledger import audit_trail, write_audit
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path = os.path.join(tmp_dir, "audit")
+    write_audit(ev, path, "ts")
+    log = spark.read.parquet(path).filter(F.col("log_date") == F.lit("2024-01-05").cast("date"))
+    got = audit_trail(log, "user_id", 7, "ts", "event_id")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        got.explain(mode="formatted")
+    plan = buf.getvalue()
+    assert "PartitionFilters: [isnotnull(log_date" in plan and "EqualTo(user_id,7)" in plan
+    exp = ev.filter((F.to_date("ts") == F.lit("2024-01-05").cast("date")) & (F.col("user_id") == 7)).count()
+    assert got.count() == exp
+
+
 def test_read_table_casts(spark, tmp_dir):
     path = os.path.join(tmp_dir, "t.csv")
     with open(path, "w") as f:
