@@ -273,6 +273,15 @@ def quality_gate(checks) -> DataFrame:
     return out
 
 
+def log_gate(results: DataFrame, path: str, run_ts: str) -> None:
+    """Append a gate run to its log (E-14): the results stamped with the run
+    time (a literal parameter) and written partitioned by run date, so a
+    history query reads only the days it asks for."""
+    ts = F.lit(run_ts).cast("timestamp_ntz")
+    (results.withColumn("run_ts", ts).withColumn("run_date", F.to_date(ts))
+     .write.mode("append").partitionBy("run_date").parquet(path))
+
+
 def readiness_scan(df: DataFrame, ts: str, value: str, min_periods: int = 28, min_volume: int = 20,
                    max_missing: float = 0.05, max_drift_cv: float = 0.25) -> DataFrame:
     """Descriptive-or-predictive advice (E-17) from per-day volume, missing

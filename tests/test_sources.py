@@ -127,6 +127,17 @@ def test_audit_log_partition_pruning(spark, tmp_dir):
     assert got.count() == exp
 
 
+def test_gate_log_appends_runs(spark, tmp_dir):
+    from tessera.plans.registry import load_all
+    gate = load_all()["quality_gate"].build(spark, "/root/testdata/sf0.001")
+    path = os.path.join(tmp_dir, "gate_log")
+    Q.log_gate(gate, path, "2024-03-01 06:00:00")
+    Q.log_gate(gate, path, "2024-03-02 06:00:00")
+    log = spark.read.parquet(path)
+    assert log.count() == 10 and log.select("run_date").distinct().count() == 2
+    assert log.filter(F.col("run_date") == F.lit("2024-03-02").cast("date")).count() == 5
+
+
 def test_read_table_casts(spark, tmp_dir):
     path = os.path.join(tmp_dir, "t.csv")
     with open(path, "w") as f:
