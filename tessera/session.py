@@ -78,3 +78,27 @@ def checkpoint_subdir(spark: SparkSession, name: str) -> str:
     if "://" in base:
         return base.rstrip("/") + "/" + name
     return os.path.join(base, name)
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application.
+
+    Python functions of the library run in executor processes, which may not
+    have the package installed. The zip is made on the driver and handed out by
+    Spark's own file distribution.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-lib-"), "tessera.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("tessera", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._tessera_shipped = True
