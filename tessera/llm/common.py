@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import checkpoint_subdir
+from tessera.session import checkpoint_subdir, ship_library
 from tessera.sources.tables import load
 
 
@@ -49,6 +49,7 @@ def hash_id(*cols: Column | str) -> Column:
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, pa.Array]]], schema: T.StructType) -> DataFrame:
     """mapInArrow with a function from one batch to dictionaries of columns."""
+    ship_library(df.sparkSession)
     names = schema.names
     arrow = _arrow_schema(schema)
 
@@ -62,6 +63,12 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, p
     return df.mapInArrow(run, schema)
 
 
+def group_arrow(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """applyInArrow over the groups of ``keys``; every group must be bounded."""
+    ship_library(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(fn, schema)
+
+
 def _typed(values: object, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

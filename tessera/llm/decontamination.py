@@ -40,7 +40,7 @@ from tessera.llm.fm_index import FMIndex
 
 WINDOW = 13
 GRAM = 4
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 20
 

@@ -7,16 +7,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination
+from tessera.llm import decontamination, embedding_dedup, sharding
 from tessera.llm.common import documents
 from tessera.sources.tables import load
 
 
+def op4_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), 16)
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_stratified_sharding": op4_stratified_sharding,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
