@@ -7,11 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, embedding_dedup, sharding
+from tessera.llm import decontamination, embedding_dedup, packing, sharding, token_files
 from tessera.llm.common import documents
 from tessera.sources.tables import load
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op4_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 16)
 
@@ -20,13 +24,19 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+def op7_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_stratified_sharding": op4_stratified_sharding,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_huffman_token_files": op7_huffman_token_files,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
