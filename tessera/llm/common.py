@@ -90,3 +90,34 @@ def list_array(values: pa.Array, sizes: object) -> pa.ListArray:
     offsets = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal (non-null) integer keys as one table each;
+    holds one group and one batch. The input must be sorted by the keys."""
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(n, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = last is None or tuple(c[0] for c in cols) != last
+        starts = np.flatnonzero(new)
+        if held and len(starts):
+            head = batch.slice(0, starts[0])
+            yield pa.Table.from_batches([*held, head] if len(head) else held)
+            held = []
+        bounds = np.append(starts, n)
+        for a, b in zip(bounds[:-2], bounds[1:-1]):
+            yield pa.Table.from_batches([batch.slice(a, b - a)])
+        a = bounds[-2] if len(starts) else 0
+        held.append(batch.slice(a, n - a))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)
