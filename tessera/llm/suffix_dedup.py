@@ -8,7 +8,8 @@ are judged on the input. The result is exact.
    ``anchor``-byte strings inside it. Equal windows have equal keys, and
    neighbouring windows mostly share theirs, so a text becomes a few *regions*:
    runs of windows with one key. Only (key, region hash, text, place) is
-   shuffled. Keys with a single region drop out.
+   shuffled. Keys drop out if they have a single region that holds its anchor
+   once.
 2. Regions with equal bytes fold into one class with their number as weight. A
    class that holds several copies repeats from end to end. Where a key has
    different classes, their bytes are fetched and the classes of whole keys are
@@ -52,13 +53,16 @@ HOT_BYTES = 8 << 20
 
 
 def regions(buf: np.ndarray, offs: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(text, start in the buffer, number of windows, key, hash of the bytes) of all regions."""
+    """(text, start in the buffer, number of windows, key, hash of the bytes,
+    whether the key's anchor stands in it twice) of all regions."""
     none = np.zeros(0, np.int64)
     if len(buf) < length:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     p = scan.prefix_hash(buf)
     at = np.arange(len(buf) - anchor + 1)
-    low = scan.sliding_min(scan.span_hash(p, at, at + anchor), length - anchor + 1)
+    hashes = scan.span_hash(p, at, at + anchor)
+    wide = length - anchor + 1
+    low = scan.sliding_min(hashes, wide)
     sizes = np.diff(offs)
     text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     m = len(low)  # window starts
@@ -73,7 +77,16 @@ def regions(buf: np.ndarray, offs: np.ndarray, length: int, anchor: int) -> tupl
         k = -(-n // MAX_RUN)
         piece = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
         s, n = np.repeat(s, k) + piece * MAX_RUN, np.minimum(np.repeat(n, k) - piece * MAX_RUN, MAX_RUN)
-    return text[s].astype(np.int64), s, n, low[s].view(np.int64), scan.span_hash(p, s, s + n + length - 1).view(np.int64)
+    key = low[s]
+    # anchors: strings that are the smallest of some window (the largest of the minima around them)
+    edge = np.full(wide - 1, np.uint64(0xFFFFFFFFFFFFFFFF))
+    anchors = np.flatnonzero(~scan.sliding_min(np.concatenate([edge, ~low, edge]), wide) == hashes)
+    a, b = np.searchsorted(anchors, s), np.searchsorted(anchors, s + n + wide - 1)
+    k = b - a
+    of = np.repeat(np.arange(len(s)), k)
+    which = anchors[np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(a, k)]
+    twice = np.bincount(of[hashes[which] == key[of]], minlength=len(s)) >= 2
+    return text[s].astype(np.int64), s, n, key.view(np.int64), scan.span_hash(p, s, s + n + length - 1).view(np.int64), twice
 
 
 REGION = T.StructType([T.StructField("key", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("fp", T.LongType()),
@@ -81,13 +94,15 @@ REGION = T.StructType([T.StructField("key", T.LongType()), T.StructField("hash",
 
 
 def _text_regions(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Regions of every text (fp); a text that repeats in a batch is scanned once and weighs as often."""
+    """Regions of every text (fp); a text that repeats in a batch is scanned
+    once and weighs as often. ``weight`` is twice that number, plus one if the
+    region may repeat inside itself."""
     def fn(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Array]]:
         fps, first, back, weight = _firsts(batch.column("fp").to_numpy())
         col = batch.column("text").take(pa.array(first))
         for i, j, buf, offs in scan.text_slices(col):
-            t, s, n, key, h = regions(buf, offs, length, anchor)
-            yield {"key": key, "hash": h, "fp": fps[i + t], "start": s - offs[t], "windows": n, "weight": weight[i + t]}
+            t, s, n, key, h, twice = regions(buf, offs, length, anchor)
+            yield {"key": key, "hash": h, "fp": fps[i + t], "start": s - offs[t], "windows": n, "weight": 2 * weight[i + t] + twice}
 
     return map_arrow(docs.select("text", "fp"), fn, REGION)
 
@@ -97,14 +112,14 @@ def _firsts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _repeated_keys(rows: DataFrame) -> DataFrame:
-    """Rows whose key weighs two or more in all. Streams through sorted keys with one row of state."""
+    """Rows whose key has two regions or one that may repeat inside itself.
+    Streams through sorted keys with one row of state."""
     names = to_arrow_schema(rows.schema)
     key_at, weight_at = rows.columns.index("key"), rows.columns.index("weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, if its fate is open
         last: int | None = None
-        known = False
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -113,15 +128,15 @@ def _repeated_keys(rows: DataFrame) -> DataFrame:
             new[1:] = key[1:] != key[:-1]
             starts = np.flatnonzero(new)
             total = np.add.reduceat(weight, starts)
-            live = total >= 2
+            live = total >= 3
             if last is not None and key[0] == last:
                 live[0] = True
                 if held is not None:
                     yield held
             held = None
             keep = np.repeat(live, np.diff(np.append(starts, len(key))))
-            last, known = int(key[-1]), bool(live[-1])
-            if not known:
+            last = int(key[-1])
+            if not live[-1]:
                 held = batch.slice(len(key) - 1, 1)
             yield batch.filter(pa.array(keep))
 
@@ -193,7 +208,7 @@ def _cut_finer(classes: DataFrame, length: int, anchor: int) -> DataFrame:
         sizes = np.array([x.as_buffer().size for x in col], np.int64)
         buf = np.frombuffer(b"".join(x.as_py() for x in col), np.uint8)
         offs = np.concatenate([[0], np.cumsum(sizes)])
-        t, s, n, key, h = regions(buf, offs, length, anchor)
+        t, s, n, key, h, _ = regions(buf, offs, length, anchor)
         # the finer key only divides the old one
         key = scan.mix(key.view(np.uint64) ^ scan.mix(up_key[t].view(np.uint64))).view(np.int64)
         for a in range(0, len(t), 1 << 14):
@@ -230,10 +245,12 @@ def text_spans(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] =
     """(fp, spans): covered byte ranges, not yet merged, of every text (text, fp) that has any."""
     found = saved(_repeated_keys(_text_regions(docs, length, anchors[0])), "regions")
     classes = saved(found.groupBy("key", "hash").agg(
-        F.sum("weight").alias("weight"), F.first("windows").alias("windows"), F.min(F.struct("fp", "start")).alias("at")), "classes")
+        F.sum(F.expr("weight div 2")).alias("weight"), F.max(F.expr("weight % 2")).alias("inner"),
+        F.first("windows").alias("windows"), F.min(F.struct("fp", "start")).alias("at")), "classes")
     whole = classes.where("weight >= 2").select(
         "key", "hash", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") + length - 1).cast("int").alias("b"))).alias("spans"))
-    mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.max("weight").alias("most"))
+    mixed = mixed.where("n > 1 OR (inner = 1 AND most = 1)").select("key")
     places = classes.join(mixed, "key", "left_semi").select("at.fp", F.struct("key", "hash", "weight", F.col("at.start").alias("start"), "windows").alias("place"))
     places = places.groupBy("fp").agg(F.collect_list("place").alias("places"))  # regions of one text
     rows = docs.groupBy("fp").agg(F.min("row_key").alias("row_key"))  # one row that holds the text
