@@ -1,27 +1,59 @@
-"""The corpus pipeline: every stage works on what the one before it kept."""
+"""The corpus pipeline: every stage works on what the one before it kept.
+
+1. ``quality_classifier`` drops documents that are more likely toxic than not,
+   or more likely bad than good.
+2. ``ngram_jaccard_join`` keeps one document of each group of near duplicates.
+3. ``suffix_array_dedup`` cuts passages that repeat across what is left.
+4. ``benchmark_decontamination`` drops contaminated documents.
+5. ``best_fit_packing`` places the token pieces of the rest in sequences.
+
+All stages but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontamination
+from tessera.llm import decontamination, ngram_jaccard, packing, quality, suffix_dedup
 from tessera.llm.common import documents, saved
 from tessera.sources.tables import load
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, load(spark, sf_dir, "labels"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.keep_one(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.remove_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
 
-#: The stages hold trained scores, tokenizers and packing: not expressible in SQL.
+#: The stages hold a trained model, tokenizers and packing: not expressible in SQL.
 ORACLE_SQL = None
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import (decontamination, embedding_dedup, language_id, ngram_jaccard, packing, sharding, suffix_dedup,
-                         token_counts, token_files)
+from tessera.llm import (decontamination, embedding_dedup, language_id, ngram_jaccard, packing, quality, sharding,
+                         suffix_dedup, token_counts, token_files)
 from tessera.llm.common import documents
 from tessera.sources.tables import load
 
@@ -29,6 +29,10 @@ def op4_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 16)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), load(spark, sf_dir, "labels")).drop("row_key")
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_stratified_sharding": op4_stratified_sharding,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_huffman_token_files": op7_huffman_token_files,
     "op8_token_counts": op8_token_counts,
