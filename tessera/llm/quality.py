@@ -47,7 +47,10 @@ LEAST_DOCS = 4
 BINS = 32
 TARGETS = ("quality", "toxic")
 STEPS = 200
-PENALTY = 1e-4
+#: Weights have a normal prior of this precision, so the penalty a document falls as the sample grows.
+PRECISION = 1.0
+#: Features must be associated with a target by so many standard deviations.
+LEAST_Z = 3.0
 FILTER_BITS = 18
 SEED = 5
 SITE_PRIOR = 0.5
@@ -126,7 +129,7 @@ class Evidence:
         return np.bincount(owner, w[feature], texts) + w[-1]
 
 
-def fit_logistic(owner: np.ndarray, feature: np.ndarray, width: int, y: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> np.ndarray:
+def fit_logistic(owner: np.ndarray, feature: np.ndarray, width: int, y: np.ndarray, steps: int = STEPS, precision: float = PRECISION) -> np.ndarray:
     """Logistic regression with an L2 penalty on sparse 0/1 rows (Adam); bias last."""
     n = len(y)
     w = np.zeros(width + 1)
@@ -136,7 +139,7 @@ def fit_logistic(owner: np.ndarray, feature: np.ndarray, width: int, y: np.ndarr
     for t in range(1, steps + 1):
         z = np.bincount(owner, w[feature], n) + w[-1]
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g = np.append(np.bincount(feature, r[owner], width) + penalty * w[:-1], r.sum())
+        g = np.append(np.bincount(feature, r[owner], width) + precision / n * w[:-1], r.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     return w
@@ -186,7 +189,7 @@ def train(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     for t in usable:
         a, b = F.col(f"{t}1") / size[t, 1], F.col(f"{t}0") / size[t, 0]
         score = F.abs(a - b) / F.sqrt(a / size[t, 1] + b / size[t, 0] + 1.0 / (size[t, 1] * size[t, 0]))
-        keys |= {r[0] for r in sums.select("feature", score.alias("z")).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()}
+        keys |= {r[0] for r in sums.select("feature", score.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()}
     found = np.sort(np.array(sorted(keys), np.int64).view(np.uint64))
 
     shaped = T.StructType([T.StructField("shape", T.ArrayType(T.DoubleType())), T.StructField("features", T.ArrayType(T.IntegerType())),
