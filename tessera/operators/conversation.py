@@ -249,7 +249,8 @@ def retrieve_memory(turns: DataFrame, chat: str, order: str, text: str, n: int,
                  F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]).alias("_tail")))
     w_b = Window.partitionBy(chat).orderBy("_b").rowsBetween(-n, -1)
     carry = tails.withColumn("_carry", _last_n(F.flatten(F.collect_list("_tail").over(w_b)), n)).drop("_tail")
-    out = (b.join(carry, [chat, "_b"])
+    from tessera.operators.windows import null_safe_join
+    out = (null_safe_join(b, carry, [chat, "_b"])
            .withColumn("context", _last_n(F.concat(F.coalesce("_carry", F.array().cast("array<string>")), "_in"), n))
            .drop("_b", "_in", "_carry"))
     return out.filter(query) if query is not None else out

@@ -57,7 +57,8 @@ def stock_history(moves: DataFrame, item: str = "item", ts: str = "ts", tiebreak
     tb = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
     wr = (Window.partitionBy(item, "_bucket").orderBy(ts, *tb, qty)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (m.join(offsets, [item, "_bucket"])
+    from tessera.operators.windows import null_safe_join
+    return (null_safe_join(m, offsets, [item, "_bucket"])
             .withColumn("balance", F.col("_offset") + F.sum(qty).over(wr))
             .drop("_bucket", "_offset"))
 
@@ -74,7 +75,8 @@ def receipt(lines: DataFrame, sale: str, qty: str, price: str, discount: str | N
     l2 = lines.withColumn("line_total", line_total)
     totals = l2.groupBy(sale).agg(F.sum("line_total").alias("grand_total"),
                                   F.count(F.lit(1)).alias("n_lines"))
-    return l2.join(totals, sale)
+    from tessera.operators.windows import null_safe_join
+    return null_safe_join(l2, totals, [sale])
 
 
 def order_lifecycle(events: DataFrame, allowed: DataFrame, key: str, ts: str, status: str,
@@ -98,7 +100,8 @@ def payment_match(evidence: DataFrame, orders: DataFrame, ref: str, amount: str,
     evidence), 'amount_mismatch' or 'matched'. Evidence needs an ``evidence_id``."""
     uses = evidence.groupBy(ref).agg(F.min("evidence_id").alias("_first"))
     o = orders.select(F.col(order_key).alias(ref), F.col(order_amount).alias("_due"))
-    j = evidence.join(uses, ref).join(o, ref, "left")
+    # evidence without a reference belongs to no order and stays, as 'unknown_order'
+    j = evidence.join(uses, ref, "left").join(o, ref, "left")
     status = (F.when(F.col("_due").isNull(), "unknown_order")
               .when(F.col("evidence_id") != F.col("_first"), "duplicate")
               .when(F.abs(F.col(amount) - F.col("_due")) > F.lit(tol) * F.abs(F.col("_due")), "amount_mismatch")
@@ -109,28 +112,16 @@ def payment_match(evidence: DataFrame, orders: DataFrame, ref: str, amount: str,
 def rfm_scores(orders: DataFrame, customer: str, ts: str, amount: str, ref_time: str,
                bins: int = 5, method: str = "exact") -> DataFrame:
     """Recency / frequency / monetary per customer and 1..bins scores from
-    global cut points (G-11). Cut points are one scalar subquery of quantiles
-    (exact selection or ``percentile_approx``), so scoring is a
-    projection, not a global sort."""
+    global cut points (G-11). Cut points are scalar subqueries of quantiles,
+    so scoring is a projection, not a global sort."""
     ref = F.lit(ref_time).cast("timestamp_ntz")
     g = orders.groupBy(customer).agg(
         F.datediff(ref, F.max(ts)).alias("recency_days"),
         F.count(F.lit(1)).alias("frequency"),
         F.sum(amount).alias("monetary"))
-    from tessera.operators.stats import MAP_DISTINCT_LIMIT, global_quantiles
+    from tessera.operators.stats import global_quantiles
     probs = [i / bins for i in range(1, bins)]
     cols = ("recency_days", "frequency", "monetary")
-    if method == "exact":
-        # one HyperLogLog pass decides: bounded distinct counts -> Spark's exact percentile
-        # map in one pass; otherwise the selection, which scans the per-customer table a few
-        # times, so it is materialised once in the shared checkpoint folder (cuts lineage)
-        d = g.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-        if max(d[c] for c in cols) <= MAP_DISTINCT_LIMIT:
-            method = "map"
-        else:
-            from tessera.session import checkpoint_dir
-            checkpoint_dir(g.sparkSession)
-            g = g.checkpoint()
     cuts = {c: global_quantiles(g, c, probs, method) for c in cols}
 
     def score(col, arr, higher_better=True):

@@ -1,232 +1,73 @@
-"""Exact quantiles that scale: distributed selection by histogram refinement.
-
-Spark's exact ``percentile`` aggregate keeps a value->count map of the whole
-column in one reducer, which does not survive a 100 TB column with many
-distinct values; ``percentile_approx`` is bounded but not exact. This module
-finds the exact order statistics instead:
-
-1. one aggregate gives ``n``, ``min`` and ``max`` of the column;
-2. each target rank starts with the candidate range ``[min, max]``;
-3. a pass computes, for every open range at once, an equal-width histogram
-   of ``buckets`` cells with count, min and max per cell (at most
-   ``buckets`` rows per range come back to the driver) and narrows each rank
-   to the one cell that holds it. The cell index is monotone in the value,
-   so the cell's ``[min, max]`` contains exactly that cell's values;
-4. a range whose values are all equal is finished; a range with at most
-   ``small`` values is sorted and the rank read off (those values are the
-   only rows ever fetched).
-
-Ranges shrink by about ``buckets`` per pass on smooth data and immediately on
-heavy duplicates, so quartiles take a handful of narrow scans of one column
-whose range predicates are pushed into the parquet reader. Interpolation is
-R type 7 (DuckDB ``quantile_cont``): ``h = (n-1)p``, linear between the
-values at ranks ``floor(h)`` and ``ceil(h)``.
+"""Exact quantiles of any column size and group count, as one plan.
+
+Spark's exact ``percentile`` keeps a value -> count map of a whole group in one
+reducer; ``percentile_approx`` is bounded but not exact. Here the sketch only
+says where to look:
+
+1. one sketch aggregate per group gives, for each probability p, values at
+   p - d and p + d; with an accuracy of 4 / d their rank errors are d / 4 of
+   the rows, so the wanted ranks lie between them. A group of up to 16 / d rows
+   has no bracket: it is its own candidate set;
+2. one aggregate counts the rows below each bracket and the rows of each value
+   inside it (about 2 d of the rows);
+3. a running count over a group's bracketed values gives the values at the
+   ranks floor(h) and ceil(h), h = (n - 1) p.
+
+Interpolation is R type 7 (DuckDB ``quantile_cont``): linear between those
+values. Nothing runs while the plan is built and nothing passes through the
+driver; the same plan serves every size. NaN counts as missing.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import nan_to_null
 
-
-def _values(df: DataFrame, col) -> DataFrame:
-    x = nan_to_null(F.col(col).cast("double")) if isinstance(col, str) else nan_to_null(col.cast("double"))
-    return df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-
-
-def _column_stats(v: DataFrame):
-    return v.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
-
-
-def _tag(ranges):
-    """Range id of a value (ranges of one pass are disjoint or equal)."""
-    rid = None
-    for i, (lo, hi) in enumerate(ranges):
-        cond = (F.col("_x") >= F.lit(lo)) & (F.col("_x") <= F.lit(hi))
-        rid = F.when(cond, F.lit(i)) if rid is None else rid.when(cond, F.lit(i))
-    return rid
+#: Half width of a bracket, as a share of the rows of its group.
+HALF = 4e-4
 
 
-def order_statistics(df: DataFrame, col, ranks: Sequence[int], buckets: int = 4096,
-                     small: int = 100_000, max_passes: int = 64, stats=None) -> dict[int, float]:
-    """Exact values at the given 0-based ranks of the non-missing values.
+def grouped_quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequence[float], half: float = HALF) -> DataFrame:
+    """``(by..., _q0, _q1, ...)``: exact quantiles of the non-missing values of
+    every group that has any. Null keys are a group."""
+    from tessera.operators.windows import null_safe_join
 
-    Jobs: one for n/min/max, one histogram per refinement round, one final
-    fetch of the (at most ``small`` per range) remaining candidates.
-    """
-    v = _values(df, col)
-    st = stats or _column_stats(v)
-    if not st["n"]:
-        return {r: None for r in ranks}
-    # open targets: rank -> (lo, hi, rows strictly below lo, rows in [lo, hi])
-    open_ = {r: (st["lo"], st["hi"], 0, st["n"]) for r in sorted(set(ranks))}
-    done: dict[int, float] = {}
-    for _ in range(max_passes):
-        for r, (lo, hi, _b, _c) in list(open_.items()):
-            if lo == hi:
-                done[r] = lo
-                del open_[r]
-        if not open_:
-            break
-        fetch = sorted({(lo, hi) for lo, hi, _, c in open_.values() if c <= small})
-        if fetch:
-            rows = v.withColumn("_r", _tag(fetch)).filter(F.col("_r").isNotNull()).select("_r", "_x").collect()
-            per: dict[int, list] = {}
-            for i, x in rows:
-                per.setdefault(i, []).append(x)
-            for r, (lo, hi, below, c) in list(open_.items()):
-                if (lo, hi) in fetch:
-                    vals = sorted(per[fetch.index((lo, hi))])
-                    done[r] = vals[r - below]
-                    del open_[r]
-        if not open_:
-            break
-        ranges = sorted({(lo, hi) for lo, hi, _, _ in open_.values()})
-        bounds = F.array(*[F.array(F.lit(lo), F.lit(hi)) for lo, hi in ranges])
-        lo_c = F.element_at(bounds, F.col("_r") + 1)[0]
-        hi_c = F.element_at(bounds, F.col("_r") + 1)[1]
-        width = (hi_c - lo_c) / F.lit(buckets)
-        cell = F.coalesce(F.least(F.floor(F.try_divide(F.col("_x") - lo_c, width)), F.lit(buckets - 1)),
-                          F.lit(0)).cast("int")
-        hist = (v.withColumn("_r", _tag(ranges)).filter(F.col("_r").isNotNull()).withColumn("_c", cell)
-                .groupBy("_r", "_c").agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("mn"),
-                                         F.max("_x").alias("mx"))
-                .collect())
-        cells: dict[int, list] = {}
-        for i, c, cnt, mn, mx in hist:
-            cells.setdefault(i, []).append((c, cnt, mn, mx))
-        for i in cells:
-            cells[i].sort()
-        for r, (lo, hi, below, _c) in list(open_.items()):
-            acc = below
-            for _cell, cnt, mn, mx in cells[ranges.index((lo, hi))]:
-                if r < acc + cnt:
-                    open_[r] = (mn, mx, acc, cnt)
-                    break
-                acc += cnt
-    if open_:
-        raise RuntimeError("exact quantile search did not converge")
-    return done
-
-
-def grouped_quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequence[float],
-                      buckets: int = 4096, small: int = 100_000, max_groups: int = 10_000,
-                      max_passes: int = 64) -> DataFrame:
-    """Exact R type 7 quantiles per group: ``(by..., q0, q1, ...)``.
-
-    The same selection as :func:`order_statistics`, run for every group at
-    once. The open ranges of all groups form a small table (at most
-    ``max_groups`` x ranks rows, checked) that is broadcast and joined to
-    the values on the group keys with a range condition; one histogram per
-    pass narrows every group's ranks. Bucket count shrinks with the number
-    of open ranges so a pass returns at most about a million cells.
-    """
     by = list(by)
-    spark = df.sparkSession
-    x = nan_to_null(F.col(col).cast("double"))
-    v = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
-    stats = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
-                               F.max("_x").alias("hi")).limit(max_groups + 1).collect()
-    if len(stats) > max_groups:
-        raise ValueError(f"more than {max_groups} groups; use method='approx'")
-    want: dict[tuple, dict] = {}
-    open_: dict[tuple, tuple] = {}  # (group, rank) -> (lo, hi, below, count)
-    for row in stats:
-        g = tuple(row[c] for c in by)
-        n = row["n"]
-        want[g] = {}
-        for p in probs:
-            h = (n - 1) * p
-            a, b = math.floor(h), math.ceil(h)
-            want[g][p] = (a, b, h - a)
-            for r in (a, b):
-                open_[(g, r)] = (row["lo"], row["hi"], 0, n)
-    done: dict[tuple, float] = {}
-    key_types = {c: t for c, t in df.dtypes if c in by}
-    range_schema = ", ".join([f"{c} {key_types[c]}" for c in by] + ["_rid int", "_lo double", "_hi double"])
-
-    def ranges_frame(items):
-        rows = [(*g, i, lo, hi) for i, (g, lo, hi) in enumerate(items)]
-        return F.broadcast(spark.createDataFrame(rows, range_schema))
-
-    def attach(items):
-        rf = ranges_frame(items)
-        cond = [v[c].eqNullSafe(rf[c]) for c in by] + [v["_x"] >= rf["_lo"], v["_x"] <= rf["_hi"]]
-        return v.join(rf, cond).select("_rid", "_lo", "_hi", "_x")
-
-    for _ in range(max_passes):
-        for t, (lo, hi, _b, _c) in list(open_.items()):
-            if lo == hi:
-                done[t] = lo
-                del open_[t]
-        if not open_:
-            break
-        fetch = sorted({(t[0], lo, hi) for t, (lo, hi, _b, c) in open_.items() if c <= small}, key=repr)
-        if fetch:
-            per: dict[int, list] = {}
-            for rid, x_ in attach(fetch).select("_rid", "_x").collect():
-                per.setdefault(rid, []).append(x_)
-            for t, (lo, hi, below, _c) in list(open_.items()):
-                k = (t[0], lo, hi)
-                if k in fetch:
-                    vals = sorted(per.get(fetch.index(k), []))
-                    done[t] = vals[t[1] - below]
-                    del open_[t]
-        if not open_:
-            break
-        items = sorted({(t[0], lo, hi) for t, (lo, hi, _b, _c) in open_.items()}, key=repr)
-        nb = max(16, min(buckets, 1_000_000 // max(1, len(items))))
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(nb)
-        cell = F.coalesce(F.least(F.floor(F.try_divide(F.col("_x") - F.col("_lo"), width)), F.lit(nb - 1)),
-                          F.lit(0)).cast("int")
-        hist = (attach(items).withColumn("_c", cell).groupBy("_rid", "_c")
-                .agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("mn"), F.max("_x").alias("mx")).collect())
-        cells: dict[int, list] = {}
-        for rid, c, cnt, mn, mx in hist:
-            cells.setdefault(rid, []).append((c, cnt, mn, mx))
-        for rid in cells:
-            cells[rid].sort()
-        for t, (lo, hi, below, _c) in list(open_.items()):
-            acc = below
-            for _cell, cnt, mn, mx in cells[items.index((t[0], lo, hi))]:
-                if t[1] < acc + cnt:
-                    open_[t] = (mn, mx, acc, cnt)
-                    break
-                acc += cnt
-    if open_:
-        raise RuntimeError("exact quantile search did not converge")
-    out = []
-    for g, ps in want.items():
-        qs = []
-        for p in probs:
-            a, b, frac = ps[p]
-            va, vb = done[(g, a)], done[(g, b)]
-            qs.append(va + (vb - va) * frac if frac else va)
-        out.append((*g, *qs))
-    schema = ", ".join([f"{c} {key_types[c]}" for c in by] + [f"_q{i} double" for i in range(len(probs))])
-    return spark.createDataFrame(out, schema)
-
-
-def exact_quantiles(df: DataFrame, col, probs: Sequence[float], **kw) -> list[float | None]:
-    """R type 7 quantiles of the non-missing values (exact, scalable)."""
-    st = _column_stats(_values(df, col))
-    n = st["n"]
-    kw.setdefault("stats", st)
-    if n == 0:
-        return [None for _ in probs]
-    want = {}
-    for p in probs:
-        h = (n - 1) * p
-        want[p] = (math.floor(h), math.ceil(h), h - math.floor(h))
-    ranks = {r for a, b, _ in want.values() for r in (a, b)}
-    vals = order_statistics(df, col, sorted(ranks), **kw)
-    out = []
-    for p in probs:
-        a, b, frac = want[p]
-        out.append(vals[a] + (vals[b] - vals[a]) * frac if frac else vals[a])
-    return out
+    x = nan_to_null(F.col(col).cast("double")).alias("_x")
+    v = df.select(*by, x).filter(F.col("_x").isNotNull())
+    edges = [e for p in probs for e in (max(0.0, p - half), min(1.0, p + half))]
+    groups = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", edges, int(4 / half)).alias("_e"))
+    small = F.col("_n") <= int(16 / half)
+    brackets = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        brackets.append(F.struct(
+            F.lit(i).alias("i"), F.when(~small, F.col("_e")[2 * i]).alias("lo"), F.when(~small, F.col("_e")[2 * i + 1]).alias("hi"),
+            F.floor(h).alias("first"), F.ceil(h).alias("second"), (h - F.floor(h)).alias("part")))
+    targets = groups.select(*by, F.array(*brackets).alias("_t"))
+    # without groups the brackets are one scalar, not a join
+    rows = null_safe_join(v, targets, by) if by else v.withColumn("_t", targets.select("_t").scalar())
+    rows = rows.select(*by, "_x", F.explode("_t").alias("_t")).filter(F.col("_t.hi").isNull() | (F.col("_x") <= F.col("_t.hi")))
+    below = F.col("_x") < F.col("_t.lo")
+    # rows below a bracket count together, under a null value that sorts first
+    counts = rows.groupBy(*by, "_t", F.when(~F.coalesce(below, F.lit(False)), F.col("_x")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_t.i").orderBy("_v"))
+    counts = counts.withColumn("_upto", upto)
+    ranks = counts.groupBy(*by, F.col("_t.i").alias("_i"), F.col("_t.part").alias("_part")).agg(
+        F.min(F.when(F.col("_upto") > F.col("_t.first"), F.col("_v"))).alias("_a"),
+        F.min(F.when(F.col("_upto") > F.col("_t.second"), F.col("_v"))).alias("_b"))
+    value = F.when(F.col("_part") > 0, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).otherwise(F.col("_a"))
+    return ranks.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, value)).alias(f"_q{i}") for i in range(len(probs))])
+
+
+def column_quantiles(df: DataFrame, col: str, probs: Sequence[float], half: float = HALF) -> list[Column]:
+    """Quantiles of a whole column as columns usable on every row: one scalar
+    subquery, shared by all of them; null for a column without values."""
+    q = grouped_quantiles(df, col, (), probs, half)
+    names = [f"_q{i}" for i in range(len(probs))]
+    one = q.select(F.struct(*names).alias("s")).scalar()
+    return [one[n] for n in names]

@@ -7,13 +7,10 @@ ships the single value to the tasks and can push it into the parquet scan. No
 cross join, no driver round trip.
 
 Quantiles (linear interpolation between closest ranks, the same as R type 7
-and DuckDB ``quantile_cont``): for a whole column ``method="exact"`` runs a
-distributed selection (:mod:`tessera.operators.quantiles`), exact at any
-size; per group it uses Spark's ``percentile``, which keeps a value->count
-map per group and is meant for bounded cardinality per group.
-``method="approx"`` uses ``percentile_approx`` (a mergeable sketch, bounded
-memory at any size); it returns an actual data value and does not
-interpolate.
+and DuckDB ``quantile_cont``): ``method="exact"`` brackets the wanted ranks with
+a sketch and counts inside the brackets (:mod:`tessera.operators.quantiles`),
+for any size and any number of groups. ``method="approx"`` uses
+``percentile_approx``; it returns an actual data value and does not interpolate.
 """
 
 from __future__ import annotations
@@ -24,55 +21,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import nan_to_null
+from tessera.operators.quantiles import column_quantiles, grouped_quantiles
+from tessera.operators.windows import null_safe_join
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def _quantiles(c: Column, probs: Sequence[float], method: str, accuracy: int) -> Column:
-    """Quantile aggregate for grouped use: 'exact' is Spark's per-group
-    value map (fine for bounded cardinality per group), 'approx' a sketch."""
-    if method in ("exact", "map"):
-        return F.percentile(c, list(probs))
-    if method == "approx":
-        return F.percentile_approx(c, list(probs), accuracy)
-    raise ValueError("method must be 'exact', 'map' or 'approx'")
-
-
-# Spark's exact ``percentile`` keeps one map entry per distinct value of a
-# group in one task: used when the largest group has at most this many
-# distinct values (measured with HyperLogLog), otherwise the selection runs.
-MAP_DISTINCT_LIMIT = 100_000
-
-
-def few_distinct(df: DataFrame, col: str, by: Sequence[str] = (), limit: int = MAP_DISTINCT_LIMIT) -> bool:
-    """True when every group has at most ``limit`` distinct values of
-    ``col`` (one HyperLogLog aggregate)."""
-    x = nan_to_null(F.col(col).cast("double"))
-    d = df.select(*by, x.alias("_x")).groupBy(*by).agg(F.approx_count_distinct("_x").alias("d"))
-    biggest = d.agg(F.max("d")).first()[0]
-    return (biggest or 0) <= limit
-
-
 def global_quantiles(df: DataFrame, col: str, probs: Sequence[float], method: str = "exact",
                      accuracy: int = 10000) -> list[Column]:
-    """Whole-column quantiles as columns usable on every row.
-
-    'exact': Spark's ``percentile`` when the column has few distinct values
-    (bounded map), else the distributed selection
-    (:mod:`tessera.operators.quantiles`) - exact at any size, returned as
-    literals. 'map': Spark's ``percentile`` as one scalar subquery.
-    'approx': ``percentile_approx`` as one scalar subquery.
-    """
-    if method == "exact" and few_distinct(df, col):
-        method = "map"
+    """Whole-column quantiles as columns usable on every row (one scalar
+    subquery): 'exact' at any size, or 'approx' (``percentile_approx``)."""
     if method == "exact":
-        from tessera.operators.quantiles import exact_quantiles
-        return [F.lit(v).cast("double") for v in exact_quantiles(df, col, probs)]
-    # the one-row result is fetched once and used as literals, so a filter on
-    # it (e.g. a Tukey fence) is pushed into the parquet reader
+        return column_quantiles(df, col, probs)
+    if method != "approx":
+        raise ValueError("method must be 'exact' or 'approx'")
     x = nan_to_null(F.col(col).cast("double"))
-    q = df.select(_quantiles(x, probs, method, accuracy).alias("q")).first()["q"]
-    return [F.lit(None if q is None else q[i]).cast("double") for i in range(len(probs))]
+    q = df.select(F.percentile_approx(x, list(probs), accuracy).alias("q")).scalar()
+    return [q[i].cast("double") for i in range(len(probs))]
 
 
 def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
@@ -92,24 +57,16 @@ def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
             F.max("_x").alias("max"),
             F.stddev_samp("_x").alias("sd"),
             F.var_samp("_x").alias("variance")]
-    if method == "exact" and few_distinct(df, col, by):
-        method = "map"  # bounded value maps: one exact pass
-    if by and method == "exact":
-        # per-group exact selection; the quantile table has one row per group (count checked)
-        from tessera.operators.quantiles import grouped_quantiles
-        qdf = grouped_quantiles(df, col, by, QUARTILES)
-        agg0 = df.select(*by, x.alias("_x")).groupBy(*by).agg(*base)
-        cond = [agg0[c].eqNullSafe(qdf[c]) for c in by]
-        agg = agg0.join(F.broadcast(qdf), cond, "left").select(agg0["*"], "_q0", "_q1", "_q2")
-        q1, med, q3 = F.col("_q0"), F.col("_q1"), F.col("_q2")
-    elif by or method != "exact":
-        q = _quantiles(F.col("_x"), QUARTILES, method, accuracy)
-        agg = df.select(*by, x.alias("_x")).groupBy(*by).agg(*base, q.alias("_q"))
+    rows = df.select(*by, x.alias("_x"))
+    if method == "approx":
+        agg = rows.groupBy(*by).agg(*base, F.percentile_approx("_x", list(QUARTILES), accuracy).alias("_q"))
         q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
+    elif by:
+        agg = null_safe_join(rows.groupBy(*by).agg(*base), grouped_quantiles(df, col, by, QUARTILES), list(by), "left")
+        q1, med, q3 = F.col("_q0"), F.col("_q1"), F.col("_q2")
     else:
-        # whole column: exact selection instead of one reducer holding every distinct value
-        q1, med, q3 = global_quantiles(df, col, QUARTILES, "exact")
-        agg = df.select(x.alias("_x")).agg(*base)
+        q1, med, q3 = global_quantiles(df, col, QUARTILES, method)
+        agg = rows.agg(*base)
     out = agg.select(
         *by, "n", "n_missing", "mean",
         med.alias("median"), "min", "max", "sd", "variance",
@@ -198,7 +155,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, method: str = "exact") ->
 
 def quartile_fences(df: DataFrame, col: str, k: float = 1.5, method: str = "exact"):
     """Columns ``(q1, q3, lower_fence, upper_fence)`` usable on every row
-    (literals from the exact selection, or scalar subqueries)."""
+    (one scalar subquery)."""
     q1, q3 = global_quantiles(df, col, (0.25, 0.75), method)
     return q1, q3, q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
 
@@ -207,8 +164,8 @@ def boxplot_stats(df: DataFrame, col: str, k: float = 1.5, method: str = "exact"
     """Box: quartiles, whiskers at the most extreme values inside the 1.5 IQR
     fences, outlier counts below/above (D-5). One row."""
     x = nan_to_null(F.col(col).cast("double"))
-    q1, q3, lo_f, hi_f = quartile_fences(df, col, k, method)
-    (median,) = global_quantiles(df, col, [0.5], method)
+    q1, median, q3 = global_quantiles(df, col, QUARTILES, method)
+    lo_f, hi_f = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
     v = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
     return v.agg(
         F.count(F.lit(1)).alias("n"),

@@ -6,7 +6,8 @@ the key into ordered buckets (a column that never decreases along the
 order, e.g. the week of the timestamp): the window runs per
 ``(key, bucket)``, and what crosses bucket edges comes from one small
 aggregate per bucket (a running total of previous buckets, the last value
-of the previous bucket, ...) joined back. The only window over a whole key
+of the previous bucket, ...) joined back. Rows with a null key or a null order
+column keep their place: nulls form a key, and a bucket that comes first. The only window over a whole key
 runs over its buckets, one row each.
 """
 
@@ -18,6 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of the same name in which null equals null; the
+    key columns of ``left`` are kept once."""
+    names = {c: f"_r{i}_{c}" for i, c in enumerate(on)}
+    r = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    cond = [left[c].eqNullSafe(r[names[c]]) for c in on]
+    return left.join(r, cond, how).drop(*names.values())
+
+
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
@@ -42,7 +52,7 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence, value: str, buck
         combined = F.greatest(F.col("_off"), run)
     else:
         combined = F.least(F.col("_off"), run)
-    return b.join(tot, key + ["_b"]).withColumn(name, combined).drop("_b", "_off")
+    return null_safe_join(b, tot, key + ["_b"]).withColumn(name, combined).drop("_b", "_off")
 
 
 def shift_many(df: DataFrame, key: Sequence[str], order: Sequence, bucket: Column,
@@ -64,7 +74,7 @@ def shift_many(df: DataFrame, key: Sequence[str], order: Sequence, bucket: Colum
         (F.lag(f"_e{i}") if d == "lag" else F.lead(f"_e{i}")).over(wb).alias(f"_e{i}")
         for i, (_v, _n, d) in enumerate(specs)])
     # first / last row of a bucket, from the same window (no second partitioning)
-    out = b.join(edges, key + ["_b"]) \
+    out = null_safe_join(b, edges, key + ["_b"]) \
         .withColumn("_first_row", F.lag(F.lit(1)).over(w).isNull()) \
         .withColumn("_last_row", F.lead(F.lit(1)).over(w).isNull())
     for i, (value, name, direction) in enumerate(specs):
@@ -92,12 +102,12 @@ def next_non_null(df: DataFrame, key: Sequence[str], order: Sequence, value: str
     ordk = F.struct(*_cols(order))
     first_in = b.filter(F.col(value).isNotNull()).groupBy(*key, "_b").agg(
         F.min_by(F.col(value), ordk).alias("_bf"))
-    buckets = b.select(*key, "_b").distinct().join(first_in, key + ["_b"], "left")
+    buckets = null_safe_join(b.select(*key, "_b").distinct(), first_in, key + ["_b"], "left")
     nxt = Window.partitionBy(*key).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
     buckets = buckets.withColumn("_carry", F.first("_bf", ignorenulls=True).over(nxt)).drop("_bf")
     start = 1 if exclusive else Window.currentRow
     inner = Window.partitionBy(*key, "_b").orderBy(*_cols(order)).rowsBetween(start, Window.unboundedFollowing)
-    return (b.join(buckets, key + ["_b"])
+    return (null_safe_join(b, buckets, key + ["_b"])
             .withColumn(name, F.coalesce(F.first(value, ignorenulls=True).over(inner), F.col("_carry")))
             .drop("_b", "_carry"))
 
@@ -111,11 +121,11 @@ def last_non_null(df: DataFrame, key: Sequence[str], order: Sequence, value: str
     ordk = F.struct(*_cols(order))
     last_in = b.filter(F.col(value).isNotNull()).groupBy(*key, "_b").agg(
         F.max_by(F.col(value), ordk).alias("_bl"))
-    buckets = b.select(*key, "_b").distinct().join(last_in, key + ["_b"], "left")
+    buckets = null_safe_join(b.select(*key, "_b").distinct(), last_in, key + ["_b"], "left")
     prev = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_carry", F.last("_bl", ignorenulls=True).over(prev)).drop("_bl")
     end = -1 if exclusive else Window.currentRow
     inner = Window.partitionBy(*key, "_b").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, end)
-    return (b.join(buckets, key + ["_b"])
+    return (null_safe_join(b, buckets, key + ["_b"])
             .withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inner), F.col("_carry")))
             .drop("_b", "_carry"))

@@ -5,17 +5,23 @@ import random
 import numpy as np
 import pytest
 
-from tessera.operators.quantiles import exact_quantiles, order_statistics
+from tessera.operators.quantiles import column_quantiles, grouped_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 
+def exact_quantiles(df, col, probs, **kw):
+    qs = column_quantiles(df, col, probs, **kw)
+    return list(df.sparkSession.range(1).select(*[q.alias(f"q{i}") for i, q in enumerate(qs)]).first())
+
+
 def frame(spark, xs, parts=4):
     return spark.createDataFrame([(x,) for x in xs], "x double").repartition(parts)
 
 
+@pytest.mark.parametrize("half", [4e-4, 0.02])
 @pytest.mark.parametrize("case", ["smooth", "hot_value", "negatives", "tiny_range", "ties"])
-def test_matches_numpy(spark, case):
+def test_matches_numpy(spark, case, half):
     rng = random.Random(case.__hash__() % 1000)
     if case == "smooth":
         xs = [rng.gauss(100, 30) for _ in range(20000)]
@@ -27,7 +33,7 @@ def test_matches_numpy(spark, case):
         xs = [1.0 + rng.random() * 1e-9 for _ in range(5000)]
     else:
         xs = [float(rng.randint(0, 5)) for _ in range(5000)]
-    got = exact_quantiles(frame(spark, xs), "x", PROBS, buckets=64, small=500)
+    got = exact_quantiles(frame(spark, xs), "x", PROBS, half=half)
     exp = np.quantile(np.array(xs), PROBS, method="linear")
     assert got == pytest.approx(list(exp), rel=1e-12, abs=1e-12)
 
@@ -40,7 +46,6 @@ def test_missing_and_edge_sizes(spark):
 
 
 def test_grouped_quantiles_match_numpy(spark):
-    from tessera.operators.quantiles import grouped_quantiles
     rng = random.Random(12)
     rows = []
     for i in range(12000):
@@ -49,15 +54,39 @@ def test_grouped_quantiles_match_numpy(spark):
         rows.append((g, None if i % 97 == 0 else x))
     df = spark.createDataFrame(rows, "g string, x double").repartition(4)
     got = {r["g"]: [r["_q0"], r["_q1"], r["_q2"]] for r in
-           grouped_quantiles(df, "x", ["g"], [0.25, 0.5, 0.75], buckets=32, small=300).collect()}
+           grouped_quantiles(df, "x", ["g"], [0.25, 0.5, 0.75], half=0.02).collect()}
     for g in ["hot", "a", "b", None]:
         xs = np.array([x for k, x in rows if k == g and x is not None])
         assert got[g] == pytest.approx(list(np.quantile(xs, [0.25, 0.5, 0.75], method="linear")), rel=1e-12)
 
 
-def test_order_statistics_direct(spark):
-    xs = list(range(1000))
-    rng = random.Random(1)
-    rng.shuffle(xs)
-    got = order_statistics(frame(spark, [float(x) for x in xs]), "x", [0, 1, 499, 998, 999], buckets=8, small=10)
-    assert got == {0: 0.0, 1: 1.0, 499: 499.0, 998: 998.0, 999: 999.0}
+def test_many_groups(spark):
+    """More groups than any fixed limit, in one plan."""
+    df = spark.range(60000).selectExpr("id % 20000 AS g", "double(hash(id)) AS x")
+    got = {r["g"]: r["_q0"] for r in grouped_quantiles(df, "x", ["g"], [0.5]).collect()}
+    exp = {}
+    for r in df.collect():
+        exp.setdefault(r["g"], []).append(r["x"])
+    assert got == {g: float(np.median(v)) for g, v in exp.items()}
+
+
+def test_no_job_runs_while_building(spark):
+    """Every operator with quantiles only builds a plan."""
+    from tessera.operators import ledger, quality, stats
+
+    df = spark.range(100).selectExpr("double(id) AS x", "id % 3 AS g", "timestamp_ntz '2024-01-01' AS t")
+    sc = spark.sparkContext
+    sc.setJobGroup("quantile-build", "no job may run")
+    try:
+        stats.describe_numeric(df, "x", ["g"])
+        stats.describe_numeric(df, "x")
+        stats.histogram(df, "x")
+        stats.boxplot_stats(df, "x")
+        stats.distribution_label(df, "x")
+        quality.outliers_iqr(df, "x")
+        quality.cap_outliers(df, ["x"])
+        quality.impute(df, ["x"], "median")
+        ledger.rfm_scores(df, "g", "t", "x", "2024-02-01")
+        assert not sc.statusTracker().getJobIdsForGroup("quantile-build")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)

@@ -77,3 +77,44 @@ def test_next_non_null(spark):
         exp = as_map(df.withColumn("e", F.first("v", ignorenulls=True).over(frame)), "e")
         got = as_map(WB.next_non_null(df, ["k"], ["t", "id"], "v", bucket, "g", exclusive=excl), "g")
         assert got == exp
+
+
+def nulls(spark):
+    """Null keys, null order columns and null values among ordinary rows."""
+    rng = random.Random(4)
+    pick = lambda x: None if rng.random() < 0.25 else x
+    rows = [(pick(rng.randint(0, 3)), i, pick(rng.randint(0, 900)), pick(float(rng.randint(-9, 9)))) for i in range(400)]
+    return spark.createDataFrame(rows, "k int, id int, t int, v double")
+
+
+def test_null_keys_and_orders_keep_their_rows(spark):
+    df = nulls(spark)
+    bucket, order = F.floor(F.col("t") / 100), ["t", "id"]
+    w = Window.partitionBy("k").orderBy(*order)
+    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    for got, exp in (
+        (WB.running(df, ["k"], order, "v", bucket, "g"), F.sum("v").over(upto)),
+        (WB.running(df, ["k"], order, "v", bucket, "g", "max", exclusive=True), F.max("v").over(before)),
+        (WB.shift(df, ["k"], order, "v", bucket, "g", "lag"), F.lag("v").over(w)),
+        (WB.shift(df, ["k"], order, "v", bucket, "g", "lead"), F.lead("v").over(w)),
+        (WB.last_non_null(df, ["k"], order, "v", bucket, "g"), F.last("v", ignorenulls=True).over(before)),
+        (WB.next_non_null(df, ["k"], order, "v", bucket, "g"), F.first("v", ignorenulls=True).over(after)),
+    ):
+        assert as_map(got, "g") == as_map(df.withColumn("e", exp), "e")
+
+
+def test_ledger_and_conversation_keep_null_rows(spark):
+    from tessera.operators import conversation, ledger
+
+    moves = spark.createDataFrame([(None, 1, 5.0, None), (None, 2, -1.0, None), (7, 3, 2.0, None)], "item int, move_id int, qty double, ts timestamp_ntz")
+    assert sorted(r["balance"] for r in ledger.stock_history(moves).collect()) == [2.0, 4.0, 5.0]
+    lines = spark.createDataFrame([(None, 2.0, 3.0), (None, 1.0, 1.0), (1, 1.0, 9.0)], "sale int, q double, p double")
+    assert sorted(r["grand_total"] for r in ledger.receipt(lines, "sale", "q", "p").collect()) == [7.0, 7.0, 9.0]
+    ev = spark.createDataFrame([(1, None, 5.0), (2, 8, 5.0), (3, 8, 5.0), (4, 9, 5.0)], "evidence_id int, ref int, amount double")
+    orders = spark.createDataFrame([(8, 5.0)], "o int, due double")
+    got = {r["evidence_id"]: r["status"] for r in ledger.payment_match(ev, orders, "ref", "amount", "o", "due").collect()}
+    assert got == {1: "unknown_order", 2: "matched", 3: "duplicate", 4: "unknown_order"}
+    turns = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (1, None, "c"), (1, 1, "d")], "chat int, turn long, text string")
+    got = sorted((r["text"], r["context"]) for r in conversation.retrieve_memory(turns, "chat", "turn", "text", 3).collect())
+    assert got == [("a", []), ("b", ["a"]), ("c", []), ("d", ["c"])]
