@@ -94,7 +94,8 @@ def from_epoch_micros(col) -> Column:
     return F.timestamp_add("MICROSECOND", _c(col), _epoch())
 
 
-DUE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
+# Fixed value: the shape of a due date, with nothing before or after it.
+DUE_PATTERN = r"^\d{4}-\d{2}-\d{2}\z"
 
 
 def parse_due_date(col) -> Column:
@@ -103,9 +104,9 @@ def parse_due_date(col) -> Column:
     Follows calendar roll-over of the source's date constructor: month 13 is
     January of the next year, Feb 31 is early March, day 0 is the last day of
     the previous month; years 0..99 mean 1900..1999. Text not matching the
-    pattern gives null.
+    pattern (blanks around it included) gives null.
     """
-    c = F.trim(_c(col))
+    c = _c(col)
     ok = c.rlike(DUE_PATTERN)
     y = F.substring(c, 1, 4).cast("int")
     m = F.substring(c, 6, 2).cast("int")

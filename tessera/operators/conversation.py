@@ -84,12 +84,14 @@ def rebuild_multiline(parsed: DataFrame, lines_per_bucket: int = 1_000_000_000)
 
 
 def flag_system(msgs: DataFrame, phrases: Sequence[str] = SYSTEM_PHRASES) -> DataFrame:
-    """System message: no ``user:`` part, or one of the system phrases (H-3)."""
+    """System message (H-3): a headed message without a ``user:`` part, or
+    lines without any header that hold a system phrase. Phrases in what a user
+    says mean nothing."""
     low = F.lower(F.col("text"))
     hit = F.lit(False)
     for p in phrases:
         hit = hit | low.contains(F.lit(p))
-    return msgs.withColumn("is_system", F.col("user").isNull() | hit)
+    return msgs.withColumn("is_system", F.col("user").isNull() & (F.col("ts").isNotNull() | hit))
 
 
 def message_features(msgs: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ QUERY_RE = r"^[^?#]*(\?[^#]*)"
 HASH_RE = r"(#.*)$"
 HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)"
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.-]*):"
-HREF_RE = r"""href="([^"]*)\""""
+# an <a> tag up to its quoted href; attribute values before it may hold anything
+HREF_RE = r"""(?i)<a(?:[ \t\r\n\f]+[a-z0-9-]+(?:=(?:"[^"]*"|'[^']*'|[^ \t\r\n\f"'>]*))?)*?[ \t\r\n\f]+href=("[^"]*"|'[^']*')"""
 NO_ROUTE_PREFIXES = ("#", "/#", "mailto:", "tel:", "javascript:")
 SKIP_PREFIXES = ("#", "/", "mailto:", "tel:")
 
@@ -58,9 +59,10 @@ def resolve_path(url: Column) -> Column:
 
 
 def anchors(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Every ``href="..."`` of every page with its position."""
-    return pages.select(page_id, url, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(HREF_RE), 1))
-                        .alias("anchor_no", "href"))
+    """The href of every ``<a>`` of every page, in either kind of quotes, with its position."""
+    quoted = F.regexp_extract_all(F.col(html), F.lit(HREF_RE), 1)
+    bare = F.transform(quoted, lambda h: F.substring(h, F.lit(2), F.char_length(h) - 2))
+    return pages.select(page_id, url, F.posexplode(bare).alias("anchor_no", "href"))
 
 
 def classify_links(links: DataFrame, href: str = "href", page_url: str = "url") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import is_overdue, normalize_tags, parse_due_date, strip_ws
@@ -99,7 +99,7 @@ def employee_search(df: DataFrame, needle: str, col_a: str, col_b: str) -> DataF
     """
     n = needle.strip(" ")
     if not n:
-        raise ValueError("Please enter a search term.")
+        raise ValueError("a blank needle matches nothing")
     nl = F.lit(n.lower())
     return df.filter(F.lower(F.col(col_a).cast("string")).contains(nl)
                      | F.lower(F.col(col_b).cast("string")).contains(nl))
@@ -163,11 +163,18 @@ def clear_done(tasks: DataFrame) -> DataFrame:
 def add_rows(tasks: DataFrame, new: DataFrame, id_mode: str = "hash") -> DataFrame:
     """Append new tasks with a generated id and ``done=false`` (G-3).
 
-    ``id_mode='hash'``: id = sha2 of the row content (repeatable runs);
+    ``id_mode='hash'``: id = sha2 of the row content (repeatable runs); equal
+    rows are numbered, and the number joins the content from the second on.
     ``'uuid'``: a random UUID per row.
     """
     content = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit(""))
                                       for c in new.columns if c not in ("id", "done")])
-    idc = F.sha2(content, 256) if id_mode == "hash" else F.expr("uuid()")
-    n = new.withColumn("id", idc).withColumn("done", F.lit(False))
+    if id_mode == "hash":
+        n = new.withColumn("_c", content)
+        copy = F.row_number().over(Window.partitionBy("_c").orderBy(F.lit(1)))
+        n = n.withColumn("_k", copy).withColumn(
+            "id", F.sha2(F.when(F.col("_k") == 1, F.col("_c")).otherwise(F.concat_ws("\u0001", "_c", F.col("_k").cast("string"))), 256)).drop("_c", "_k")
+    else:
+        n = new.withColumn("id", F.expr("uuid()"))
+    n = n.withColumn("done", F.lit(False))
     return tasks.unionByName(n, allowMissingColumns=True)

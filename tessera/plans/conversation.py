@@ -25,9 +25,18 @@ def conv_ts():
             + F.make_dt_interval(days, F.lit(0), mins, F.lit(0)))
 
 
+def _conv(spark, sf_dir):
+    """The conversations; some turns also say something with a link, with
+    emojis, with system words, or are media, so that every rule meets rows."""
+    k = (F.col("conv_id") + F.col("turn")) % 9
+    text = (F.when(k == 1, F.concat("text", F.lit(" https://example.org/a?b=1 and http://x.example")))
+            .when(k == 3, F.concat("text", F.lit(" \U0001F600\u2600"))).when(k == 5, F.lit(C.MEDIA_MARKER))
+            .when(k == 7, F.concat(F.lit("I left my keys, they added salt. "), "text")).otherwise(F.col("text")))
+    return tables(spark, sf_dir).conversations.withColumn("text", text)
+
+
 def _lines(spark, sf_dir):
-    c = tables(spark, sf_dir).conversations
-    return C.render_export(c, ts=conv_ts())
+    return C.render_export(_conv(spark, sf_dir), ts=conv_ts())
 
 
 def _msgs(spark, sf_dir):
@@ -38,7 +47,9 @@ def _feats(spark, sf_dir):
     return C.message_features(_msgs(spark, sf_dir))
 
 
-LINES_CTE = """cts AS (SELECT conv_id, turn, role, text,
+TEXT_SQL = """CASE (conv_id + turn) % 9 WHEN 1 THEN text || ' https://example.org/a?b=1 and http://x.example' WHEN 3 THEN text || ' \U0001F600\u2600'
+  WHEN 5 THEN '<Media omitted>' WHEN 7 THEN 'I left my keys, they added salt. ' || text ELSE text END"""
+LINES_CTE = """cts AS (SELECT conv_id, turn, role, {TEXT} AS text,
     TIMESTAMP '2024-01-01 08:00:00' + to_days(CAST(conv_id % 3650 AS INTEGER)) + to_minutes(CAST(turn * 3 AS BIGINT)) AS ts
   FROM conversations),
 lines AS (SELECT conv_id AS chat, CAST(turn * 1000000 + pos - 1 AS BIGINT) AS line_no,
@@ -55,13 +66,13 @@ numbered AS (SELECT *, sum(is_header::INT) OVER (PARTITION BY chat ORDER BY line
   FROM parsed),
 msgs0 AS (SELECT chat, msg_no, arg_min(ts, line_no) AS ts, arg_min(user, line_no) AS user, min(line_no) AS first_line,
     string_agg(body, chr(10) ORDER BY line_no) AS text FROM numbered GROUP BY chat, msg_no),
-msgs AS (SELECT *, user IS NULL OR {SYS} AS is_system FROM msgs0),
+msgs AS (SELECT *, user IS NULL AND (ts IS NOT NULL OR {SYS}) AS is_system FROM msgs0),
 feats AS (SELECT *,
     CASE WHEN {BODY} = '' THEN 0 ELSE len(string_split_regex({BODY}, '[ \\t\\n\\r]+')) END AS n_words,
     length(text) AS n_chars, len(regexp_extract_all(text, '{EMO}')) AS n_emojis,
     len(regexp_extract_all(text, '{URL}')) AS n_urls, text = '{MEDIA}' AS is_media,
     hour(ts) AS hour, isodow(ts) - 1 AS weekday FROM msgs)""".format(
-    P=P.replace("'", "''"),
+    P=P.replace("'", "''"), TEXT=TEXT_SQL,
     SYS=" OR ".join(f"contains(lower(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in C.SYSTEM_PHRASES),
     BODY="regexp_replace(regexp_replace(text, '^[ \\t\\n\\r]+', ''), '[ \\t\\n\\r]+$', '')",
     EMO=C.EMOJI_PATTERN, URL=C.URL_PATTERN, MEDIA=C.MEDIA_MARKER)
@@ -80,7 +91,7 @@ def rebuild_multiline(spark, sf_dir):
 @register("chat_roundtrip_mismatches", ops=("H-2",), sql="SELECT 0 AS mismatches")
 def chat_roundtrip_mismatches(spark, sf_dir):
     """Every rebuilt message must equal the original text: count of differences."""
-    c = tables(spark, sf_dir).conversations
+    c = _conv(spark, sf_dir)
     m = C.rebuild_multiline(C.parse_chat(_lines(spark, sf_dir)))
     m = m.withColumn("turn", F.floor(F.col("first_line") / 1_000_000).cast("long"))
     j = c.join(m, (c.conv_id == m.chat) & (c.turn == m.turn), "full")
@@ -171,9 +182,14 @@ def conversation_health(spark, sf_dir):
 @register("intent_route", ops=("B-27",), sql="""
 SELECT conv_id, turn, CASE """ + " ".join(
     f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in C.INTENT_RULES) + """ ELSE 'other' END AS intent
-FROM conversations WHERE role = 'user'""")
+FROM (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'Hello, ' WHEN 1 THEN 'How much? ' WHEN 2 THEN 'Status of my order? '
+        WHEN 3 THEN 'Send a photo: ' WHEN 4 THEN 'Oh hello ' ELSE '' END || text AS text FROM conversations WHERE role = 'user')""")
 def intent_route(spark, sf_dir):
-    c = tables(spark, sf_dir).conversations.filter(F.col("role") == "user")
+    # some turns open with words of each intent
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    opening = (F.when(k == 0, "Hello, ").when(k == 1, "How much? ").when(k == 2, "Status of my order? ")
+               .when(k == 3, "Send a photo: ").when(k == 4, "Oh hello ").otherwise(""))
+    c = tables(spark, sf_dir).conversations.filter(F.col("role") == "user").withColumn("text", F.concat(opening, "text"))
     return C.intent_route(c).select("conv_id", "turn", "intent")
 
 

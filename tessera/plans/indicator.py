@@ -30,13 +30,13 @@ BANDS_SQL = """CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 10 THEN 'Very Low' WHE
 
 # Display colour of each band, and of a missing value.
 BAND_COLOURS = {
-    "Very Low": "#2b83ba",
-    "Low": "#abdda4",
-    "Moderate": "#ffffbf",
-    "High": "#fdae61",
-    "Very High": "#d7191c",
+    "Very Low": "#2C7BB6",
+    "Low": "#ABD9E9",
+    "Moderate": "#FFFFBF",
+    "High": "#FDAE61",
+    "Very High": "#D7191C",
 }
-MISSING_COLOUR = "#bdbdbd"
+MISSING_COLOUR = "grey90"
 
 
 def colour_of(band):

@@ -1,8 +1,9 @@
 """Link and path queries over ``pages``.
 
-Binding (chosen here): the "sitemap" is every internal link found in the
-pages, made absolute with its page's host; a listed location is dead when no
-page has that host and canonical path.
+Binding (chosen here): the links are the anchors of the pages plus links made
+from the table's own urls; the "sitemap" is every link with a path on its
+page's host, made absolute; a listed location is dead when no page has that
+host and canonical path.
 """
 
 from __future__ import annotations
@@ -49,8 +50,28 @@ def resolve_path(spark, sf_dir):
     return p.select("page_id", "url", LK.resolve_path(F.col("url")).alias("resolved"))
 
 
-ANCHORS_CTE = """a AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href,
-                        generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS anchor_no FROM pages)"""
+RE_SQL = LK.HREF_RE.replace("'", "''")
+ANCHORS_CTE = f"""q AS (SELECT page_id, url, list_transform(regexp_extract_all(html, '{RE_SQL}', 1), lambda h: substr(h, 2, length(h) - 2)) AS hrefs FROM pages),
+a0 AS (SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS anchor_no FROM q),
+more AS (SELECT p.page_id, p.url, [p.url, n.url, 'http:///' || CAST(p.page_id AS VARCHAR), 'mailto:desk@' || CAST(p.page_id AS VARCHAR) || '.example',
+           '#top', './note-' || CAST(p.page_id AS VARCHAR), 'tel:' || CAST(p.page_id AS VARCHAR), ' javascript:void(0)', 'files/a.pdf', 'sub/', ''] AS hrefs
+         FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1),
+a AS (SELECT page_id, url, href, anchor_no FROM a0
+      UNION ALL SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 + 1000 AS anchor_no FROM more)"""
+
+
+def _anchors(spark, sf_dir):
+    """The anchors of every page and, numbered from 1000, links made from the
+    table's own urls: the page itself, the next page, and one of each odd kind."""
+    p = tables(spark, sf_dir).pages
+    nxt = p.select((F.col("page_id") - 1).alias("_id"), F.col("url").alias("_next"))
+    pid = F.col("page_id").cast("string")
+    hrefs = F.array(F.col("url"), F.col("_next"), F.concat(F.lit("http:///"), pid), F.concat(F.lit("mailto:desk@"), pid, F.lit(".example")),
+                    F.lit("#top"), F.concat(F.lit("./note-"), pid), F.concat(F.lit("tel:"), pid), F.lit(" javascript:void(0)"),
+                    F.lit("files/a.pdf"), F.lit("sub/"), F.lit(""))
+    more = p.select("page_id", "url").join(nxt, F.col("page_id") == F.col("_id"), "left")
+    more = more.select("page_id", "url", F.posexplode(hrefs).alias("anchor_no", "href")).withColumn("anchor_no", F.col("anchor_no") + 1000)
+    return LK.anchors(p).unionByName(more)
 
 
 @register("classify_links", ops=("B-18",), sql=W(ANCHORS_CTE) + f"""
@@ -61,7 +82,7 @@ SELECT page_id, anchor_no, href, CASE
   ELSE 'internal' END AS link_kind
 FROM a""")
 def classify_links(spark, sf_dir):
-    a = LK.anchors(tables(spark, sf_dir).pages)
+    a = _anchors(spark, sf_dir)
     return LK.classify_links(a).select("page_id", "anchor_no", "href", "link_kind")
 
 
@@ -74,18 +95,24 @@ SELECT page_id, anchor_no, href, routable,
        CASE WHEN routable THEN (CASE WHEN starts_with(raw, '/') THEN raw ELSE '/' || regexp_replace(raw, '^\\.?/', '') END) || '.html' END AS route_target
 FROM f""")
 def routable_links(spark, sf_dir):
-    a = LK.anchors(tables(spark, sf_dir).pages)
+    a = _anchors(spark, sf_dir)
     return LK.routable_links(a).select("page_id", "anchor_no", "href", "routable", "route_target")
 
 
+INTERNAL_SQL = f"""starts_with(href, '/') OR (lower(regexp_extract(href, '{LK.SCHEME_RE}', 1)) IN ('http', 'https')
+  AND {HOST_SQL.format(u='href')} = {HOST_SQL.format(u='url')})"""
+
+
 @register("dead_links", ops=("C-8",), sql=W(ANCHORS_CTE) + f""",
-listed AS (SELECT page_id, anchor_no, 'https://' || {HOST_SQL.format(u='url')} || href AS loc FROM a WHERE starts_with(href, '/')),
+listed AS (SELECT page_id, anchor_no, CASE WHEN starts_with(href, '/') THEN 'https://' || {HOST_SQL.format(u='url')} || href ELSE href END AS loc
+           FROM a WHERE {INTERNAL_SQL}),
 pk AS (SELECT DISTINCT {HOST_SQL.format(u='url')} || {canon_path_sql('url')} AS k FROM pages)
 SELECT page_id, anchor_no, loc FROM listed
 WHERE {HOST_SQL.format(u='loc')} || {canon_path_sql('loc')} NOT IN (SELECT k FROM pk)""")
 def dead_links(spark, sf_dir):
-    p = tables(spark, sf_dir).pages
-    a = LK.anchors(p).filter(F.col("href").startswith("/"))
+    """Links with a path on the page's own host: rooted ones and absolute ones."""
     host = F.lower(F.regexp_extract(F.col("url"), LK.HOST_RE, 1))
-    listed = a.select("page_id", "anchor_no", F.concat(F.lit("https://"), host, F.col("href")).alias("loc"))
-    return LK.dead_links(listed, p, "loc", "url")
+    own = F.lower(F.regexp_extract(F.col("href"), LK.SCHEME_RE, 1)).isin("http", "https") & (F.lower(F.regexp_extract(F.col("href"), LK.HOST_RE, 1)) == host)
+    a = _anchors(spark, sf_dir).filter(F.col("href").startswith("/") | own)
+    loc = F.when(F.col("href").startswith("/"), F.concat(F.lit("https://"), host, F.col("href"))).otherwise(F.col("href"))
+    return LK.dead_links(a.select("page_id", "anchor_no", loc.alias("loc")), tables(spark, sf_dir).pages, "loc", "url")

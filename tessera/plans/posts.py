@@ -94,9 +94,12 @@ def parse_read_minutes(spark, sf_dir):
 
 
 @register("extract_hashtags", ops=("B-15",), sql="""
-SELECT doc_id, unnest(regexp_extract_all(text, 'hashtag#(\\w+)', 1)) AS hashtag FROM documents""")
+SELECT doc_id, unnest(regexp_extract_all(text || ' hashtag#' || source || CASE WHEN lang = 'en' THEN ', hashtag#lang_en!' ELSE ' hashtag #no' END, 'hashtag#(\\w+)', 1)) AS hashtag FROM documents""")
 def extract_hashtags(spark, sf_dir):
-    return P.extract_hashtags(tables(spark, sf_dir).documents, "doc_id", "text")
+    # tags made from the source and, for English, the language
+    d = tables(spark, sf_dir).documents
+    tags = F.concat(F.lit(" hashtag#"), "source", F.when(F.col("lang") == "en", ", hashtag#lang_en!").otherwise(" hashtag #no"))
+    return P.extract_hashtags(d.withColumn("text", F.concat("text", tags)), "doc_id", "text")
 
 
 @register("prepend_posts", ops=("F-5",), sql=W(FORM_CTE) + """,

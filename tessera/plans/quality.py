@@ -109,16 +109,18 @@ def completeness_by(spark, sf_dir):
 
 
 @register("key_consistency", ops=("E-9",), sql="""
-SELECT 'orders.o_custkey' AS relation,
+SELECT 'lineitem.l_partkey' AS relation,
   CAST(coalesce(sum(CASE WHEN p._np IS NULL THEN c._nc END), 0) AS BIGINT) AS orphan_child_rows,
   CAST(count_if(p._np IS NULL) AS BIGINT) AS orphan_keys,
   CAST(count_if(c._nc IS NULL) AS BIGINT) AS childless_parents,
   CAST(count_if(p._np > 1) AS BIGINT) AS duplicate_parent_keys
-FROM (SELECT o_custkey AS k, count(*) AS _nc FROM orders GROUP BY 1) c
-FULL JOIN (SELECT c_custkey AS k, count(*) AS _np FROM customer GROUP BY 1) p ON c.k = p.k""")
+FROM (SELECT l_partkey AS k, count(*) AS _nc FROM lineitem WHERE l_quantity > 45 GROUP BY 1) c
+FULL JOIN (SELECT p_partkey AS k, count(*) AS _np FROM (SELECT p_partkey FROM part WHERE p_size < 45 UNION ALL SELECT p_partkey FROM part WHERE p_size = 1) GROUP BY 1) p ON c.k = p.k""")
 def key_consistency(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return joins.key_consistency(t.orders, t.customer, "o_custkey", "c_custkey", "orders.o_custkey")
+    # large orders against a part list that lacks the largest sizes and repeats the smallest
+    parts = t.part.filter("p_size < 45").unionByName(t.part.filter("p_size = 1"))
+    return joins.key_consistency(t.lineitem.filter("l_quantity > 45"), parts, "l_partkey", "p_partkey", "lineitem.l_partkey")
 
 
 # money as exact decimals (the inputs carry two decimals), so sums do not

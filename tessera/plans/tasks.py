@@ -52,14 +52,22 @@ def normalize_tags_q(spark, sf_dir):
     return t.select("id", normalize_tags(F.col("tags_text")).alias("tags"))
 
 
-@register("validate_tasks", ops=("B-5",), sql=W(B.TASKS_CTE) + f"""
+NOTES_SQL = """notes AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE split_part(text, chr(10), 1) END AS title,
+  CASE doc_id % 4 WHEN 0 THEN ' 2024-02-31 ' WHEN 1 THEN '2024-1-5' WHEN 2 THEN 'soon' ELSE '' END AS due FROM documents)"""
+
+
+@register("validate_tasks", ops=("B-5",), sql=W(NOTES_SQL) + f"""
 SELECT id, CASE WHEN {TRIM_SQL.format(x="coalesce(title, '')")} = '' THEN '{T.MSG_TITLE_REQUIRED}'
   WHEN length({TRIM_SQL.format(x="coalesce(title, '')")}) > {T.MAX_TITLE} THEN '{T.MSG_TITLE_TOO_LONG}'
   WHEN {TRIM_SQL.format(x="coalesce(due, '')")} <> '' AND ({DUE_SQL.format(d=TRIM_SQL.format(x="coalesce(due, '')"))}) IS NULL
     THEN '{T.MSG_DUE_INVALID}' END AS error
-FROM tasks""")
+FROM notes""")
 def validate_tasks_q(spark, sf_dir):
-    return T.validate_tasks(B.tasks(tables(spark, sf_dir))).select("id", "error")
+    # first lines of documents as titles (some blank, many too long), with due text of every kind
+    d, i = tables(spark, sf_dir).documents, F.col("doc_id")
+    notes = d.select(i.alias("id"), F.when(i % 7 == 0, "  ").otherwise(F.substring_index("text", "\n", 1)).alias("title"),
+                     F.when(i % 4 == 0, " 2024-02-31 ").when(i % 4 == 1, "2024-1-5").when(i % 4 == 2, "soon").otherwise("").alias("due"))
+    return T.validate_tasks(notes).select("id", "error")
 
 
 @register("filter_tasks_overdue", ops=("B-6", "B-3"), sql=W(B.TASKS_CTE) + f"""

@@ -58,12 +58,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (tests, a laptop)
-    a fresh folder is made and registered. Streaming checkpoint locations and
+    Read from ``spark.checkpoint.dir``; only when it is unset on a local master
+    (tests, a laptop) a fresh folder is made and registered. Streaming checkpoint locations and
     ``DataFrame.checkpoint()`` both live under it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext

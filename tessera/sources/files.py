@@ -66,7 +66,7 @@ def read_posts(spark: SparkSession, path: str, fallback: DataFrame | None = None
     """Read a JSON array of posts (A-3).
 
     ``groups`` may be an array or a single string; it is read as raw JSON text
-    and normalised to ``array<string>``. The position in the file becomes
+    and normalised to ``array<string>``; a post without it is in ``recent``. The position in the file becomes
     ``pos`` (a multi-line JSON file is read by one task in file order). When
     the file holds no posts the ``fallback`` frame is returned (one
     ``isEmpty`` check, a single-row probe).
@@ -74,12 +74,11 @@ def read_posts(spark: SparkSession, path: str, fallback: DataFrame | None = None
     df = spark.read.schema(POST_SCHEMA).option("multiLine", True).json(path)
     raw = F.col("groups")
     as_array = F.from_json(raw, "array<string>")
-    groups = F.when(raw.isNull(), F.array().cast("array<string>")) \
+    groups = F.when(raw.isNull(), F.array(F.lit("recent"))) \
         .when(F.trim(raw).startswith("["), as_array) \
         .otherwise(F.array(raw))
     df = (df.withColumn("groups", groups)
-          .withColumn("pos", F.monotonically_increasing_id())
-          .filter(F.col("title").isNotNull() | F.col("summary").isNotNull()))
+          .withColumn("pos", F.monotonically_increasing_id()))
     if fallback is not None and df.isEmpty():
         return fallback
     return df

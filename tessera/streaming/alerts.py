@@ -11,13 +11,10 @@ tie-break column. This is a sequential greedy rule, not a window, so:
   passes ``last_alert + cooldown``; from then on no earlier observation can
   arrive and any later one alerts anyway, so dropping it is exact and the
   state stays bounded.
-* batch replay (default): every key's timeline is cut into segments that
-  are replayed in parallel; the entry of each segment is found by pointer
-  jumping (:mod:`tessera.streaming.replay`), so a hot key is spread over
-  many tasks and the result is still exactly the sequential fold.
-* batch replay, ``method='scan'``: rows hash-partitioned by key and sorted;
-  one ``mapInPandas`` scan walks each key from alert to alert with
-  ``searchsorted`` (memory = one Arrow batch; one task per key).
+* batch replay: every key's timeline is cut into segments that are replayed in
+  parallel; the entry of each segment is found by pointer jumping
+  (:mod:`tessera.streaming.replay`), so a hot key is spread over many tasks
+  and the result is still exactly the sequential fold.
 """
 
 from __future__ import annotations
@@ -28,17 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tessera.session import ship_library
+
 # Check interval and per-key cooldown.
 TICK_SECONDS = 60
 COOLDOWN_SECONDS = 30 * 60
-MSG_ONE = '"{title}" is overdue.'
-MSG_MANY = "{n} overdue tasks still open."
-
-
-def _micros(col: str):
-    """Batch: wall-clock microseconds, independent of the session time zone."""
-    from tessera.functions.columns import epoch_micros
-    return epoch_micros(col)
 
 
 def _instant_micros(col: str):
@@ -58,51 +49,15 @@ def _scan_key(t: np.ndarray, start: int, end: int, last, cooldown_us: int, out:
     return last
 
 
-def _replay_fn(key: str, cooldown_us: int):
-    def fn(batches):
-        cur_key, last = None, None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            k = pdf[key].to_numpy()
-            t = pdf["_t"].to_numpy(dtype=np.int64)
-            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            ends = np.r_[starts[1:], len(k)]
-            fired: list[int] = []
-            for s, e in zip(starts, ends):
-                kv = k[s].item() if hasattr(k[s], "item") else k[s]
-                if kv != cur_key:
-                    cur_key, last = kv, None
-                last = _scan_key(t, int(s), int(e), last, cooldown_us, fired)
-            if fired:
-                yield pdf.iloc[fired]
-    return fn
-
-
 def cooldown_replay(df: DataFrame, key: str, ts: str, tiebreak: str,
                     cooldown_seconds: int = COOLDOWN_SECONDS, num_partitions: int | None = None,
-                    method: str = "auto", segment_seconds: int = 86_400,
-                    hot_key_rows: int = 5_000_000) -> DataFrame:
+                    segment_seconds: int = 86_400) -> DataFrame:
     """Batch replay of K-1: the observations that raise an alert, columns
-    ``(key, tiebreak, ts)``.
-
-    ``method='segments'`` (default) splits every key's timeline into
-    segments of ``segment_seconds`` so one hot key is spread over many tasks
-    (pointer jumping over segments, :mod:`tessera.streaming.replay`);
-    ``method='scan'`` walks each key in one task."""
-    if method == "auto":
-        # measure the skew first (one aggregate): split the timeline only when some key
-        # has more rows than one task should walk
-        biggest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        method = "segments" if biggest > hot_key_rows else "scan"
-    if method == "segments":
-        from tessera.streaming.replay import replay_segments
-        return replay_segments(df, key, ts, tiebreak, cooldown_seconds, segment_seconds, num_partitions)
-    rows = df.select(*dict.fromkeys([key, tiebreak, ts]), _micros(ts).alias("_t"))
-    part = rows.repartition(num_partitions, key) if num_partitions else rows.repartition(key)
-    part = part.sortWithinPartitions(key, "_t", tiebreak)
-    schema = rows.schema
-    return part.mapInPandas(_replay_fn(key, cooldown_seconds * 1_000_000), schema).drop("_t")
+    ``(key, tiebreak, ts)``. Every key's timeline is cut into segments of
+    ``segment_seconds`` that are replayed in parallel
+    (:mod:`tessera.streaming.replay`), so one hot key is spread over many tasks."""
+    from tessera.streaming.replay import replay_segments
+    return replay_segments(df, key, ts, tiebreak, cooldown_seconds, segment_seconds, num_partitions)
 
 
 def cooldown_stream(events: DataFrame, key: str, ts: str, tiebreak: str,
@@ -147,6 +102,7 @@ def cooldown_stream(events: DataFrame, key: str, ts: str, tiebreak: str,
             yield pd.DataFrame({key: sel[key].to_numpy(), tiebreak: sel[tiebreak].to_numpy(),
                                 "alert_us": sel["_t"].to_numpy(dtype=np.int64)})
 
+    ship_library(ev.sparkSession)
     return ev.groupBy(key).applyInPandasWithState(fn, out_schema, "last long", "append",
                                                   GroupStateTimeout.EventTimeTimeout)
 
@@ -156,9 +112,9 @@ def alert_digest(alerts: DataFrame, ts: str, title: str, pos: str,
     """One notification per tick (K-2): the number of alerts in the tick
     and the message; a single alert names its item, several are counted.
     The named item is the first by ``pos``."""
-    from tessera.functions.columns import from_epoch_micros
+    from tessera.functions.columns import epoch_micros, from_epoch_micros
     tick_us = tick_seconds * 1_000_000
-    tick = from_epoch_micros(F.floor(_micros(ts) / tick_us) * tick_us).alias("tick")
+    tick = from_epoch_micros(F.floor(epoch_micros(ts) / tick_us) * tick_us).alias("tick")
     g = alerts.groupBy(tick).agg(F.count(F.lit(1)).alias("n_due"), F.min_by(title, pos).alias("first_title"))
     one = F.concat(F.lit('"'), F.col("first_title"), F.lit('" is overdue.'))
     many = F.concat(F.col("n_due").cast("string"), F.lit(" overdue tasks still open."))

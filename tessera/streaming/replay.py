@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import epoch_micros, from_epoch_micros
+from tessera.session import ship_library
 
 
 def _runs(batches, key: str):
@@ -116,6 +117,7 @@ def replay_segments(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_se
         return part.sortWithinPartitions(key, "_seg", "_t", "_tb")
 
     # 2. candidate entries of every segment and the exit of each
+    ship_library(rows.sparkSession)
     nodes = sorted_runs(rows).mapInPandas(
         _nodes_fn(key, cd_us, seg_us),
         f"{key} {types[key]}, _seg long, _pos int, _ct long, _exit long").checkpoint()

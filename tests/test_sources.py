@@ -25,7 +25,7 @@ def test_read_posts_groups_array_or_scalar(spark, tmp_dir):
     ]
     df = files.read_posts(spark, _posts_file(tmp_dir, posts)).orderBy("pos")
     got = [(r["title"], r["groups"]) for r in df.collect()]
-    assert got == [("First", ["recent", "notes"]), ("Second", ["data notes"]), ("Third", [])]
+    assert got == [("First", ["recent", "notes"]), ("Second", ["data notes"]), ("Third", ["recent"])]
 
 
 def test_read_posts_fallback_when_empty(spark, tmp_dir):
