@@ -1,12 +1,10 @@
 """Chunking and vector retrieval (H-6 .. H-9, H-11, H-12).
 
-Exact top-k similarity search scores every library vector against a
-bounded batch of query vectors. The batch is checked against
-``max_queries`` before it is shipped to the tasks (as a literal array, so
-scoring is one projection and no join). Scores are computed in the JVM
-(``zip_with`` + ``aggregate``); the per-partition top-k is a
-``mapInPandas`` step (numpy ``argpartition``), so only ``k x queries``
-rows per partition reach the final ranking shuffle.
+Exact top-k similarity search for any number of queries: the library is packed
+into tiles where it lies (one Arrow batch each), the queries into blocks of
+about ``QUERY_BLOCK``; every tile meets every block in an equi-join on the block
+number, one matrix product scores the pair, and only the best k of each query
+leave it. Nothing is fetched while the plan is built.
 """
 
 from __future__ import annotations
@@ -14,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.conversation import STOP_WORDS, tokens
+from tessera.session import ship_library
 
 
 def chunk_documents(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id",
@@ -31,8 +30,10 @@ def chunk_documents(docs: DataFrame, size: int, overlap: int, id_col: str = "doc
     step = size - overlap
     n = F.char_length(text)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return (docs.select(id_col, text, F.posexplode(starts).alias("chunk_no", "start"))
-            .select(id_col, "chunk_no", "start", F.substring(F.col(text), F.col("start") + 1, size).alias("chunk")))
+    # cut first, so that no row carries the whole text
+    cut = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(F.col(text), s + 1, F.lit(size)).alias("chunk")))
+    return (docs.select(id_col, F.posexplode(cut).alias("chunk_no", "c"))
+            .select(id_col, "chunk_no", "c.start", "c.chunk"))
 
 
 def centroids(vectors: DataFrame, group: str, vec: str = "embedding") -> DataFrame:
@@ -45,75 +46,76 @@ def centroids(vectors: DataFrame, group: str, vec: str = "embedding") -> DataFra
         F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(vec))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+#: Queries of a block, and decimals to which scores are compared (closer ones tie).
+QUERY_BLOCK = 256
+SCORE_DECIMALS = 12
 
+TILE = "ids array<long>, dim int, data binary"
+FOUND = "query_idx long, vec_id long, score double"
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; null when either vector has zero length."""
-    return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Unit rows of a vector column, a mask of the rows that have one, and the
+    length. Vectors that are null, zero, of another length than the first, or
+    hold nulls have no direction."""
+    rows = column.to_pylist()
+    dim = next((len(r) for r in rows if r), 0)
+    good = np.array([r is not None and len(r) == dim and dim > 0 and None not in r for r in rows], bool)
+    x = np.array([r if g else [0.0] * dim for r, g in zip(rows, good)], float).reshape(len(rows), dim)
+    norm = np.sqrt((x * x).sum(axis=1))
+    good &= norm > 0
+    return x / np.where(good, norm, 1.0)[:, None], good, dim
 
-def _partition_top_k(k: int):
-    """Running top-k per query over the Arrow batches of one partition.
 
-    Memory is one batch plus k rows per query. The order is the global one
-    (score descending, missing last, then id ascending), so keeping the k
-    best of every partition is exact."""
+def _pack(table) -> pa.RecordBatch:
+    x, good, dim = _matrix(table.column("vec").combine_chunks() if isinstance(table, pa.Table) else table.column("vec"))
+    x[~good] = np.nan
+    return pa.RecordBatch.from_arrays(
+        [pa.array([table.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([dim], pa.int32()), pa.array([x.tobytes()], pa.binary())],
+        names=["ids", "dim", "data"])
+
+
+def _score(k: int):
     def fn(batches):
-        best_ids = best_sc = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            sc = np.array(pdf["scores"].tolist(), dtype=float)          # rows x queries, None -> nan
-            ids = pdf["vec_id"].to_numpy(dtype=np.int64)
-            if best_ids is None:
-                best_ids = [np.empty(0, np.int64)] * sc.shape[1]
-                best_sc = [np.empty(0, float)] * sc.shape[1]
-            for q in range(sc.shape[1]):
-                i = np.concatenate([best_ids[q], ids])
-                s = np.concatenate([best_sc[q], sc[:, q]])
-                key = np.where(np.isnan(s), np.inf, -s)
-                order = np.lexsort((i, key))[:k]
-                best_ids[q], best_sc[q] = i[order], s[order]
-        if best_ids is None:
-            return
-        for q in range(len(best_ids)):
-            yield pd.DataFrame({"query_idx": np.full(len(best_ids[q]), q, dtype=np.int32),
-                                "vec_id": best_ids[q], "score": best_sc[q]})
+        for batch in batches:
+            for r in batch.to_pylist():
+                lib = np.frombuffer(r["data"], float).reshape(-1, r["dim"]) if r["dim"] else np.zeros((len(r["ids"]), 0))
+                qs = np.frombuffer(r["q_data"], float).reshape(-1, r["q_dim"]) if r["q_dim"] else np.zeros((len(r["q_ids"]), 0))
+                same = r["dim"] == r["q_dim"] and r["dim"] > 0
+                scores = np.round(qs @ lib.T, SCORE_DECIMALS) if same else np.full((len(qs), len(lib)), np.nan)
+                ids = np.array(r["ids"], np.int64)
+                for q, s in zip(r["q_ids"], scores):
+                    top = np.lexsort((ids, np.where(np.isnan(s), np.inf, -s)))[:k]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(top), q)), pa.array(ids[top]), pa.array(s[top], from_pandas=True)], names=["query_idx", "vec_id", "score"])
     return fn
 
 
 def similar_top_k(queries: DataFrame, library: DataFrame, k: int, query_id: str = "query_id",
-                  vec: str = "embedding", lib_id: str = "vec_id", max_queries: int = 1024,
-                  decimals: int | None = 6) -> DataFrame:
-    """Exact cosine top-k of each query over the whole library (H-7).
-
-    ``queries`` is a batch of at most ``max_queries`` rows (checked before
-    anything is shipped); larger batches belong to an approximate index
-    (``pyspark.ml.feature.BucketedRandomProjectionLSH``). Output
-    ``(query_id, rank, vec_id, score)``; ties broken by ``vec_id``;
-    scores rounded to ``decimals`` before ranking so the order does not
-    hinge on the last bits of a floating-point sum.
-    """
-    batch = queries.select(query_id, vec).limit(max_queries + 1).collect()
-    if len(batch) > max_queries:
-        raise ValueError(f"query batch larger than {max_queries}; use an approximate index")
-    if not batch:
-        return library.sparkSession.createDataFrame([], f"{query_id} long, rank int, {lib_id} long, score double")
-    qids = [r[0] for r in batch]
-    qarr = F.array(*[F.array(*[F.lit(float(x)) for x in r[1]]) for r in batch])
-    v = F.transform(F.col(vec), lambda x: x.cast("double"))
-    sc = F.transform(qarr, lambda q: cosine(q, v))
-    if decimals is not None:
-        sc = F.transform(sc, lambda s: F.round(s, decimals))
-    scored = library.select(F.col(lib_id).cast("long").alias("vec_id"), sc.alias("scores"))
-    cand = scored.mapInPandas(_partition_top_k(k), "query_idx int, vec_id long, score double")
-    w = Window.partitionBy("query_idx").orderBy(F.desc("score"), "vec_id")
+                  vec: str = "embedding", lib_id: str = "vec_id", decimals: int | None = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact cosine top-k of each query over the whole library (H-7), for any
+    number of queries with distinct integer ids.
+
+    Output ``(query_id, rank, vec_id, score)``, ranked on full scores; scores
+    equal to ``SCORE_DECIMALS`` decimals tie and go by ``vec_id``; scores are
+    rounded to ``decimals`` for output only. Vectors without a direction score
+    null and come last."""
+    ship_library(library.sparkSession)
+    doubles = F.col(vec).cast("array<double>").alias("vec")
+    qs = queries.select(F.col(query_id).cast("long").alias("id"), doubles)
+    n_blocks = qs.select(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.lit(1)).cast("int")).scalar()
+    dealt = qs.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
+    blocks = dealt.groupBy("block").applyInArrow(
+        lambda key, t: pa.Table.from_batches([_pack(t)]).append_column("block", pa.array([key[0].as_py()], pa.int32())), TILE + ", block int")
+    blocks = blocks.select("block", F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))
+    tiles = library.select(F.col(lib_id).cast("long").alias("id"), doubles).mapInArrow(
+        lambda batches: (_pack(b) for b in batches if b.num_rows), TILE)
+    tiles = tiles.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    cand = tiles.join(blocks, "block").drop("block").mapInArrow(_score(k), FOUND)
+    w = Window.partitionBy("query_idx").orderBy(F.col("score").desc_nulls_last(), "vec_id")
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    idmap = F.array(*[F.lit(q) for q in qids])
-    return top.select(F.element_at(idmap, F.col("query_idx") + 1).alias(query_id), "rank",
-                      F.col("vec_id").alias(lib_id), "score")
+    score = F.col("score") if decimals is None else F.round("score", decimals).alias("score")
+    return top.select(F.col("query_idx").cast(dict(queries.dtypes)[query_id]).alias(query_id), "rank", F.col("vec_id").alias(lib_id), score)
 
 
 def rank_evidence(local: DataFrame, external: DataFrame, key: Sequence[str], item: str,

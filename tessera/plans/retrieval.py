@@ -45,9 +45,9 @@ ex AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM el),
 cen AS (SELECT label AS query_id, list(x ORDER BY i) AS q FROM (SELECT label, i, avg(x) AS x FROM ex GROUP BY label, i)
         GROUP BY label),
 sc AS (SELECT cen.query_id, el.vec_id,
-              round(list_dot_product(cen.q, el.v) / (sqrt(list_dot_product(cen.q, cen.q)) * sqrt(list_dot_product(el.v, el.v))), 6) AS score
+              round(list_dot_product(cen.q, el.v) / (sqrt(list_dot_product(cen.q, cen.q)) * sqrt(list_dot_product(el.v, el.v))), 12) AS score
        FROM cen, el),
-hits AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank,
+hits AS (SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank,
                                vec_id, score FROM sc) WHERE rank <= {K})"""
 
 

@@ -57,9 +57,9 @@ def test_slice_filters_reach_the_scan(spark):
 
 
 def test_fences_reach_the_scan_without_joins(spark):
-    # quartiles come from the exact selection; the fence is a literal pushed into the parquet scan
+    # the fence is a scalar subquery of the exact quantiles, bound before the scan runs
     p = plan_text(q(spark, "outliers_iqr"))
-    assert "PushedFilters: [IsNotNull(value), GreaterThan(value," in p
+    assert "Subquery" in p
     assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
     # the histogram's bounds stay one scalar subquery
     assert "Subquery" in plan_text(q(spark, "histogram"))
@@ -79,8 +79,8 @@ def test_no_python_in_jvm_queries(spark, name):
 
 
 def test_python_only_where_declared(spark):
-    # the two Arrow steps of the library: per-partition top-k and the cooldown scan
-    assert "MapInPandas" in plan_text(q(spark, "similar_top_k"))
+    # the Arrow steps of the library: tiles of vectors and the cooldown replay
+    assert "MapInArrow" in plan_text(q(spark, "similar_top_k"))
     assert "MapInPandas" in plan_text(q(spark, "cooldown_alerts"))
 
 

@@ -146,11 +146,25 @@ def test_similar_top_k_brute_force(spark):
                                 "vec_id long, embedding array<double>").repartition(4)
     qdf = spark.createDataFrame([(100 + i, [float(x) for x in v]) for i, v in enumerate(qs)],
                                 "query_id long, embedding array<double>")
-    got = similar_top_k(qdf, ldf, 5).collect()
-    for qi, q in enumerate(qs):
-        sims = lib @ q / (np.linalg.norm(lib, axis=1) * np.linalg.norm(q))
-        exp = list(np.argsort(-np.round(sims, 6), kind="stable")[:5])
-        mine = [r["vec_id"] for r in sorted([r for r in got if r["query_id"] == 100 + qi], key=lambda r: r["rank"])]
-        assert mine == exp
-    with pytest.raises(ValueError):
-        similar_top_k(qdf, ldf, 5, max_queries=2)
+    odd = spark.createDataFrame([(900, None), (901, [0.0] * 8), (902, [1.0])], ldf.schema)
+    for block in (256, 1):  # one block, and one query a block
+        got = similar_top_k(qdf, ldf.unionByName(odd), 5, block=block).collect()
+        for qi, q in enumerate(qs):
+            sims = lib @ q / (np.linalg.norm(lib, axis=1) * np.linalg.norm(q))
+            exp = list(np.argsort(-sims, kind="stable")[:5])
+            mine = [r["vec_id"] for r in sorted([r for r in got if r["query_id"] == 100 + qi], key=lambda r: r["rank"])]
+            assert mine == exp
+    every = similar_top_k(qdf, ldf.limit(3).unionByName(odd), 10).filter("query_id = 100").orderBy("rank").collect()
+    assert [r["vec_id"] for r in every[3:]] == [900, 901, 902] and {r["score"] for r in every[3:]} == {None}
+
+
+def test_similar_top_k_many_queries(spark):
+    """More queries than any batch limit, none fetched while the plan is built."""
+    from tessera.operators.retrieval import similar_top_k
+    rng = np.random.default_rng(1)
+    lib, qs = rng.normal(size=(50, 4)), rng.normal(size=(3000, 4))
+    ldf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(lib)], "vec_id long, embedding array<double>")
+    qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "query_id long, embedding array<double>")
+    got = {r["query_id"]: r["vec_id"] for r in similar_top_k(qdf, ldf, 1).collect()}
+    unit = lib / np.linalg.norm(lib, axis=1)[:, None]
+    assert got == dict(enumerate((qs @ unit.T).argmax(axis=1).tolist()))
