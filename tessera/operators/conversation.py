@@ -83,6 +83,12 @@ def rebuild_multiline(parsed: DataFrame, lines_per_bucket: int = 1_000_000_000)
                                  lambda x: x["body"]), "\n").alias("text"))
 
 
+def emoji_frequency(msgs: DataFrame, n: int, text: str = "text") -> DataFrame:
+    """The n most frequent emojis of all messages with their counts (D-24)."""
+    e = msgs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(EMOJI_PATTERN), 0)).alias("emoji"))
+    return e.groupBy("emoji").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "emoji").limit(n)
+
+
 def flag_system(msgs: DataFrame, phrases: Sequence[str] = SYSTEM_PHRASES) -> DataFrame:
     """System message (H-3): a headed message without a ``user:`` part, or
     lines without any header that hold a system phrase. Phrases in what a user

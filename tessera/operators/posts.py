@@ -12,6 +12,7 @@ from tessera.functions.columns import parse_read_minutes, strip_ws
 DEFAULT_GROUPS = ("recent",)
 DEFAULT_LINK_TEXT = "Read note"
 META_SEPARATOR = " | "
+ADMIN_SEPARATOR = " \u00b7 "
 HASHTAG_PATTERN = r"hashtag#(\w+)"
 
 STRING_FIELDS = ("title", "topic", "category", "read", "status", "summary", "image", "url", "linkText")
@@ -66,6 +67,15 @@ def post_meta(df: DataFrame, name: str = "meta") -> DataFrame:
                                            part("status", "status")))
 
 
+def admin_meta(df: DataFrame, name: str = "meta") -> DataFrame:
+    """Admin line of a post (B-13): topic, category, read and status with their
+    own names as defaults, and whether there is an image."""
+    def part(col):
+        return F.when(F.coalesce(F.col(col), F.lit("")) != "", F.col(col)).otherwise(F.lit(col))
+    image = F.when(F.coalesce(F.col("image"), F.lit("")) != "", "image").otherwise("no-image")
+    return df.withColumn(name, F.concat_ws(ADMIN_SEPARATOR, part("topic"), part("category"), part("read"), part("status"), image))
+
+
 def read_minutes(df: DataFrame, col: str = "read", name: str = "read_minutes") -> DataFrame:
     """``'6m'`` -> 6 (B-14)."""
     return df.withColumn(name, parse_read_minutes(F.col(col)))

@@ -128,6 +128,20 @@ def quality_score(profile_df: DataFrame, weights: dict[str, float] | None = None
     return agg.withColumn("score", score * 100)
 
 
+def remediation_plan(df: DataFrame, profile_df: DataFrame, drop_share: float = 0.5) -> DataFrame:
+    """What to do about each column (E-6): 'drop' over ``drop_share`` missing,
+    'impute' if any is missing, 'review' if it is constant, else 'keep'; with
+    the rows it touches and the row-level blast radius of the whole plan: rows
+    with a missing value in any column."""
+    any_missing = F.lit(False)
+    for c in df.columns:
+        any_missing = any_missing | _missing_expr(df, c)
+    hit = df.select(F.count_if(any_missing)).scalar()
+    action = (F.when(F.col("missing_share") > drop_share, "drop").when(F.col("n_missing") > 0, "impute")
+              .when(F.col("anomaly"), "review").otherwise("keep"))
+    return profile_df.select("column_name", action.alias("action"), F.col("n_missing").alias("affected_rows"), hit.alias("blast_radius_rows"))
+
+
 def root_causes(profile_df: DataFrame) -> DataFrame:
     """Columns ranked by their share of missing values, with the rows they
     affect (E-6 root-cause ranking / blast radius). The profile has one row

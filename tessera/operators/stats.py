@@ -109,6 +109,11 @@ def summary_overview(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
                     "n_distinct", "min_value", "max_value"))
 
 
+def first_rows(df: DataFrame, order: Sequence[str], n: int = 6) -> DataFrame:
+    """The first n rows in a given order (D-2): a top-n, never a global sort."""
+    return df.orderBy(*order).limit(n)
+
+
 def missing_by_column(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Missing count per column, NaN counted as missing for float columns (D-3).
 

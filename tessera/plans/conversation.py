@@ -147,6 +147,13 @@ def top_terms(spark, sf_dir):
     return C.top_terms(_msgs(spark, sf_dir), 20)
 
 
+@register("emoji_frequency", ops=("D-24",), sql=W(LINES_CTE) + f"""
+SELECT emoji, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{C.EMOJI_PATTERN}')) AS emoji FROM msgs)
+GROUP BY emoji ORDER BY n DESC, emoji LIMIT 20""")
+def emoji_frequency(spark, sf_dir):
+    return C.emoji_frequency(_msgs(spark, sf_dir), 20)
+
+
 @register("activity_timeline", ops=("D-25",), sql=W(LINES_CTE) + """
 SELECT CAST(date_trunc('day', ts) AS DATE) AS period, count(*) AS messages FROM msgs GROUP BY 1""")
 def activity_timeline(spark, sf_dir):

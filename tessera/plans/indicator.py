@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import classify_bands, clean_names
+from tessera.functions.columns import classify_bands, clean_names, rag_status
 from tessera.operators import joins, ranking, stats, quality
 from tessera.plans import bindings as B
 from tessera.plans.common import rounded, tables
@@ -108,12 +108,16 @@ SELECT column_name, n_missing FROM (
   SELECT 'l_orderkey' AS column_name, count_if(l_orderkey IS NULL) AS n_missing FROM lineitem
   UNION ALL SELECT 'l_quantity', count_if(l_quantity IS NULL OR isnan(l_quantity)) FROM lineitem
   UNION ALL SELECT 'l_extendedprice', count_if(l_extendedprice IS NULL OR isnan(l_extendedprice)) FROM lineitem
+  UNION ALL SELECT 'l_discount', count_if(l_discount IS NULL OR isnan(l_discount)) FROM lineitem
+  UNION ALL SELECT 'l_tax', count_if(l_tax IS NULL OR isnan(l_tax)) FROM lineitem
+  UNION ALL SELECT 'l_partkey', count_if(l_partkey IS NULL) FROM lineitem
+  UNION ALL SELECT 'l_suppkey', count_if(l_suppkey IS NULL) FROM lineitem
+  UNION ALL SELECT 'l_linenumber', count_if(l_linenumber IS NULL) FROM lineitem
   UNION ALL SELECT 'l_returnflag', count_if(l_returnflag IS NULL) FROM lineitem
+  UNION ALL SELECT 'l_linestatus', count_if(l_linestatus IS NULL) FROM lineitem
   UNION ALL SELECT 'l_shipdate', count_if(l_shipdate IS NULL) FROM lineitem)""")
 def missing_by_column_lineitem(spark, sf_dir):
-    li = tables(spark, sf_dir).lineitem
-    return stats.missing_by_column(li, ["l_orderkey", "l_quantity", "l_extendedprice",
-                                        "l_returnflag", "l_shipdate"])
+    return stats.missing_by_column(tables(spark, sf_dir).lineitem)
 
 
 @register("attach_indicator", ops=("C-1",), sql=W(*CTES) + "SELECT * FROM joined")
@@ -164,12 +168,42 @@ SELECT * FROM (
   UNION ALL SELECT 2, 'c_nationkey', 'int', count(*), count_if(c_nationkey IS NULL), count(DISTINCT c_nationkey),
          CAST(min(c_nationkey) AS VARCHAR), CAST(max(c_nationkey) AS VARCHAR) FROM customer
   UNION ALL SELECT 3, 'c_mktsegment', 'string', count(*), count_if(c_mktsegment IS NULL), count(DISTINCT c_mktsegment),
-         min(c_mktsegment), max(c_mktsegment) FROM customer)""")
+         min(c_mktsegment), max(c_mktsegment) FROM customer
+  UNION ALL SELECT 4, 'c_acctcents', 'bigint', count(*), count_if(c_acctbal IS NULL), count(DISTINCT CAST(round(c_acctbal * 100) AS BIGINT)),
+         CAST(min(CAST(round(c_acctbal * 100) AS BIGINT)) AS VARCHAR), CAST(max(CAST(round(c_acctbal * 100) AS BIGINT)) AS VARCHAR) FROM customer)""")
 def summary_overview(spark, sf_dir):
-    c = tables(spark, sf_dir).customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    # the balance in whole cents, so that its extremes read alike in every engine
+    c = tables(spark, sf_dir).customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment",
+                                              F.round(F.col("c_acctbal") * 100).cast("bigint").alias("c_acctcents"))
     return stats.summary_overview(c, exact_distinct=True)
 
 
+@register("first_rows", ops=("D-2",), sql="SELECT * FROM customer ORDER BY c_custkey LIMIT 6")
+def first_rows(spark, sf_dir):
+    return stats.first_rows(tables(spark, sf_dir).customer, ["c_custkey"], 6)
+
+
+@register("read_any", ops=("A-7",), sql="SELECT * FROM supplier")
+def read_any(spark, sf_dir):
+    """A given table through the format dispatch."""
+    return files.read_any(spark, f"{sf_dir.rstrip('/')}/supplier.parquet")
+
+
+@register("rag_status", ops=("B-21",), sql="""
+SELECT n_nationkey, round(m, 6) AS mean_balance,
+       CASE WHEN m IS NULL THEN 'Grey' WHEN m >= 4600 THEN 'Green' WHEN m >= 4300 THEN 'Amber' ELSE 'Red' END AS higher_better,
+       CASE WHEN m IS NULL THEN 'Grey' WHEN m <= 4300 THEN 'Green' WHEN m <= 4600 THEN 'Amber' ELSE 'Red' END AS lower_better
+FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE avg(c_acctbal) END AS m
+      FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_nationkey)""")
+def rag_status_q(spark, sf_dir):
+    """Traffic light of every nation's mean balance, some of them withheld."""
+    t = tables(spark, sf_dir)
+    g = t.customer.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"))
+    g = t.nation.join(g, F.col("n_nationkey") == F.col("c_nationkey"), "left").withColumn("m", F.when(F.col("n_nationkey") % 7 != 0, F.col("m")))
+    return rounded(g.select("n_nationkey", F.col("m").alias("mean_balance"), rag_status("m", 4300, 4600).alias("higher_better"),
+                            rag_status("m", 4600, 4300, higher_is_better=False).alias("lower_better")))
+
+
 HIST_SQL = """, v AS (SELECT {x} AS x FROM {src} WHERE {x} IS NOT NULL AND NOT isnan({x})),
 s AS (SELECT min(x) AS lo, max(x) AS hi, avg(x) AS mean, quantile_cont(x, 0.5) AS median FROM v),
 b AS (SELECT CAST(CASE WHEN (s.hi - s.lo) / {bins} = 0 THEN 0

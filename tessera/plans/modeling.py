@@ -236,6 +236,20 @@ def incidence_rates(spark, sf_dir):
     return rounded(stats.incidence_rates(x, ["r_name"], "case", "l_quantity"), 9)
 
 
+@register("rate_ratio", ops=("D-27",), sql="""
+WITH g AS (SELECT l_shipmode AS mode, count_if(l_returnflag = 'R') / sum(l_quantity) AS rate FROM (
+             SELECT CASE WHEN l_discount > 0.05 THEN 'exposed' ELSE 'reference' END AS l_shipmode, l_returnflag, l_quantity FROM lineitem) GROUP BY 1)
+SELECT round(max(CASE WHEN mode = 'exposed' THEN rate END), 9) AS rate_exposed,
+       round(max(CASE WHEN mode = 'reference' THEN rate END), 9) AS rate_reference,
+       round(max(CASE WHEN mode = 'exposed' THEN rate END) / max(CASE WHEN mode = 'reference' THEN rate END), 9) AS rate_ratio FROM g""")
+def rate_ratio(spark, sf_dir):
+    """Returns per unit sold with a discount over 5 percent against the rest."""
+    li = tables(spark, sf_dir).lineitem
+    x = li.select(F.when(F.col("l_discount") > 0.05, "exposed").otherwise("reference").alias("arm"),
+                  (F.col("l_returnflag") == "R").cast("long").alias("case"), "l_quantity")
+    return rounded(stats.rate_ratio(stats.incidence_rates(x, ["arm"], "case", "l_quantity"), "arm", "exposed", "reference"), 9)
+
+
 @register("group_fairness", ops=("D-30",), sql=W(CHURN_CTE) + """,
 g AS (SELECT c_mktsegment, count(*) AS n, avg((c_acctbal < 0)::INT::DOUBLE) AS positive_rate,
              CASE WHEN count_if(label = 1) > 0 THEN count_if(c_acctbal < 0 AND label = 1) / count_if(label = 1) END AS tpr

@@ -87,6 +87,39 @@ def root_causes(spark, sf_dir):
     return rounded(Q.root_causes(Q.profile(c, exact_distinct=True)))
 
 
+GAPPY_SQL = """gappy AS (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN NULL ELSE c_name END AS c_name,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, c_mktsegment, 'x' AS kind FROM customer)"""
+
+
+@register("remediation_plan", ops=("E-6",), sql=W(GAPPY_SQL) + """,
+p AS (SELECT count(*) AS n, count_if(c_name IS NULL) AS m1, count_if(c_acctbal IS NULL) AS m2,
+             count_if(c_name IS NULL OR c_acctbal IS NULL) AS hit FROM gappy)
+SELECT 'c_custkey' AS column_name, 'keep' AS action, 0::BIGINT AS affected_rows, hit::BIGINT AS blast_radius_rows FROM p
+UNION ALL SELECT 'c_name', CASE WHEN m1 / n > 0.5 THEN 'drop' WHEN m1 > 0 THEN 'impute' ELSE 'keep' END, m1::BIGINT, hit::BIGINT FROM p
+UNION ALL SELECT 'c_acctbal', CASE WHEN m2 / n > 0.5 THEN 'drop' WHEN m2 > 0 THEN 'impute' ELSE 'keep' END, m2::BIGINT, hit::BIGINT FROM p
+UNION ALL SELECT 'c_mktsegment', 'keep', 0, hit::BIGINT FROM p
+UNION ALL SELECT 'kind', 'review', 0, hit::BIGINT FROM p""")
+def remediation_plan(spark, sf_dir):
+    """Customers with gaps: two thirds of the names, a fifth of the balances, and one constant column."""
+    k = F.col("c_custkey")
+    g = tables(spark, sf_dir).customer.select("c_custkey", F.when(k % 3 == 0, F.col("c_name")).alias("c_name"),
+                                              F.when(k % 5 != 0, F.col("c_acctbal")).alias("c_acctbal"), "c_mktsegment", F.lit("x").alias("kind"))
+    return Q.remediation_plan(g, Q.profile(g, exact_distinct=True))
+
+
+@register("schema_drift", ops=("E-12",), sql="""
+WITH a AS (SELECT column_name AS c, replace(replace(lower(column_type), 'varchar', 'string'), 'integer', 'int') AS t FROM (DESCRIBE customer)),
+b AS (SELECT replace(column_name, 's_', 'c_') AS c, replace(replace(lower(column_type), 'varchar', 'string'), 'integer', 'int') AS t FROM (DESCRIBE supplier))
+SELECT coalesce(a.c, b.c) AS column_name, a.t AS old_type, b.t AS new_type,
+       CASE WHEN a.t IS NULL THEN 'added' WHEN b.t IS NULL THEN 'removed' WHEN a.t <> b.t THEN 'retyped' ELSE 'same' END AS change
+FROM a FULL JOIN b ON a.c = b.c""")
+def schema_drift(spark, sf_dir):
+    """The customer table against the supplier table under customer names."""
+    t = tables(spark, sf_dir)
+    new = t.supplier.select(*[F.col(c).alias(c.replace("s_", "c_")) for c in t.supplier.columns])
+    return Q.schema_drift(t.customer, new)
+
+
 @register("dedupe_latest_event", ops=("E-7",), sql="""
 SELECT user_id, event_type, event_id, ts, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
