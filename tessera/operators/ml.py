@@ -23,6 +23,8 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 SEED = 42
 
 
@@ -140,12 +142,15 @@ def coefficients(model: PipelineModel, features: str = "features", data: DataFra
 
 def cluster_behaviour(df: DataFrame, cols: Sequence[str], k: int, seed: int = SEED) -> tuple[DataFrame, object]:
     """K-Means on standardised features (J-6); returns rows with their
-    cluster and the fitted model."""
-    va = VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="skip")
+    cluster and the fitted model. Rows with a missing value keep a null cluster."""
+    va = VectorAssembler(inputCols=list(cols), outputCol="_raw")
     sc = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
     km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster")
-    model = Pipeline(stages=[va, sc, km]).fit(df)
-    return model.transform(df).drop("_raw", "features"), model
+    ok = complete_rows(df, cols)
+    full = df.filter(ok)
+    model = Pipeline(stages=[va, sc, km]).fit(full)
+    rows = model.transform(full).drop("_raw", "features")
+    return rows.unionByName(df.filter(~ok).withColumn("cluster", F.lit(None).cast("int"))), model
 
 
 # Churn-risk bands on the positive probability and the
@@ -245,35 +250,57 @@ def recommend_popular(purchases: DataFrame, users: DataFrame, user: str, item: s
     return best.select(user, "rank", item, "score")
 
 
-def match_psm(df: DataFrame, treated: str, covariates: Sequence[str], outcome: str, id_col: str,
-              caliper_bands: int = 20) -> DataFrame:
-    """Propensity-score matching with replacement (C-11): a logistic
-    regression gives each row a propensity score; each treated row is
-    matched to the control with the nearest score inside its caliper band
-    (band = floor(score * caliper_bands)); the nearest control below and
-    above are found with ``last``/``first`` ignoring nulls over the band
-    ordered by score - no pairs are ever enumerated."""
-    va = VectorAssembler(inputCols=list(covariates), outputCol="_x", handleInvalid="skip")
-    lr = LogisticRegression(labelCol=treated, featuresCol="_x", maxIter=50)
-    m = Pipeline(stages=[va, lr]).fit(df.withColumn(treated, F.col(treated).cast("double")))
-    s = m.transform(df.withColumn(treated, F.col(treated).cast("double"))) \
-        .withColumn("pscore", vector_to_array("probability")[1]) \
-        .withColumn("band", F.least(F.floor(F.col("pscore") * caliper_bands), F.lit(caliper_bands - 1)))
+def complete_rows(df: DataFrame, cols: Sequence[str]) -> Column:
+    """True where no given column is null or NaN."""
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return ok
+
+
+def match_on_score(df: DataFrame, score: str, treated: str, outcome: str, id_col: str, caliper: float | None = None,
+                   buckets: int = 64) -> DataFrame:
+    """Nearest-neighbour matching with replacement on a given score (C-11).
+
+    Every treated row gets the control with the nearest score over the whole
+    order by score and id (at equal distance the one before it); beyond the
+    ``caliper`` distance, or without any control or score, it stays with a null
+    control. The order is cut at approximate quantiles of the score, so each
+    bucket holds a like share of the rows, and the nearest control below and
+    above cross bucket edges through one row per bucket; pairs are never
+    enumerated."""
     from tessera.operators import windows as WB
-    is_c = F.col(treated) == 0
+    edges = df.select(F.percentile_approx(F.col(score).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)).scalar()
+    # in steps, since a lambda may not hold a subquery: how many edges lie below the score
+    df = df.withColumn("_edges", edges)
+    bucket = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(score).cast("double"))), F.lit(0))
+    known = F.col(score).isNotNull()
     # one struct per control row, so the score, id and outcome always come from the same control
-    ctl = F.when(is_c, F.struct(F.col("pscore").alias("s"), F.col(id_col).alias("i"), F.col(outcome).alias("y")))
-    # nearest control below/above within the band; the band is split into fine score
-    # sub-buckets so a crowded band is still spread over many tasks
-    sub = F.floor(F.col("pscore") * F.lit(caliper_bands * 1000))
-    s = s.withColumn("_c", ctl)
-    s = WB.last_non_null(s, ["band"], ["pscore", id_col], "_c", sub, "_lo")
-    s = WB.next_non_null(s, ["band"], ["pscore", id_col], "_c", sub, "_hi")
-    s = s.select("*", F.col("_lo.s").alias("lo_s"), F.col("_lo.i").alias("lo_id"), F.col("_lo.y").alias("lo_y"),
-                 F.col("_hi.s").alias("hi_s"), F.col("_hi.i").alias("hi_id"), F.col("_hi.y").alias("hi_y"))
-    t = s.filter(F.col(treated) == 1)
-    use_lo = F.col("hi_s").isNull() | (F.col("lo_s").isNotNull()
-                                        & (F.col("pscore") - F.col("lo_s") <= F.col("hi_s") - F.col("pscore")))
-    return t.select(id_col, "pscore", "band", F.col(outcome).alias("y_treated"),
-                    F.when(use_lo, F.col("lo_id")).otherwise(F.col("hi_id")).alias("control_id"),
-                    F.when(use_lo, F.col("lo_y")).otherwise(F.col("hi_y")).alias("y_control"))
+    control = F.when((F.col(treated) == 0) & known, F.struct(F.col(score).cast("double").alias("s"), F.col(id_col).alias("i"), F.col(outcome).alias("y")))
+    s = df.withColumn("_c", control)
+    s = WB.last_non_null(s, [], [score, id_col], "_c", bucket, "_lo")
+    s = WB.next_non_null(s, [], [score, id_col], "_c", bucket, "_hi")
+    t = s.filter(F.col(treated) == 1).drop("_edges")
+    lo = F.col(score) - F.col("_lo.s")
+    hi = F.col("_hi.s") - F.col(score)
+    best = F.when(F.col("_hi").isNull() | (lo <= hi), F.col("_lo")).otherwise(F.col("_hi"))
+    far = F.least(lo, hi)
+    best = F.when(known & (F.lit(True) if caliper is None else far <= caliper), best)
+    return t.withColumn("_m", best).select(id_col, score, F.col(outcome).alias("y_treated"), F.col("_m.i").alias("control_id"),
+                                           F.col("_m.y").alias("y_control"))
+
+
+def match_psm(df: DataFrame, treated: str, covariates: Sequence[str], outcome: str, id_col: str,
+              caliper: float | None = 0.05) -> DataFrame:
+    """Propensity-score matching with replacement (C-11): a logistic regression
+    gives each row a propensity score, and :func:`match_on_score` finds the
+    nearest control within the caliper. Rows with a missing covariate have no
+    score; a treated one stays with a null control."""
+    ok = complete_rows(df, covariates)
+    va = VectorAssembler(inputCols=list(covariates), outputCol="_x")
+    lr = LogisticRegression(labelCol="_t", featuresCol="_x", maxIter=50)
+    full = df.filter(ok).withColumn("_t", F.col(treated).cast("double"))
+    scored = Pipeline(stages=[va, lr]).fit(full).transform(full).withColumn("pscore", vector_to_array("probability")[1])
+    rows = scored.select(*df.columns, "pscore").unionByName(df.filter(~ok).withColumn("pscore", F.lit(None).cast("double")))
+    checkpoint_dir(df.sparkSession)
+    return match_on_score(rows.checkpoint(), "pscore", treated, outcome, id_col, caliper)

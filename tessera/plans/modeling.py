@@ -174,6 +174,22 @@ def match_psm(spark, sf_dir):
     return rounded(m)
 
 
+@register("match_on_score", ops=("C-11",), sql="""
+WITH x AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_acctbal END AS s, c_mktsegment = 'BUILDING' AS t, c_nationkey AS y FROM customer),
+w AS (SELECT *, last_value(CASE WHEN NOT t AND s IS NOT NULL THEN {'s': s, 'i': id, 'y': y} END IGNORE NULLS)
+                  OVER (ORDER BY s NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo,
+                first_value(CASE WHEN NOT t AND s IS NOT NULL THEN {'s': s, 'i': id, 'y': y} END IGNORE NULLS)
+                  OVER (ORDER BY s NULLS FIRST, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM x),
+m AS (SELECT *, CASE WHEN s IS NULL OR least(s - lo.s, hi.s - s) > 2 THEN NULL WHEN hi IS NULL OR s - lo.s <= hi.s - s THEN lo ELSE hi END AS best FROM w WHERE t)
+SELECT id, round(s, 6) AS score, y AS y_treated, best.i AS control_id, best.y AS y_control FROM m""")
+def match_on_score(spark, sf_dir):
+    """Customers of one segment against the others on their balance, some withheld, within a distance of 2."""
+    c = tables(spark, sf_dir).customer.select(
+        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 17 != 0, F.col("c_acctbal")).alias("score"),
+        (F.col("c_mktsegment") == "BUILDING").cast("int").alias("treated"), F.col("c_nationkey").alias("y"))
+    return rounded(ml.match_on_score(c, "score", "treated", "y", "id", caliper=2.0))
+
+
 @register("diff_in_diff", ops=("D-28",), sql="""
 WITH x AS (SELECT o_totalprice AS y, c_mktsegment = 'BUILDING' AS t, o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' AS p
            FROM orders JOIN customer ON o_custkey = c_custkey),

@@ -48,32 +48,41 @@ def test_models_and_scores(spark):
     assert len(coef) >= len(["n_orders", "mean_price", "recency_days", "c_acctbal", "n_events"])
 
 
-def test_psm_nearest_control_brute_force(spark):
+def nearest(rows, caliper):
+    """id -> control id for (id, treated, score) rows, over all controls."""
+    out, order = {}, sorted((s, i, t) for i, t, s in rows if s is not None)
+    for i, t, s in rows:
+        if t == 1:
+            out[i] = None
+    for k, (s, i, t) in enumerate(order):
+        if t == 1:
+            lo = next((x for x in reversed(order[:k]) if x[2] == 0), None)
+            hi = next((x for x in order[k + 1 :] if x[2] == 0), None)
+            best = lo if lo and (hi is None or s - lo[0] <= hi[0] - s) else hi
+            if best and (caliper is None or abs(best[0] - s) <= caliper):
+                out[i] = best[1]
+    return out
+
+
+def test_match_on_score_brute_force(spark):
     rng = random.Random(6)
-    rows = [(i, rng.randint(0, 1), rng.random() * 10, rng.random() * 5, float(rng.randint(0, 100)))
-            for i in range(600)]
+    # crowded scores, ties, missing scores, far treated rows
+    rows = [(i, rng.randint(0, 1), rng.choice([None, float(rng.randint(0, 40)), 20 + rng.randint(0, 9) / 8, rng.random() * 1e4])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, treated int, s double").withColumn("y", F.col("id") * 2)
+    for caliper in (None, 0.5):
+        got = {r["id"]: (r["control_id"], r["y_control"]) for r in ml.match_on_score(df, "s", "treated", "y", "id", caliper, buckets=8).collect()}
+        assert got == {i: (c, None if c is None else 2 * c) for i, c in nearest(rows, caliper).items()}
+
+
+def test_psm_keeps_rows_with_missing_covariates(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.randint(0, 1), None if i % 10 == 0 else rng.random() * 10, rng.random() * 5, float(rng.randint(0, 100))) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, treated int, a double, b double, y double")
-    got = {r["id"]: r["control_id"] for r in ml.match_psm(df, "treated", ["a", "b"], "y", "id", 5).collect()}
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    d = df.withColumn("treated", F.col("treated").cast("double"))
-    m = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="_x"),
-                         LogisticRegression(labelCol="treated", featuresCol="_x", maxIter=50)]).fit(d)
-    p = sorted(((r["pscore"], r["id"], r["treated"]) for r in
-                m.transform(d).select(vector_to_array("probability")[1].alias("pscore"), "id", "treated").collect()))
-    bands = {}
-    for s, i, t in p:
-        bands.setdefault(min(int(s * 5), 4), []).append((s, i, t))
-    for rows_b in bands.values():
-        for k, (s, i, t) in enumerate(rows_b):
-            if t != 1:
-                continue
-            lo = next((x for x in reversed(rows_b[:k]) if x[2] == 0), None)
-            hi = next((x for x in rows_b[k + 1:] if x[2] == 0), None)
-            exp = lo[1] if lo and (hi is None or s - lo[0] <= hi[0] - s) else (hi[1] if hi else None)
-            assert got[i] == exp
+    got = {r["id"]: r for r in ml.match_psm(df, "treated", ["a", "b"], "y", "id", caliper=None).collect()}
+    assert set(got) == {r[0] for r in rows if r[1] == 1}
+    assert all((got[i]["control_id"] is None) == (i % 10 == 0) for i in got)
+    rows_out, _ = ml.cluster_behaviour(df, ["a", "b"], 3)
+    assert rows_out.count() == 300 and rows_out.filter("cluster IS NULL").count() == 30
 
 
 def test_clusters_recommendations_matching(spark):
