@@ -12,14 +12,19 @@ shingles taken as 64-bit hashes.
    set size, are cut where sizes are too far apart to link; the first holder of
    each run is its pivot, and every holder joins the pivot's block. Two sets
    that link share a block.
-3. In a block, inverted lists over the members' whole sets are searched for the
+3. Members that cannot link with anyone in their block leave it. Each set has a
+   parity bitmap of about one bit a shingle: a shingle that only one of two sets
+   holds flips one bit, so two sets differ in at least as many shingles as their
+   bitmaps in bits, and a pair over the difference a link allows is ruled out.
+   Blocks are compared in pairs of chunks, so no task holds a large one.
+4. In a block, inverted lists over the members' whole sets are searched for the
    members that reach the required overlap: the short lists are heap-merged,
    the long ones probed by binary search (DivideSkip). The pivot is the first
    query; members it reaches are one component and need no further search
    among themselves, the others are queries against the whole block. Large
    blocks are dealt to chunks that all hold the pivot; members no chunk could
    resolve are then searched in every chunk.
-4. Links (a spanning forest of each block) become components.
+5. Links (a spanning forest of each block) become components.
 
 So a group of near copies costs a search or two a chunk rather than all its
 pairs, while every link between different components is still looked for.
@@ -54,6 +59,8 @@ SKETCH_BITS = 20
 SKETCH_ROW = 1 << 13
 CHUNK = 2048
 SKIP_WEIGHT = 0.0085
+#: Long lists probed at once; between them members that cannot reach the overlap drop out.
+PROBES = 64
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +104,57 @@ def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 # -- sets and the order of shingles ------------------------------------------
 
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row_key", T.LongType()), T.StructField("n", T.LongType()),
-                     T.StructField("fp", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+                     T.StructField("fp", T.LongType()), T.StructField("parity", T.BinaryType()),
+                     T.StructField("slot", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+
+
+def parity_bits(n: int) -> int:
+    """Bits of the parity bitmap of n shingles: a power of two, 64 at least."""
+    return max(64, 1 << max(n - 1, 0).bit_length())
+
+
+def parities(owners: np.ndarray, grams: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity bitmap of each set: bit (hash modulo its size) flips with every shingle."""
+    out = []
+    at = np.concatenate([[0], np.cumsum(n)])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        bits = parity_bits(b - a)
+        odd = np.bincount((grams[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def fold(words: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) folded to ``size`` words by exclusive or."""
+    while words.shape[1] > size:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def may_link(sizes: np.ndarray, bits: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Marks the sets that a pair (one of ``left``, another of ``right``) allows
+    to link: overlap o with (100 + percent) o >= percent (n + m), so they differ
+    in n + m - 2 o shingles at most."""
+    keep = np.zeros(len(sizes), bool)
+    words = np.array([len(b) for b in bits])
+    for w in np.unique(words[left]):
+        own = left[words[left] == w]
+        for v in np.unique(words[right]):
+            other = right[words[right] == v]
+            if max(w, v) > 4 * min(w, v):  # sizes differ by more than a link allows
+                continue
+            size = min(w, v)
+            a, b = fold(np.stack([bits[i] for i in own]), size), fold(np.stack([bits[i] for i in other]), size)
+            step = max(1, (1 << 20) // (size * len(other)))
+            for i in range(0, len(own), step):
+                o = own[i : i + step]
+                differ = np.bitwise_count(a[i : i + step, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+                total = sizes[o][:, None] + sizes[other][None, :]
+                can = (differ <= total - 2 * -(-percent * total // (100 + percent))) & (o[:, None] != other[None, :])
+                keep[o] |= can.any(axis=1)
+                keep[other] |= can.any(axis=0)
+    return keep
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -117,10 +174,10 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             n, fp = fingerprints(owners, grams, j - i)
             counts += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=rows).astype(np.int32)
             part = batch.slice(i, j - i)
-            yield {"doc_id": part.column("doc_id"), "row_key": part.column("row_key"), "n": n, "fp": fp,
+            yield {"doc_id": part.column("doc_id"), "row_key": part.column("row_key"), "n": n, "fp": fp, "parity": pa.array(parities(owners, grams, n), pa.binary()),
                    "slot": none(j - i, pa.int32()), "counts": none(j - i, pa.binary())}
         m = rows // SKETCH_ROW
-        yield {"doc_id": none(m, pa.int64()), "row_key": none(m, pa.int64()), "n": none(m, pa.int64()), "fp": none(m, pa.int64()),
+        yield {"doc_id": none(m, pa.int64()), "row_key": none(m, pa.int64()), "n": none(m, pa.int64()), "fp": none(m, pa.int64()), "parity": none(m, pa.binary()),
                "slot": np.arange(m), "counts": pa.array([c.tobytes() for c in counts.reshape(m, -1)], pa.binary())}
 
     return map_arrow(docs, fn, SETS)
@@ -209,6 +266,39 @@ def _pivots(prefixes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, schema).distinct()
 
 
+def _possible(members: DataFrame, classes: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """The members (fp, pivot) that may link with another member of their block."""
+    schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("pivot", T.LongType())])
+    names = to_arrow_schema(schema)
+    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"))
+    dealt = members.join(sizes, "pivot").join(classes.select("fp", "n", "parity"), "fp")
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = dealt.select("pivot", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", "n", "parity")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, int]] = []
+        for cell in stream_groups(batches, ["pivot", "a", "b"]):
+            fps, n, own = (cell.column(c).to_numpy() for c in ("fp", "n", "own"))
+            bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("parity")]
+            a, b = cell.column("a")[0].as_py(), cell.column("b")[0].as_py()
+            keep = may_link(n, bits, np.flatnonzero(own == a), np.flatnonzero(own == b), percent)
+            found.append((fps[keep], cell.column("pivot")[0].as_py()))
+            if len(found) >= 1024:
+                yield flush(found)
+        if found:
+            yield flush(found)
+
+    def flush(found: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+        fps = np.concatenate([f for f, _ in found])
+        pivots = np.repeat(np.array([p for _, p in found], np.int64), [len(f) for f, _ in found])
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(pivots, pa.int64())], schema=names)
+
+    ordered = cells.repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b")
+    return ordered.mapInArrow(run, schema).distinct()
+
+
 def _cells(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """The sets of the wanted rows (row_key, cells) in their cells (pivot, chunk, part, query)."""
     cell = [T.StructField("pivot", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("part", T.IntegerType()),
@@ -241,38 +331,36 @@ class InvertedLists:
         flat = np.concatenate(sets)
         member = np.repeat(np.arange(len(sets), dtype=np.int64), self.sizes)
         order = np.argsort(flat, kind="stable")
-        self.members = member[order]
-        tokens, self.starts = np.unique(flat[order], return_index=True)
+        flat, self.members = flat[order], member[order]
+        self.starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
         self.lengths = np.diff(np.append(self.starts, len(flat)))
-        self.tokens = tokens
+        self.tokens = flat[self.starts]
+        #: (list, member) as one sorted key, so many lists are probed by one binary search
+        self.keys = np.repeat(np.arange(len(self.starts)), self.lengths) * len(sets) + self.members
 
-    def search(self, query: np.ndarray, percent: int) -> np.ndarray:
-        """Members whose Jaccard similarity with the query reaches the limit."""
+    def search(self, own: int, query: np.ndarray, percent: int) -> np.ndarray:
+        """Other members whose Jaccard similarity with member ``own``, whose
+        shingles are the query, reaches the limit."""
         k = np.searchsorted(self.tokens, query)
-        k = k[(k < len(self.tokens))]
-        k = k[np.isin(self.tokens[k], query, assume_unique=False)]
         need = int(least_overlap(len(query), percent))
-        if len(k) < need:
-            return np.zeros(0, np.int64)
         k = k[np.argsort(self.lengths[k], kind="stable")]
         longest = int(self.lengths[k[-1]])
-        long_lists = min(need - 1, int(need / (SKIP_WEIGHT * np.log2(longest + 1) + 1)))
-        short, long_ = k[: len(k) - long_lists], k[len(k) - long_lists :]
-        lists = [self.members[a : a + n].tolist() for a, n in zip(self.starts[short].tolist(), self.lengths[short].tolist())]
-        merged = np.fromiter(heapq.merge(*lists), np.int64, int(self.lengths[short].sum()))
+        n_long = min(need - 1, int(need / (SKIP_WEIGHT * np.log2(longest + 1) + 1)))
+        short, long_ = k[: len(k) - n_long], k[len(k) - n_long :]
+        lists = [self.members[a : a + n].tolist() for a, n in zip(self.starts[short].tolist(), self.lengths[short].tolist()) if n > 1]  # one entry: the query itself
+        merged = np.fromiter(heapq.merge(*lists), np.int64)
         found, counts = np.unique(merged, return_counts=True)
-        keep = counts >= need - long_lists
+        keep = (counts >= need - n_long) & (found != own)
         found, counts = found[keep], counts[keep]
         required = -(-percent * (len(query) + self.sizes[found]) // (100 + percent))
-        for left, t in zip(range(long_lists, 0, -1), long_):
-            can = counts + left >= required
-            if not can.all():
-                found, counts, required = found[can], counts[can], required[can]
+        for a in range(0, n_long, PROBES):
+            can = counts + (n_long - a) >= required
+            found, counts, required = found[can], counts[can], required[can]
             if not len(found):
                 break
-            own = self.members[self.starts[t] : self.starts[t] + self.lengths[t]]
-            p = np.minimum(np.searchsorted(own, found), len(own) - 1)
-            counts = counts + (own[p] == found)
+            probe = (long_[a : a + PROBES, None] * len(self.sizes) + found[None, :]).ravel()
+            at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
+            counts = counts + (self.keys[at] == probe).reshape(-1, len(found)).sum(axis=0)
         return found[counts >= required]
 
 
@@ -300,7 +388,7 @@ def block_links(fps: np.ndarray, sets: list[np.ndarray], is_query: np.ndarray, p
     for q in queries:
         if q != first and first >= 0 and find(q) == find(first):
             continue
-        for m in lists.search(sets[q], percent).tolist():
+        for m in lists.search(q, sets[q], percent).tolist():
             x, y = find(q), find(m)
             if x != y:
                 root[max(x, y)] = min(x, y)
@@ -351,8 +439,10 @@ def set_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, chunk: int
     """(a, b): fingerprints whose sets link; connects every component."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_sketch(sets))
-    classes = sets.where("n > 0").groupBy("fp").agg(F.min("row_key").alias("row_key"))
+    classes = sets.where("n > 0").groupBy("fp").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     members = saved(_pivots(_prefixes(docs, shared, k, percent), percent), "members")
+    members = saved(_possible(members, classes, percent, chunk), "members")
+    classes = classes.select("fp", "row_key")
     sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"))
     dealt = members.join(sizes, "pivot")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")

@@ -137,9 +137,9 @@ def test_divide_skip_search_equals_brute_force():
             s[rng.integers(0, 40, k)] = rng.integers(100, 200, k)
             sets.append(np.unique(s[: rng.integers(25, 41)]))
         lists = ngram_jaccard.InvertedLists(sets)
-        for q in sets:
-            want = [m for m, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 80 * len(np.union1d(q, s))]
-            assert lists.search(q, 80).tolist() == want
+        for own, q in enumerate(sets):
+            want = [m for m, s in enumerate(sets) if m != own and 100 * len(np.intersect1d(q, s)) >= 80 * len(np.union1d(q, s))]
+            assert lists.search(own, q, 80).tolist() == want
         fps = np.arange(len(sets))
         a, b, _ = ngram_jaccard.block_links(fps, sets, np.ones(len(sets), bool), 0, 80)
         pairs = [(x, y) for x, y in itertools.combinations(range(len(sets)), 2)
@@ -177,3 +177,28 @@ def test_kernel_is_shared_grams_over_geometric_mean():
     assert x[:2].sum(axis=1).tolist() == [len(own[t]) for t in texts[:2]]
     assert x[0] @ x[1] == len(own[texts[0]] & own[texts[1]])
     assert x[2].sum() == 0
+
+
+def test_parity_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(0)
+    ruled_out = 0
+    for _ in range(80):
+        sets = []
+        for _ in range(rng.integers(1, 4)):
+            n = int(rng.integers(1, 400))
+            base = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            for _ in range(rng.integers(1, 5)):
+                s = base.copy()
+                k = rng.integers(0, max(1, n // 3))
+                s[rng.integers(0, n, k)] = rng.integers(0, 1 << 62, k)
+                sets.append(np.unique(s))
+        n = np.array([len(s) for s in sets])
+        bits = [np.frombuffer(p, np.uint64) for p in ngram_jaccard.parities(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n)]
+        links = np.array([[i != j and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+        every = np.arange(len(sets))
+        keep = ngram_jaccard.may_link(n, bits, every, every, 80)
+        assert (keep >= links.any(axis=1)).all()
+        ruled_out += int((~keep).sum())
+        left, right = every[::2], every[1::2]
+        assert (ngram_jaccard.may_link(n, bits, left, right, 80)[left] >= links[np.ix_(left, right)].any(axis=1)).all()
+    assert ruled_out > 50
