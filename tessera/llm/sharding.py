@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import text_of
+from tessera.llm.common import saved, text_of
 
 SOURCE_BUCKETS = 4096
 LINE_CELLS = 8192
@@ -68,7 +68,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     line = ranked.select("id", "size", "crc", "tie", "src", place.alias("place")).withColumn(
         "cell", F.least(F.floor(F.col("place") * LINE_CELLS), F.lit(LINE_CELLS - 1)).cast("int"))
 
-    # the counts of the line's cells follow from the source buckets' rows alone
+    # written once: both the cells' counts and the rows' positions come from it
+    line = saved(line, "line")
     cells = line.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     run = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("cell", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("cell_ahead"),
