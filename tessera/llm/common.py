@@ -20,13 +20,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` to a new folder of the shared checkpoint folder and reads
-    it back, so later jobs neither recompute it nor depend on one executor."""
+    it back, so later jobs neither recompute it nor depend on one executor. The
+    folder goes when the application ends."""
     spark = df.sparkSession
-    path = checkpoint_subdir(spark, f"tessera-{name}-{uuid.uuid4().hex[:12]}")
+    path = temporary_folder(spark, name)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return checkpoint_subdir(spark, f"tessera-{name}-{uuid.uuid4().hex[:12]}")
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a written folder deleted when the application ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def free_name(taken: Iterable[str], base: str) -> str:
     """``base``, with underscores added until no column has that name."""
     low = {c.lower() for c in taken}

@@ -25,7 +25,6 @@ large block.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -38,8 +37,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tessera.llm import bpe, huffman, scan
-from tessera.llm.common import map_arrow, saved
-from tessera.session import checkpoint_subdir, ship_library
+from tessera.llm.common import drop_at_exit, map_arrow, saved, temporary_folder
+from tessera.session import ship_library
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -195,6 +194,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int | None = END_ID) -> DataFrame:
     """Writes the files to a new shared folder and reads them back."""
-    path = checkpoint_subdir(docs.sparkSession, f"tessera-token-files-{uuid.uuid4().hex[:12]}")
+    path = temporary_folder(docs.sparkSession, "token-files")
     write_tokens(docs, path, vocabulary, end_id)
+    drop_at_exit(docs.sparkSession, path)
     return read_tokens(docs.sparkSession, path)
