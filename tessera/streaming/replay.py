@@ -21,9 +21,12 @@ would have to pass through one task to replay it in order. Instead:
    candidate at or after ``exit + C``): an as-of lookup done with a window
    over (key, segment). This gives a graph with one edge per candidate,
    each edge moving one segment forward.
-4. The true entry of every segment is the path from the key's first
-   observation. Pointer doubling (``J_{k+1} = J_k . J_k``, about log2 of the
-   number of segments rounds of joins) expands that path in parallel.
+4. A segment whose first observation comes at least C after the previous
+   segment's last one is *fresh*: it starts with that observation whatever went
+   before. The true entry of every other segment is the path from the fresh one
+   before it. Pointer doubling (``J_{k+1} = J_k . J_k``, about log2 of the
+   longest run of segments that aren't fresh rounds of joins) expands all paths
+   in parallel.
 5. Every segment is replayed from its true entry, in parallel.
 
 Work: two shuffles of the rows plus joins over the candidate nodes, which
@@ -42,59 +45,80 @@ from tessera.functions.columns import epoch_micros, from_epoch_micros
 from tessera.session import ship_library
 
 
-def _runs(batches, key: str):
-    """Complete (key, segment) runs of a sorted partition, across batches."""
-    cur, buf = None, []
+def _runs(batches, key: str, cols: list[str]):
+    """Complete (key, segment) runs of a sorted partition, as arrays of the
+    columns; None after each batch, where a caller hands on what it has."""
+    cur, held = None, []
+
+    def whole():
+        return held[0] if len(held) == 1 else tuple(np.concatenate(c) for c in zip(*held))
+
     for pdf in batches:
         if not len(pdf):
             continue
-        k = pdf[key].to_numpy()
-        sg = pdf["_seg"].to_numpy(dtype=np.int64)
-        change = np.r_[True, (k[1:] != k[:-1]) | (sg[1:] != sg[:-1])]
-        starts = np.flatnonzero(change)
-        ends = np.r_[starts[1:], len(k)]
-        for s, e in zip(starts, ends):
-            kv = k[s].item() if hasattr(k[s], "item") else k[s]
-            run = (kv, int(sg[s]))
-            if run != cur and buf:
-                yield cur, pd.concat(buf, ignore_index=True)
-                buf = []
+        k, sg = pdf[key].to_numpy(), pdf["_seg"].to_numpy(dtype=np.int64)
+        values = [pdf[c].to_numpy() for c in cols]
+        starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (sg[1:] != sg[:-1])])
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(k)]):
+            run = (k[s], sg[s])
+            if run != cur and held:
+                yield cur, whole()
+                held = []
             cur = run
-            buf.append(pdf.iloc[s:e])
-    if buf:
-        yield cur, pd.concat(buf, ignore_index=True)
+            held.append(tuple(v[s:e] for v in values))
+        yield None
+    if held:
+        yield cur, whole()
+    yield None
 
 
 def _nodes_fn(key: str, cd_us: int, seg_us: int):
     def fn(batches):
-        for (kv, seg), run in _runs(batches, key):
-            t = run["_t"].to_numpy(dtype=np.int64)
+        keys, parts = [], []
+        for got in _runs(batches, key, ["_t"]):
+            if got is None:
+                if parts:
+                    sizes, seg, pos, ct, ends, first, last = zip(*parts)
+                    each = lambda x: np.repeat(np.array(x, np.int64), sizes)
+                    yield pd.DataFrame({key: np.repeat(np.array(keys), sizes), "_seg": each(seg), "_pos": np.concatenate(pos).astype(np.int32),
+                                        "_ct": np.concatenate(ct), "_exit": np.concatenate(ends), "_first": each(first), "_last": each(last)})
+                    keys, parts = [], []
+                continue
+            (kv, seg), (t,) = got
             m = len(t)
             n_cand = min(int(np.searchsorted(t, seg * seg_us + cd_us, "left")) + 1, m)
             pos = np.arange(n_cand)
-            cur = pos.copy()
-            while True:
+            cur = pos
+            while m > 1:
                 nxt = np.searchsorted(t, t[cur] + cd_us, "left")
                 active = nxt < m
                 if not active.any():
                     break
                 cur = np.where(active, nxt, cur)
-            yield pd.DataFrame({key: [kv] * n_cand, "_seg": np.full(n_cand, seg, dtype=np.int64),
-                                "_pos": pos.astype(np.int32), "_ct": t[:n_cand], "_exit": t[cur]})
+            keys.append(kv)
+            parts.append((n_cand, seg, pos, t[:n_cand], t[cur], t[0], t[-1]))
     return fn
 
 
 def _fires_fn(key: str, cd_us: int):
     def fn(batches):
-        for (_kv, _seg), run in _runs(batches, key):
-            t = run["_t"].to_numpy(dtype=np.int64)
-            i = int(run["_start"].iloc[0])
+        keys, ties, times = [], [], []
+        for got in _runs(batches, key, ["_t", "_tb", "_start"]):
+            if got is None:
+                if keys:
+                    yield pd.DataFrame({key: np.repeat(np.array(keys), [len(x) for x in times]), "_tb": np.concatenate(ties), "_t": np.concatenate(times)})
+                    keys, ties, times = [], [], []
+                continue
+            (kv, _seg), (t, tb, start) = got
+            i = int(start[0])
             fired = []
             while 0 <= i < len(t):
                 fired.append(i)
                 i = int(np.searchsorted(t, t[i] + cd_us, "left"))
             if fired:
-                yield run.iloc[fired][[key, "_tb", "_t"]]
+                keys.append(kv)
+                ties.append(tb[fired])
+                times.append(t[fired])
     return fn
 
 
@@ -120,11 +144,16 @@ def replay_segments(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_se
     ship_library(rows.sparkSession)
     nodes = sorted_runs(rows).mapInPandas(
         _nodes_fn(key, cd_us, seg_us),
-        f"{key} {types[key]}, _seg long, _pos int, _ct long, _exit long").checkpoint()
+        f"{key} {types[key]}, _seg long, _pos int, _ct long, _exit long, _first long, _last long").checkpoint()
 
     # 3. edges: exit -> the next segment's first candidate at or after exit + C (as-of lookup)
-    segs = nodes.select(key, "_seg").distinct().withColumn(
-        "_next", F.lead("_seg").over(Window.partitionBy(key).orderBy("_seg"))).checkpoint()
+    in_key = Window.partitionBy(key).orderBy("_seg")
+    segs = nodes.filter(F.col("_pos") == 0).select(key, "_seg", "_first", "_last")
+    gap = F.col("_first") - F.lag("_last").over(in_key)
+    segs = segs.withColumn("_fresh", F.coalesce(gap >= F.lit(cd_us), F.lit(True)))
+    # only a segment that isn't fresh needs to know how the one before it ends
+    needs = ~F.lead("_fresh").over(in_key)
+    segs = segs.select(key, "_seg", "_fresh", F.when(needs, F.lead("_seg").over(in_key)).alias("_next"))
     probes = (nodes.join(segs.filter(F.col("_next").isNotNull()), [key, "_seg"])
               .select(key, F.col("_next").alias("_seg"), (F.col("_exit") + F.lit(cd_us)).alias("_v"),
                       F.lit(0).alias("_kind"), F.col("_seg").alias("_s_seg"), F.col("_pos").alias("_s_pos"),
@@ -144,22 +173,21 @@ def replay_segments(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_se
         F.col("_next").alias("_d_seg"), F.lit(0).alias("_d_pos"))
     jump = edges.unionByName(none_edges).checkpoint()
 
-    # 4. the path from each key's first observation, by pointer doubling
-    path = segs.groupBy(key).agg(F.min("_seg").alias("_seg")).withColumn("_pos", F.lit(0)).checkpoint()
+    # 4. the paths from the fresh segments, by pointer doubling
+    path = segs.filter("_fresh").select(key, "_seg", F.lit(0).alias("_pos"))
     for _ in range(max_rounds):
+        if jump.isEmpty():
+            break
         step = (path.join(jump, (path[key] == jump[key]) & (path["_seg"] == jump["_s_seg"])
                           & (path["_pos"] == jump["_s_pos"]))
                 .select(path[key], F.col("_d_seg").alias("_seg"), F.col("_d_pos").alias("_pos")))
         path = path.unionByName(step).distinct().checkpoint()
         a, b = jump.alias("a"), jump.alias("b")
-        twice = (a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._d_seg") == F.col("b._s_seg"))
-                        & (F.col("a._d_pos") == F.col("b._s_pos")))
-                 .select(F.col(f"a.{key}").alias(key), F.col("a._s_seg").alias("_s_seg"),
-                         F.col("a._s_pos").alias("_s_pos"), F.col("b._d_seg").alias("_d_seg"),
-                         F.col("b._d_pos").alias("_d_pos"))).checkpoint()
-        if twice.isEmpty():
-            break
-        jump = twice
+        jump = (a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._d_seg") == F.col("b._s_seg"))
+                       & (F.col("a._d_pos") == F.col("b._s_pos")))
+                .select(F.col(f"a.{key}").alias(key), F.col("a._s_seg").alias("_s_seg"),
+                        F.col("a._s_pos").alias("_s_pos"), F.col("b._d_seg").alias("_d_seg"),
+                        F.col("b._d_pos").alias("_d_pos"))).checkpoint()
     else:
         raise RuntimeError("pointer doubling did not finish")
 
