@@ -2,7 +2,8 @@
 
 1. ``quality_classifier`` drops documents that are more likely toxic than not,
    or more likely bad than good.
-2. ``ngram_jaccard_join`` keeps one document of each group of near duplicates.
+2. ``ngram_jaccard_join`` keeps one document, as one row, of each group of near
+   duplicates.
 3. ``suffix_array_dedup`` cuts passages that repeat across what is left.
 4. ``benchmark_decontamination`` drops contaminated documents.
 5. ``best_fit_packing`` places the token pieces of the rest in sequences.
@@ -29,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.keep_one(docs)
+    return ngram_jaccard.representatives(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

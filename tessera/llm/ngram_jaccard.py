@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm import scan
-from tessera.llm.common import map_arrow, saved, stream_groups
+from tessera.llm.common import free_name, map_arrow, saved, stream_groups
 from tessera.llm.components import components
 from tessera.session import ship_library
 
@@ -466,9 +466,9 @@ def set_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, chunk: int
     return links.unionAll(more.where("open_pivot IS NULL").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and row_key (a hash of id and text)."""
+def _components_of(docs: DataFrame, k: int, percent: int, chunk: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, row_key (a hash of
+    id and text) and root, which names the component (null without words)."""
     ship_library(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
     sets = saved(_sets(rows, k), "sets")
@@ -477,18 +477,48 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, chu
     classes = per_doc.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(smallest, "root").select("fp", "component_id")
+    classes = classes.join(smallest, "root").select("fp", "component_id", "root")
     out = per_doc.join(classes, "fp", "left")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row_key")
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row_key", "root")
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, and row_key (a hash of id and text)."""
+    return _components_of(docs, k, percent, chunk, id_col, text_col).drop("root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with
     all columns. Rows that share that id all stay; so do rows without words
-    and, in components without any id, all rows."""
+    and, in components without any id, all rows. ``representatives`` keeps a
+    single row instead."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     drop = found.where("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select(F.col("row_key").alias("__dropped"))
     key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
     return docs.join(drop.distinct(), key == F.col("__dropped"), "left_anti")
+
+
+def representatives(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` per component, with all columns: the smallest id (null
+    if there is no other), among its texts the smallest row_key, and any one of
+    equal rows (same id and text). A row without words stands alone; only equal
+    ones with an id count as one document."""
+    found = saved(_components_of(docs, k, percent, chunk, id_col, text_col), "found")
+    first = found.where("doc_id <=> component_id")
+    ties = first.where("root IS NOT NULL").groupBy("root").agg(F.min("row_key").alias("least"), F.max("row_key").alias("most"))
+    ties = ties.where("least < most").select("root", "least")
+    later = first.join(ties, "root").where("row_key > least").select("row_key")
+    drop = found.where("NOT (doc_id <=> component_id)").select("row_key").unionAll(later).distinct()
+    key = free_name(docs.columns, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string")))
+    kept = keyed.join(drop.withColumnRenamed("row_key", key), key, "left_anti").select(*keyed.columns)
+    again = first.where("root IS NOT NULL OR doc_id IS NOT NULL").groupBy("row_key").agg(F.count(F.lit(1)).alias("rows"))
+    again = saved(again.where("rows > 1").select(F.col("row_key").alias(key)), "repeated-rows")
+    if not again.isEmpty():
+        copies = kept.join(again, key, "left_semi").select(*keyed.columns).dropDuplicates([key])
+        kept = kept.join(again, key, "left_anti").select(*keyed.columns).unionAll(copies)
+    return kept.drop(key)
