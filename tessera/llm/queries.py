@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (decontamination, embedding_dedup, hard_negatives, language_id, ngram_jaccard, packing, quality, sharding,
+from tessera.llm import (decontamination, embedding_dedup, hard_negatives, language_id, lm_scoring, ngram_jaccard, packing, quality, sharding,
                          suffix_dedup, token_counts, token_files, whitening)
 from tessera.llm.common import documents
 from tessera.sources.tables import load
@@ -60,6 +60,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(moved, F.col("vec_id") % 100 == 0)
 
 
+def op12_class_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir), lambda doc_id: F.crc32(F.col(doc_id).cast("string")) % 7 == 2)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(load(spark, sf_dir, "embeddings"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_class_lm_scoring": op12_class_lm_scoring,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
