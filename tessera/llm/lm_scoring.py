@@ -393,9 +393,9 @@ def gains(m: np.ndarray, left: np.ndarray, right: np.ndarray, own: float, classe
     b = _xlog(m[:c] + right[None, :]) - _xlog(m[:c])
     k = np.arange(c)
     twice = _xlog(m[k, k] + left[k] + right[k] + own) - _xlog(m[k, k])
-    cols, rows = m.sum(axis=0)[:c], m.sum(axis=1)[:c]
+    # its pairs also count at the ends of its neighbours' classes, alike whatever class it joins
+    cols, rows = m.sum(axis=0)[:c] + right[:c], m.sum(axis=1)[:c] + left[:c]
     ends = _xlog(cols + left.sum() + own) - _xlog(cols) + _xlog(rows + right.sum() + own) - _xlog(rows)
-    # the ends also move for the classes of its neighbours, alike whatever class the word joins
     return a.sum(axis=0) - a[k, k] + b.sum(axis=1) - b[k, k] + twice - ends
 
 
@@ -610,7 +610,8 @@ def _per_document(docs: DataFrame, shared: object) -> DataFrame:
                 on = k >= 0
                 cls = np.full(len(h), UNKNOWN, np.uint8)
                 cls[on] = marked[k[on]]
-                sums = [np.concatenate([[0], np.cumsum(np.where(on, t[k], 0) if len(t) else np.zeros(len(h)))]) for t in (base, emission)]
+                # every text has a token, so no run is empty; equal texts get equal sums
+                sums = [np.add.reduceat(np.where(on, t[k], 0.0), at[:-1]) for t in (base, emission)]
                 known = np.concatenate([[0], np.cumsum(on)])
                 hole = np.flatnonzero(~on)
                 text = np.searchsorted(at, hole, "right") - 1
@@ -625,7 +626,7 @@ def _per_document(docs: DataFrame, shared: object) -> DataFrame:
                 holes = np.searchsorted(hole, at[:-1])
                 items = pa.StructArray.from_arrays([pa.array(hh[new].view(np.int64)), pa.array(gg[new].view(np.int32))], fields=list(names.field("rare").type.value_type))
                 yield [np.arange(row, row + j - i), batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), _lists(cls, at[:-1]),
-                       np.diff(known[at]), *(np.diff(s[at]) for s in sums), _lists((hole - at[:-1][text]).astype(np.int32), holes), _lists(which, holes),
+                       np.diff(known[at]), *sums, _lists((hole - at[:-1][text]).astype(np.int32), holes), _lists(which, holes),
                        list_array(items, distinct_of).cast(names.field("rare").type)]
                 row += j - i
 
@@ -763,9 +764,8 @@ def score(docs: DataFrame, held_out_of: Callable[[str], object], classes: int =
         for batch in batches:
             seq, firsts = _sequences(batch)
             context, marked = _steps(seq, firsts, start)
-            each = np.concatenate([[0.0], np.cumsum(last[context, marked & 127])])
-            ends = np.append(firsts[1:], len(seq))
-            yield [batch.column("doc_id"), batch.column("held_out"), ends - firsts, batch.column("n_known"), np.full(batch.num_rows, total),
-                   batch.column("base"), each[ends] - each[firsts] + batch.column("emission").to_numpy()]
+            chances = np.add.reduceat(last[context, marked & 127], firsts)
+            yield [batch.column("doc_id"), batch.column("held_out"), np.diff(np.append(firsts, len(seq))), batch.column("n_known"), np.full(batch.num_rows, total),
+                   batch.column("base"), chances + batch.column("emission").to_numpy()]
 
     return _arrow_map(done, fn, SCORED)
