@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.tasks import haystack
@@ -93,6 +93,12 @@ def order_lifecycle(events: DataFrame, allowed: DataFrame, key: str, ts: str, st
     return j.withColumn("legal", F.col("from_status").isNull() | F.coalesce(F.col("_ok"), F.lit(False))).drop("_ok")
 
 
+def payment_status(due: Column, first_use: Column, amount: Column, tol: float) -> Column:
+    """Status of one piece of payment evidence (G-10)."""
+    return (F.when(due.isNull(), "unknown_order").when(~first_use, "duplicate")
+            .when(F.abs(amount - due) > F.lit(tol) * F.abs(due), "amount_mismatch").otherwise("matched"))
+
+
 def payment_match(evidence: DataFrame, orders: DataFrame, ref: str, amount: str, order_key: str,
                   order_amount: str, tol: float = 0.01) -> DataFrame:
     """Payment evidence against orders (G-10): status per evidence row is
@@ -102,10 +108,7 @@ def payment_match(evidence: DataFrame, orders: DataFrame, ref: str, amount: str,
     o = orders.select(F.col(order_key).alias(ref), F.col(order_amount).alias("_due"))
     # evidence without a reference belongs to no order and stays, as 'unknown_order'
     j = evidence.join(uses, ref, "left").join(o, ref, "left")
-    status = (F.when(F.col("_due").isNull(), "unknown_order")
-              .when(F.col("evidence_id") != F.col("_first"), "duplicate")
-              .when(F.abs(F.col(amount) - F.col("_due")) > F.lit(tol) * F.abs(F.col("_due")), "amount_mismatch")
-              .otherwise("matched"))
+    status = payment_status(F.col("_due"), F.col("evidence_id") == F.col("_first"), F.col(amount), tol)
     return j.withColumn("status", status).withColumnRenamed("_due", "order_amount").drop("_first")
 
 

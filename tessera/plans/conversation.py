@@ -13,6 +13,8 @@ from tessera.operators import conversation as C
 from tessera.plans import bindings as B
 from tessera.plans.common import rounded, tables
 from tessera.plans.registry import register
+from tessera.sources import files
+from tessera.sources.stage import new_folder
 
 W = B.with_ctes
 P = C.HEADER_PATTERN
@@ -83,6 +85,41 @@ def parse_chat(spark, sf_dir):
     return C.parse_chat(_lines(spark, sf_dir))
 
 
+#: Conversations of one export file.
+EXPORT = 500
+
+
+def _exports(spark, sf_dir):
+    """Export files written from the conversations, in order: EXPORT of them a file."""
+    lines = _lines(spark, sf_dir).withColumn("export", F.floor(F.col("chat") / EXPORT).cast("long"))
+    path = new_folder(spark, "chat-exports")
+    (lines.repartition("export").sortWithinPartitions("export", "chat", "line_no")
+     .select("export", "line").write.partitionBy("export").text(path))
+    return path
+
+
+def _export_lines(spark, sf_dir):
+    lines = files.read_chat_lines(spark, _exports(spark, sf_dir))
+    return lines.withColumn("chat", F.regexp_extract("chat", "export=([0-9]+)", 1).cast("long"))
+
+
+EXPORT_CTE = LINES_CTE.replace("parsed AS (SELECT chat,", """exports AS (SELECT CAST(chat // 500 AS BIGINT) AS chat, line,
+    CAST(row_number() OVER (PARTITION BY chat // 500 ORDER BY chat, line_no) - 1 AS BIGINT) AS line_no FROM lines),
+parsed AS (SELECT chat,""").replace("FROM lines),\nnumbered", "FROM exports),\nnumbered")
+
+
+@register("read_chat_exports", ops=("A-5",), sql=W(EXPORT_CTE) + "SELECT * FROM parsed")
+def read_chat_exports(spark, sf_dir):
+    """Export files read in blocks, their lines numbered as in the file and parsed."""
+    return C.parse_chat(_export_lines(spark, sf_dir))
+
+
+@register("chat_export_messages", ops=("A-5", "H-2"), sql=W(EXPORT_CTE) + "SELECT chat, msg_no, ts, user, first_line, text FROM msgs0")
+def chat_export_messages(spark, sf_dir):
+    """Messages rebuilt from export files, counted in blocks of real line numbers."""
+    return C.rebuild_multiline(C.parse_chat(_export_lines(spark, sf_dir)), lines_per_bucket=100_000)
+
+
 @register("rebuild_multiline", ops=("H-2",), sql=W(LINES_CTE) + "SELECT chat, msg_no, ts, user, first_line, text FROM msgs0")
 def rebuild_multiline(spark, sf_dir):
     return C.rebuild_multiline(C.parse_chat(_lines(spark, sf_dir)))

@@ -10,11 +10,12 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import csv_safe, nan_to_null
+from tessera.sources.stage import staged
 
 NUMERIC = {"double", "float", "int", "integer", "long", "bigint", "short", "smallint"}
 
@@ -91,17 +92,21 @@ def export_posts(df: DataFrame, path: str, pos: str = "pos") -> None:
 
 
 def read_chat_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Chat export text files -> ``(chat, line_no, line)`` (A-5); the chat
-    is the file path.
-
-    Each file is read whole (``wholetext``) and split into numbered lines, so
-    line order is exact even when a folder holds many files (files are spread
-    over tasks; a single export is one row).
-    """
-    # the keyword matters: .text() would reset an earlier .option("wholetext")
-    df = spark.read.text(path, wholetext=True)
-    df = df.select(F.col("_metadata.file_path").alias("chat"), F.col("value"))
-    return df.select("chat", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "line"))
+    """Chat export text files -> ``(chat, line_no, line)`` (A-5); the chat is
+    the file path, lines count from 0 in file order.
+
+    A large export is read in blocks by many tasks. Lines are written once with
+    their block and their place in the task that read it; a line's number is its
+    place in its block plus the lines of all blocks before it in the file: a running
+    sum over one row per block. Lines end with a newline, with or without a carriage return."""
+    # one custom separator keeps files splittable and lone carriage returns inside lines
+    df = spark.read.option("lineSep", "\n").text(path)
+    df = staged(df.select(F.col("_metadata.file_path").alias("chat"), F.col("_metadata.file_block_start").alias("_block"),
+                          F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "\r$", "").alias("line")), "chat-lines")
+    blocks = df.groupBy("chat", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("chat").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_first", "_n")
+    return df.join(blocks, ["chat", "_block"]).select("chat", (F.col("_at") + F.col("_offset")).alias("line_no"), "line")
 
 
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:

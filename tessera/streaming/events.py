@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,15 @@ LATE_BANDS = ((0, "on time"), (3600, "under 1 hour"), (86400, "under 1 day"))
 LATE_LAST = "1 day or more"
 
 
+def lateness_band(seconds: Column) -> Column:
+    """Label of a lateness in seconds (K-7)."""
+    band = None
+    for bound, label in LATE_BANDS:
+        cond = seconds <= bound if bound == 0 else seconds < bound
+        band = F.when(cond, label) if band is None else band.when(cond, label)
+    return band.otherwise(LATE_LAST)
+
+
 def late_report(df: DataFrame, key: str, arrival: str, ts: str, bucket=None) -> DataFrame:
     """Late reporting (K-7, definition chosen here): in arrival order per
     key, an event is late by how far its event time lies behind the latest
@@ -71,9 +80,5 @@ def late_report(df: DataFrame, key: str, arrival: str, ts: str, bucket=None) ->
     d = WB.running(d, [key], [arrival], "_t", b, "_seen", "max", exclusive=True)
     lateness = F.greatest(F.col("_seen") - F.col("_t"), F.lit(0)) / F.lit(1_000_000)
     d = d.withColumn("lateness_s", F.coalesce(lateness, F.lit(0.0)))
-    band = None
-    for bound, label in LATE_BANDS:
-        cond = F.col("lateness_s") <= bound if bound == 0 else F.col("lateness_s") < bound
-        band = F.when(cond, label) if band is None else band.when(cond, label)
-    d = d.withColumn("band", band.otherwise(LATE_LAST))
+    d = d.withColumn("band", lateness_band(F.col("lateness_s")))
     return d.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("lateness_s").alias("max_lateness_s"))
