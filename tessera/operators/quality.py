@@ -7,9 +7,10 @@ count. Row-level rules are plain ``filter``/``when`` expressions.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import epoch_micros, nan_to_null
@@ -332,3 +333,99 @@ def prompt_audit(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
                  F.count_if("has_template").alias("n_with_template"),
                  F.count_if(q).alias("n_decision_facing"),
                  F.count_if(q & ~F.col("has_output")).alias("n_unreviewed_decisions"))
+
+
+#: Relative standard deviation of the distinct sketches of ``find_grain``; a key's estimate
+#: lies within five of them of the row count.
+GRAIN_RSD = 0.02
+
+
+def find_grain(df: DataFrame, columns: Sequence[str] | None = None, max_width: int = 3, per_pass: int = 40) -> DataFrame:
+    """All minimal keys of up to ``max_width`` columns, without given candidates (E-3).
+
+    The lattice of column sets is searched level by level: no set that holds a key found
+    before is looked at, none whose distinct counts can't multiply to the row
+    count (they are upper bounds of that of the set), and none whose distinct sketch is
+    far below it. Sketches of a level share scans, ``per_pass`` to one; what is
+    left is confirmed exactly, by looking for a repeated tuple. Nulls count as a value.
+
+    Returns ``(key_columns, width, n_rows, n_sketched, n_confirmed)``: each key and, for its
+    level, how many sets were sketched and how many confirmed or refuted exactly."""
+    spark = df.sparkSession
+    columns = list(columns or df.columns)
+    schema = "key_columns string, width int, n_rows long, n_sketched long, n_confirmed long"
+    n = df.count()
+    found: list[tuple[int, ...]] = []
+    out: list[tuple] = []
+    distinct: dict[tuple[int, ...], float] = {}
+    least = n * (1 - 5 * GRAIN_RSD)
+    for width in range(1, max_width + 1):
+        level = [c for c in itertools.combinations(range(len(columns)), width) if not any(set(k) <= set(c) for k in found)]
+        level = [c for c in level if _can_be_key(c, distinct, n)]
+        for at in range(0, len(level), per_pass):
+            part = level[at : at + per_pass]
+            aggs = [F.approx_count_distinct(F.xxhash64(*[F.struct(F.col(columns[i])) for i in c], *[F.col(columns[i]).isNull() for i in c]), GRAIN_RSD).alias(f"_{j}")
+                    for j, c in enumerate(part)]
+            distinct.update(zip(part, df.agg(*aggs).first()))
+        likely = [c for c in level if distinct[c] >= least]
+        keys = []
+        for c in likely:
+            names = [columns[i] for i in c]
+            if df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+                keys.append(c)
+        found += keys
+        out += [(",".join(columns[i] for i in c), width, n, len(level), len(likely)) for c in keys]
+    return spark.createDataFrame(out, schema)
+
+
+def _can_be_key(c: tuple[int, ...], distinct: dict[tuple[int, ...], float], n: int) -> bool:
+    """Whether the distinct counts of a set's parts can multiply to n; estimates count with five deviations more."""
+    if len(c) == 1:
+        return True
+    bound = 1.0
+    for i in c:
+        bound *= distinct[(i,)] * (1 + 5 * GRAIN_RSD) + 1
+    return bound >= n
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact ``(column_name, n_distinct)`` of all columns by one aggregate over (column,
+    value) pairs: repeats fold on the map side, no column multiplies the others' rows. Nulls don't count."""
+    values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
+    pairs = df.select(F.inline(values)).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.lit(1).alias("_one"))
+    counts = pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return names.join(counts, "column_name", "left").select("column_name", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
+
+
+class ProfileStore:
+    """A column profile kept as one set of mergeable sketches per day (E-1): a run reads
+    only its day, and the profile of any span is the union of its days.
+
+    Files lie at ``path/day=<day>``; writing a day again replaces it."""
+
+    def __init__(self, spark: SparkSession, path: str, lg_k: int = 14):
+        self.spark, self.path, self.lg_k = spark, path.rstrip("/"), lg_k
+
+    def put(self, df: DataFrame, day: Column | str) -> None:
+        """Sketches every day in ``df``, in one scan. ``day`` is a date column or expression."""
+        d = F.col(day) if isinstance(day, str) else day
+        cols = [c for c in df.columns if c != day]
+        aggs = [F.count(F.lit(1)).alias("_n")]
+        for i, c in enumerate(cols):
+            aggs += [F.count_if(_missing_expr(df, c)).alias(f"_m{i}"), F.hll_sketch_agg(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(self.lg_k)).alias(f"_h{i}")]  # a sketch skips empty text
+        wide = df.groupBy(d.cast("date").alias("day")).agg(*aggs)
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_m{i}").alias("n_missing"), F.col(f"_h{i}").alias("sketch")) for i, c in enumerate(cols)])
+        out = wide.select("day", F.col("_n").alias("n_rows"), F.inline(rows))
+        (out.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path))
+
+    def profile(self, first: str | None = None, last: str | None = None) -> DataFrame:
+        """``(column_name, n_rows, n_missing, n_distinct)`` over the stored days from ``first`` to ``last``;
+        the distinct count is an estimate."""
+        days = self.spark.read.schema("n_rows long, column_name string, n_missing long, sketch binary, day date").parquet(self.path)
+        if first is not None:
+            days = days.where(F.col("day") >= F.lit(first).cast("date"))
+        if last is not None:
+            days = days.where(F.col("day") <= F.lit(last).cast("date"))
+        g = days.groupBy("column_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_missing").alias("n_missing"), F.hll_union_agg("sketch").alias("_s"))
+        return g.select("column_name", "n_rows", "n_missing", F.hll_sketch_estimate("_s").alias("n_distinct"))

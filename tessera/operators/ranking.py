@@ -184,3 +184,65 @@ def backtest_summary(forecasts: DataFrame, key: Sequence[str]) -> DataFrame:
     return forecasts.groupBy(*key).agg(F.avg("err_naive").alias("mae_naive"),
                                        F.avg("err_ma").alias("mae_ma"),
                                        F.count("err_naive").alias("n_scored"))
+
+
+# Smoothing weights tried by the rolling-origin backtest.
+SMOOTHING_WEIGHTS = (0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
+
+
+def _series(df: DataFrame, key: Sequence[str], order: str, col: str) -> DataFrame:
+    """One bounded series per key: its values in order (a daily series, never an event log)."""
+    rows = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).cast("double").alias("x")))).alias("_s"))
+    return rows.select(*key, F.transform("_s", lambda s: s["o"]).alias("_o"), F.transform("_s", lambda s: s["x"]).alias("_x"))
+
+
+def smoothed(x: Column, alpha: Column, beta: Column | None = None) -> Column:
+    """Level and trend after each value of an array, by exponential smoothing
+    (Holt's form with ``beta``, else without a trend): an array of structs.
+
+    level = alpha x + (1 - alpha)(level + trend); trend = beta (level - last level) + (1 - beta) trend."""
+    state = "array<struct<level:double,trend:double>>"
+
+    def step(acc: Column, v: Column) -> Column:
+        last = F.element_at(acc, -1)
+        if beta is None:
+            level, trend = alpha * v + (F.lit(1.0) - alpha) * last["level"], F.lit(0.0)
+        else:
+            level = alpha * v + (F.lit(1.0) - alpha) * (last["level"] + last["trend"])
+            trend = beta * (level - last["level"]) + (F.lit(1.0) - beta) * last["trend"]
+        return F.concat(acc, F.array(F.struct(level.alias("level"), trend.alias("trend"))))
+
+    first = F.array(F.struct(x[0].alias("level"), F.lit(0.0).alias("trend"))).cast(state)
+    return F.when(F.size(x) > 0, F.aggregate(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), first, step))
+
+
+def smoothing_backtest(df: DataFrame, key: Sequence[str], order: str, col: str, horizons: int = 7, min_train: int = 7,
+                       weights: Sequence[float] = SMOOTHING_WEIGHTS, trend_weight: float | None = None) -> DataFrame:
+    """Rolling-origin backtest of exponential smoothing (F-12): for every weight
+    and horizon the mean absolute error over all origins that have at least
+    ``min_train`` values behind them and the horizon before the end.
+
+    Each series is folded once per weight; nothing but (key, weight) rows is shuffled after that."""
+    s = _series(df, key, order, col).withColumn("alpha", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    beta = None if trend_weight is None else F.lit(float(trend_weight))
+    s = s.withColumn("_f", smoothed(F.col("_x"), F.col("alpha"), beta)).withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizons))))
+    last = F.size("_x") - F.col("horizon")
+    origins = F.when(last >= min_train, F.sequence(F.lit(min_train), last)).otherwise(F.array().cast("array<int>"))
+    errors = F.transform(origins, lambda o: F.abs(F.element_at("_x", (o + F.col("horizon")).cast("int"))
+                                                  - (F.element_at("_f", o)["level"] + F.col("horizon") * F.element_at("_f", o)["trend"])))
+    s = s.withColumn("_e", errors)
+    total = F.aggregate("_e", F.lit(0.0), lambda a, e: a + e)
+    return s.select(*key, "alpha", "horizon", F.size("_e").cast("long").alias("n_origins"), F.try_divide(total, F.size("_e")).alias("mae"))
+
+
+def smoothing_forecast(df: DataFrame, key: Sequence[str], order: str, col: str, horizons: int = 7, min_train: int = 7,
+                       weights: Sequence[float] = SMOOTHING_WEIGHTS) -> DataFrame:
+    """The next ``horizons`` values of each series (F-12) with the weight whose one-step
+    rolling-origin error is smallest (the smaller weight of equals; the first one
+    where a series is too short to be tested)."""
+    tested = smoothing_backtest(df, key, order, col, 1, min_train, weights)
+    best = tested.groupBy(*key).agg(F.min_by("alpha", F.struct(F.coalesce("mae", F.lit(float("inf"))), "alpha")).alias("alpha"))
+    s = _series(df, key, order, col).join(best, list(key))
+    level = F.element_at(smoothed(F.col("_x"), F.col("alpha")), -1)["level"]
+    return s.select(*key, "alpha", F.element_at("_o", -1).alias("last"), level.alias("forecast")) \
+        .withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizons))))

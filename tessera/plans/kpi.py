@@ -361,6 +361,37 @@ def forecast_scenarios(spark, sf_dir):
     return rounded(s)
 
 
+SMOOTH_CTE = """sm AS (SELECT event_type, day, value, row_number() OVER (PARTITION BY event_type ORDER BY day) AS rn,
+                          count(*) OVER (PARTITION BY event_type) AS n FROM s),
+lv(event_type, alpha, rn, level) AS (
+  SELECT event_type, alpha, rn, CAST(value AS DOUBLE) FROM sm, (VALUES (0.1::DOUBLE), (0.2), (0.3), (0.5), (0.7), (0.9)) w(alpha) WHERE rn = 1
+  UNION ALL
+  SELECT sm.event_type, lv.alpha, sm.rn, lv.alpha * sm.value + (1.0::DOUBLE - lv.alpha) * lv.level
+  FROM lv JOIN sm ON sm.event_type = lv.event_type AND sm.rn = lv.rn + 1),
+bt AS (SELECT lv.event_type, lv.alpha, h.horizon, count(sm.value) AS n_origins, avg(abs(sm.value - lv.level)) AS mae
+       FROM lv CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS horizon) h
+       LEFT JOIN sm ON sm.event_type = lv.event_type AND sm.rn = lv.rn + h.horizon AND lv.rn >= 7
+       GROUP BY 1, 2, 3)"""
+
+
+@register("smoothing_backtest", ops=("F-12",), sql=W(DAILY_CTE.replace("WITH ", ""), SMOOTH_CTE).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT event_type, alpha, horizon, n_origins, round(mae, 6) AS mae FROM bt""")
+def smoothing_backtest(spark, sf_dir):
+    """Exponential smoothing of the daily series, tested from rolling origins."""
+    return rounded(ranking.smoothing_backtest(_daily(spark, sf_dir), ["event_type"], "day", "value"))
+
+
+@register("smoothing_forecast", ops=("F-12",), sql=W(DAILY_CTE.replace("WITH ", ""), SMOOTH_CTE).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+best AS (SELECT event_type, alpha FROM bt WHERE horizon = 1 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY mae NULLS LAST, alpha) = 1)
+SELECT b.event_type, b.alpha, sm.day AS last, round(lv.level, 6) AS forecast, h.horizon
+FROM best b JOIN sm ON sm.event_type = b.event_type AND sm.rn = sm.n
+JOIN lv ON lv.event_type = b.event_type AND lv.alpha = b.alpha AND lv.rn = sm.rn
+CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS horizon) h""")
+def smoothing_forecast(spark, sf_dir):
+    """The next days of each series with the weight that did best."""
+    return rounded(ranking.smoothing_forecast(_daily(spark, sf_dir), ["event_type"], "day", "value"))
+
+
 INSIGHT_CTE = TREND_CTE + """,
 last AS (SELECT * FROM tr2 WHERE day = (SELECT max(day) FROM tr2 t WHERE t.event_type = tr2.event_type)),
 ins AS (SELECT event_type, change_pct,

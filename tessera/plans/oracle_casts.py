@@ -25,6 +25,7 @@ ORACLE_CASTS: dict[str, dict[str, str]] = {
     "kpi_compliance": {'compliance_events': 'BIGINT', 'critical_failures': 'BIGINT'},
     "kpi_vs_target": {'target': 'DOUBLE'},
     "rebuild_multiline": {'msg_no': 'BIGINT'},
+    "chat_export_messages": {'msg_no': 'BIGINT'},
     "flag_system": {'msg_no': 'BIGINT'},
     "message_features": {'msg_no': 'BIGINT', 'n_words': 'INTEGER', 'n_chars': 'INTEGER', 'n_emojis': 'INTEGER', 'n_urls': 'INTEGER', 'hour': 'INTEGER', 'weekday': 'INTEGER'},
     "response_times": {'msg_no': 'BIGINT'},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import epoch_micros, normalize_text
@@ -9,6 +11,7 @@ from tessera.operators import joins, quality as Q
 from tessera.plans import bindings as B
 from tessera.plans.common import rounded, tables
 from tessera.plans.registry import register
+from tessera.sources.stage import new_folder
 
 W = B.with_ctes
 
@@ -67,6 +70,57 @@ def grain(spark, sf_dir):
     return Q.grain(tables(spark, sf_dir).lineitem, GRAIN_CANDIDATES)
 
 
+FIND_TABLES = {"orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+               "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"),
+               "conversations": ("conv_id", "turn", "role", "text")}
+
+
+def _find_sql():
+    parts = []
+    for t, cols in FIND_TABLES.items():
+        for width in (1, 2):
+            for c in itertools.combinations(cols, width):
+                dup = f"EXISTS (SELECT 1 FROM {t} GROUP BY {', '.join(c)} HAVING count(*) > 1)"
+                parts.append(f"SELECT '{t}' AS table_name, '{','.join(c)}' AS key_columns, {width} AS width, (SELECT count(*) FROM {t}) AS n_rows, NOT {dup} AS is_key")
+    return ("WITH x AS (" + " UNION ALL ".join(parts) + """)
+SELECT table_name, key_columns, width, n_rows FROM x a WHERE is_key AND NOT EXISTS (
+  SELECT 1 FROM x b WHERE b.is_key AND b.width = 1 AND a.width = 2 AND a.table_name = b.table_name
+  AND list_contains(string_split(a.key_columns, ','), b.key_columns))""")
+
+
+@register("find_grain", ops=("E-3",), sql=_find_sql())
+def find_grain(spark, sf_dir):
+    """Minimal keys of three tables, found without candidates."""
+    t = tables(spark, sf_dir)
+    parts = [Q.find_grain(getattr(t, name).select(*cols), cols, max_width=2).withColumn("table_name", F.lit(name)) for name, cols in FIND_TABLES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("table_name", "key_columns", "width", "n_rows")
+
+
+EVENT_COLS = ("event_id", "user_id", "event_type", "value", "props")
+
+
+@register("distinct_counts", ops=("E-1", "E-2"), sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct FROM events" for c in EVENT_COLS))
+def distinct_counts(spark, sf_dir):
+    """Exact distinct counts of all columns by one aggregate over (column, value) pairs."""
+    return Q.distinct_counts(tables(spark, sf_dir).events, EVENT_COLS)
+
+
+@register("profile_by_day", ops=("E-1",), sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_missing, true AS distinct_close FROM events" for c in EVENT_COLS))
+def profile_by_day(spark, sf_dir):
+    """Sketches stored per day, the first days written twice, and the profile as their
+    union; ``distinct_close``: the estimate lies within 3 percent of the exact count."""
+    e = tables(spark, sf_dir).events.select(*EVENT_COLS, "ts")
+    e = e.withColumn("day", F.col("ts").cast("date")).drop("ts")
+    store = Q.ProfileStore(spark, new_folder(spark, "profile"))
+    store.put(e, "day")
+    store.put(e.where(F.dayofmonth("day") <= 3), "day")  # a day that is run again replaces itself
+    exact = Q.distinct_counts(e, EVENT_COLS)
+    p = store.profile().join(exact.withColumnRenamed("n_distinct", "exact"), "column_name")
+    return p.select("column_name", "n_rows", "n_missing", (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.03 * F.col("exact")).alias("distinct_close"))
+
+
 @register("quality_score", ops=("E-6",), sql=W(PROFILE_CTE) + """
 SELECT round(completeness, 6) AS completeness, round(clean_columns, 6) AS clean_columns,
        round(worst_missing_share, 6) AS worst_missing_share,

@@ -15,6 +15,7 @@ from tessera.operators import retrieval as R
 from tessera.operators.conversation import STOP_WORDS
 from tessera.plans import bindings as B
 from tessera.plans.common import rounded, tables
+from tessera.operators.vector_index import VectorIndex
 from tessera.plans.registry import register
 
 W = B.with_ctes
@@ -56,6 +57,13 @@ def similar_top_k(spark, sf_dir):
     return _hits(spark, sf_dir).withColumn("query_id", F.col("query_id").cast("int"))
 
 
+@register("similar_top_k_index", ops=("H-7",), sql=W(TOPK_CTE) + "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM hits")
+def similar_top_k_index(spark, sf_dir):
+    """The same search through an index of groups around pivots."""
+    index = VectorIndex(tables(spark, sf_dir).embeddings)
+    return index.search(_queries(spark, sf_dir), K)[0].withColumn("query_id", F.col("query_id").cast("int"))
+
+
 @register("rank_evidence", ops=("H-8",), sql=W(TOPK_CTE) + f""",
 loc AS (SELECT query_id, vec_id, max(score) AS l FROM hits GROUP BY 1, 2),
 ext AS (SELECT label AS query_id, vec_id, 1.0 AS e FROM embeddings),
