@@ -339,15 +339,21 @@ class InvertedLists:
         self.keys = np.repeat(np.arange(len(self.starts)), self.lengths) * len(sets) + self.members
 
     def search(self, own: int, query: np.ndarray, percent: int) -> np.ndarray:
-        """Other members whose Jaccard similarity with member ``own``, whose
-        shingles are the query, reaches the limit."""
+        """Members other than ``own`` (-1: the query is no member) whose Jaccard
+        similarity with the query reaches the limit."""
         k = np.searchsorted(self.tokens, query)
+        if own < 0:  # some of its shingles may be held by no member
+            k = np.minimum(k, len(self.tokens) - 1)
+            k = k[self.tokens[k] == query]
         need = int(least_overlap(len(query), percent))
+        if len(k) < need:
+            return np.zeros(0, np.int64)
         k = k[np.argsort(self.lengths[k], kind="stable")]
         longest = int(self.lengths[k[-1]])
         n_long = min(need - 1, int(need / (SKIP_WEIGHT * np.log2(longest + 1) + 1)))
         short, long_ = k[: len(k) - n_long], k[len(k) - n_long :]
-        lists = [self.members[a : a + n].tolist() for a, n in zip(self.starts[short].tolist(), self.lengths[short].tolist()) if n > 1]  # one entry: the query itself
+        least = 1 if own < 0 else 2  # a member's list of one entry holds only itself
+        lists = [self.members[a : a + n].tolist() for a, n in zip(self.starts[short].tolist(), self.lengths[short].tolist()) if n >= least]
         merged = np.fromiter(heapq.merge(*lists), np.int64)
         found, counts = np.unique(merged, return_counts=True)
         keep = (counts >= need - n_long) & (found != own)
@@ -364,12 +370,21 @@ class InvertedLists:
         return found[counts >= required]
 
 
+#: Members of a component from which its other members are searched only outside of it.
+LARGE = 32
+
+
 def block_links(fps: np.ndarray, sets: list[np.ndarray], is_query: np.ndarray, pivot: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (two arrays of set indices) that connect all of the block's linked
     sets, and the queries that the pivot's component doesn't hold.
 
-    ``is_query`` marks the sets to search; the pivot goes first if it is here."""
+    ``is_query`` marks the sets to search; the pivot goes first if it is here, and
+    members of its component are not searched: whoever links with one of them and
+    isn't in it is. Members of another large component are searched in lists
+    without its members, since links inside it are of no more use: near copies then
+    meet each other once, not once each."""
     root = np.arange(len(sets))
+    size = np.ones(len(sets), np.int64)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -378,6 +393,7 @@ def block_links(fps: np.ndarray, sets: list[np.ndarray], is_query: np.ndarray, p
         return x
 
     lists = InvertedLists(sets)
+    outside: dict[int, tuple[np.ndarray, InvertedLists | None]] = {}  # by any member of a large component
     a: list[int] = []
     b: list[int] = []
     here = np.flatnonzero(fps == pivot)
@@ -386,14 +402,28 @@ def block_links(fps: np.ndarray, sets: list[np.ndarray], is_query: np.ndarray, p
     if first >= 0:
         queries = [first, *(q for q in queries if q != first)]
     for q in queries:
-        if q != first and first >= 0 and find(q) == find(first):
+        top = find(q)
+        if q != first and first >= 0 and top == find(first):
             continue
-        for m in lists.search(q, sets[q], percent).tolist():
+        if top in outside:
+            others, rest = outside[top]
+            met = others[rest.search(-1, sets[q], percent)].tolist() if rest else []
+        else:
+            met = lists.search(q, sets[q], percent).tolist()
+        for m in met:
             x, y = find(q), find(m)
             if x != y:
-                root[max(x, y)] = min(x, y)
+                x, y = min(x, y), max(x, y)
+                root[y] = x
+                size[x] += size[y]
                 a.append(q)
                 b.append(m)
+                outside.pop(x, None)  # what lies outside has changed
+                outside.pop(y, None)
+        top = find(q)
+        if size[top] >= LARGE and top not in outside and (first < 0 or top != find(first)):
+            others = np.array([i for i in range(len(sets)) if find(i) != top], np.int64)
+            outside[top] = others, InvertedLists([sets[i] for i in others]) if len(others) else None
     left = [q for q in queries if first < 0 or find(q) != find(first)]
     return np.array(a, np.int64), np.array(b, np.int64), np.array(left, np.int64)
 
