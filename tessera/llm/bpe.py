@@ -12,10 +12,16 @@ are encoded, all others come from the worker's cache by their 64-bit hash.
   lower-case normalizers; nothing crosses ASCII white space.
 * ``whole``: any other file; each text is one chunk.
 
-New chunks are encoded by tiktoken with the file's own merges as ranks where
-that is proven equal: the merges give distinct tokens, so merging by pair and
-by result agree, and the chunk has only characters below U+0590 (one meaning in
-all Unicode versions at hand) and no special string. In ``words`` mode the end
+New chunks are encoded by tiktoken with the file's own merges as ranks if the
+file passes a check at load and the chunk has only characters below U+0590 (one
+meaning in all Unicode versions at hand) and no special string. tiktoken merges
+two neighbours whenever their concatenation is a token, the library only if
+that very pair is a merge. The check: all merges give distinct tokens, and each
+token's own symbols, merged by the library's rule, end as that token alone. Then
+the two agree: until a neighbour from outside takes part, the symbols of a
+token's stretch merge as the token alone does, which passes through one state
+of two symbols only, the pair of its merge. A file that fails goes through the
+library. In ``words`` mode the end
 of a word is a NUL byte, whose merges come first. Everything else goes through
 the tokenizers library itself. Special strings inside a text are handled as
 the library does by default.
@@ -73,6 +79,27 @@ def chunk_mode(spec: dict) -> str:
     return "whole"
 
 
+def all_reached(merges: list[tuple[str, str]], suffix: str = "") -> bool:
+    """Whether the symbols of every merged token, merged by pairs in the order of
+    ``merges`` (leftmost first), end as that token alone."""
+    rank = {m: k for k, m in enumerate(merges)}
+    none = len(merges)
+    for a, b in merges:
+        token = a + b
+        end = bool(suffix) and token.endswith(suffix)
+        parts = list(token[: -len(suffix)] if end else token)
+        if end:
+            parts[-1] += suffix
+        while len(parts) > 1:
+            ranks = [rank.get(p, none) for p in zip(parts, parts[1:])]
+            best = min(ranks)
+            if best == none:
+                return False
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -115,6 +142,9 @@ class ChunkEncoder:
         tokens = start + ([c + suffix for c in start] if suffix else []) + merged
         if len(set(tokens)) != len(tokens) or any(t not in model["vocab"] for t in tokens):
             return None
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        if not all_reached(pairs, suffix):
+            return None
         self.id_of = np.array([model["vocab"][t] for t in tokens], self.kind)
         self.bytes_of = np.array([len(raw(t)) for t in tokens], np.int64)
         self.gap = 256 + 32
