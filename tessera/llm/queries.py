@@ -85,6 +85,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS x FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        u AS (SELECT vec_id, label, x, sqrt(list_inner_product(x, x)) AS norm FROM v),
+        link AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+          WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.93),
+        reach AS (
+          SELECT vec_id, vec_id AS other FROM embeddings
+          UNION
+          SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.other)
+        SELECT r.vec_id, coalesce(l.n, 0) AS n_links, r.component_id, r.vec_id = r.component_id AS kept
+        FROM (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) r
+        LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = r.vec_id""",
     "op11_hard_negatives": """
         WITH v AS (
           SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
