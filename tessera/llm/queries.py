@@ -100,6 +100,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT r.vec_id, coalesce(l.n, 0) AS n_links, r.component_id, r.vec_id = r.component_id AS kept
         FROM (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) r
         LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = r.vec_id""",
+    "op10_benchmark_decontamination": r"""
+        WITH d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents),
+        b AS (
+          SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM benchmark),
+        item AS (
+          SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS g
+          FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        word AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+        gram AS (
+          SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS g
+          FROM word JOIN (SELECT DISTINCT size FROM item) s ON i + size - 1 <= len(w)),
+        found AS (SELECT doc_id, i, size, item_id FROM gram JOIN item USING (size, g)),
+        hit AS (
+          SELECT doc_id, count(DISTINCT pos) AS n_hit
+          FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY doc_id),
+        items AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op11_hard_negatives": """
         WITH v AS (
           SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
