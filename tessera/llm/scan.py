@@ -7,9 +7,9 @@ Buffers are handled in slices of about ``SLICE_BYTES``; one longer text makes a
 slice of its own, because no text is ever cut.
 
 Hashes are 64 bits: a polynomial over a random byte table modulo 2**64,
-followed by a mixing step. Equal input always gives equal hashes; where a
-collision could change a result, the operators compare the bytes themselves
-or two independent hashes.
+followed by a mixing step. Equal input always gives equal hashes. A collision
+can change a result where an operator decides by one hash alone; the README
+says where that is and where bytes or two hashes are compared.
 """
 
 from __future__ import annotations

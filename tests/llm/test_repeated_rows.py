@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import ngram_jaccard
+from tessera.llm.common import saved
 from tests.llm.test_operators import SCHEMA, corpus
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -20,7 +21,7 @@ def test_repeated_rows_keep_their_text(spark):
             (6, None), (6, None), (7, ""), (None, ""), (None, "")]
     assert all(len(x) >= 200 for x in (a, b, c, d))
     df = spark.createDataFrame([(i, t, None, None, None if t is None else len(t)) for i, t in rows], SCHEMA).repartition(3)
-    one = STAGES["ngram_jaccard_join"](spark, df, "").localCheckpoint()
+    one = saved(STAGES["ngram_jaccard_join"](spark, df, ""), "one")
     assert one.columns == df.columns
     kept = sorted((str(r["doc_id"]), r["text"] or "") for r in one.collect())
     assert [(i, t.removesuffix(" end")) for i, t in kept] == [("1", a), ("4", c), ("4", d), ("6", ""), ("7", ""), ("None", ""), ("None", ""), ("None", b)]
