@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import kpi as K, ml, stats
+from tessera.operators import cooccurrence, kpi as K, ml, stats
 from tessera.plans import bindings as B
 from tessera.plans.common import rounded, tables
 from tessera.plans.registry import register
@@ -167,6 +167,22 @@ def recommend_popular(spark, sf_dir):
     return ml.recommend_popular(purchases, users, "c_custkey", "p_partkey", "w", "c_mktsegment", 5)
 
 
+@register("related_items", ops=("J-10",), sql="""
+WITH p AS (SELECT DISTINCT o.o_custkey AS b, l.l_partkey AS i FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+           WHERE o.o_custkey IS NOT NULL AND l.l_partkey IS NOT NULL),
+n AS (SELECT i, count(*) AS n FROM p GROUP BY i),
+s AS (SELECT x.i AS a, y.i AS i, count(*) AS shared FROM p x JOIN p y ON x.b = y.b AND x.i <> y.i GROUP BY x.i, y.i HAVING count(*) >= 2),
+r AS (SELECT s.a AS item, s.i AS related, s.shared, s.shared / sqrt(CAST(na.n * nb.n AS DOUBLE)) AS score
+      FROM s JOIN n na ON s.a = na.i JOIN n nb ON s.i = nb.i),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, related) AS INTEGER) AS rank FROM r)
+SELECT item, rank, related, shared, round(score, 6) AS score FROM k WHERE rank <= 5""")
+def related_items(spark, sf_dir):
+    """Parts bought by the same customers; a basket is all a customer bought."""
+    t = tables(spark, sf_dir)
+    bought = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rounded(cooccurrence.related_items(bought, "o_custkey", "l_partkey", 5))
+
+
 @register("match_psm", ops=("C-11",))
 def match_psm(spark, sf_dir):
     d = churn_frame(spark, sf_dir).withColumn("treated", (F.col("c_mktsegment") == "BUILDING").cast("int"))
