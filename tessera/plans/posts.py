@@ -17,6 +17,8 @@ from tessera.operators import posts as P
 from tessera.plans import bindings as B
 from tessera.plans.common import tables
 from tessera.plans.registry import register
+from tessera.sources import files
+from tessera.sources.stage import new_folder
 
 W = B.with_ctes
 
@@ -121,3 +123,25 @@ def prepend_posts(spark, sf_dir):
     base = p.filter(F.col("status") != "").drop("status")
     new = p.filter(F.col("status") == "").drop("status")
     return P.prepend(base, new)
+
+
+@register("posts_file", ops=("A-3", "A-4"), sql=W(FORM_CTE) + """
+SELECT CAST(row_number() OVER (ORDER BY pos DESC) - 1 AS BIGINT) AS pos, title, topic, category, read, status, summary, url, linkText, groups
+FROM form""")
+def posts_file(spark, sf_dir):
+    """Posts written as JSON lines, newest first, and read back with their positions."""
+    path = new_folder(spark, "posts")
+    form = form_data(spark, sf_dir)
+    files.export_posts(form.select(*[c for c in form.columns if not c.endswith("_raw") and c not in ("doc_id", "pos")],
+                                   (-F.col("pos")).alias("pos")), path)
+    return files.read_posts(spark, path).select("pos", "title", "topic", "category", "read", "status", "summary", "url", "linkText", "groups")
+
+
+@register("sitemap_file", ops=("A-6",), sql="""
+SELECT url AS loc, round(1 / len(string_split(url, '/')), 3) AS priority FROM pages""")
+def sitemap_file(spark, sf_dir):
+    """Page addresses, the shallower the higher their priority, written as a sitemap and read back."""
+    path = new_folder(spark, "sitemap")
+    depth = F.size(F.split("url", "/"))
+    files.write_sitemap(tables(spark, sf_dir).pages.select(F.col("url").alias("loc"), F.round(1 / depth, 3).alias("priority")), path)
+    return files.read_sitemap(spark, path)

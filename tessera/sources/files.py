@@ -63,23 +63,35 @@ POST_SCHEMA = T.StructType([
 ])
 
 
+def holds_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first text of JSON files opens an array: one value over
+    several lines rather than one value a line (reads up to the first line that isn't blank)."""
+    first = spark.read.text(path).filter(F.trim("value") != "").head()
+    return first is not None and first[0].lstrip().startswith("[")
+
+
 def read_posts(spark: SparkSession, path: str, fallback: DataFrame | None = None) -> DataFrame:
-    """Read a JSON array of posts (A-3).
+    """Read posts (A-3) from a JSON array or from JSON lines, as
+    :func:`export_posts` writes them.
 
     ``groups`` may be an array or a single string; it is read as raw JSON text
-    and normalised to ``array<string>``; a post without it is in ``recent``. The position in the file becomes
-    ``pos`` (a multi-line JSON file is read by one task in file order). When
-    the file holds no posts the ``fallback`` frame is returned (one
+    and normalised to ``array<string>``; a post without it is in ``recent``. The position
+    becomes ``pos``: its place in the array (a file that holds an array is read by one
+    task), or its line over all files in the order of their names (read in blocks by many
+    tasks). When there are no posts the ``fallback`` frame is returned (one
     ``isEmpty`` check, a single-row probe).
     """
-    df = spark.read.schema(POST_SCHEMA).option("multiLine", True).json(path)
+    if holds_array(spark, path):
+        df = spark.read.schema(POST_SCHEMA).option("multiLine", True).json(path) \
+            .withColumn("pos", F.monotonically_increasing_id())
+    else:
+        df = numbered_lines(spark.read.schema(POST_SCHEMA).json(path), [], "pos", "posts")
     raw = F.col("groups")
     as_array = F.from_json(raw, "array<string>")
     groups = F.when(raw.isNull(), F.array(F.lit("recent"))) \
         .when(F.trim(raw).startswith("["), as_array) \
         .otherwise(F.array(raw))
-    df = (df.withColumn("groups", groups)
-          .withColumn("pos", F.monotonically_increasing_id()))
+    df = df.withColumn("groups", groups)
     if fallback is not None and df.isEmpty():
         return fallback
     return df
@@ -95,18 +107,29 @@ def read_chat_lines(spark: SparkSession, path: str) -> DataFrame:
     """Chat export text files -> ``(chat, line_no, line)`` (A-5); the chat is
     the file path, lines count from 0 in file order.
 
-    A large export is read in blocks by many tasks. Lines are written once with
-    their block and their place in the task that read it; a line's number is its
-    place in its block plus the lines of all blocks before it in the file: a running
-    sum over one row per block. Lines end with a newline, with or without a carriage return."""
+    A large export is read in blocks by many tasks (:func:`numbered_lines`). Lines
+    end with a newline, with or without a carriage return."""
     # one custom separator keeps files splittable and lone carriage returns inside lines
     df = spark.read.option("lineSep", "\n").text(path)
-    df = staged(df.select(F.col("_metadata.file_path").alias("chat"), F.col("_metadata.file_block_start").alias("_block"),
-                          F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "\r$", "").alias("line")), "chat-lines")
-    blocks = df.groupBy("chat", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("chat").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_first", "_n")
-    return df.join(blocks, ["chat", "_block"]).select("chat", (F.col("_at") + F.col("_offset")).alias("line_no"), "line")
+    df = df.select(F.col("_metadata.file_path").alias("chat"), F.regexp_replace("value", "\r$", "").alias("line"), "_metadata")
+    return numbered_lines(df, ["chat"], "line_no", "chat-lines").select("chat", "line_no", "line")
+
+
+def numbered_lines(df: DataFrame, by: Sequence[str], name: str, folder: str) -> DataFrame:
+    """Rows of a line-based file scan, numbered from 0 in file order within ``by``
+    (within all files in the order of their paths if it is empty).
+
+    Rows are written once with their block and their place in the task that read
+    it; a row's number is its place in its block plus the rows of all blocks before it: a
+    running sum over one row per block."""
+    df = staged(df.select(*[c for c in df.columns if c != "_metadata"], F.col("_metadata.file_path").alias("_file"),
+                          F.col("_metadata.file_block_start").alias("_block"),
+                          F.monotonically_increasing_id().alias("_at")), folder)
+    blocks = df.groupBy(*by, "_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    df = df.join(blocks.select("_file", "_block", "_offset"), ["_file", "_block"])
+    return df.withColumn(name, F.col("_at") + F.col("_offset")).drop("_file", "_block", "_at", "_offset")
 
 
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
@@ -135,7 +158,8 @@ EXTENSION_FORMATS = {
 
 def read_any(spark: SparkSession, path: str, schema=None, row_tag: str = "row") -> DataFrame:
     """Format recognition by extension (A-7): CSV, TSV, JSON, XML, parquet,
-    text. XLSX and DOCX are not read (export them upstream)."""
+    text. A ``.json`` path that opens an array is read as arrays, which may span lines,
+    any other as lines. XLSX and DOCX are not read (export them upstream)."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     fmt = EXTENSION_FORMATS.get(ext)
     if fmt is None:
@@ -148,7 +172,7 @@ def read_any(spark: SparkSession, path: str, schema=None, row_tag: str = "row")
         if schema is None:
             r = r.option("inferSchema", True)
     if ext == ".json":
-        r = r.option("multiLine", False)
+        r = r.option("multiLine", holds_array(spark, path))
     if fmt == "xml":
         r = r.option("rowTag", row_tag)
     return r.load(path)

@@ -92,3 +92,21 @@ def test_no_cross_joins_anywhere(spark):
             continue
         p = plan_text(query.build(spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_bucketed_star_joins_orders_and_facts_without_exchange(spark):
+    from tessera.plans import kpi
+    orders, facts = kpi.star_layout(spark, SF_SMALL)
+    j = orders.join(facts.hint("merge"), orders.o_orderkey == facts.l_orderkey, "left")
+    p = plan_text(j)
+    assert "SortMergeJoin" in p and "Exchange" not in p and p.count("Bucketed: true") == 2
+    assert "Exchange" not in plan_text(facts.groupBy("l_orderkey").count())
+    star = plan_text(kpi.star_from_layout(spark, SF_SMALL, (orders, facts)).select(*kpi.STAR_VIEW))
+    assert star.count("Scan parquet spark_catalog.default.tessera_star_orders") == 2  # the tree and its detail: one read
+    assert "o_orderkey" not in "".join(x for x in star.splitlines() if "hashpartitioning" in x)
+
+
+def test_buckets_grow_with_the_input(spark):
+    from tessera.sources.bucketed import buckets_for
+    df = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    assert buckets_for(df) == 8 and buckets_for(df, bucket_bytes=1024) > 8

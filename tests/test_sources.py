@@ -145,3 +145,25 @@ def test_read_table_casts(spark, tmp_dir):
     df = files.read_table(spark, path, "iso_code string, prevalence string", fmt="csv", casts={"prevalence": "double"},
                           header=True)
     assert [r["prevalence"] for r in df.orderBy("iso_code").collect()] == [12.5, None, None]
+
+
+def test_posts_as_lines_are_numbered_over_files(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "lines")
+    df = spark.range(5000).select((-F.col("id")).alias("pos"), F.concat(F.lit("t"), "id").alias("title"), F.array(F.lit("g")).alias("groups"))
+    files.export_posts(df.repartition(6), out)
+    got = files.read_posts(spark, out).select("pos", "title", "groups").orderBy("pos").collect()
+    assert [(r["pos"], r["title"]) for r in got] == [(i, f"t{4999 - i}") for i in range(5000)]
+    assert all(r["groups"] == ["g"] for r in got)
+
+
+def test_read_any_takes_arrays_over_several_lines(spark, tmp_dir):
+    arr, lines, empty = (os.path.join(tmp_dir, n) for n in ("a.json", "b.json", "c.json"))
+    with open(arr, "w") as f:
+        f.write('\n  [\n {"id": 1,\n "name": "a"},\n {"id": 2, "name": null}\n]\n')
+    with open(lines, "w") as f:
+        f.write('{"id": 1, "name": "a"}\n{"id": 2}\n')
+    open(empty, "w").close()
+    want = {(1, "a"), (2, None)}
+    assert {(r["id"], r["name"]) for r in files.read_any(spark, arr).collect()} == want
+    assert {(r["id"], r["name"]) for r in files.read_any(spark, lines).collect()} == want
+    assert files.read_any(spark, empty, schema="id long, name string").count() == 0
