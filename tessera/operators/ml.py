@@ -9,6 +9,7 @@ conditional aggregate.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -23,7 +24,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint_dir
+from tessera.sources.stage import staged
 
 SEED = 42
 
@@ -60,8 +61,7 @@ def evaluate(pred: DataFrame, label: str = "label", prediction: str = "predictio
              score: str = "p_pos") -> DataFrame:
     """Accuracy, precision, recall, F1 of the positive class and ROC-AUC
     (J-4). Confusion counts come from one aggregate; AUC is computed with
-    the rank-sum formula over the scores (exact, ties averaged) so every
-    metric is one Spark job graph."""
+    the rank-sum formula over the scores (exact, ties averaged)."""
     y, p = F.col(label).cast("int"), F.col(prediction).cast("int")
     c = pred.agg(F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
                  F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 0) & (p == 0)).alias("tn"))
@@ -74,22 +74,25 @@ def evaluate(pred: DataFrame, label: str = "label", prediction: str = "predictio
                     f1.alias("f1"), auc.alias("auc"))
 
 
-def roc_auc(pred: DataFrame, label: str, score: str, buckets: int = 1024) -> Column:
+def ranged(df: DataFrame, order: Sequence[str], name: str, folder: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written in ranges of ``order`` with like numbers of rows, the range's
+    number as ``name``: it never falls along the order. As many ranges as shuffle
+    partitions by default, so they grow with what the session is set up for."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), folder)
+
+
+def roc_auc(pred: DataFrame, label: str, score: str, buckets: int | None = None) -> Column:
     """Exact ROC-AUC via the Mann-Whitney statistic with average ranks for
-    ties, as a scalar subquery.
+    ties, as a scalar subquery. Rows without a label or score don't count.
 
-    Ranks need "rows with a smaller score": the distinct scores are cut into
-    ``buckets`` equal-width buckets; bucket totals (at most ``buckets`` rows)
-    give each bucket's offset, and a running sum partitioned by bucket gives
-    the rest. No window ever spans all rows.
+    Ranks need "rows with a smaller score": the distinct scores are written in
+    ranges; range totals (one row each) give each range's offset, and a running sum
+    inside the range gives the rest. No window ever spans all rows.
     """
-    g = pred.groupBy(F.col(score).alias("s")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("npos"))
-    mm = g.select(F.struct(F.min("s").alias("lo"), F.max("s").alias("hi")).alias("m")).scalar()
-    width = (mm["hi"] - mm["lo"]) / buckets
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("s") - mm["lo"]) / width), F.lit(buckets - 1))).cast("int")
-    g = g.withColumn("b", b)
+    known = pred.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+    g = ranged(known.groupBy(F.col(score).alias("s")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("npos")), ["s"], "b", "scores", buckets)
     tot = g.groupBy("b").agg(F.sum("n").alias("bn"))
     tot = tot.withColumn("offset", F.coalesce(
         F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -160,15 +163,19 @@ RISK_LABELS = ("low", "medium", "high")
 RISK_ACTIONS = {"low": "no action", "medium": "retention offer", "high": "personal call"}
 
 
+def risk_bands(df: DataFrame, p: str = "p_pos") -> DataFrame:
+    """``risk``, the band of a probability, and its ``action`` from the rule table (J-7)."""
+    band = F.when(F.col(p) < RISK_CUTS[0], RISK_LABELS[0]).when(F.col(p) < RISK_CUTS[1], RISK_LABELS[1]) \
+        .when(F.col(p).isNotNull(), RISK_LABELS[2])
+    act = F.create_map(*[F.lit(x) for kv in RISK_ACTIONS.items() for x in kv])
+    return df.withColumn("risk", band).withColumn("action", F.element_at(act, F.col("risk")))
+
+
 def score_batch(df: DataFrame, model: PipelineModel, id_cols: Sequence[str]) -> DataFrame:
     """Batch prediction (J-7): probability of the positive class, predicted
-    class, risk band and the recommended action from a rule table."""
+    class, risk band and the recommended action."""
     p = model.transform(df).withColumn("p_pos", vector_to_array("probability")[1])
-    band = F.when(F.col("p_pos") < RISK_CUTS[0], RISK_LABELS[0]).when(F.col("p_pos") < RISK_CUTS[1], RISK_LABELS[1]) \
-        .otherwise(RISK_LABELS[2])
-    act = F.create_map(*[F.lit(x) for kv in RISK_ACTIONS.items() for x in kv])
-    return p.select(*id_cols, "p_pos", F.col("prediction").cast("int").alias("prediction"),
-                    band.alias("risk"), F.element_at(act, band).alias("action"))
+    return risk_bands(p).select(*id_cols, "p_pos", F.col("prediction").cast("int").alias("prediction"), "risk", "action")
 
 
 def argmax_class(df: DataFrame, probs: str, name: str = "class_idx") -> DataFrame:
@@ -177,30 +184,36 @@ def argmax_class(df: DataFrame, probs: str, name: str = "class_idx") -> DataFram
         .withColumn("confidence", F.array_max(F.col(probs)))
 
 
-def poisson1_weight(seed_col: Column) -> Column:
-    """A Poisson(1) draw from a uniform in [0, 1) (inverse CDF, capped at 8)."""
-    u = seed_col
-    cdf = 0.0
-    pmf = 0.36787944117144233  # e^-1
-    expr = None
-    for k in range(8):
+def poisson1_cdf() -> list[float]:
+    """P(X <= k) of a Poisson(1) draw, up to where a double is 1."""
+    cdf, pmf, k, out = 0.0, math.exp(-1), 0, []
+    while cdf + pmf > cdf:
         cdf += pmf
-        expr = F.when(u < cdf, F.lit(k)) if expr is None else expr.when(u < cdf, F.lit(k))
-        pmf = pmf / (k + 1)
-    return expr.otherwise(F.lit(8))
+        out.append(cdf)
+        k += 1
+        pmf /= k
+    return out
+
+
+def poisson1_weight(u: Column) -> Column:
+    """A Poisson(1) draw from a uniform in [0, 1): how many steps of the
+    distribution function lie at or below it."""
+    return sum((F.when(u >= c, 1).otherwise(0) for c in poisson1_cdf()), F.lit(0))
 
 
-def stability(pred: DataFrame, slice_col: str, label: str, prediction: str, replicates: int = 20,
+def stability(pred: DataFrame, slice_col: str, label: str, prediction: str, key: str, replicates: int = 20,
               seed: int = SEED) -> DataFrame:
     """Accuracy per slice with a Poisson-bootstrap interval (J-9): every row
     gets ``replicates`` independent Poisson(1) weights (rows are replicated
     ``replicates`` times by an explode of a fixed-size sequence, never
     pairs), weighted accuracy per (slice, replicate), then the 2.5/97.5
-    percentiles."""
+    percentiles. A row's weights hang on its ``key`` and the seed alone (52 bits of
+    an MD5 hash), so partitioning can't change them."""
     ok = (F.col(label).cast("int") == F.col(prediction).cast("int")).cast("double")
-    rows = pred.select(slice_col, ok.alias("_ok"), F.monotonically_increasing_id().alias("_rid"))
-    rep = rows.select(slice_col, "_ok", "_rid", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"))
-    u = (F.abs(F.xxhash64(F.col("_rid"), F.col("_b"), F.lit(seed))) % F.lit(1_000_000)) / F.lit(1_000_000.0)
+    rows = pred.select(slice_col, ok.alias("_ok"), F.col(key).cast("string").alias("_key"))
+    rep = rows.select(slice_col, "_ok", "_key", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"))
+    draw = F.md5(F.concat_ws(":", "_key", F.col("_b").cast("string"), F.lit(str(seed))).cast("binary"))
+    u = F.conv(F.substring(draw, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     rep = rep.withColumn("_w", poisson1_weight(u))
     per = rep.groupBy(slice_col, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col("_ok")), F.sum("_w")).alias("acc"))
     point = rows.groupBy(slice_col).agg(F.avg("_ok").alias("accuracy"), F.count(F.lit(1)).alias("n"))
@@ -209,6 +222,12 @@ def stability(pred: DataFrame, slice_col: str, label: str, prediction: str, repl
     return point.join(ci, slice_col)
 
 
+def split_by_key(df: DataFrame, key: str, test_share: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by a hash of the key: the same rows on any partitioning, and rows of one key stay together."""
+    held = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) < int(test_share * 10_000)
+    return df.filter(~held), df.filter(held)
+
+
 def recommend(interactions: DataFrame, user: str, item: str, rating: str, k: int, rank: int = 8,
               max_iter: int = 10) -> DataFrame:
     """Top-k item recommendations per user from implicit feedback (J-10)
@@ -259,28 +278,25 @@ def complete_rows(df: DataFrame, cols: Sequence[str]) -> Column:
 
 
 def match_on_score(df: DataFrame, score: str, treated: str, outcome: str, id_col: str, caliper: float | None = None,
-                   buckets: int = 64) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Nearest-neighbour matching with replacement on a given score (C-11).
 
     Every treated row gets the control with the nearest score over the whole
     order by score and id (at equal distance the one before it); beyond the
     ``caliper`` distance, or without any control or score, it stays with a null
-    control. The order is cut at approximate quantiles of the score, so each
-    bucket holds a like share of the rows, and the nearest control below and
-    above cross bucket edges through one row per bucket; pairs are never
-    enumerated."""
+    control. The order is written in ranges that hold a like share of the rows
+    (:func:`ranged`), and the nearest control below and above cross range edges
+    through one row per range; pairs are never enumerated."""
     from tessera.operators import windows as WB
-    edges = df.select(F.percentile_approx(F.col(score).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)).scalar()
-    # in steps, since a lambda may not hold a subquery: how many edges lie below the score
-    df = df.withColumn("_edges", edges)
-    bucket = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(score).cast("double"))), F.lit(0))
+    df = ranged(df, [score, id_col], "_range", "score-ranges", buckets)
+    bucket = F.col("_range")
     known = F.col(score).isNotNull()
     # one struct per control row, so the score, id and outcome always come from the same control
     control = F.when((F.col(treated) == 0) & known, F.struct(F.col(score).cast("double").alias("s"), F.col(id_col).alias("i"), F.col(outcome).alias("y")))
     s = df.withColumn("_c", control)
     s = WB.last_non_null(s, [], [score, id_col], "_c", bucket, "_lo")
     s = WB.next_non_null(s, [], [score, id_col], "_c", bucket, "_hi")
-    t = s.filter(F.col(treated) == 1).drop("_edges")
+    t = s.filter(F.col(treated) == 1).drop("_range")
     lo = F.col(score) - F.col("_lo.s")
     hi = F.col("_hi.s") - F.col(score)
     best = F.when(F.col("_hi").isNull() | (lo <= hi), F.col("_lo")).otherwise(F.col("_hi"))
@@ -302,5 +318,4 @@ def match_psm(df: DataFrame, treated: str, covariates: Sequence[str], outcome: s
     full = df.filter(ok).withColumn("_t", F.col(treated).cast("double"))
     scored = Pipeline(stages=[va, lr]).fit(full).transform(full).withColumn("pscore", vector_to_array("probability")[1])
     rows = scored.select(*df.columns, "pscore").unionByName(df.filter(~ok).withColumn("pscore", F.lit(None).cast("double")))
-    checkpoint_dir(df.sparkSession)
-    return match_on_score(rows.checkpoint(), "pscore", treated, outcome, id_col, caliper)
+    return match_on_score(rows, "pscore", treated, outcome, id_col, caliper)

@@ -9,12 +9,14 @@ label = 1 when the customer has no order on or after the cutoff.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tessera.operators import cooccurrence, kpi as K, ml, stats
 from tessera.plans import bindings as B
 from tessera.plans.common import rounded, tables
 from tessera.plans.registry import register
+from tessera.sources.stage import staged
 
 W = B.with_ctes
 NUMERIC = ["n_orders", "mean_price", "recency_days", "c_acctbal", "n_events"]
@@ -64,15 +66,14 @@ def churn_features(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    d = churn_frame(spark, sf_dir)
-    return d.randomSplit([0.8, 0.2], seed=ml.SEED)
+    return ml.split_by_key(staged(churn_frame(spark, sf_dir), "churn"), "c_custkey")
 
 
 @register("train_compare", ops=("J-1", "J-2", "J-4"))
 def train_compare(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     prep = ml.feature_pipeline(CATEGORICAL, NUMERIC).fit(train)
-    tr, te = prep.transform(train).cache(), prep.transform(test).cache()
+    tr, te = staged(prep.transform(train), "churn-train"), staged(prep.transform(test), "churn-test")
     out = None
     for name, est in ml.classifiers().items():
         model = est.fit(tr)
@@ -135,7 +136,70 @@ def stability(spark, sf_dir):
     from pyspark.ml import Pipeline
     model = Pipeline(stages=[*ml.feature_pipeline(CATEGORICAL, NUMERIC).getStages(),
                              ml.classifiers()["logistic_regression"]]).fit(train)
-    return rounded(ml.stability(model.transform(test), "c_mktsegment", "label", "prediction", replicates=20))
+    return rounded(ml.stability(model.transform(test), "c_mktsegment", "label", "prediction", "c_custkey"))
+
+
+def rule_frame(spark, sf_dir):
+    # a rule as the model: the share of the last year without an order, and a negative balance as the prediction
+    return churn_frame(spark, sf_dir).select(
+        "c_custkey", "c_mktsegment", "label", F.round(F.least(F.col("recency_days") / 365, F.lit(1.0)), 2).alias("p_pos"),
+        (F.col("c_acctbal") < 0).cast("int").alias("prediction"))
+
+
+RULE_CTE = CHURN_CTE + """,
+ruled AS (SELECT c_custkey, c_mktsegment, label, round(least(recency_days / 365, 1.0), 2) AS p_pos,
+                 CAST(c_acctbal < 0 AS INTEGER) AS prediction FROM churn)"""
+
+
+@register("evaluate_rule", ops=("J-4",), sql=W(RULE_CTE) + """,
+c AS (SELECT CAST(count_if(label = 1 AND prediction = 1) AS BIGINT) AS tp, CAST(count_if(label = 0 AND prediction = 1) AS BIGINT) AS fp,
+             CAST(count_if(label = 1 AND prediction = 0) AS BIGINT) AS fn, CAST(count_if(label = 0 AND prediction = 0) AS BIGINT) AS tn FROM ruled),
+g AS (SELECT p_pos, count(*) AS n, count_if(label = 1) AS npos FROM ruled WHERE p_pos IS NOT NULL GROUP BY p_pos),
+r AS (SELECT npos, n, coalesce(sum(n) OVER (ORDER BY p_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS avg_rank FROM g),
+a AS (SELECT (sum(avg_rank * npos) - sum(npos) * (sum(npos) + 1) / 2) / nullif(sum(npos) * sum(n - npos), 0) AS auc FROM r)
+SELECT tp, fp, fn, tn, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision,
+       round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0))
+       / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0), 6) AS f1, round(CAST(auc AS DOUBLE), 6) AS auc FROM c, a""")
+def evaluate_rule(spark, sf_dir):
+    """Metrics of a rule's predictions and scores, many of them tied."""
+    return rounded(ml.evaluate(rule_frame(spark, sf_dir)))
+
+
+@register("risk_bands", ops=("J-7",), sql=W(RULE_CTE) + """
+SELECT c_custkey, p_pos, CASE WHEN p_pos < 0.3 THEN 'low' WHEN p_pos < 0.6 THEN 'medium' ELSE 'high' END AS risk,
+       CASE WHEN p_pos < 0.3 THEN 'no action' WHEN p_pos < 0.6 THEN 'retention offer' ELSE 'personal call' END AS action FROM ruled""")
+def risk_bands(spark, sf_dir):
+    """Risk bands and actions of the rule's scores."""
+    return ml.risk_bands(rule_frame(spark, sf_dir)).select("c_custkey", "p_pos", "risk", "action")
+
+
+@register("stability_rule", ops=("J-9",), sql=W(RULE_CTE) + f""",
+d AS (SELECT c_mktsegment, CAST(label = prediction AS INTEGER) AS ok, b, CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || ':'
+             || CAST(b AS VARCHAR) || ':{ml.SEED}'), 1, 13) AS BIGINT) / {float(1 << 52)!r} AS u FROM ruled, range(20) AS r(b)),
+w AS (SELECT *, len(list_filter({ml.poisson1_cdf()!r}::DOUBLE[], lambda c: u >= c)) AS w FROM d),
+p AS (SELECT c_mktsegment, b, CAST(sum(w * ok) AS DOUBLE) / nullif(sum(w), 0) AS acc FROM w GROUP BY c_mktsegment, b),
+i AS (SELECT c_mktsegment, quantile_cont(acc, 0.025) AS acc_low, quantile_cont(acc, 0.975) AS acc_high FROM p GROUP BY c_mktsegment)
+SELECT c_mktsegment, round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy, count(*) AS n,
+       round(any_value(acc_low), 6) AS acc_low, round(any_value(acc_high), 6) AS acc_high
+FROM ruled JOIN i USING (c_mktsegment) GROUP BY c_mktsegment""")
+def stability_rule(spark, sf_dir):
+    """Accuracy of the rule per segment with its bootstrap interval."""
+    return rounded(ml.stability(rule_frame(spark, sf_dir), "c_mktsegment", "label", "prediction", "c_custkey"))
+
+
+@register("feature_vectors", ops=("J-1",), sql=W(CHURN_CTE) + """,
+s AS (SELECT c_mktsegment, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) - 1 AS slot FROM churn GROUP BY c_mktsegment)
+SELECT c_custkey, CAST(slot AS INTEGER) AS segment_slot,
+       """ + ",\n       ".join(f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS z_{c}" for c in NUMERIC) + """
+FROM churn JOIN s USING (c_mktsegment)""")
+def feature_vectors(spark, sf_dir):
+    """The vectors that the models are given: the slot of the segment and standardised measures."""
+    d = staged(churn_frame(spark, sf_dir), "churn")
+    rows = ml.feature_pipeline(CATEGORICAL, NUMERIC).fit(d).transform(d)
+    x = rows.select("c_custkey", vector_to_array("features").alias("x")).withColumn("slots", F.size("x") - len(NUMERIC))
+    return rounded(x.select(
+        "c_custkey", (F.array_position(F.slice("x", F.lit(1), F.col("slots")), 1.0) - 1).cast("int").alias("segment_slot"),
+        *[F.get("x", F.col("slots") + j).alias(f"z_{c}") for j, c in enumerate(NUMERIC)]))
 
 
 @register("recommend", ops=("J-10",))

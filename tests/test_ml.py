@@ -95,3 +95,34 @@ def test_clusters_recommendations_matching(spark):
     assert all(r["control_id"] is None or r["y_control"] is not None for r in m)
     st = qs["stability"].build(spark, SF_SMALL).collect()
     assert all(r["acc_low"] <= r["acc_high"] for r in st)
+
+
+def test_auc_over_many_ranges_and_missing_scores(spark):
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 1), rng.choice([None, 0.5, rng.random() ** 8, float(rng.randint(0, 3))])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "label int, p double").repartition(7)
+    pos, neg = ([s for y, s in rows if y == v and s is not None] for v in (1, 0))
+    wins = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a, b in itertools.product(pos, neg))
+    for buckets in (1, 3, 40):
+        auc = df.select(ml.roc_auc(df, "label", "p", buckets).alias("auc")).first()[0]
+        assert auc == pytest.approx(wins / (len(pos) * len(neg)))
+
+
+def test_split_and_bootstrap_hang_on_the_key_alone(spark):
+    df = spark.range(4000).select("id", (F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 7 < 4).cast("int").alias("label"),
+                                  (F.col("id") % 5 < 3).cast("int").alias("prediction"))
+    one, many = df.coalesce(1), df.repartition(9)
+    train, test = ml.split_by_key(one, "id")
+    again = ml.split_by_key(many, "id")
+    assert {r["id"] for r in test.collect()} == {r["id"] for r in again[1].collect()}
+    assert train.count() + test.count() == 4000 and 700 < test.count() < 900
+    a, b = (sorted(map(tuple, ml.stability(x, "g", "label", "prediction", "id").collect())) for x in (one, many))
+    assert a == b and all(low < acc < high for _, acc, _, low, high in a)
+
+
+def test_poisson_weights(spark):
+    cdf = ml.poisson1_cdf()
+    assert len(cdf) >= 15 and cdf == sorted(cdf) and cdf[-1] == pytest.approx(1.0, abs=1e-15)
+    u = [0.0, cdf[0] - 1e-12, cdf[0], cdf[3], 1 - 1e-9]
+    got = spark.createDataFrame([(x,) for x in u], "u double").select(ml.poisson1_weight(F.col("u"))).collect()
+    assert [r[0] for r in got] == [sum(x >= c for c in cdf) for x in u]
