@@ -115,17 +115,16 @@ def payment_match(evidence: DataFrame, orders: DataFrame, ref: str, amount: str,
 def rfm_scores(orders: DataFrame, customer: str, ts: str, amount: str, ref_time: str,
                bins: int = 5, method: str = "exact") -> DataFrame:
     """Recency / frequency / monetary per customer and 1..bins scores from
-    global cut points (G-11). Cut points are scalar subqueries of quantiles,
-    so scoring is a projection, not a global sort."""
+    global cut points (G-11). The cut points of all three measures come from one
+    quantile plan over (measure, value) rows and are one scalar subquery, so scoring is a
+    projection, not a global sort."""
     ref = F.lit(ref_time).cast("timestamp_ntz")
     g = orders.groupBy(customer).agg(
         F.datediff(ref, F.max(ts)).alias("recency_days"),
         F.count(F.lit(1)).alias("frequency"),
         F.sum(amount).alias("monetary"))
-    from tessera.operators.stats import global_quantiles
-    probs = [i / bins for i in range(1, bins)]
-    cols = ("recency_days", "frequency", "monetary")
-    cuts = {c: global_quantiles(g, c, probs, method) for c in cols}
+    from tessera.operators.stats import columns_quantiles
+    cuts = columns_quantiles(g, ("recency_days", "frequency", "monetary"), [i / bins for i in range(1, bins)], method)
 
     def score(col, arr, higher_better=True):
         above = sum((F.col(col) > arr[i]).cast("int") for i in range(bins - 1))

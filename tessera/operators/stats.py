@@ -40,6 +40,20 @@ def global_quantiles(df: DataFrame, col: str, probs: Sequence[float], method: st
     return [q[i].cast("double") for i in range(len(probs))]
 
 
+def columns_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "exact") -> dict[str, list[Column]]:
+    """Whole-column quantiles of several columns by one plan and one scalar
+    subquery: :func:`global_quantiles` for each, in a single pass over the rows."""
+    if method != "exact":
+        return {c: global_quantiles(df, c, probs, method) for c in cols}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x"))
+                                         for i, c in enumerate(cols)])).alias("s")).select("s.i", "s.x")
+    names = [f"_q{j}" for j in range(len(probs))]
+    q = grouped_quantiles(long, "x", ["i"], probs)
+    one = q.agg(*[F.max(F.when(F.col("i") == i, F.struct(*names))).alias(f"c{i}") for i in range(len(cols))])
+    s = one.select(F.struct("*").alias("s")).scalar()
+    return {c: [s[f"c{i}"][n] for n in names] for i, c in enumerate(cols)}
+
+
 def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (),
                      method: str = "exact", accuracy: int = 10000,
                      strict_nulls: bool = False) -> DataFrame:

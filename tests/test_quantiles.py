@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators.quantiles import column_quantiles, grouped_quantiles
 
@@ -90,3 +91,14 @@ def test_no_job_runs_while_building(spark):
         assert not sc.statusTracker().getJobIdsForGroup("quantile-build")
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_several_columns_in_one_plan(spark):
+    from tessera.operators.stats import columns_quantiles, global_quantiles
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("a"), F.when(F.col("id") % 3 > 0, F.sqrt("id")).alias("b"),
+                                  F.lit(None).cast("double").alias("c"))
+    probs = [0.2, 0.5, 0.95]
+    cuts = columns_quantiles(df, ("a", "b", "c"), probs)
+    got = spark.range(1).select(*[x.alias(f"{c}{i}") for c in "abc" for i, x in enumerate(cuts[c])]).first()
+    want = spark.range(1).select(*[x.alias(f"{c}{i}") for c in "abc" for i, x in enumerate(global_quantiles(df, c, probs))]).first()
+    assert got == want and got["c0"] is None
