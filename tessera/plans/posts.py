@@ -25,20 +25,23 @@ W = B.with_ctes
 
 def form_data(spark, sf_dir):
     t = tables(spark, sf_dir)
-    d = t.documents.join(t.labels, "doc_id", "left")
     words = F.size(F.split(strip_ws(F.col("text")), WS_CLASS + "+"))
-    return d.select(
+    # what is taken from the text is taken before the join, so a query without the content never shuffles it
+    d = t.documents.select(
         F.col("doc_id").alias("pos"), "doc_id",
         F.substring_index("text", "\n", 1).alias("title"),
         F.try_element_at(F.split("text", "\n"), F.lit(2)).alias("summary"),
         F.col("lang").alias("topic"), F.col("source").alias("category"),
         F.concat(F.ceil(words / 200).cast("string"), F.lit("m")).alias("read"),
+        F.col("text").alias("content_raw")).join(t.labels, "doc_id", "left")
+    return d.select(
+        "pos", "doc_id", "title", "summary", "topic", "category", "read",
         F.when(F.col("quality") == 1, "published").when(F.col("quality") == 0, "draft").alias("status"),
         F.lit("").alias("image"), F.concat(F.lit("/notes/"), F.col("doc_id").cast("string")).alias("url"),
         F.when(F.col("toxic") == 1, "").otherwise("Open").alias("linkText"),
-        F.filter(F.array(F.col("source"), F.when(F.col("quality") == 1, F.lit("featured"))),
+        F.filter(F.array(F.col("category"), F.when(F.col("quality") == 1, F.lit("featured"))),
                  lambda g: g.isNotNull()).alias("groups"),
-        F.col("text").alias("content_raw"), F.lit("").alias("gallery_raw"))
+        "content_raw", F.lit("").alias("gallery_raw"))
 
 
 def posts(spark, sf_dir):
