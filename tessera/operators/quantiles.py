@@ -7,8 +7,9 @@ says where to look:
 1. one sketch aggregate per group gives, for each probability p, values at
    p - d and p + d; with an accuracy of 4 / d their rank errors are d / 4 of
    the rows, so the wanted ranks lie between them. A group of up to 16 / d rows
-   has no bracket: it is its own candidate set;
-2. one aggregate counts the rows below each bracket and the rows of each value
+   has no bracket: it is its own candidate set. So there is at most one row of brackets
+   for 16 / d rows of input, and they are sent to the rows: rows never go by group;
+2. one aggregate counts the rows below and above each bracket and the rows of each value
    inside it (about 2 d of the rows);
 3. a running count over a group's bracketed values gives the values at the
    ranks floor(h) and ceil(h), h = (n - 1) p.
@@ -41,25 +42,22 @@ def grouped_quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequenc
     v = df.select(*by, x).filter(F.col("_x").isNotNull())
     edges = [e for p in probs for e in (max(0.0, p - half), min(1.0, p + half))]
     groups = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", edges, int(4 / half)).alias("_e"))
-    small = F.col("_n") <= int(16 / half)
-    brackets = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        brackets.append(F.struct(
-            F.lit(i).alias("i"), F.when(~small, F.col("_e")[2 * i]).alias("lo"), F.when(~small, F.col("_e")[2 * i + 1]).alias("hi"),
-            F.floor(h).alias("first"), F.ceil(h).alias("second"), (h - F.floor(h)).alias("part")))
-    targets = groups.select(*by, F.array(*brackets).alias("_t"))
-    # without groups the brackets are one scalar, not a join
-    rows = null_safe_join(v, targets, by) if by else v.withColumn("_t", targets.select("_t").scalar())
-    rows = rows.select(*by, "_x", F.explode("_t").alias("_t")).filter(F.col("_t.hi").isNull() | (F.col("_x") <= F.col("_t.hi")))
-    below = F.col("_x") < F.col("_t.lo")
-    # rows below a bracket count together, under a null value that sorts first
-    counts = rows.groupBy(*by, "_t", F.when(~F.coalesce(below, F.lit(False)), F.col("_x")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*by, "_t.i").orderBy("_v"))
-    counts = counts.withColumn("_upto", upto)
-    ranks = counts.groupBy(*by, F.col("_t.i").alias("_i"), F.col("_t.part").alias("_part")).agg(
-        F.min(F.when(F.col("_upto") > F.col("_t.first"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > F.col("_t.second"), F.col("_v"))).alias("_b"))
+    large = groups.filter(F.col("_n") > int(16 / half))
+    bracket = lambda lo, hi: F.array(*[F.struct(F.lit(i).alias("i"), lo(i).alias("lo"), hi(i).alias("hi")) for i in range(len(probs))])
+    none = F.lit(None).cast("double")
+    targets = large.select(*by, bracket(lambda i: F.col("_e")[2 * i], lambda i: F.col("_e")[2 * i + 1]).alias("_t"))
+    # the brackets go to the rows, of which a few groups may hold all; without groups they are one scalar
+    rows = null_safe_join(v, F.broadcast(targets), by, "left") if by else v.withColumn("_t", targets.select("_t").scalar())
+    rows = rows.select(*by, "_x", F.explode(F.coalesce("_t", bracket(lambda i: none, lambda i: none))).alias("_t"))
+    # rows below a bracket count together, under a null value that sorts first, rows above it under NaN, which sorts last
+    place = F.when(F.col("_t.lo").isNull(), F.col("_x")).when(F.col("_x") > F.col("_t.hi"), F.lit(float("nan"))).when(F.col("_x") >= F.col("_t.lo"), F.col("_x"))
+    counts = rows.groupBy(*by, F.col("_t.i").alias("_i"), place.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*by, "_i")
+    p = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
+    counts = counts.withColumn("_upto", F.sum("_c").over(group.orderBy("_v"))).withColumn("_h", (F.sum("_c").over(group) - 1) * p)
+    ranks = counts.groupBy(*by, "_i", (F.col("_h") - F.floor("_h")).alias("_part")).agg(
+        F.min(F.when(F.col("_upto") > F.floor("_h"), F.col("_v"))).alias("_a"),
+        F.min(F.when(F.col("_upto") > F.ceil("_h"), F.col("_v"))).alias("_b"))
     value = F.when(F.col("_part") > 0, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).otherwise(F.col("_a"))
     return ranks.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, value)).alias(f"_q{i}") for i in range(len(probs))])
 
