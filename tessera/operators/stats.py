@@ -97,8 +97,9 @@ def summary_overview(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     min and max as text. One aggregate pass, then an unpivot.
 
     Distinct counts are HyperLogLog (``approx_count_distinct``) unless
-    ``exact_distinct``; exact distinct over many columns makes Spark expand
-    the input once per column.
+    ``exact_distinct``: then each column's values are grouped by a plan of their own
+    that reads this column alone, so a task holds distinct values of one column, and
+    the rows are not copied once per column.
     """
     cols = df.columns
     types = dict(df.dtypes)
@@ -106,12 +107,14 @@ def summary_overview(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     for i, c in enumerate(cols):
         col = F.col(c)
         miss = (col.isNull() | F.isnan(col)) if types[c] in ("double", "float") else col.isNull()
-        distinct = F.count_distinct(col) if exact_distinct else F.approx_count_distinct(col)
         orderable = not types[c].startswith(("array", "map", "struct", "binary"))
-        aggs += [F.count_if(miss).alias(f"_m{i}"), distinct.alias(f"_d{i}"),
+        aggs += [F.count_if(miss).alias(f"_m{i}"), *([] if exact_distinct else [F.approx_count_distinct(col).alias(f"_d{i}")]),
                  (F.min(col).cast("string") if orderable else F.lit(None).cast("string")).alias(f"_lo{i}"),
                  (F.max(col).cast("string") if orderable else F.lit(None).cast("string")).alias(f"_hi{i}")]
     wide = df.agg(*aggs)
+    if exact_distinct:
+        values = [df.select(F.col(c).alias("_v")).distinct() for c in cols]
+        wide = wide.select("*", *[v.agg(F.count("_v")).scalar().alias(f"_d{i}") for i, v in enumerate(values)])
     rows = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
                  F.lit(types[c]).alias("data_type"),

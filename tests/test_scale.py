@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from tessera.operators import stats
 from tessera.operators.quantiles import grouped_quantiles
 
 
@@ -28,3 +29,11 @@ def test_group_quantiles_send_brackets_to_the_rows(spark):
     for g, values in got.items():
         xs = [x for k, x in rows if k == g and x is not None and x == x]
         assert values == pytest.approx(list(np.quantile(xs, [0.0, 0.3, 1.0])), rel=1e-12)
+
+
+def test_exact_distinct_does_not_copy_the_rows(spark):
+    rows = [(i, float("nan") if i % 5 == 0 else float(i % 3), f"s{i % 7}" if i % 4 else None) for i in range(100)]
+    out = stats.summary_overview(spark.createDataFrame(rows, "a long, b double, c string"), exact_distinct=True)
+    assert "Expand" not in plan_of(out)
+    got = {r["column_name"]: (r["n_rows"], r["n_missing"], r["n_distinct"], r["min_value"]) for r in out.collect()}
+    assert got == {"a": (100, 0, 100, "0"), "b": (100, 20, 4, "0.0"), "c": (100, 25, 7, "s0")}
