@@ -247,24 +247,25 @@ def recommend_popular(purchases: DataFrame, users: DataFrame, user: str, item: s
     """Top-k items per user that the user has not bought yet, taken from the
     popularity ranking of the user's group (J-10, pair-free variant).
 
-    Exact without enumerating user x item pairs: a user's k best unowned
-    items lie within the first ``k + owned(user)`` ranks of its group, so
-    each group keeps ``k + max owned`` ranks (salted two-stage top-k), each
-    user gets ``k + owned(user)`` candidate ranks (linear in purchases), an
-    anti join removes owned items and a salted top-k keeps k per user.
+    Exact without enumerating user x item pairs: a group keeps the first
+    ``k + max owned`` ranks (salted two-stage top-k). A user misses those of them
+    that it owns, so its k best are the first k ranks without these; only they
+    are listed. The purchases are added up once per user and item, and written.
     ``purchases(user, item, weight)``, ``users(user, group)``.
     """
     from tessera.operators.ranking import top_k_per_group
-    owned = purchases.select(user, item).distinct()
-    n_owned = owned.groupBy(user).agg(F.count(F.lit(1)).alias("_m"))
-    depth = n_owned.select(F.max("_m")).scalar()
-    pop = (purchases.join(users, user).groupBy(group, item).agg(F.sum(weight).alias("score")))
-    ranked = top_k_per_group(pop, [group], "score", F.lit(k) + F.coalesce(depth, F.lit(0)), tiebreak=[item],
-                             rank_name="_r")
-    cand = (users.join(n_owned, user, "left")
-            .select(user, group, F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce(F.col("_m"), F.lit(0))))
-                    .alias("_r")))
-    picks = cand.join(ranked, [group, "_r"]).join(owned, [user, item], "left_anti")
+    bought = staged(purchases.groupBy(user, item).agg(F.sum(weight).alias("_w")), "bought")
+    depth = bought.groupBy(user).agg(F.count(F.lit(1)).alias("_m")).select(F.max("_m")).scalar()
+    pop = bought.join(users, user).groupBy(group, item).agg(F.sum("_w").alias("score"))
+    ranked = staged(top_k_per_group(pop, [group], "score", F.lit(k) + F.coalesce(depth, F.lit(0)), tiebreak=[item],
+                                    rank_name="_r"), "ranked")
+    owned = (bought.select(user, item).join(users.distinct(), user).join(ranked, [group, item])
+             .groupBy(user, group).agg(F.collect_set("_r").alias("_own")))
+    # the first k ranks that are free lie among the first k + size(_own)
+    none = F.array().cast(owned.schema["_own"].dataType)
+    free = F.array_except(F.sequence(F.lit(1), F.lit(k) + F.size(F.coalesce("_own", none))), F.coalesce("_own", none))
+    picks = (users.join(owned, [user, group], "left")
+             .select(user, group, F.explode(F.slice(free, 1, k)).alias("_r")).join(ranked, [group, "_r"]))
     best = top_k_per_group(picks, [user], "_r", k, desc=False, tiebreak=[item], rank_name="rank")
     return best.select(user, "rank", item, "score")
 

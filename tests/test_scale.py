@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tessera.operators import stats
+from tessera.operators import ml, stats
 from tessera.operators.quantiles import grouped_quantiles
 
 
@@ -37,3 +37,25 @@ def test_exact_distinct_does_not_copy_the_rows(spark):
     assert "Expand" not in plan_of(out)
     got = {r["column_name"]: (r["n_rows"], r["n_missing"], r["n_distinct"], r["min_value"]) for r in out.collect()}
     assert got == {"a": (100, 0, 100, "0"), "b": (100, 20, 4, "0.0"), "c": (100, 25, 7, "s0")}
+
+
+def test_popular_items_list_only_free_ranks(spark):
+    rng = random.Random(8)
+    buys = [(rng.choice([None, *range(12)]), rng.choice([None, *range(15)]), float(rng.randrange(9))) for _ in range(150)] + [(3, i, 1.0) for i in range(15)]
+    users = [(u, "xyz"[u % 3]) for u in range(14)] + [(3, "x"), (4, "z"), (5, "z"), (None, "y"), (6, None)]
+    out = ml.recommend_popular(spark.createDataFrame(buys, "u long, i long, w double"), spark.createDataFrame(users, "u long, g string"), "u", "i", "w", "g", 3)
+    assert "LeftAnti" not in plan_of(out)
+    score: dict = {}
+    for u, g in users:
+        for v, i, w in buys:
+            if u is not None and u == v and g is not None:
+                score[g, i] = score.get((g, i), 0.0) + w
+    want = []
+    for u in {u for u, _ in users}:
+        cand = []
+        for g in [g for v, g in users if v == u and g is not None]:
+            items = sorted((i for h, i in score if h == g), key=lambda i: (-score[g, i], i is not None, i or 0))
+            cand += [(r, i is not None, i or 0, i, score[g, i]) for r, i in enumerate(items) if (u, i) not in {(a, b) for a, b, _ in buys if a is not None and b is not None}]
+        want += [(u, r, c[3]) for r, c in enumerate(sorted(cand)[:3], 1)]
+    key = lambda t: tuple((x is not None, x or 0) for x in t)
+    assert sorted(((r["u"], r["rank"], r["i"]) for r in out.collect()), key=key) == sorted(want, key=key)
