@@ -10,8 +10,10 @@ conditional aggregate.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
@@ -24,6 +26,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ship_library
 from tessera.sources.stage import staged
 
 SEED = 42
@@ -232,14 +235,88 @@ def recommend(interactions: DataFrame, user: str, item: str, rating: str, k: int
               max_iter: int = 10) -> DataFrame:
     """Top-k item recommendations per user from implicit feedback (J-10)
     with ALS; the fit checkpoints into the session's checkpoint folder every
-    few iterations, cutting lineage."""
+    few iterations, cutting lineage. The scores of all users and items are taken by
+    :func:`best_products`."""
     als = ALS(userCol=user, itemCol=item, ratingCol=rating, implicitPrefs=True, rank=rank, maxIter=max_iter,
               seed=SEED, coldStartStrategy="drop", checkpointInterval=5, nonnegative=True)
     model = als.fit(interactions)
-    recs = model.recommendForAllUsers(k)
-    return recs.select(user, F.posexplode("recommendations").alias("pos", "r")) \
-        .select(user, (F.col("pos") + 1).alias("rank"), F.col(f"r.{item}").alias(item),
-                F.col("r.rating").alias("score"))
+    best = best_products(model.userFactors, model.itemFactors, k)
+    return best.select(F.col("u").alias(user), "rank", F.col("i").alias(item), "score")
+
+
+def best_products(users: DataFrame, items: DataFrame, k: int, tile_rows: int = 8192) -> DataFrame:
+    """``(u, rank, i, score)``: the ``k`` items with the largest inner product for each
+    user, both given as ``(id int, features array<float>)``; equal scores go by the smaller item.
+
+    Exact over all pairs, in matrix products of tiles. The items of a partition come in
+    falling order of their norm, and a user whose best ``k`` lie above what a tile can
+    reach at most skips it. A user leaves a task with k items at most."""
+    length = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x))
+
+    def tiles(df: DataFrame, name: str, *order: Column) -> DataFrame:
+        packed = df.sortWithinPartitions(*order).mapInArrow(lambda batches: _tiles(batches, tile_rows), "ids binary, data binary")
+        return staged(packed, name).select(F.col("ids").alias(f"{name}_ids"), F.col("data").alias(f"{name}_data"))
+
+    ship_library(users.sparkSession)
+    pairs = tiles(users, "user", F.col("id")).crossJoin(tiles(items, "item", length.desc(), F.col("id")))
+    found = pairs.mapInArrow(lambda batches: _best_of_tiles(batches, k), "u int, i int, score float")
+    w = Window.partitionBy("u").orderBy(F.col("score").desc(), "i")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Ids and vectors packed, at most ``rows`` in one record."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            data = part.column("features").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().astype(np.int32).tobytes()], pa.binary()),
+                                              pa.array([data.tobytes()], pa.binary())], names=["ids", "data"])
+
+
+def _best_of_tiles(batches: Iterator[pa.RecordBatch], k: int, rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` of each user over the item tiles that follow each other with the user's tile."""
+    at = users = u = best = ids = None
+
+    def result():
+        if at is not None:
+            full = best > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(users, full.sum(axis=1))), pa.array(ids[full]), pa.array(best[full])], names=["u", "i", "score"])
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            get = lambda c, t: np.frombuffer(batch.column(c)[r].as_py(), t)  # noqa: E731, B023
+            if (key := batch.column("user_ids")[r].as_py()) != at:
+                yield from result()
+                at, users = key, np.frombuffer(key, np.int32)
+                u = get("user_data", np.float32).reshape(len(users), -1)
+                best, ids = np.full((len(users), k), -np.inf, np.float32), np.zeros((len(users), k), np.int32)
+            items = get("item_ids", np.int32)
+            v = get("item_data", np.float32).reshape(len(items), -1)
+            # no product exceeds the sum of the larger parts, nor that of the lengths; a little more for rounding
+            most = np.minimum(np.maximum(u, 0) @ np.maximum(v.max(axis=0), 0) + np.maximum(-u, 0) @ np.maximum(-v.min(axis=0), 0),
+                              np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1).max())
+            open_ = np.flatnonzero(most * 1.0001 + 1e-30 >= best.min(axis=1))
+            # a user's first items are taken in growing steps, so that most of a tile only meets a limit
+            steps = [0, 64, 512, len(items)] if len(open_) and best[open_].min() == -np.inf else [0, len(items)]
+            for lo in range(0, len(open_), rows):
+                for c0, c1 in zip(steps[:-1], steps[1:]):
+                    who = open_[lo:lo + rows]
+                    scores = u[who] @ v[c0:c1].T
+                    if not scores.size:
+                        continue
+                    least = best[who].min(axis=1)
+                    better = scores.max(axis=1) >= least
+                    who, scores, least = who[better], scores[better], least[better]
+                    row, col = np.nonzero(scores >= least[:, None])
+                    row = np.r_[np.repeat(np.arange(len(who)), k), row]
+                    s, i = np.r_[best[who].ravel(), scores[row[len(who) * k:], col]], np.r_[ids[who].ravel(), items[c0:c1][col]]
+                    order = np.lexsort((i, -s, row))
+                    row, s, i = row[order], s[order], i[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    top = place < k
+                    best[who[row[top]], place[top]], ids[who[row[top]], place[top]] = s[top], i[top]
+    yield from result()
 
 
 def recommend_popular(purchases: DataFrame, users: DataFrame, user: str, item: str, weight: str,

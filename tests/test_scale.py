@@ -59,3 +59,16 @@ def test_popular_items_list_only_free_ranks(spark):
         want += [(u, r, c[3]) for r, c in enumerate(sorted(cand)[:3], 1)]
     key = lambda t: tuple((x is not None, x or 0) for x in t)
     assert sorted(((r["u"], r["rank"], r["i"]) for r in out.collect()), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("k,tile_rows", [(3, 7), (5, 8192)])
+def test_best_products_over_all_pairs(spark, k, tile_rows):
+    rng = np.random.default_rng(5)
+    u, v = (rng.integers(-3, 4, (n, 4)).astype(np.float32) for n in (40, 60))
+    u[0] = 0  # every item ties
+    frame = lambda x: spark.createDataFrame([(j, [float(c) for c in r]) for j, r in enumerate(x)], "id int, features array<float>").repartition(3)
+    got = {(r["u"], r["rank"]): (r["i"], r["score"]) for r in ml.best_products(frame(u), frame(v), k, tile_rows).collect()}
+    want = {(a, r): (b, float(s)) for a in range(40) for r, (s, b) in enumerate(sorted(((u[a] @ v[b], b) for b in range(60)), key=lambda t: (-t[0], t[1]))[:k], 1)}
+    assert got == want
+    few = ml.best_products(frame(u), frame(v[:2]), k, tile_rows)
+    assert few.count() == 80
