@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def related_items(purchases: DataFrame, basket: str, item: str, k: int, min_shar
         F.col("items.i").alias("i"), F.col("items.n").alias("n"))
     cells = cells.repartition("split", "cell").sortWithinPartitions("split", "cell")
     schema = f"split boolean, a {item_type}, i {item_type}, na long, n long, shared long"
-    met = staged(cells.mapInPandas(lambda batches: _count_cells(batches, k, min_shared, flush), schema), "meetings")
+    met = staged(cells.mapInArrow(lambda batches: _count_cells(batches, k, min_shared, flush), schema), "meetings")
     score = F.col("shared") / F.sqrt((F.col("na") * F.col("n")).cast("double"))
     added = met.filter("split").groupBy("a", "i", "na", "n").agg(F.sum("shared").alias("shared")) \
         .filter(F.col("shared") >= min_shared)
@@ -68,43 +69,74 @@ def related_items(purchases: DataFrame, basket: str, item: str, k: int, min_shar
     return best.select(F.col("a").alias("item"), "rank", F.col("i").alias("related"), "shared", "score")
 
 
-def _count_cells(batches: Iterator[pd.DataFrame], k: int, min_shared: int, flush: int) -> Iterator[pd.DataFrame]:
+def _count_cells(batches: Iterator[pa.RecordBatch], k: int, min_shared: int, flush: int) -> Iterator[pa.RecordBatch]:
     """Counts of (anchor, item) per cell; rows arrive sorted by cell. Whole cells
     give each anchor's best ``k``, cells of split anchors their partial counts."""
-    key, buffer, waiting, counts = None, [], 0, None
+    key, buffer, waiting, counts, item_type = None, [], 0, None, None
 
-    def fold():
+    def fold(least: int = 1):
         nonlocal buffer, waiting, counts
-        if buffer:
-            new = pd.DataFrame({c: np.concatenate([r[j] for r in buffer]) for j, c in enumerate(("a", "i", "na", "n"))})
-            new = new[new["a"] != new["i"]].assign(shared=1)
-            counts = new if counts is None else pd.concat([counts, new])
-            counts = counts.groupby(["a", "i", "na", "n"], sort=False, as_index=False)["shared"].sum()
-            buffer, waiting = [], 0
+        if not buffer:
+            return
+        p, a, na, m, i, n = (np.concatenate([r[j] for r in buffer]) for j in range(6))
+        buffer, waiting = [], 0
+        codes, values = pd.factorize(np.concatenate([a, i]))
+        size = np.zeros(len(values), np.int64)
+        size[codes] = np.concatenate([na, n])
+        ca, ci = codes[:len(a)], codes[len(a):]
+        # every anchor of a record meets all items of the record
+        lists = np.repeat(m, p)
+        first = np.repeat(np.cumsum(m) - m, p) - (np.cumsum(lists) - lists)
+        one, other = np.repeat(ca, lists), ci[np.repeat(first, lists) + np.arange(lists.sum())]
+        met = (one * np.int64(len(values)) + other)[one != other]
+        met.sort()
+        starts = np.flatnonzero(np.r_[True, met[1:] != met[:-1]]) if len(met) else np.zeros(0, np.int64)
+        shared = np.diff(np.r_[starts, len(met)])
+        keep = shared >= (least if counts is None else 1)
+        one, other = np.divmod(met[starts[keep]], np.int64(max(1, len(values))))
+        new = pd.DataFrame({"a": values[one], "i": values[other], "na": size[one], "n": size[other], "shared": shared[keep]})
+        if counts is not None:
+            new = pd.concat([counts, new]).groupby(["a", "i", "na", "n"], sort=False, as_index=False)["shared"].sum()
+        counts = new
 
     def result():
         nonlocal counts
-        fold()
+        fold(1 if key is None or key[0] else min_shared)
         out, counts = counts, None
         if out is None or out.empty:
-            return []
+            return
         if not key[0]:
             out = out[out["shared"] >= min_shared]
             out = out.assign(score=out["shared"] / np.sqrt((out["na"] * out["n"]).astype("float64")))
             out = out.sort_values(["a", "score", "i"], ascending=[True, False, True]).groupby("a", sort=False).head(k)
-        return [out.assign(split=key[0])[["split", "a", "i", "na", "n", "shared"]]]
+        if len(out):
+            longs = [pa.array(out[c].to_numpy(np.int64)) for c in ("na", "n", "shared")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), key[0])), *(pa.array(out[c], item_type, from_pandas=True) for c in ("a", "i")), *longs],
+                                             names=["split", "a", "i", "na", "n", "shared"])
 
     for batch in batches:
-        for split, cell, a, na, i, n in batch.itertuples(index=False, name=None):
-            if key != (split, cell):
+        if not batch.num_rows:
+            continue
+        item_type = batch.column("a").type.value_type
+        flat = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("a", "na", "i", "n")}
+        p, m = (batch.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "i"))
+        split, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("split", "cell"))
+        at_a, at_i, work = np.r_[0, np.cumsum(p)], np.r_[0, np.cumsum(m)], np.cumsum(p * m)
+        edges = np.flatnonzero(np.r_[True, (split[1:] != split[:-1]) | (cell[1:] != cell[:-1]), True])
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if key != (split[lo], cell[lo]):
                 yield from result()
-                key = (split, cell)
-            # one anchor at a time, so a record never adds more than one list to the buffer
-            for x, nx in zip(a, na):
-                buffer.append((np.full(len(i), x, dtype=i.dtype), i, np.full(len(i), nx), n))
-                waiting += len(i)
+                key = (bool(split[lo]), cell[lo])
+            while lo < hi:
+                # as many records as fit, and one at least
+                done = work[lo - 1] if lo else 0
+                to = min(hi, max(lo + 1, int(np.searchsorted(work, done + flush - waiting, "right"))))
+                sa, si = slice(at_a[lo], at_a[to]), slice(at_i[lo], at_i[to])
+                buffer.append((p[lo:to], flat["a"][sa], flat["na"][sa], m[lo:to], flat["i"][si], flat["n"][si]))
+                waiting += work[to - 1] - done
+                lo = to
                 if waiting >= flush:
-                    if split:
+                    if key[0]:
                         yield from result()
                     else:
                         fold()

@@ -1,11 +1,14 @@
 """Plans that keep a task's memory from growing with the input, and their results by hand."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.operators import ml, stats
+from tessera.operators.cooccurrence import _count_cells
 from tessera.operators.quantiles import grouped_quantiles
 
 
@@ -72,3 +75,22 @@ def test_best_products_over_all_pairs(spark, k, tile_rows):
     assert got == want
     few = ml.best_products(frame(u), frame(v[:2]), k, tile_rows)
     assert few.count() == 80
+
+
+@pytest.mark.parametrize("flush", [1, 50, 10_000])
+def test_cells_are_counted_over_arrow_batches(flush):
+    rng = random.Random(2)
+    n = {i: 2 + i % 3 for i in range(30)}
+    rows = [(c == 2, c, a := rng.sample(range(30), rng.randrange(1, 4)), [n[x] for x in a], m := rng.sample(range(30), rng.randrange(1, 12)), [n[x] for x in m])
+            for c in range(3) for _ in range(40)]
+    types = [pa.bool_(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at:at + 25]), types)], names=["split", "cell", "a", "na", "i", "n"]) for at in range(0, 120, 25)]
+    out = [r for b in _count_cells(batches, 100, 2, flush) for r in b.to_pylist()]
+    got, want = Counter(), Counter()
+    for r in out:
+        assert r["na"] == n[r["a"]] and r["n"] == n[r["i"]]
+        got[r["split"], r["a"], r["i"]] += r["shared"]
+    for c in range(3):
+        met = Counter((s, x, y) for s, d, a, _, m, _ in rows if d == c for x in a for y in m if x != y)
+        want.update({key: v for key, v in met.items() if key[0] or v >= 2})
+    assert got == want
