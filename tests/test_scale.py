@@ -4,12 +4,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 from tessera.operators import ml, stats
 from tessera.operators.cooccurrence import _count_cells
 from tessera.operators.quantiles import grouped_quantiles
+from tessera.streaming.stateful import FirstUse
 
 
 def plan_of(df):
@@ -94,3 +96,9 @@ def test_cells_are_counted_over_arrow_batches(flush):
         met = Counter((s, x, y) for s, d, a, _, m, _ in rows if d == c for x in a for y in m if x != y)
         want.update({key: v for key, v in met.items() if key[0] or v >= 2})
     assert got == want
+
+
+def test_evidence_without_an_order_leaves_no_state():
+    use = FirstUse(["evidence_id"])  # never initialised: any touch of its state fails
+    out = pd.concat(use.handleInputRows(("e7",), iter([pd.DataFrame({"evidence_id": [4, 5]}), pd.DataFrame({"evidence_id": [6]})]), None))
+    assert out["evidence_id"].tolist() == [4, 5, 6] and not out["first_use"].any()
