@@ -25,21 +25,23 @@ from tessera.streaming.events import lateness_band, with_event_time
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: What a state query is started with. Rows of the state are not counted, which would read each key
-#: before it is written, and a join keeps its state in one store per partition instead of four.
-STATE_CONF = {PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
-              "spark.sql.streaming.join.stateFormatVersion": "3"}
+#: What a state query is started with: a join keeps its state in one store per partition instead of four.
+STATE_CONF = {PROVIDER: ROCKSDB, "spark.sql.streaming.join.stateFormatVersion": "3"}
+COUNT_ROWS = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 MICROS = T.StructType([T.StructField("us", T.LongType())])
 
 
-def run_to_files(df: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None, once: bool = False) -> tuple[object, DataFrame]:
+def run_to_files(df: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None, once: bool = False,
+                 count_rows: bool = True) -> tuple[object, DataFrame]:
     """Runs an append stream over all input there is into Parquet files; the
     finished query and the files as a table. ``once`` takes the input as one batch: a
-    processor on the wall clock always asks for another batch, so it wouldn't end otherwise."""
+    processor on the wall clock always asks for another batch, so it wouldn't end otherwise.
+    Without ``count_rows`` the progress has no count of the state's rows, which costs a read before each write."""
     spark = df.sparkSession
     path = path or new_folder(spark, name)
-    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
-    for k, v in STATE_CONF.items():
+    conf = STATE_CONF if count_rows else STATE_CONF | {COUNT_ROWS: "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:  # a query keeps the settings that held when it started
         query = (df.writeStream.format("parquet").outputMode("append").option("path", path)
