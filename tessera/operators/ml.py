@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import ship_library
-from tessera.sources.stage import staged
+from tessera.sources.stage import garbage_freed, shuffles_freed, staged
 
 SEED = 42
 
@@ -232,38 +232,109 @@ def split_by_key(df: DataFrame, key: str, test_share: float = 0.2, seed: int = S
 
 
 def recommend(interactions: DataFrame, user: str, item: str, rating: str, k: int, rank: int = 8,
-              max_iter: int = 10) -> DataFrame:
+              max_iter: int = 10, block_ratings: int = 4_000_000) -> DataFrame:
     """Top-k item recommendations per user from implicit feedback (J-10)
-    with ALS; the fit checkpoints into the session's checkpoint folder every
-    few iterations, cutting lineage. The scores of all users and items are taken by
-    :func:`best_products`."""
+    with ALS; the fit checkpoints into the session's checkpoint folder in every
+    iteration, cutting lineage. The scores of all users and items are taken by
+    :func:`best_products`.
+
+    A task of the fit holds the ratings of a block several times over, so there are as many blocks
+    as keep about ``block_ratings`` in one, and ALS's own 10 at least."""
+    spark = interactions.sparkSession
+    with shuffles_freed(spark):
+        ratings = staged(interactions.select(user, item, rating), "ratings")
+    blocks = max(10, -(-ratings.count() // block_ratings))
     als = ALS(userCol=user, itemCol=item, ratingCol=rating, implicitPrefs=True, rank=rank, maxIter=max_iter,
-              seed=SEED, coldStartStrategy="drop", checkpointInterval=5, nonnegative=True)
-    model = als.fit(interactions)
+              seed=SEED, coldStartStrategy="drop", checkpointInterval=1, nonnegative=True,
+              numUserBlocks=blocks, numItemBlocks=blocks)
+    with garbage_freed(spark):
+        model = als.fit(ratings)
     best = best_products(model.userFactors, model.itemFactors, k)
     return best.select(F.col("u").alias(user), "rank", F.col("i").alias(item), "score")
 
 
-def best_products(users: DataFrame, items: DataFrame, k: int, tile_rows: int = 8192) -> DataFrame:
+def best_products(users: DataFrame, items: DataFrame, k: int, tile_rows: int = 8192, part_rows: int = 200_000) -> DataFrame:
     """``(u, rank, i, score)``: the ``k`` items with the largest inner product for each
     user, both given as ``(id int, features array<float>)``; equal scores go by the smaller item.
 
-    Exact over all pairs, in matrix products of tiles. The items of a partition come in
+    Exact over all pairs, in matrix products of tiles. Without negative parts, an item that ``k`` others
+    exceed in every part is no user's best and takes no part; the rest goes in partitions of about
+    ``part_rows``. The items of a partition come in
     falling order of their norm, and a user whose best ``k`` lie above what a tile can
     reach at most skips it. A user leaves a task with k items at most."""
+    ship_library(users.sparkSession)
+    least = [df.select(F.min(F.array_min("features"))).first()[0] for df in (users, items)]
+    if all(x is not None and x >= 0 for x in least):
+        # where fewer than k scores are above 0, the smallest of the other items follow
+        first = [r["id"] for r in items.select("id").orderBy("id").limit(2 * k).collect()]
+
+        def fewer(df: DataFrame) -> DataFrame:
+            return df.mapInArrow(lambda batches: _not_exceeded(batches, k, first), "id int, features array<float>")
+
+        # once where they lie, and once more among what is left of all
+        left = staged(fewer(items.select("id", "features")), "items")
+        items = fewer(left.repartition(max(1, -(-left.count() // part_rows))))
     length = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x))
 
     def tiles(df: DataFrame, name: str, *order: Column) -> DataFrame:
         packed = df.sortWithinPartitions(*order).mapInArrow(lambda batches: _tiles(batches, tile_rows), "ids binary, data binary")
         return staged(packed, name).select(F.col("ids").alias(f"{name}_ids"), F.col("data").alias(f"{name}_data"))
 
-    ship_library(users.sparkSession)
     pairs = tiles(users, "user", F.col("id")).crossJoin(tiles(items, "item", length.desc(), F.col("id")))
     found = pairs.mapInArrow(lambda batches: _best_of_tiles(batches, k), "u int, i int, score float")
     w = Window.partitionBy("u").orderBy(F.col("score").desc(), "i")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _not_exceeded(batches: Iterator[pa.RecordBatch], k: int, keep: Sequence[int], rows: int = 1024, most: int = 8192,
+                  held: int = 262_144) -> Iterator[pa.RecordBatch]:
+    """The items that fewer than ``k`` others are found to exceed in every part, and those in ``keep``.
+    Each is compared with ``most`` large ones before it at most, so no item is lost by the limit."""
+    # by more than products of floats can be off; 0 is exceeded by all
+    margin = np.float32(1.0001)
+    large = np.zeros((0, 0), np.float32)
+
+    def left(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+        nonlocal large
+        if large.shape[1] != v.shape[1]:
+            large = np.zeros((0, v.shape[1]), np.float32)
+        out, order = [np.flatnonzero(np.isin(ids, keep))], np.argsort(-v.sum(axis=1), kind="stable")
+        for at in range(0, len(order), rows):
+            who = order[at:at + rows]
+            limit, above = v[who] * margin, np.zeros(len(who), np.int64)
+            for lo, hi in ((lo, min(lo + 256, len(large))) for lo in range(0, len(large), 256)):
+                open_ = np.flatnonzero(above < k)
+                if not len(open_):
+                    break
+                over = np.ones((len(open_), hi - lo), bool)
+                for j in range(v.shape[1]):
+                    over &= large[lo:hi, j] >= limit[open_, j, None]
+                above[open_] += over.sum(axis=1)
+            who = who[above < k]
+            out.append(who)
+            large = np.concatenate([large, v[who]])[:most]
+        return np.unique(np.concatenate(out))
+
+    def chunk(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(waiting).combine_chunks()
+        ids, features = t.column("id").to_numpy(), t.column("features").combine_chunks()
+        kept = left(ids, features.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(ids), -1))
+        return t.take(pa.array(kept)).combine_chunks().to_batches()[0]
+
+    waiting, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        n += batch.num_rows
+        if n >= held:
+            out, waiting, n = chunk(waiting), [], 0
+            if out.num_rows:
+                yield out
+    if waiting and (out := chunk(waiting)).num_rows:
+        yield out
+
+
 def _tiles(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Ids and vectors packed, at most ``rows`` in one record."""
     for batch in batches:

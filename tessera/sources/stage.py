@@ -3,6 +3,7 @@ executors, and go when the application ends."""
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -44,3 +45,22 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+@contextmanager
+def garbage_freed(spark: SparkSession, seconds: float = 20) -> Iterator[None]:
+    """While it holds, the driver collects its garbage every so often: the shuffle files of a loop
+    over RDDs are deleted only after the driver's objects for them are."""
+    over = threading.Event()
+
+    def collect():
+        while not over.wait(seconds):
+            spark.sparkContext._jvm.System.gc()
+
+    thread = threading.Thread(target=collect, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()

@@ -79,6 +79,39 @@ def test_best_products_over_all_pairs(spark, k, tile_rows):
     assert few.count() == 80
 
 
+@pytest.mark.parametrize("part_rows", [9, 200_000])
+def test_best_products_without_exceeded_items(spark, part_rows):
+    rng = np.random.default_rng(7)
+    # many zeros and ties, also users without any part and items that only few reach
+    u, v = (rng.integers(0, 4, (n, 4)).astype(np.float32) * (rng.random((n, 4)) < 0.5) for n in (50, 300))
+    u[0], u[1], v[:, 3] = 0, (0, 0, 0, 2), 0
+    v[[7, 290], 3] = 1
+    frame = lambda x: spark.createDataFrame([(j, [float(c) for c in r]) for j, r in enumerate(x)], "id int, features array<float>").repartition(3)
+    got = {(r["u"], r["rank"]): (r["i"], r["score"]) for r in ml.best_products(frame(u), frame(v), 3, 16, part_rows).collect()}
+    assert got == {(a, r): (b, float(s)) for a in range(50) for r, (s, b) in enumerate(sorted(((u[a] @ v[b], b) for b in range(300)), key=lambda t: (-t[0], t[1]))[:3], 1)}
+
+
+@pytest.mark.parametrize("most,held", [(8192, 262_144), (40, 300)])
+def test_exceeded_items_are_left_out(most, held):
+    rng = np.random.default_rng(1)
+    v = rng.exponential(1, (2000, 3)).astype(np.float32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + 250, dtype=np.int32)), pa.array(list(v[at:at + 250]), pa.list_(pa.float32()))], names=["id", "features"])
+               for at in range(0, 2000, 250)]
+    kept = {i for b in ml._not_exceeded(iter(batches), 2, [3, 1999], 32, most, held) for i in b.column("id").to_pylist()}
+    over = [(v >= x * np.float32(1.0001)).all(axis=1).sum() for x in v]
+    assert kept >= {i for i, n in enumerate(over) if n < 2} | {3, 1999} and len(kept) < 1000
+
+
+def test_blocks_of_the_fit_grow_with_the_ratings(spark, monkeypatch):
+    seen = []
+    als = ml.ALS
+    monkeypatch.setattr(ml, "ALS", lambda **kw: seen.append((kw["numUserBlocks"], kw["numItemBlocks"])) or als(**kw))
+    df = spark.createDataFrame([(u, (u * 7 + j) % 20, 1.0) for u in range(30) for j in range(4)], "u int, i int, r float")
+    for some, blocks in ((4_000_000, 10), (9, 14)):
+        assert ml.recommend(df, "u", "i", "r", 2, rank=2, max_iter=2, block_ratings=some).groupBy("u").count().filter("count = 2").count() == 30
+        assert seen.pop() == (blocks, blocks)
+
+
 @pytest.mark.parametrize("flush", [1, 50, 10_000])
 def test_cells_are_counted_over_arrow_batches(flush):
     rng = random.Random(2)
